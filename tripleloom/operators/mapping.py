@@ -162,7 +162,7 @@ class Group:
 def _many(value: iterate.Value) -> Column:
     if value.many is None:
         return F.lit(None).cast("array<string>")
-    return F.when(value.is_many, value.many)
+    return F.when(value.is_many, F.array_distinct(value.many))
 
 
 def _join_parts(parts: list[Part], resolve: Callable[[Atom], Column]) -> Column:
@@ -354,8 +354,12 @@ TRIPLE_COLUMNS = ("s", "p", "o", "o_kind", "o_datatype", "o_lang")
 
 
 def unpack(df: DataFrame, packed: str, *keep: str) -> DataFrame:
-    """One row per packed triple."""
-    rows = df.select(*keep, F.explode(packed).alias("_t")).withColumn("_f", F.split("_t", SEP, 6))
+    """One row per packed triple.
+
+    The outer explode keeps Catalyst from adding a size filter that would build the array twice.
+    """
+    rows = df.select(*keep, F.explode_outer(packed).alias("_t")).where("_t is not null")
+    rows = rows.withColumn("_f", F.split("_t", SEP, 6))
     part = [F.col("_f").getItem(i) for i in range(6)]
     return rows.select(
         *keep,

@@ -69,16 +69,17 @@ def accept_all(payload: Column) -> Column:
     return F.lit(True)
 
 
-def is_valid(payload: Column, input_format: str | Column) -> Column:
-    """Validator chosen by format; with a format column, one batch may mix formats."""
+_VALIDATORS = {"JSON": is_json, "XML": is_xml, "CSV": is_csv}
+
+
+def is_valid(payload: Column, input_format: str | Column, formats: tuple[str, ...] = tuple(_VALIDATORS)) -> Column:
+    """Validator chosen by format; with a format column, one batch may mix the given formats."""
     if isinstance(input_format, str):
-        return {"JSON": is_json, "XML": is_xml, "CSV": is_csv}[input_format](payload)
-    return (
-        F.when(input_format == "JSON", is_json(payload))
-        .when(input_format == "XML", is_xml(payload))
-        .when(input_format == "CSV", is_csv(payload))
-        .otherwise(F.lit(False))
-    )
+        return _VALIDATORS[input_format](payload)
+    out = F.lit(False)
+    for name in formats:
+        out = F.when(input_format == name, _VALIDATORS[name](payload)).otherwise(out)
+    return out
 
 
 def error_text(input_format: str | Column) -> Column:
