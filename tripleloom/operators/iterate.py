@@ -300,3 +300,16 @@ _BY_FORMAT = {"JSON": json_items, "XML": xml_items, "CSV": csv_items}
 
 def items(payload: Column, input_format: str, iterator: str, references: list[str]) -> Items:
     return _BY_FORMAT[input_format](payload, iterator, references)
+
+
+def explode_items(df, input_format: str, iterator: str, references: dict[str, str], payload: str = "payload", key: str = "msg_id"):
+    """One row per item of each message: key, pos, and one text column per named reference."""
+    found = items(F.col(payload), input_format, iterator, list(references.values()))
+
+    def columns(item: Column) -> list[Column]:
+        return [found.read(item, path).one.alias(name) for name, path in references.items()]
+
+    if found.is_array:
+        rows = F.transform(found.column, lambda it, i: F.struct(i.alias("pos"), *columns(it)))
+        return df.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    return df.select(key, found.column.alias("_i")).select(key, F.lit(0).alias("pos"), *columns(F.col("_i")))
