@@ -8,6 +8,8 @@ key otherwise.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from tripleloom.operators.mapping import (
     Scope,
     _join_parts,
     document_column,
+    join_conditions,
+    local_documents,
+    packed,
+    unpack,
     with_elements,
 )
 from tripleloom.session import prepare
@@ -67,56 +73,102 @@ def joined_triples(
     key: str = "msg_id",
     check: bool = True,
 ) -> DataFrame:
-    """Triples whose object is found by a join condition.
+    """Triples whose object is found by a join condition, by an equi join of exploded items.
 
     Without `parent_df` a child meets the parents of its own message. With it, the parents are the
     items of every message in that table (a reference table beside the stream).
     """
     out = None
-    for tm in mapping.triples_maps:
-        for pom in tm.predicate_objects:
-            for p in pom.predicates:
-                for o in pom.objects:
-                    if not o.joins:
-                        continue
-                    other = mapping.triples_map(o.value)
-                    names = [f"k{i}" for i in range(len(o.joins))]
-                    child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
-                    source = df if parent_df is None else parent_df
-                    parents = _side(source, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
-                    if parent_df is None:
-                        met = child.join(parents, [key, *names])
-                    else:
-                        met = child.join(parents.drop(key).distinct(), names)
-                    rows = met.select(
-                        key,
-                        "s",
-                        "p",
-                        "o",
-                        F.lit(other.subject.node_kind).alias("o_kind"),
-                        F.lit(None).cast("string").alias("o_datatype"),
-                        F.lit(None).cast("string").alias("o_lang"),
-                    )
-                    out = rows if out is None else out.unionByName(rows)
+    for tm, p, o in join_conditions(mapping):
+        other = mapping.triples_map(o.value)
+        names = [f"k{i}" for i in range(len(o.joins))]
+        child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
+        source = df if parent_df is None else parent_df
+        parents = _side(source, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
+        if parent_df is None:
+            met = child.join(parents, [key, *names])
+        else:
+            met = child.join(parents.drop(key).distinct(), names)
+        rows = met.select(
+            key,
+            "s",
+            "p",
+            "o",
+            F.lit(other.subject.node_kind).alias("o_kind"),
+            F.lit(None).cast("string").alias("o_datatype"),
+            F.lit(None).cast("string").alias("o_lang"),
+        )
+        out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError(f"mapping {mapping.id!r} has no join condition")
     return out.distinct()
 
 
+def without_joins(mapping: Mapping) -> Mapping:
+    """The mapping without the rules that need a join."""
+
+    def keep(tm: TriplesMap) -> TriplesMap:
+        poms = [replace(pom, objects=tuple(o for o in pom.objects if not o.joins)) for pom in tm.predicate_objects]
+        return replace(tm, predicate_objects=tuple(pom for pom in poms if pom.objects))
+
+    return replace(mapping, triples_maps=tuple(keep(tm) for tm in mapping.triples_maps))
+
+
+# A message shorter than this holds at most about two thousand items, so its joins are looked up in
+# its own row. Longer ones take the exploded equi join; both give the same triples.
+LOCAL_LENGTH = 16 * 1024
+
+
+def _by_length(df: DataFrame, payload: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    size = F.coalesce(F.octet_length(payload), F.lit(0))
+    return df.where(size < limit), df.where(size >= limit)
+
+
+def triples_with_joins(
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, local_length: int = LOCAL_LENGTH
+) -> DataFrame:
+    """All triples of a mapping with join conditions inside the message."""
+    short, long = _by_length(df.select(key, payload), payload, local_length)
+    local = unpack(packed(short, mapping, payload, key, check), "_packed", key)
+    own = unpack(packed(long, without_joins(mapping), payload, key, check), "_packed", key)
+    found = own.unionByName(joined_triples(long, mapping, None, payload, key, check)).distinct()
+    return local.unionByName(found)
+
+
 def _resource(text: Column) -> Column:
     return F.when(text.startswith("_:"), text).otherwise(F.concat(F.lit("<"), text, F.lit(">")))
 
 
 def documents_with_joins(
-    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, parent_df: DataFrame | None = None
+    df: DataFrame,
+    mapping: Mapping,
+    payload: str,
+    key: str,
+    check: bool,
+    parent_df: DataFrame | None = None,
+    local_length: int = LOCAL_LENGTH,
+) -> DataFrame:
+    """Documents of a mapping with joins.
+
+    Joins inside a short message happen in its row. For long messages, and against a reference table,
+    the joined triples are gathered per message and added to its document.
+    """
+    if parent_df is not None:
+        return _gathered_documents(df, mapping, payload, key, check, parent_df)
+    short, long = _by_length(df, payload, local_length)
+    local = local_documents(short, mapping, payload, key, check)
+    return local.unionByName(_gathered_documents(long, mapping, payload, key, check, None))
+
+
+def _gathered_documents(
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, parent_df: DataFrame | None
 ) -> DataFrame:
-    """Documents of a mapping with joins: joined triples are gathered per message and added."""
     prepare(df.sparkSession)
     turtle = mapping.output_format == "TTL"
     ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
     own = with_elements(
         df.withColumn("_ok", ok),
-        mapping,
+        without_joins(mapping),
         TURTLE if turtle else JSONLD,
         "_elements",
         F.col(payload),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -272,9 +272,12 @@ def _nodes_of(group: Group, resolve) -> Column:
 
 @dataclass(frozen=True)
 class Form:
+    """One way of writing: literal encoding, all elements of a group, one joined statement."""
+
     encode: Callable[[Column], Column]
     encode_constant: Callable[[str], str]
     elements: Callable[[Group, Callable[[Atom], Column]], Column]
+    link: Callable[..., Column]
 
 
 def _json_inside(value: Column) -> Column:
@@ -286,9 +289,25 @@ def _json_constant(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)[1:-1]
 
 
-ROWS = Form(lambda c: c, lambda t: t, lambda g, r: _triples_of(g, _packed, r))
-TURTLE = Form(terms.escape_literal, terms.escape_constant, lambda g, r: _triples_of(g, _turtle, r))
-JSONLD = Form(_json_inside, _json_constant, _nodes_of)
+def _link(write: Callable[[Node, Node, Node], list[Part]]):
+    """A statement whose subject and predicate come from one item and whose object from another."""
+
+    def link(s: Node, p: Node, o: Node, child: Callable[[Atom], Column], other: Callable[[Atom], Column]) -> Column:
+        renamed = Node(o.kind, tuple(Atom("o:" + x.name) if isinstance(x, Atom) else x for x in o.parts))
+        return _join_parts(
+            write(s, p, renamed), lambda a: other(Atom(a.name[2:])) if a.name.startswith("o:") else child(a)
+        )
+
+    return link
+
+
+def _jsonld_link(s: Node, p: Node, o: Node) -> list[Part]:
+    return ['{"@id":"', *s.parts, '","', *p.parts, '":[', *_jsonld_value(o, False), "]}"]
+
+
+ROWS = Form(lambda c: c, lambda t: t, lambda g, r: _triples_of(g, _packed, r), _link(_packed))
+TURTLE = Form(terms.escape_literal, terms.escape_constant, lambda g, r: _triples_of(g, _turtle, r), _link(_turtle))
+JSONLD = Form(_json_inside, _json_constant, _nodes_of, _link(_jsonld_link))
 
 
 # --- onto a DataFrame ---------------------------------------------------------------------------
@@ -315,34 +334,33 @@ def with_elements(
     for g, group in enumerate(groups_of(mapping, form)):
         form.elements(group, lambda a: F.lit(""))  # first pass: learn the atoms and paths
         found = iterate.items(F.when(active, payload), mapping.input_format, group.iterator, group.paths)
-        item = f"{name}_i{g}"
-        df = df.withColumn(item, found.column)
-        helpers.append(item)
-        if found.is_array:
-            atoms = f"{name}_a{g}"
-            df = df.withColumn(
-                atoms,
-                F.transform(
-                    F.col(item),
-                    lambda it, i: F.struct(
-                        F.lit(True).alias("is_item"),
-                        *[
-                            build(Scope(it, i, message, found.read)).alias(a)
-                            for a, build in group.atoms.values()
-                        ],
-                    ),
-                ),
-            )
-            helpers.append(atoms)
-            arrays.append(
-                F.flatten(F.transform(F.col(atoms), lambda a: form.elements(group, lambda x: a.getField(x.name))))
-            )
-        else:
+        if not found.is_array:
+            item = f"{name}_i{g}"
             scope = Scope(F.col(item), F.lit(0), message, found.read)
             names = {a: f"{name}_a{g}_{a}" for a, _ in group.atoms.values()}
+            df = df.withColumn(item, found.column)
             df = df.withColumns({names[a]: build(scope) for a, build in group.atoms.values()})
-            helpers.extend(names.values())
+            helpers += [item, *names.values()]
             arrays.append(form.elements(group, lambda x: F.col(names[x.name])))
+            continue
+        if found.plain is None:
+            df, elements = _array_elements(df, group, form, found, message, f"{name}_c{g}", helpers)
+        else:
+            quick, simple = f"{name}_q{g}", f"{name}_s{g}"
+            df = df.withColumn(quick, found.plain.column).withColumn(simple, F.col(quick).isNotNull())
+            helpers += [quick, simple]
+            scalar = Group(replace(mapping, expand_arrays=False), group.iterator, group.maps, form.encode, form.encode_constant)
+            form.elements(scalar, lambda a: F.lit(""))
+            plain = replace(found.plain, column=F.col(quick))
+            df, quick_elements = _array_elements(df, scalar, form, plain, message, f"{name}_p{g}", helpers)
+            text = F.when(active & ~F.col(simple), payload)
+            careful = iterate.items(text, mapping.input_format, group.iterator, group.paths)
+            df, careful_elements = _array_elements(df, group, form, careful, message, f"{name}_c{g}", helpers)
+            elements = F.when(F.col(simple), quick_elements).otherwise(careful_elements)
+        arrays.append(elements)
+    if mapping.has_joins:
+        df, joined = _local_joins(df, mapping, form, name, F.when(active, payload), message, helpers)
+        arrays += joined
     empty = F.array().cast("array<string>")
     everything = [F.coalesce(a, empty) for a in arrays]
     joined = F.concat(*everything) if len(everything) > 1 else everything[0]
@@ -350,6 +368,86 @@ def with_elements(
     return df.withColumn(name, F.when(active, distinct).otherwise(empty)).drop(*helpers)
 
 
+def _array_elements(
+    df: DataFrame, group: Group, form: Form, found: iterate.Items, message: Column, atoms: str, helpers: list[str]
+) -> tuple[DataFrame, Column]:
+    """Atoms of every item as a column, and the elements written from them."""
+
+    def atoms_of(item: Column, index: Column) -> Column:
+        scope = Scope(item, index, message, found.read)
+        return F.struct(F.lit(True).alias("is_item"), *[build(scope).alias(a) for a, build in group.atoms.values()])
+
+    df = df.withColumn(atoms, F.transform(found.column, atoms_of))
+    helpers.append(atoms)
+    return df, F.flatten(F.transform(F.col(atoms), lambda a: form.elements(group, lambda x: a.getField(x.name))))
+
+
+def _local_joins(
+    df: DataFrame, mapping: Mapping, form: Form, name: str, payload: Column, message: Column, helpers: list[str]
+) -> tuple[DataFrame, list[Column]]:
+    """Join conditions inside one message, by looking each child's keys up among the parents.
+
+    Meant for messages of bounded length: the look-up compares every child with every parent.
+    """
+    arrays = []
+    for n, (tm, p, o) in enumerate(join_conditions(mapping)):
+        other = mapping.triples_map(o.value)
+        sides = []
+        for label, owner, nodes, keys in (
+            ("l", tm, (tm.subject, p), [c for c, _ in o.joins]),
+            ("r", other, (other.subject,), [q for _, q in o.joins]),
+        ):
+            group = Group(mapping, owner.iterator, [owner], form.encode, form.encode_constant)
+            made = [group.node(t, owner) for t in nodes]
+            for path in keys:
+                group.path(path)
+            found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths)
+
+            def row(item: Column, index: Column) -> Column:
+                scope = Scope(item, index, message, found.read)
+                return F.struct(
+                    *[found.read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)],
+                    *[build(scope).alias(a) for a, build in group.atoms.values()],
+                )
+
+            column = f"{name}_{label}{n}"
+            if found.is_array:
+                df = df.withColumn(column, F.transform(found.column, row))
+            else:
+                df = df.withColumn(column + "_i", found.column).withColumn(column, F.array(row(F.col(column + "_i"), F.lit(0))))
+                helpers.append(column + "_i")
+            helpers.append(column)
+            sides.append((column, made))
+        (left, (s_node, p_node)), (right, (o_node,)) = sides
+
+        def of_child(c: Column) -> Column:
+            def meets(q: Column) -> Column:
+                test = q.getField("k0") == c.getField("k0")
+                for i in range(1, len(o.joins)):
+                    test = test & (q.getField(f"k{i}") == c.getField(f"k{i}"))
+                return test
+
+            def written(q: Column) -> Column:
+                return form.link(s_node, p_node, o_node, lambda a: c.getField(a.name), lambda a: q.getField(a.name))
+
+            return F.transform(F.filter(F.col(right), meets), written)
+
+        arrays.append(F.flatten(F.transform(F.col(left), of_child)))
+    return df, arrays
+
+
+def join_conditions(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
+    """(triples map, predicate, parent object) of every rule with a join condition."""
+    return [
+        (tm, p, o)
+        for tm in mapping.triples_maps
+        for pom in tm.predicate_objects
+        for p in pom.predicates
+        for o in pom.objects
+        if o.joins
+    ]
+
+
 TRIPLE_COLUMNS = ("s", "p", "o", "o_kind", "o_datatype", "o_lang")
 
 
@@ -386,16 +484,17 @@ def triples(
     The triples of one message are a set; equal triples of different messages stay apart. Messages
     that are not well-formed give no rows.
     """
-    base = _active(df.select(key, payload), mapping, payload, check)
-    packed = with_elements(
-        base, mapping, ROWS, "_packed", F.col(payload), F.col("_ok"), F.col(key).cast("string")
-    )
-    rows = unpack(packed, "_packed", key)
     if mapping.has_joins:
-        from tripleloom.operators.joins import joined_triples
+        from tripleloom.operators.joins import triples_with_joins
+
+        return triples_with_joins(df, mapping, payload, key, check)
+    return unpack(packed(df.select(key, payload), mapping, payload, key, check), "_packed", key)
 
-        rows = rows.unionByName(joined_triples(df, mapping, payload=payload, key=key, check=check)).distinct()
-    return rows
+
+def packed(df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool) -> DataFrame:
+    """Add `_packed`: the triples of each message as packed strings."""
+    base = _active(df, mapping, payload, check)
+    return with_elements(base, mapping, ROWS, "_packed", F.col(payload), F.col("_ok"), F.col(key).cast("string"))
 
 
 def document_column(elements: Column, output_format: str) -> Column:
@@ -416,6 +515,11 @@ def documents(
         from tripleloom.operators.joins import documents_with_joins
 
         return documents_with_joins(df, mapping, payload, key, check)
+    return local_documents(df, mapping, payload, key, check)
+
+
+def local_documents(df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool) -> DataFrame:
+    """Documents with every rule evaluated inside the message's row."""
     form = TURTLE if mapping.output_format == "TTL" else JSONLD
     base = _active(df, mapping, payload, check)
     full = with_elements(base, mapping, form, "_elements", F.col(payload), F.col("_ok"), F.col(key).cast("string"))

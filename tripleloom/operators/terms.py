@@ -56,7 +56,7 @@ def iri_safe(value: Column) -> Column:
         F.when(value.isNull(), F.lit(None).cast("string"))
         .when(value.rlike(f"^[{UNRESERVED_CLASS}]*$"), value)
         .when(value.rlike(r"^[\x20-\x7e]*$"), _replace_each(value, RESERVED))
-        .when(value.rlike(rf"^[\x20-\x7e{UCSCHAR_CLASS}]*$"), _replace_each(nfkc(value), RESERVED))
+        .when(value.rlike(rf"^[\t\n\r\x20-\x7e{UCSCHAR_CLASS}]*$"), _replace_each(nfkc(value), RESERVED + "\t\n\r"))
         .otherwise(_percent_other(nfkc(value), UNRESERVED_CLASS + UCSCHAR_CLASS))
     )
 

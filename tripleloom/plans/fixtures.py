@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.session import prepare
+from tripleloom.sources.messages import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become messages."""
+    return spread(table(spark, sf_dir, name))
+
+
 def money(c: str) -> Column:
     return F.format_string("%.2f", F.col(c))
 
@@ -42,7 +48,7 @@ def event_payload(*extra: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+    rows = messages(spark, sf_dir, "events")
     return rows.select(
         F.col("event_id").alias("msg_id"),
         F.concat(F.lit("events/"), "event_type").alias("topic"),
@@ -60,7 +66,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     as_text = F.to_json(F.struct("event_id", F.concat(F.lit("["), "event_type", F.lit("]")).alias("tag")))
-    return table(spark, sf_dir, "events").select(
+    return messages(spark, sf_dir, "events").select(
         F.col("event_id").alias("msg_id"),
         F.when(F.col("event_id") % 3 == 0, as_text).otherwise(as_array).alias("payload"),
     )
@@ -68,7 +74,7 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 11th payload is empty, every 7th cut short, every 13th followed by a second document."""
-    rows = table(spark, sf_dir, "events")
+    rows = messages(spark, sf_dir, "events")
     whole = event_payload()
     payload = (
         F.when(F.col("event_id") % 11 == 0, F.lit(""))
@@ -86,7 +92,7 @@ def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order with an array of facts and the units they are given in."""
-    rows = table(spark, sf_dir, "orders")
+    rows = messages(spark, sf_dir, "orders")
 
     def fact(n: int, name: str, value: Column, unit: str) -> Column:
         return F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), value.alias("value"), F.lit(unit).alias("unit"))
@@ -113,7 +119,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), payload.alias("payload"))
+    return messages(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), payload.alias("payload"))
 
 
 def customers_root(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +135,7 @@ def customers_root(spark: SparkSession, sf_dir: str) -> DataFrame:
             entry("balance", money("c_acctbal")),
         )
     )
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), payload.alias("payload"))
+    return messages(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), payload.alias("payload"))
 
 
 def _xml_text(c: Column) -> Column:
@@ -153,7 +159,7 @@ def parts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         attr("size", F.col("p_size").cast("string")),
         F.lit("<note/></part>"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("msg_id"), payload.alias("payload"))
+    return messages(spark, sf_dir, "part").select(F.col("p_partkey").alias("msg_id"), payload.alias("payload"))
 
 
 def broken_parts_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,14 +185,14 @@ def suppliers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, F.lit(",nation,"), F.col("s_nationkey").cast("string"), F.lit(",home\n"),
         key, F.lit(",balance, "), money("s_acctbal"), F.lit(" ,\n"),
     )
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("msg_id"), payload.alias("payload"))
+    return messages(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("msg_id"), payload.alias("payload"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document with its whole text and an array of its lines."""
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("n"), t.alias("text")))
     payload = F.to_json(F.struct(F.col("doc_id").alias("id"), "lang", "source", "text", lines.alias("lines")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), payload.alias("payload"))
+    return messages(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), payload.alias("payload"))
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:

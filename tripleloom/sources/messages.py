@@ -106,6 +106,16 @@ def read_messages(spark: SparkSession, *sources: TopicSource, streaming: bool =
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    Mapping a message costs far more than reading it, and a small file is one split. A table with at
+    least as many splits as the session has cores is left alone: at scale this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def record_key(broker: Column, channel_id: Column) -> Column:
     """A Kafka record carries the channel id as its key; an MQTT message has no key."""
     return F.when(broker == "KAFKA", channel_id)

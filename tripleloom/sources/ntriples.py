@@ -16,25 +16,29 @@ _LINE = (
 )
 
 
+# One replace turns a line into its fields; the literal, which may hold anything, comes last.
+_FIELDS = "\x02$1\x01$2\x01$3\x01$4\x01$6\x01$7\x01$5"
+
+
 def parse_lines(df: DataFrame, line: str, *keep: str) -> DataFrame:
-    """Triples of a column of N-Triples lines; blank lines and comments give nothing."""
-    text = F.col(line)
-    part = [F.regexp_extract(text, _LINE, i) for i in range(8)]
-    rows = df.where(text.rlike(_LINE)).select(*keep, *[part[i].alias(f"_{i}") for i in range(1, 8)])
-    is_iri, is_blank = F.col("_3") != "", F.col("_4") != ""
-    subject = F.when(F.col("_1").startswith("<"), F.expr("substring(_1, 2, length(_1) - 2)")).otherwise(F.col("_1"))
+    """Triples of a column of N-Triples lines; blank lines, comments and broken lines give nothing."""
+    cut = F.split(F.regexp_replace(F.col(line), _LINE, _FIELDS), "\x01", 7)
+    rows = df.select(*keep, cut.alias("_f")).where(F.col("_f")[0].startswith("\x02") & (F.size("_f") == 7))
+    subject, predicate, iri, blank, datatype, lang, text = (F.col("_f")[i] for i in range(7))
+    is_iri, is_blank = iri != "", blank != ""
+    bare = F.substring(subject, F.lit(2), F.length(subject))
     return rows.select(
         *keep,
-        subject.alias("s"),
-        F.col("_2").alias("p"),
-        F.when(is_iri, F.col("_3")).when(is_blank, F.col("_4")).otherwise(terms.unescape_literal(F.col("_5"))).alias("o"),
+        F.when(bare.startswith("<"), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare).alias("s"),
+        predicate.alias("p"),
+        F.when(is_iri, iri).when(is_blank, blank).otherwise(terms.unescape_literal(text)).alias("o"),
         F.when(is_iri, "iri").when(is_blank, "bnode").otherwise("literal").alias("o_kind"),
         F.when(is_iri | is_blank, None)
-        .when(F.col("_7") != "", LANG_STRING)
-        .when(F.col("_6") != "", F.col("_6"))
+        .when(lang != "", LANG_STRING)
+        .when(datatype != "", datatype)
         .otherwise(XSD_STRING)
         .alias("o_datatype"),
-        F.nullif(F.col("_7"), F.lit("")).alias("o_lang"),
+        F.nullif(lang, F.lit("")).alias("o_lang"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
 from tripleloom.session import prepare
-from tripleloom.sources.messages import record_key, to_kafka
+from tripleloom.sources.messages import record_key, spread, to_kafka
 
 # What a channel row must hold. A null topic switches its stage off for good.
 CHANNEL_SCHEMA = (
@@ -167,7 +167,7 @@ def run_channels(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sent = records(dropped_errors(annotate(batch, load_channels(), mappings, transformations)))
+        sent = records(dropped_errors(annotate(spread(batch), load_channels(), mappings, transformations)))
         # rows of a task stay in message order inside each sink's file
         target = f"{path}/batch_id={batch_id}"
         sent.sortWithinPartitions("sink", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
