@@ -147,6 +147,11 @@ class Group:
 
     # --- triples --------------------------------------------------------------------------------
 
+    def learn(self) -> None:
+        """Collect the atoms and paths all statements need, before any expression is built."""
+        for tm in self.maps:
+            self.statements(tm)
+
     def statements(self, tm: TriplesMap) -> list[tuple[Node, Node, Node]]:
         """(subject, predicate, object) of one triples map; objects found by a join are not here."""
         subject = self.node(tm.subject, tm)
@@ -332,7 +337,7 @@ def with_elements(
     helpers: list[str] = []
     arrays: list[Column] = []
     for g, group in enumerate(groups_of(mapping, form)):
-        form.elements(group, lambda a: F.lit(""))  # first pass: learn the atoms and paths
+        group.learn()
         found = iterate.items(F.when(active, payload), mapping.input_format, group.iterator, group.paths)
         if not found.is_array:
             item = f"{name}_i{g}"
@@ -350,7 +355,7 @@ def with_elements(
             df = df.withColumn(quick, found.plain.column).withColumn(simple, F.col(quick).isNotNull())
             helpers += [quick, simple]
             scalar = Group(replace(mapping, expand_arrays=False), group.iterator, group.maps, form.encode, form.encode_constant)
-            form.elements(scalar, lambda a: F.lit(""))
+            scalar.learn()
             plain = replace(found.plain, column=F.col(quick))
             df, quick_elements = _array_elements(df, scalar, form, plain, message, f"{name}_p{g}", helpers)
             text = F.when(active & ~F.col(simple), payload)

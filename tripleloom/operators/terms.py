@@ -20,52 +20,61 @@ IRI_ILLEGAL = "<>\"{}|^`\\ "
 # ----------------------------------------------------------------------------------------------
 
 
-def nfkc(value: Column) -> Column:
-    """Unicode NFKC through the ICU library Spark ships. The value must not be null."""
-    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
-
-
 def _percent(text: str) -> str:
     return "".join(f"%{b:02x}" for b in text.encode())
 
 
-def _replace_each(value: Column, chars: str) -> Column:
+def _sql_text(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + escaped.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + "'"
+
+
+def _replace_each(value: str, chars: str) -> str:
     for ch in chars:
-        value = F.replace(value, F.lit(ch), F.lit(_percent(ch)))
+        value = f"replace({value}, {_sql_text(ch)}, {_sql_text(_percent(ch))})"
     return value
 
 
-def _percent_other(value: Column, keep_class: str) -> Column:
+def _percent_other(value: str, keep_class: str) -> str:
     """Percent-encode, character by character, whatever is outside the class."""
-    encoded = F.transform(
-        F.split(value, ""),
-        lambda ch: F.when(ch.rlike(f"^[{keep_class}]$"), ch).otherwise(
-            F.regexp_replace(F.lower(F.hex(ch)), "(..)", "%$1")
-        ),
+    return (
+        f"array_join(transform(split({value}, ''), c -> case when c rlike {_sql_text(f'^[{keep_class}]$')} then c "
+        "else regexp_replace(lower(hex(c)), '(..)', '%$1') end), '')"
     )
-    return F.array_join(encoded, "")
 
 
-def iri_safe(value: Column) -> Column:
-    """IRI-safe form of a template slot: NFKC, then lower-case percent encoding.
+def _named(value: Column, function: str) -> Column:
+    """Apply a one-argument SQL lambda, which names the value however often the text uses it."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(function)), 1)
 
-    Cheap cases first: identifiers pass through, printable text takes a chain of replaces, and only
-    text with control or private-use characters is rebuilt character by character.
-    """
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(value.rlike(f"^[{UNRESERVED_CLASS}]*$"), value)
-        .when(value.rlike(r"^[\x20-\x7e]*$"), _replace_each(value, RESERVED))
-        .when(value.rlike(rf"^[\t\n\r\x20-\x7e{UCSCHAR_CLASS}]*$"), _replace_each(nfkc(value), RESERVED + "\t\n\r"))
-        .otherwise(_percent_other(nfkc(value), UNRESERVED_CLASS + UCSCHAR_CLASS))
-    )
+
+# Unicode NFKC through the ICU library Spark ships; its argument must not be null.
+_NFKC = "java_method('com.ibm.icu.text.Normalizer', 'compose', v, true)"
+
+# Cheap cases first: identifiers pass through, printable text takes a chain of replaces, and only text
+# with control or private-use characters is rebuilt character by character.
+_IRI_SAFE = f"""v -> case
+  when v is null then null
+  when v rlike {_sql_text(f"^[{UNRESERVED_CLASS}]*$")} then v
+  when v rlike {_sql_text(r"^[\x20-\x7e]*$")} then {_replace_each("v", RESERVED)}
+  when v rlike {_sql_text(rf"^[\t\n\r\x20-\x7e{UCSCHAR_CLASS}]*$")} then {_replace_each(_NFKC, RESERVED + chr(9) + chr(10) + chr(13))}
+  else {_percent_other(_NFKC, UNRESERVED_CLASS + UCSCHAR_CLASS)} end"""
+
+_IRI_ILLEGAL_CLASS = r'\x00-\x20<>"{}|^`\\\x7f'
+_IRI_REFERENCE = f"""v -> case
+  when v rlike {_sql_text("[" + _IRI_ILLEGAL_CLASS + "]")} then {_percent_other("v", "^" + _IRI_ILLEGAL_CLASS)}
+  else v end"""
+
+
+def iri_safe(value: Column) -> Column:
+    """IRI-safe form of a template slot: NFKC, then lower-case percent encoding."""
+    return _named(value, _IRI_SAFE)
 
 
 def iri_reference(value: Column) -> Column:
     """A reference used as an IRI: kept as it is, except characters no IRI may hold."""
-    return F.when(value.rlike(r'[\x00-\x20<>"{}|^`\\\x7f]'), _percent_other(value, r'^\x00-\x20<>"{}|^`\\\x7f')).otherwise(
-        value
-    )
+    return _named(value, _IRI_REFERENCE)
 
 
 def escape_literal(value: Column) -> Column:
