@@ -71,6 +71,11 @@ def _field(name: str):
     return lambda element: element.getField(name)
 
 
+def _flat(arrays: Column) -> Column:
+    """One array of all elements; an array that is missing counts as empty."""
+    return F.flatten(F.filter(arrays, lambda a: a.isNotNull()))
+
+
 def _json_path(steps: list[str | int]) -> str:
     return "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
 
@@ -217,7 +222,7 @@ def _json_array(payload: Column, steps: list[str | int], item_of) -> Column:
     if not after:
         return F.transform(texts, item_of)
     if "*" in after:
-        return F.flatten(F.transform(texts, lambda t: _json_array(t, after, item_of)))
+        return _flat(F.transform(texts, lambda t: _json_array(t, after, item_of)))
     return F.transform(texts, lambda t: item_of(F.get_json_object(t, _json_path(after))))
 
 
@@ -266,7 +271,7 @@ def xml_items(payload: Column, iterator: str, references: list[str]) -> Items:
         return Items(root, False, lambda item, path: _xml_value(item, xml_steps(path), tree))
     column = root.getField(steps[0])
     for step in steps[1:]:
-        column = F.flatten(F.transform(column, _field(step)))
+        column = _flat(F.transform(column, _field(step)))
     return Items(column, True, lambda item, path: _xml_value(item, xml_steps(path), node))
 
 
@@ -282,7 +287,7 @@ def _xml_value(item: Column, steps: list[str], tree: dict) -> Value:
         if found is None:
             found = item.getField(step)
         else:
-            found = F.flatten(F.transform(found, _field(step)))
+            found = _flat(F.transform(found, _field(step)))
     else:
         if any(node):  # has children or attributes besides its text
             found = F.transform(found, _field("_VALUE"))

@@ -56,9 +56,9 @@ _NFKC = "java_method('com.ibm.icu.text.Normalizer', 'compose', v, true)"
 # with control or private-use characters is rebuilt character by character.
 _IRI_SAFE = f"""v -> case
   when v is null then null
-  when v rlike {_sql_text(f"^[{UNRESERVED_CLASS}]*$")} then v
-  when v rlike {_sql_text(r"^[\x20-\x7e]*$")} then {_replace_each("v", RESERVED)}
-  when v rlike {_sql_text(rf"^[\t\n\r\x20-\x7e{UCSCHAR_CLASS}]*$")} then {_replace_each(_NFKC, RESERVED + chr(9) + chr(10) + chr(13))}
+  when v rlike {_sql_text(f"^[{UNRESERVED_CLASS}]*\\z")} then v
+  when v rlike {_sql_text(r"^[\x20-\x7e]*\z")} then {_replace_each("v", RESERVED)}
+  when v rlike {_sql_text(rf"^[\t\n\r\x20-\x7e{UCSCHAR_CLASS}]*\z")} then {_replace_each(_NFKC, RESERVED + chr(9) + chr(10) + chr(13))}
   else {_percent_other(_NFKC, UNRESERVED_CLASS + UCSCHAR_CLASS)} end"""
 
 _IRI_ILLEGAL_CLASS = r'\x00-\x20<>"{}|^`\\\x7f'
