@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
 from tripleloom.session import prepare
-from tripleloom.sources.messages import record_key, spread, to_kafka
+from tripleloom.sources.messages import kafka_sink_options, record_key, spread, to_kafka
 
 # What a channel row must hold. A null topic switches its stage off for good.
 CHANNEL_SCHEMA = (
@@ -33,8 +34,6 @@ def python_transformation(function: Callable[[str], str]) -> Transformation:
 
     Runs in Arrow batches beside the JVM. Use Column functions where they can say the same.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
     def run(payloads: pd.Series) -> pd.DataFrame:
         docs, errors = [], []
@@ -136,7 +135,7 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
     return rows.select("msg_id", "channel_id", "r.*").select(*RECORD_COLUMNS)
 
 
-def dropped_errors(annotated: DataFrame, name: str = "channel_errors") -> DataFrame:
+def dropped_errors(annotated: DataFrame, name: str | Observation = "channel_errors") -> DataFrame:
     """Count failures that no error topic takes, as an observed metric; no extra pass over the data."""
     failed = F.col("error").isNotNull()
     lost = failed & (F.col("error_topic").isNull() | ~F.col("error_enabled"))
@@ -148,6 +147,16 @@ def dropped_errors(annotated: DataFrame, name: str = "channel_errors") -> DataFr
     )
 
 
+def write_records(sent: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write one batch of records into its own folder, one part per sink, and return what is there.
+
+    Rows of a task stay in message order inside each sink.
+    """
+    target = f"{path}/batch_id={batch_id}"
+    sent.sortWithinPartitions("sink", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
+    return sent.sparkSession.read.schema(sent.schema).parquet(target)
+
+
 def run_channels(
     stream: DataFrame,
     load_channels: Callable[[], DataFrame],
@@ -167,18 +176,10 @@ def run_channels(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sent = records(dropped_errors(annotate(spread(batch), load_channels(), mappings, transformations)))
-        # rows of a task stay in message order inside each sink's file
-        target = f"{path}/batch_id={batch_id}"
-        sent.sortWithinPartitions("sink", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
+        annotated = annotate(spread(batch), load_channels(), mappings, transformations)
+        written = write_records(records(dropped_errors(annotated)), path, batch_id)
         if kafka_servers:
-            written = batch.sparkSession.read.parquet(target)
-            (
-                to_kafka(written)
-                .write.format("kafka")
-                .option("kafka.bootstrap.servers", kafka_servers)
-                .save()
-            )
+            to_kafka(written).write.format("kafka").options(**kafka_sink_options(kafka_servers)).save()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if query_name:
