@@ -13,6 +13,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
+        # recording the Python line of every small expression takes longer than building it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")

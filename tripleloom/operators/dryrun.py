@@ -53,11 +53,18 @@ def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, pa
 
 
 def dry_run(catalog: DataFrame, mappings: dict[str, Mapping], mapping_id: str = "mapping_id", sample: str | None = None) -> DataFrame:
-    """ok, error and doc of every catalog row, run on its sample or on the default of its format."""
+    """ok, error and doc of every catalog row, run on its sample or on the default of its format.
+
+    Without samples of their own, rows that name the same mapping share one run of it.
+    """
+    if sample is None:
+        names = catalog.select(mapping_id).distinct()
+        tried = dry_run(names.withColumn("_own", F.lit(None).cast("string")), mappings, mapping_id, "_own").drop("_own")
+        tried = tried.withColumnRenamed(mapping_id, "_tried")
+        return catalog.join(tried, F.col(mapping_id).eqNullSafe(F.col("_tried")), "left").drop("_tried")
     fmt = F.lit(None).cast("string")
     for name, mapping in mappings.items():
         fmt = F.when(F.col(mapping_id) == name, F.lit(mapping.input_format)).otherwise(fmt)
-    default = sample_for(fmt)
-    text = default if sample is None else F.coalesce(F.col(sample), default)
+    text = F.coalesce(F.col(sample), sample_for(fmt))
     run = apply_by_id(catalog.withColumn("_sample", text), mappings, mapping_id, "_sample", mapping_id)
     return run.withColumn("ok", F.col("error").isNull()).drop("_sample")

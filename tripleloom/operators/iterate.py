@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.model import MappingError
@@ -42,6 +42,14 @@ class Items:
     read: Callable[[Column, str], Value]
     plain: Items | None = None
 
+    def rows(self, build: Callable[[Callable[[Column, str], Value], Column, Column], Column]) -> Column:
+        """An array with build(read, item, index) for every item, the plain way where it is open."""
+        careful = F.transform(self.column, lambda it, i: build(self.read, it, i))
+        if self.plain is None:
+            return careful
+        plain = self.plain
+        return F.coalesce(F.transform(plain.column, lambda it, i: build(plain.read, it, i)), careful)
+
 
 # --- paths --------------------------------------------------------------------------------------
 
@@ -348,14 +356,16 @@ def items(payload: Column, input_format: str, iterator: str, references: list[st
     return _BY_FORMAT[input_format](payload, iterator, references)
 
 
-def explode_items(df, input_format: str, iterator: str, references: dict[str, str], payload: str = "payload", key: str = "msg_id"):
+def explode_items(
+    df: DataFrame, input_format: str, iterator: str, references: dict[str, str], payload: str = "payload", key: str = "msg_id"
+) -> DataFrame:
     """One row per item of each message: key, pos, and one text column per named reference."""
     found = items(F.col(payload), input_format, iterator, list(references.values()))
 
-    def columns(item: Column) -> list[Column]:
-        return [found.read(item, path).one.alias(name) for name, path in references.items()]
+    def columns(read: Callable[[Column, str], Value], item: Column) -> list[Column]:
+        return [read(item, path).one.alias(name) for name, path in references.items()]
 
     if found.is_array:
-        rows = F.transform(found.column, lambda it, i: F.struct(i.alias("pos"), *columns(it)))
-        return df.select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
-    return df.select(key, found.column.alias("_i")).select(key, F.lit(0).alias("pos"), *columns(F.col("_i")))
+        rows = found.rows(lambda read, it, i: F.struct(i.alias("pos"), *columns(read, it)))
+        return df.select(key, F.explode_outer(rows).alias("_r")).where("_r is not null").select(key, "_r.*")
+    return df.select(key, found.column.alias("_i")).select(key, F.lit(0).alias("pos"), *columns(found.read, F.col("_i")))

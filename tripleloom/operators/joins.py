@@ -1,34 +1,29 @@
 """Parent triples maps with a join condition, as equi joins.
 
-Items of both sides are exploded, reduced to the distinct (subject, keys) they contribute, and joined
-on the keys, within the message or against a whole reference table. The join type is left to
+Items of both sides are exploded, parents are reduced to the distinct (subject, keys) they contribute,
+and the sides are joined on the keys, within the message or against a whole reference table. The join type is left to
 Catalyst: it broadcasts a side only below its size threshold, and the adaptive skew join splits a hot
 key otherwise.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping, TermMap, TriplesMap
 from tripleloom.operators import iterate, terms, validate
 from tripleloom.operators.mapping import (
-    JSONLD,
     ROWS,
-    TURTLE,
     Group,
     Node,
     Scope,
     _join_parts,
-    document_column,
+    finished,
     join_conditions,
-    local_documents,
     packed,
     unpack,
-    with_elements,
+    with_document_elements,
 )
 from tripleloom.session import prepare
 
@@ -46,22 +41,23 @@ def _side(
     found = iterate.items(F.when(ok, F.col(payload)), mapping.input_format, tm.iterator, group.paths)
     message = F.col(key).cast("string")
 
-    def atoms_of(item: Column, index: Column) -> list[Column]:
-        scope = Scope(item, index, message, found.read)
+    def atoms_of(read, item: Column, index: Column) -> list[Column]:
+        scope = Scope(item, index, message, read)
         return [build(scope).alias(a) for a, build in group.atoms.values()] + [
-            found.read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)
+            read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)
         ]
 
     if found.is_array:
-        items = F.transform(found.column, lambda it, i: F.struct(*atoms_of(it, i)))
-        rows = df.select(key, F.explode(items).alias("_a")).select(key, "_a.*")
+        items = found.rows(lambda read, it, i: F.struct(*atoms_of(read, it, i)))
+        # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
+        rows = df.select(key, F.explode_outer(items).alias("_a")).select(key, "_a.*")
     else:
-        rows = df.select(key, payload).withColumn("_i", found.column).select(key, *atoms_of(F.col("_i"), F.lit(0)))
+        rows = df.select(key, payload).withColumn("_i", found.column)
+        rows = rows.select(key, *atoms_of(found.read, F.col("_i"), F.lit(0)))
     names = [f"k{i}" for i in range(len(keys))]
     return (
         rows.select(key, *[_join_parts(list(n.parts), lambda a: F.col(a.name)).alias(name) for name, n in texts.items()], *names)
         .dropna()
-        .distinct()
     )
 
 
@@ -85,8 +81,9 @@ def joined_triples(
         child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
         source = df if parent_df is None else parent_df
         parents = _side(source, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
+        # a parent that is there twice must not multiply its children
         if parent_df is None:
-            met = child.join(parents, [key, *names])
+            met = child.join(parents.distinct(), [key, *names])
         else:
             met = child.join(parents.drop(key).distinct(), names)
         rows = met.select(
@@ -101,17 +98,16 @@ def joined_triples(
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError(f"mapping {mapping.id!r} has no join condition")
+    # one rule whose child is the whole message meets each distinct parent once: nothing repeats
+    rules = join_conditions(mapping)
+    if len(rules) == 1 and one_item(mapping, rules[0][0]):
+        return out
     return out.distinct()
 
 
-def without_joins(mapping: Mapping) -> Mapping:
-    """The mapping without the rules that need a join."""
-
-    def keep(tm: TriplesMap) -> TriplesMap:
-        poms = [replace(pom, objects=tuple(o for o in pom.objects if not o.joins)) for pom in tm.predicate_objects]
-        return replace(tm, predicate_objects=tuple(pom for pom in poms if pom.objects))
-
-    return replace(mapping, triples_maps=tuple(keep(tm) for tm in mapping.triples_maps))
+def one_item(mapping: Mapping, tm: TriplesMap) -> bool:
+    """Does the iterator give one item per message?"""
+    return mapping.input_format == "JSON" and "*" not in tm.iterator
 
 
 # A message shorter than this holds at most about two thousand items, so its joins are looked up in
@@ -119,20 +115,20 @@ def without_joins(mapping: Mapping) -> Mapping:
 LOCAL_LENGTH = 16 * 1024
 
 
-def _by_length(df: DataFrame, payload: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    size = F.coalesce(F.octet_length(payload), F.lit(0))
-    return df.where(size < limit), df.where(size >= limit)
+def _is_long(payload: str, limit: int) -> Column:
+    return F.coalesce(F.octet_length(payload) >= limit, F.lit(False))
 
 
 def triples_with_joins(
     df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, local_length: int = LOCAL_LENGTH
 ) -> DataFrame:
     """All triples of a mapping with join conditions inside the message."""
-    short, long = _by_length(df.select(key, payload), payload, local_length)
-    local = unpack(packed(short, mapping, payload, key, check), "_packed", key)
-    own = unpack(packed(long, without_joins(mapping), payload, key, check), "_packed", key)
-    found = own.unionByName(joined_triples(long, mapping, None, payload, key, check)).distinct()
-    return local.unionByName(found)
+    base = df.select(key, payload, _is_long(payload, local_length).alias("_long"))
+    own = unpack(packed(base, mapping, payload, key, check, ~F.col("_long")), "_packed", key, "_long")
+    found = joined_triples(base.where("_long"), mapping, None, payload, key, check)
+    # a joined triple may repeat one of the message's own, so long messages are made sets once more
+    long = own.where("_long").drop("_long").unionByName(found).distinct()
+    return own.where("not _long").drop("_long").unionByName(long)
 
 
 def _resource(text: Column) -> Column:
@@ -153,30 +149,10 @@ def documents_with_joins(
     Joins inside a short message happen in its row. For long messages, and against a reference table,
     the joined triples are gathered per message and added to its document.
     """
-    if parent_df is not None:
-        return _gathered_documents(df, mapping, payload, key, check, parent_df)
-    short, long = _by_length(df, payload, local_length)
-    local = local_documents(short, mapping, payload, key, check)
-    return local.unionByName(_gathered_documents(long, mapping, payload, key, check, None))
-
-
-def _gathered_documents(
-    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, parent_df: DataFrame | None
-) -> DataFrame:
-    prepare(df.sparkSession)
-    turtle = mapping.output_format == "TTL"
-    ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
-    own = with_elements(
-        df.withColumn("_ok", ok),
-        without_joins(mapping),
-        TURTLE if turtle else JSONLD,
-        "_elements",
-        F.col(payload),
-        F.col("_ok"),
-        F.col(key).cast("string"),
-    )
-    found = joined_triples(df, mapping, parent_df, payload, key, check)
-    if turtle:
+    base = df.withColumn("_long", _is_long(payload, local_length) if parent_df is None else F.lit(True))
+    own = with_document_elements(base, mapping, payload, key, check, None if parent_df is not None else ~F.col("_long"))
+    found = joined_triples(base.where("_long").drop("_long"), mapping, parent_df, payload, key, check)
+    if mapping.output_format == "TTL":
         written = F.concat(_resource(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), _resource(F.col("o")), F.lit(" .\n"))
     else:
         written = F.concat(
@@ -186,9 +162,6 @@ def _gathered_documents(
     # one message is one document, so what is gathered here is bounded by the document it becomes
     gathered = found.groupBy(key).agg(F.sort_array(F.collect_set(written)).alias("_joined"))
     elements = F.array_union("_elements", F.coalesce("_joined", F.array().cast("array<string>")))
-    return (
-        own.join(gathered, key, "left")
-        .withColumn("doc", F.when(F.col("_ok"), document_column(elements, mapping.output_format)))
-        .withColumn("error", F.when(~F.col("_ok"), validate.error_text(mapping.input_format)))
-        .drop("_ok", "_elements", "_joined")
-    )
+    long = own.where("_long").join(gathered, key, "left").withColumn("_elements", elements).drop("_joined")
+    whole = long if parent_df is not None else own.where("not _long").unionByName(long)
+    return finished(whole.drop("_long"), mapping)

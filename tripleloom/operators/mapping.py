@@ -326,10 +326,19 @@ def groups_of(mapping: Mapping, form: Form) -> list[Group]:
 
 
 def with_elements(
-    df: DataFrame, mapping: Mapping, form: Form, name: str, payload: Column, active: Column, message: Column
+    df: DataFrame,
+    mapping: Mapping,
+    form: Form,
+    name: str,
+    payload: Column,
+    active: Column,
+    message: Column,
+    join_here: Column | None = None,
 ) -> DataFrame:
     """Add column `name`: the distinct written triples (or nodes) of each message.
 
+    Join conditions are looked up inside the row where `join_here` holds, and left out elsewhere.
+
     Items and atoms become columns of their own, so that what several triples share (the parsed
     message, an encoded identifier) is computed once; higher-order functions have no common
     subexpression elimination.
@@ -363,8 +372,8 @@ def with_elements(
             df, careful_elements = _array_elements(df, group, form, careful, message, f"{name}_c{g}", helpers)
             elements = F.when(F.col(simple), quick_elements).otherwise(careful_elements)
         arrays.append(elements)
-    if mapping.has_joins:
-        df, joined = _local_joins(df, mapping, form, name, F.when(active, payload), message, helpers)
+    if mapping.has_joins and join_here is not None:
+        df, joined = _local_joins(df, mapping, form, name, F.when(active & join_here, payload), message, helpers)
         arrays += joined
     empty = F.array().cast("array<string>")
     everything = [F.coalesce(a, empty) for a in arrays]
@@ -408,36 +417,43 @@ def _local_joins(
                 group.path(path)
             found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths)
 
-            def row(item: Column, index: Column) -> Column:
-                scope = Scope(item, index, message, found.read)
+            def row(read, item: Column, index: Column) -> Column:
+                scope = Scope(item, index, message, read)
                 return F.struct(
-                    *[found.read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)],
+                    *[read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)],
                     *[build(scope).alias(a) for a, build in group.atoms.values()],
                 )
 
             column = f"{name}_{label}{n}"
             if found.is_array:
-                df = df.withColumn(column, F.transform(found.column, row))
+                df = df.withColumn(column, found.rows(row))
             else:
-                df = df.withColumn(column + "_i", found.column).withColumn(column, F.array(row(F.col(column + "_i"), F.lit(0))))
+                df = df.withColumn(column + "_i", found.column)
+                df = df.withColumn(column, F.array(row(found.read, F.col(column + "_i"), F.lit(0))))
                 helpers.append(column + "_i")
             helpers.append(column)
             sides.append((column, made))
         (left, (s_node, p_node)), (right, (o_node,)) = sides
 
-        def of_child(c: Column) -> Column:
-            def meets(q: Column) -> Column:
-                test = q.getField("k0") == c.getField("k0")
-                for i in range(1, len(o.joins)):
-                    test = test & (q.getField(f"k{i}") == c.getField(f"k{i}"))
-                return test
+        def of_message(both: Column) -> Column:
+            def of_child(c: Column) -> Column:
+                def meets(q: Column) -> Column:
+                    test = q.getField("k0") == c.getField("k0")
+                    for i in range(1, len(o.joins)):
+                        test = test & (q.getField(f"k{i}") == c.getField(f"k{i}"))
+                    return test
+
+                def written(q: Column) -> Column:
+                    return form.link(s_node, p_node, o_node, lambda a: c.getField(a.name), lambda a: q.getField(a.name))
 
-            def written(q: Column) -> Column:
-                return form.link(s_node, p_node, o_node, lambda a: c.getField(a.name), lambda a: q.getField(a.name))
+                return F.transform(F.filter(both.getField("parents"), meets), written)
 
-            return F.transform(F.filter(F.col(right), meets), written)
+            return F.flatten(F.transform(both.getField("children"), of_child))
 
-        arrays.append(F.flatten(F.transform(F.col(left), of_child)))
+        # A one-element transform holds both sides. Named inside the children's function as a column,
+        # the parents could be put there as an expression and be parsed again for every child.
+        sides_of = F.struct(F.col(left).alias("children"), F.col(right).alias("parents"))
+        arrays.append(F.element_at(F.transform(F.array(sides_of), of_message), 1))
     return df, arrays
 
 
@@ -496,10 +512,13 @@ def triples(
     return unpack(packed(df.select(key, payload), mapping, payload, key, check), "_packed", key)
 
 
-def packed(df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool) -> DataFrame:
+def packed(
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: Column | None = None
+) -> DataFrame:
     """Add `_packed`: the triples of each message as packed strings."""
     base = _active(df, mapping, payload, check)
-    return with_elements(base, mapping, ROWS, "_packed", F.col(payload), F.col("_ok"), F.col(key).cast("string"))
+    message = F.col(key).cast("string")
+    return with_elements(base, mapping, ROWS, "_packed", F.col(payload), F.col("_ok"), message, join_here)
 
 
 def document_column(elements: Column, output_format: str) -> Column:
@@ -520,17 +539,24 @@ def documents(
         from tripleloom.operators.joins import documents_with_joins
 
         return documents_with_joins(df, mapping, payload, key, check)
-    return local_documents(df, mapping, payload, key, check)
+    return finished(with_document_elements(df, mapping, payload, key, check), mapping)
 
 
-def local_documents(df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool) -> DataFrame:
-    """Documents with every rule evaluated inside the message's row."""
+def with_document_elements(
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: Column | None = None
+) -> DataFrame:
+    """Add `_ok` and `_elements`: the lines or nodes of each message's document."""
     form = TURTLE if mapping.output_format == "TTL" else JSONLD
     base = _active(df, mapping, payload, check)
-    full = with_elements(base, mapping, form, "_elements", F.col(payload), F.col("_ok"), F.col(key).cast("string"))
+    message = F.col(key).cast("string")
+    return with_elements(base, mapping, form, "_elements", F.col(payload), F.col("_ok"), message, join_here)
+
+
+def finished(df: DataFrame, mapping: Mapping) -> DataFrame:
+    """Turn `_ok` and `_elements` into `doc` and `error`."""
     doc = document_column(F.col("_elements"), mapping.output_format)
     return (
-        full.withColumn("doc", F.when(F.col("_ok"), doc))
+        df.withColumn("doc", F.when(F.col("_ok"), doc))
         .withColumn("error", F.when(~F.col("_ok"), validate.error_text(mapping.input_format)))
         .drop("_ok", "_elements")
     )

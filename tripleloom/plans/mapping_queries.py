@@ -524,7 +524,7 @@ def _validate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines_of_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the flat mapping, cut into lines again."""
-    docs = documents(fixtures.events(spark, sf_dir), FLAT).select("msg_id", F.explode(F.split("doc", "\n")).alias("value"))
+    docs = documents(fixtures.events(spark, sf_dir), FLAT).select("msg_id", F.explode_outer(F.split("doc", "\n")).alias("value"))
     return ntriples.parse_lines(docs, "value", "msg_id")
 
 

@@ -23,7 +23,9 @@ _FIELDS = "\x02$1\x01$2\x01$3\x01$4\x01$6\x01$7\x01$5"
 def parse_lines(df: DataFrame, line: str, *keep: str) -> DataFrame:
     """Triples of a column of N-Triples lines; blank lines, comments and broken lines give nothing."""
     cut = F.split(F.regexp_replace(F.col(line), _LINE, _FIELDS), "\x01", 7)
-    rows = df.select(*keep, cut.alias("_f")).where(F.col("_f")[0].startswith("\x02") & (F.size("_f") == 7))
+    # the generator stands between the filter and the expression, which is thus evaluated once
+    rows = df.select(*keep, F.explode_outer(F.array(cut)).alias("_f"))
+    rows = rows.where(F.col("_f")[0].startswith("\x02") & (F.size("_f") == 7))
     subject, predicate, iri, blank, datatype, lang, text = (F.col("_f")[i] for i in range(7))
     is_iri, is_blank = iri != "", blank != ""
     bare = F.substring(subject, F.lit(2), F.length(subject))

@@ -21,20 +21,10 @@ TERM_TYPES = {RR + "IRI": "iri", RR + "BlankNode": "bnode", RR + "Literal": "lit
 FORMULATIONS = {QL + "JSONPath": "JSON", QL + "XPath": "XML", QL + "CSV": "CSV"}
 # ------------------------------------------------------------------------------------------------
 
-TERM_SCHEMA = (
-    "struct<node: string, constant: string, constant_kind: string, reference: string, template: string, parent: string, "
-    "term_type: string, datatype: string, lang: string, function: string>"
-)
-
-
 def _objects(triples: DataFrame, predicate: str, name: str) -> DataFrame:
     return triples.where(F.col("p") == predicate).select("s", F.col("o").alias(name))
 
 
-def _one(triples: DataFrame, subjects: DataFrame, predicate: str, name: str) -> DataFrame:
-    return subjects.join(_objects(triples, predicate, name), "s", "left")
-
-
 def term_table(triples: DataFrame) -> DataFrame:
     """One row per term map node: everything said about it."""
     said = {
@@ -66,8 +56,8 @@ def triples_map_table(triples: DataFrame) -> DataFrame:
     )
     rows = ids.join(source, "s", "left").join(iterator, "source_node", "left").join(formulation, "source_node", "left")
     rows = rows.join(binding, "source_node", "left").join(streams, "binding", "left")
-    rows = _one(triples, rows, RR + "subjectMap", "subject_node")
-    rows = _one(triples, rows, RR + "subject", "subject_constant")
+    rows = rows.join(_objects(triples, RR + "subjectMap", "subject_node"), "s", "left")
+    rows = rows.join(_objects(triples, RR + "subject", "subject_constant"), "s", "left")
     return rows.select(
         F.col("s").alias("id"), "iterator", "formulation", "binding", F.coalesce("is_stream", F.lit(False)).alias("is_stream"),
         "subject_node", "subject_constant",
@@ -77,12 +67,7 @@ def triples_map_table(triples: DataFrame) -> DataFrame:
 def predicate_object_table(triples: DataFrame) -> DataFrame:
     """One row per (triples map, predicate-object map, role, term): nodes and constant shortcuts."""
     of = _objects(triples, RR + "predicateObjectMap", "pom").withColumnRenamed("s", "map_id")
-    roles = {
-        RR + "predicateMap": ("predicate", False),
-        RR + "predicate": ("predicate", True),
-        RR + "objectMap": ("object", False),
-        RR + "object": ("object", True),
-    }
+    roles = [RR + name for name in ("predicateMap", "predicate", "objectMap", "object")]
     said = triples.where(F.col("p").isin(*roles))
     role = F.when(F.col("p").isin(RR + "predicateMap", RR + "predicate"), "predicate").otherwise("object")
     rows = said.select(
@@ -104,7 +89,7 @@ def join_table(triples: DataFrame) -> DataFrame:
 
 def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL", rml: str | None = None) -> Mapping:
     """Build the mapping a rule document describes. A rule document is small: one per mapping."""
-    # the document is read once and the four rule tables are taken from it
+    triples = triples.coalesce(1)  # one small document: no shuffle between its tables
     terms = {r.node: r for r in term_table(triples).collect()}
     joins: dict[str, list[tuple[str, str]]] = {}
     for r in join_table(triples).orderBy("node", "child").collect():

@@ -131,7 +131,7 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
         record("error", failure(F.col("error")), ~ok & F.col("error_enabled"), F.col("payload")),
         record("monitor_out", mark, ok & F.col("monitor_out_enabled")),
     )
-    rows = annotated.select("msg_id", "channel_id", F.explode(sent).alias("r")).where("r is not null")
+    rows = annotated.select("msg_id", "channel_id", F.explode_outer(sent).alias("r")).where("r is not null")
     return rows.select("msg_id", "channel_id", "r.*").select(*RECORD_COLUMNS)
 
 
