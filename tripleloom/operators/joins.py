@@ -26,6 +26,7 @@ from tripleloom.operators.mapping import (
     with_document_elements,
 )
 from tripleloom.session import prepare
+from tripleloom.vocab import RDF_TYPE
 
 
 def _side(
@@ -123,12 +124,29 @@ def triples_with_joins(
     df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, local_length: int = LOCAL_LENGTH
 ) -> DataFrame:
     """All triples of a mapping with join conditions inside the message."""
-    base = df.select(key, payload, _is_long(payload, local_length).alias("_long"))
-    own = unpack(packed(base, mapping, payload, key, check, ~F.col("_long")), "_packed", key, "_long")
+    base = df.select(key, payload).withColumn("_long", _is_long(payload, local_length))
     found = joined_triples(base.where("_long"), mapping, None, payload, key, check)
+    if own_predicates_differ(mapping):
+        own = unpack(packed(base, mapping, payload, key, check, ~F.col("_long")), "_packed", key)
+        return own.unionByName(found)
     # a joined triple may repeat one of the message's own, so long messages are made sets once more
-    long = own.where("_long").drop("_long").unionByName(found).distinct()
-    return own.where("not _long").drop("_long").unionByName(long)
+    short = unpack(packed(base.where("not _long"), mapping, payload, key, check, F.lit(True)), "_packed", key)
+    long = unpack(packed(base.where("_long"), mapping, payload, key, check), "_packed", key)
+    return short.unionByName(long.unionByName(found).distinct())
+
+
+def own_predicates_differ(mapping: Mapping) -> bool:
+    """Can no triple be made both by a join rule and by another one? Told by constant predicates."""
+    joined, own = set(), {RDF_TYPE if tm.classes else None for tm in mapping.triples_maps}
+    for tm in mapping.triples_maps:
+        for pom in tm.predicate_objects:
+            for p in pom.predicates:
+                name = p.value if p.kind == "constant" else None
+                for o in pom.objects:
+                    (joined if o.joins else own).add(name)
+                    if name is None:
+                        return False
+    return not (joined & own)
 
 
 def _resource(text: Column) -> Column:
@@ -150,8 +168,8 @@ def documents_with_joins(
     the joined triples are gathered per message and added to its document.
     """
     base = df.withColumn("_long", _is_long(payload, local_length) if parent_df is None else F.lit(True))
-    own = with_document_elements(base, mapping, payload, key, check, None if parent_df is not None else ~F.col("_long"))
-    found = joined_triples(base.where("_long").drop("_long"), mapping, parent_df, payload, key, check)
+    long = base.where("_long").drop("_long")
+    found = joined_triples(long, mapping, parent_df, payload, key, check)
     if mapping.output_format == "TTL":
         written = F.concat(_resource(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), _resource(F.col("o")), F.lit(" .\n"))
     else:
@@ -162,6 +180,10 @@ def documents_with_joins(
     # one message is one document, so what is gathered here is bounded by the document it becomes
     gathered = found.groupBy(key).agg(F.sort_array(F.collect_set(written)).alias("_joined"))
     elements = F.array_union("_elements", F.coalesce("_joined", F.array().cast("array<string>")))
-    long = own.where("_long").join(gathered, key, "left").withColumn("_elements", elements).drop("_joined")
-    whole = long if parent_df is not None else own.where("not _long").unionByName(long)
-    return finished(whole.drop("_long"), mapping)
+    own = with_document_elements(long, mapping, payload, key, check)
+    whole = finished(own.join(gathered, key, "left").withColumn("_elements", elements).drop("_joined"), mapping)
+    if parent_df is not None:
+        return whole
+    # the rows are parted before anything is mapped: a mapped row is not filtered through
+    short = with_document_elements(base.where("not _long").drop("_long"), mapping, payload, key, check, F.lit(True))
+    return finished(short, mapping).unionByName(whole)
