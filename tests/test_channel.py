@@ -220,6 +220,43 @@ def test_stream_equals_batch_over_restarts_and_switches(spark, tmp_path):
     assert {r[0] for r in new} == {"output", "monitor_out"} and {r[1].split("-")[0] for r in new} == {"3"}
 
 
+def test_ended_streams_are_logged(spark, tmp_path):
+    """A stream that finishes and one that fails each leave an event for the state log."""
+    import time
+
+    from tripleloom.operators import state
+
+    inputs = str(tmp_path / "in")
+    drop_files(spark, inputs, 0, 1)
+    rows = []
+    log = channel.CompletionLog(rows.extend, lambda name: [f"{name}-channel"])
+    spark.streams.addListener(log)
+    try:
+        for name, load in (("good", lambda: channels(spark, {})), ("bad", lambda: 1 / 0)):
+            stream = src.read_messages(spark, src.TopicSource(path=inputs), streaming=True)
+            query = channel.run_channels(stream, load, {"m": M}, str(tmp_path / name), str(tmp_path / f"cp-{name}"), query_name=name)
+            try:
+                query.awaitTermination()
+            except Exception as e:  # noqa: BLE001
+                assert name == "bad" and "ZeroDivisionError" in str(e)
+        for _ in range(100):
+            if len(rows) == 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    added = [{**state.completion_event(r["channel_id"], 1, None), "action": "add"} for r in rows]
+    schema = (
+        "channel_id string, seq long, action string, is_stopped boolean, monitor_in_enabled boolean, "
+        "monitor_out_enabled boolean, error_enabled boolean, error string"
+    )
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    events = spark.createDataFrame([tuple(r[n] for n in names) for r in added + rows], schema)
+    now = {r.channel_id: (r.is_stopped, r.error) for r in state.current_state(events).collect()}
+    assert now["good-channel"] == (True, None)
+    assert now["bad-channel"][0] and "ZeroDivisionError" in now["bad-channel"][1]
+
+
 def test_repeated_micro_batch_leaves_the_same_records(spark, tmp_path):
     """A batch run again after a lost executor overwrites its own folder."""
     out = str(tmp_path / "out")

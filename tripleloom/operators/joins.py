@@ -39,7 +39,8 @@ def _side(
     for path in keys:
         group.path(path)
     ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
-    found = iterate.items(F.when(ok, F.col(payload)), mapping.input_format, tm.iterator, group.paths)
+    df = df.select(key, payload).withColumn("_ok", ok)
+    found = iterate.items(F.when(F.col("_ok"), F.col(payload)), mapping.input_format, tm.iterator, group.paths)
     message = F.col(key).cast("string")
 
     def atoms_of(read, item: Column, index: Column) -> list[Column]:
@@ -53,7 +54,7 @@ def _side(
         # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
         rows = df.select(key, F.explode_outer(items).alias("_a")).select(key, "_a.*")
     else:
-        rows = df.select(key, payload).withColumn("_i", found.column)
+        rows = df.withColumn("_i", found.column)
         rows = rows.select(key, *atoms_of(found.read, F.col("_i"), F.lit(0)))
     names = [f"k{i}" for i in range(len(keys))]
     return (

@@ -6,15 +6,18 @@ batch and in Structured Streaming. Many channels share one job through a join wi
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
+from tripleloom.operators.state import completion_event
 from tripleloom.session import prepare
 from tripleloom.sources.messages import kafka_sink_options, record_key, spread, to_kafka
 
@@ -167,17 +170,19 @@ def run_channels(
     kafka_servers: str | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
+    at: Column | None = None,
 ):
     """Start the streaming query behind any number of channels and return it.
 
     Channels are read again for every micro-batch, so switching a topic or stopping a channel takes
     effect at the next one. Each micro-batch overwrites its own folder: a batch repeated after a lost
-    executor or a restart leaves the same records, once.
+    executor or a restart leaves the same records, once. Kafka gets what that folder holds, at least
+    once. `at` is the time in monitor markers, as in `records`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         annotated = annotate(spread(batch), load_channels(), mappings, transformations)
-        written = write_records(records(dropped_errors(annotated)), path, batch_id)
+        written = write_records(records(dropped_errors(annotated), at), path, batch_id)
         if kafka_servers:
             to_kafka(written).write.format("kafka").options(**kafka_sink_options(kafka_servers)).save()
 
@@ -185,3 +190,29 @@ def run_channels(
     if query_name:
         writer = writer.queryName(query_name)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+class CompletionLog(StreamingQueryListener):
+    """Appends an event to the state log for every channel of a query that ended.
+
+    `append` takes the rows; `channels_of` names the channels a query (by its name) was running.
+    """
+
+    def __init__(self, append: Callable[[list[dict]], None], channels_of: Callable[[str], list[str]]):
+        self._append = append
+        self._channels_of = channels_of
+        self._names: dict[str, str] = {}
+
+    def onQueryStarted(self, event):
+        self._names[str(event.id)] = event.name
+
+    def onQueryProgress(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        name = self._names.pop(str(event.id), None)
+        seq = time.time_ns() // 1000
+        self._append([completion_event(c, seq, event.exception) for c in self._channels_of(name)])
