@@ -62,3 +62,28 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> It
         last = min(rows, max(last, first + 1))
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+
+
+def add_columns(df: DataFrame, fields: str, values, *columns: str) -> DataFrame:
+    """df with new columns that Python computes from `columns` by Arrow batches: values(batch) gives an array for each.
+
+    fields: their DDL; the names must be new to df.
+    """
+    from pyspark.sql import types as T
+
+    added = T.StructType.fromDDL(fields)
+    names = [f.name for f in added]
+    schema = T.StructType(df.schema.fields + added.fields)
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = pa.RecordBatch.from_arrays([batch.column(i) for i in places], list(columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *values(asked)], [*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
+def in_fold(id_col: str, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
