@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ END_ID = 1
 #: Bytes of text that are packed together: each such group has its own sequences. A group leaves one or two windows
 #: partly empty, so some 700 windows in a group keep the padding far below one percent.
 GROUP_BYTES = 4_000_000
-#: Chunks of text whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Chunks of text whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 350_000
 
 _loaded: dict[str, "Ids"] = {}
 
@@ -47,22 +48,41 @@ class Ids:
         )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of chunks; a full generation becomes the old one, and what is met again moves up from there."""
+        if len(self.known) + len(new) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        # a word and the full stop or comma after it are cut apart anyway
+        bare = {c: c[:-1] for c in new if c[-1] in ".," and c[:-1].isalpha()}
+        asked = {c for c in new if c not in bare} | set(bare.values()) | {".", ","}
+        asked = [c for c in asked if c not in known]
+        known.update((c, old[c]) for c in asked if c in old)
+        asked = [c for c in asked if c not in old]
+        for chunk, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            known[chunk] = _packed(found.ids)
+        known.update((c, known[word] + known[c[-1]]) for c, word in bare.items())
 
     def __call__(self, text: str) -> bytes:
         if not self.by_chunk or self._plain.search(text) or any(t in text for t in self.special):
             return self._encode(text)
-        chunks, known = text.lower().split(), self.known
-        new = [c for c in set(chunks) if c not in known]
+        chunks = text.lower().split()
+        new = set(chunks).difference(self.known)
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+            generation = self.known
+            self._learn(list(new))
+            if self.known is not generation:  # what the text needs from before the change
+                self._learn(list(set(chunks).difference(self.known)))
+        return b"".join(map(self.known.__getitem__, chunks))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def ids_of(path: str) -> Ids:
