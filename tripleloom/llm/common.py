@@ -87,3 +87,28 @@ def add_columns(df: DataFrame, fields: str, values, *columns: str) -> DataFrame:
 def in_fold(id_col: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, from batches sorted by the keys; no more than one group and one batch are held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        changes = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        changes[0] = last is not None and last != [c[0] for c in columns]
+        at = 0
+        for cut in [*np.flatnonzero(changes).tolist(), batch.num_rows]:
+            if cut > at:
+                held.append(batch.slice(at, cut - at))
+                at = cut
+            if cut < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = [c[-1] for c in columns]
+    if held:
+        yield pa.Table.from_batches(held)

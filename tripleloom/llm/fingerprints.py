@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,14 +64,6 @@ def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprin
     return add_columns(docs.drop(name), f"{new} string", values, text_col).withColumnRenamed(new, name)
 
 
-def bands(fingerprint_col: Column, permutations: int = PERMUTATIONS, rows: int = BAND) -> Column:
-    """One key for each band of a fingerprint."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(permutations // rows - 1)),
-        lambda i: F.xxhash64(i, F.substring(fingerprint_col, i * (4 * rows) + 1, F.lit(4 * rows))),
-    )
-
-
 def edited(text: str, following: str) -> str:
     """The text with its last half, rounded down, replaced by as much of the start of the following one."""
     half = len(text) // 2
@@ -160,3 +152,17 @@ def _compared(rows: list[tuple], following: list[tuple | None], loose: int) -> p
         ],
         ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
+
+
+def band_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One hash for each band of each text's signature."""
+    rows = signatures(data, offsets).reshape(len(offsets) - 1, -1, BAND).astype(np.uint64)
+    bands_of = np.arange(rows.shape[1], dtype=np.uint64)
+    return mix((mix(rows + np.uint64(1)) * constants(BAND, 43)).sum(axis=2, dtype=np.uint64) + bands_of)
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Near-duplicate classes of documents that share a band, with Jaccard similarity verified; see neighbors.classes()."""
+    from tripleloom.llm import neighbors
+
+    return neighbors.classes(docs, band_keys, id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import decontaminate, fingerprints, packing, quality, toxicity, urls, warc
+from tripleloom.llm import decontaminate, fingerprints, forest, packing, quality, toxicity, urls, warc
 from tripleloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a response, and of each response its metadata and its plain text."""
     records = warc.responses(table(spark, sf_dir, "pages"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
