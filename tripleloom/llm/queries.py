@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import decontaminate, fingerprints, forest, packing, quality, toxicity, urls, warc
+from tripleloom.llm import decontaminate, fingerprints, forest, packing, passages, quality, toxicity, urls, warc
 from tripleloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["source"]))).alias("source_doc_ids"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -79,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
 }
 
