@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing, in DataFrame operations alone.
 
 k-gram hashes of five words are taken over benchmark items and documents. Of every six neighbouring hashes the least is
-kept, so any ten words that both sides share keep a hash in common. Kept hashes are joined, documents with a hit
-are compared word by word around each hit, and only windows that match whole count.
+kept, so any ten words that both sides share keep a hash in common. Kept hashes are joined, the words around each
+hit are compared one by one, and only windows that match whole count.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from tripleloom.llm.common import ascii_lower, fresh, written
 WINDOW = 10
 #: Words of a k-gram; WINDOW - GRAM + 1 neighbouring k-grams lie in a window.
 GRAM = 5
+#: Kept hashes of the benchmark that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -25,60 +27,64 @@ def words(text: Column) -> Column:
 
 
 def grams(hashes: Column, k: int) -> Column:
-    """The hash of every run of k words, from the words' hashes, in order."""
+    """Every run of k words as one number: 31 bits of the hash of the words' hashes above, its place below (32 bits)."""
     last = F.size(hashes) - (k - 1)
+    gram = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
     return F.when(
         last > 0,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*[F.get(hashes, i + (j - 1)) for j in range(k)])),
+        F.transform(
+            F.sequence(F.lit(0), last - 1),
+            lambda i: F.shiftleft(gram(i).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(i.cast("long")),
+        ),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnowed(hashes: Column, w: int) -> Column:
-    """The least of every w neighbouring hashes, each value once."""
+def winnowed(grams: Column, w: int) -> Column:
+    """Of every w neighbours the least, the first among equal hashes; each one once."""
     if w == 1:
-        return F.array_distinct(hashes)
-    last = F.size(hashes) - (w - 1)
+        return grams
+    last = F.size(grams) - (w - 1)
     return F.when(
         last > 0,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.least(*[F.get(hashes, i + (j - 1)) for j in range(w)]))),
+        F.array_distinct(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.least(*[F.get(grams, i + j) for j in range(w)]))),
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _hits(docs: DataFrame, items: DataFrame, length: int, k: int) -> DataFrame:
+def _fingerprints(texts: DataFrame, keep: list[str], k: int, w: int, place: str) -> DataFrame:
+    """A row for each kept k-gram of `words`: gram and its place beside the kept columns."""
+    # each step a column of its own: what a lambda refers to is then computed once for a text. explode_outer, as explode would
+    # have Catalyst test the size of the whole nested expression at the scan
+    made = texts.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    made = made.select(*keep, grams(F.col("hashes"), k).alias("grams"))
+    made = made.select(*keep, winnowed(F.col("grams"), w).alias("all_kept"))
+    kept = made.select(*keep, F.explode_outer("all_kept").alias("kept")).where(F.col("kept").isNotNull())
+    low = F.col("kept").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return kept.select(*keep, F.shiftright("kept", 32).alias("gram"), low.alias(place))
+
+
+def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, broadcast_grams: int) -> DataFrame:
     """Matching windows around shared k-grams: key, item, first and last word of a run of matching words.
 
-    docs: key, text. items: item, words. A run is at least `length` words. Two neighbours of every k-gram within length - k
-    words decide it, so a run of any length is covered by the runs of its k-grams.
+    docs: key, text. items: item, words. A run is at least `length` words. Every window has a k-gram that both sides keep, and
+    the length - k words to either side of it decide on the window, so a longer run is the union of the runs found.
     """
     spread = length - k
-    hashed = items.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    kept = hashed.select(F.explode(winnowed(grams(F.col("hashes"), k), spread + 1)).alias("gram")).distinct()
-    sides = docs.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    sides = sides.select("key", grams(F.col("hashes"), k).alias("grams"))
-    # first the documents that share a kept hash, each key once
-    caught = (
-        sides.select("key", F.explode(winnowed(F.col("grams"), spread + 1)).alias("gram"))
-        .join(kept, "gram", "left_semi")
-        .select("key")
-        .distinct()
-    )
-    # then every place in them
-    near = docs.join(caught, "key", "left_semi").select("key", words(F.col("text")).alias("doc_words"))
-    near = near.withColumn("hashes", F.transform("doc_words", lambda w: F.xxhash64(w)))
-    context = lambda col, at: F.slice(col, F.greatest(at - spread, F.lit(0)) + 1, F.least(at, F.lit(spread)) + (k + spread))
-    places = near.select("key", "doc_words", F.posexplode(grams(F.col("hashes"), k)).alias("p", "gram"))
-    places = places.join(kept, "gram", "left_semi")
-    places = places.select("key", "p", "gram", context(F.col("doc_words"), F.col("p")).alias("around"))
-    targets = hashed.select("item", "words", F.posexplode(grams(F.col("hashes"), k)).alias("q", "gram"))
-    targets = targets.select("item", "q", "gram", context(F.col("words"), F.col("q")).alias("item_around"))
-    # words left of the k-gram in either context
-    left, item_left = F.least("p", F.lit(spread)), F.least("q", F.lit(spread))
-    met = places.join(targets, "gram").withColumns({"left": left, "item_left": item_left})
-    met = met.withColumn("back", F.least("left", "item_left"))
-    aligned = lambda col, at: F.slice(col, at - F.col("back") + 1, F.lit(2 * length))
-    met = met.withColumns({"a": aligned(F.col("around"), F.col("left")), "b": aligned(F.col("item_around"), F.col("item_left"))})
-    n = F.least(F.size("a"), F.size("b"))
-    met = met.withColumn("n", n)
+    around = lambda at: F.slice("words", F.greatest(at - spread, F.lit(0)) + 1, F.least(at, F.lit(spread)) + (k + spread))
+    targets = _fingerprints(items, ["item", "words"], k, spread + 1, "q").select("item", "gram", "q", around(F.col("q")).alias("b"))
+    kept = targets.select("gram").distinct()
+    texts = docs.select("key", words(F.col("text")).alias("words"))
+    if kept.count() <= broadcast_grams:
+        # documents' words stay in place: a place that no item shares is never written out
+        places = _fingerprints(texts, ["key", "words"], k, spread + 1, "p").join(F.broadcast(kept), "gram", "left_semi")
+    else:
+        # too many to broadcast: first the documents that share any, then their places with the words around
+        caught = _fingerprints(texts, ["key"], k, spread + 1, "p").join(kept, "gram", "left_semi").select("key").distinct()
+        places = _fingerprints(texts.join(caught, "key", "left_semi"), ["key", "words"], k, spread + 1, "p")
+    places = places.select("key", "gram", "p", around(F.col("p")).alias("a"))
+    # both contexts start equally far before the k-gram
+    met = places.join(targets, "gram").withColumn("back", F.least("p", "q", F.lit(spread)))
+    met = met.withColumns({c: F.slice(c, F.least(at, F.lit(spread)) - F.col("back") + 1, 2 * length) for c, at in (("a", "p"), ("b", "q"))})
+    met = met.withColumn("n", F.least(F.size("a"), F.size("b")))
     # places where the two sides differ; the run around the k-gram lies between two of them
     differ = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("a"), i) != F.get(F.col("b"), i))
     met = met.withColumn("differ", differ)
@@ -98,6 +104,7 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     gram: int = GRAM,
+    broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """Benchmark passages in documents, one row per id and distinct text: id_col, text_hash, n_words, spans, items, hit_words.
 
@@ -115,7 +122,7 @@ def contamination(
     found = None
     for length in sorted(lengths, reverse=True):  # `window` lengths at most
         own = items.where(F.least(F.size("words"), F.lit(window)) == length)
-        part = _hits(docs, own, length, gram if length == window else length)
+        part = _hits(docs, own, length, gram if length == window else length, broadcast_grams)
         found = part if found is None else found.unionByName(part)
     if found is None:
         empty = "key struct<id:%s,text_hash:bigint>, item %s, first int, last int"
@@ -133,7 +140,8 @@ def contamination(
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: str) -> DataFrame:
     """docs with n_words, n_hit, items (found ones, sorted as strings; none: empty) and contaminated added to its columns.
 
-    Every input row stays, a repeated one as often as it came. See contamination() for the cases.
+    Every input row stays, a repeated one as often as it came; columns of docs with one of these names are replaced. See
+    contamination() for the cases.
     """
     found = contamination(docs, items, id_col, text_col, **options)
     found = found.select(
@@ -142,11 +150,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.col("hit_words").alias("__hit"),
         F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("__items"),
     )
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
-    added = {
-        "n_words": F.size(words(F.col(text_col))).cast("long"),
-        "n_hit": F.coalesce("__hit", F.lit(0)).cast("long"),
-        "items": F.coalesce("__items", F.array().cast("array<string>")),
-        "contaminated": F.col("__hit").isNotNull(),
-    }
-    return joined.select(*[F.col(c) for c in docs.columns if c not in added], *[e.alias(c) for c, e in added.items()])
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "contaminated")]
+    own = docs.withColumns({"__n": F.size(words(F.col(text_col))).cast("long"), "__own": F.xxhash64(text_col)})
+    # by a shuffle at every size: the result may be too large to broadcast
+    joined = own.join(found.hint("merge"), own[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    return joined.select(
+        *kept,
+        F.col("__n").alias("n_words"),
+        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
+        F.col("__hit").isNotNull().alias("contaminated"),
+    )
