@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import decontaminate, fingerprints, forest, packing, passages, quality, toxicity, urls, warc
+from tripleloom.llm import decontaminate, fingerprints, forest, packing, passages, quality, suffixes, toxicity, urls, warc
 from tripleloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,17 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: The part of the word rule that both engines read alike.
