@@ -54,9 +54,7 @@ class Ids:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, new: list[str]) -> None:
-        """Remember the ids of chunks; a full generation becomes the old one, and what is met again moves up from there."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.old, self.known = self.known, {}
+        """Remember the ids of chunks; those of the old generation move up from there."""
         known, old = self.known, self.old
         # a word and the full stop or comma after it are cut apart anyway
         bare = {c: c[:-1] for c in new if c[-1] in ".," and c[:-1].isalpha()}
@@ -74,10 +72,10 @@ class Ids:
         chunks = text.lower().split()
         new = set(chunks).difference(self.known)
         if new:
-            generation = self.known
+            if len(self.known) + len(new) > REMEMBERED:  # a full generation becomes the old one
+                self.old, self.known = self.known, {}
+                new = set(chunks)
             self._learn(list(new))
-            if self.known is not generation:  # what the text needs from before the change
-                self._learn(list(set(chunks).difference(self.known)))
         return b"".join(map(self.known.__getitem__, chunks))
 
 
