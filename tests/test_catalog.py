@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from tripleloom.operators import catalog, settings, state
 from tripleloom.plans import mapping_queries as q
 
-DEMO = {
+HARBOUR = {
     "metadata": {
-        "name": "Demo channel",
+        "name": "Harbour log",
         "description": "not a field of channel metadata",
-        "tags": ["demo", "geo"],
-        "mapping": {"name": "Demo RML", "tags": [], "inputFormat": "JSON", "outputFormat": "TTL", "rml": "rules é"},
+        "tags": ["tide", "north"],
+        "mapping": {"name": "Water rules", "tags": [], "inputFormat": "JSON", "outputFormat": "TTL", "rml": "rules é"},
     },
     "settings": {
         "inputTopicSettings": {
-            "topic": "test/demo input", "brokerType": "MQTT",
+            "topic": "quay/water in", "brokerType": "MQTT",
             "mqttSettings": {"protocol": "tcp", "host": "h", "port": 1, "user": "usér", "password": "pw"},
         },
-        "outputTopicSettings": {"topic": "test/out", "brokerType": "KAFKA"},
-        "errorTopicSettings": {"topic": "test/err", "brokerType": "MQTT", "mqttSettings": {"protocol": "ssl", "host": "e", "port": 2}},
+        "outputTopicSettings": {"topic": "quay/out", "brokerType": "KAFKA"},
+        "errorTopicSettings": {"topic": "quay/err", "brokerType": "MQTT", "mqttSettings": {"protocol": "ssl", "host": "e", "port": 2}},
     },
     "status": {"inputTopicEnabled": True, "errorTopicEnabled": False, "outputMonitorTopicEnabled": False},
 }
@@ -35,12 +35,12 @@ def read(spark, *definitions):
 
 
 def test_definition_defaults_and_spellings(spark):
-    row = read(spark, DEMO).first()
+    row = read(spark, HARBOUR).first()
     assert row.error is None
     assert row.status.asDict() == {
         "isStopped": False, "inputMonitoringTopicEnabled": True, "outputMonitoringTopicEnabled": False, "errorTopicEnabled": False, "error": None,
     }
-    other = json.loads(json.dumps(DEMO))
+    other = json.loads(json.dumps(HARBOUR))
     other["status"] = {"inputMonitoringTopicEnabled": False, "isStopped": True, "error": "x"}
     row = read(spark, other).first()
     assert (row.status.inputMonitoringTopicEnabled, row.status.isStopped, row.status.error) == (False, True, "x")
@@ -48,7 +48,7 @@ def test_definition_defaults_and_spellings(spark):
 
 def test_definition_errors(spark):
     def without(*path):
-        d = json.loads(json.dumps(DEMO))
+        d = json.loads(json.dumps(HARBOUR))
         at = d
         for step in path[:-1]:
             at = at[step]
@@ -56,7 +56,7 @@ def test_definition_errors(spark):
         return d
 
     def with_value(value, *path):
-        d = json.loads(json.dumps(DEMO))
+        d = json.loads(json.dumps(HARBOUR))
         at = d
         for step in path[:-1]:
             at = at[step]
@@ -84,13 +84,13 @@ def test_definition_errors(spark):
 
 
 def test_written_definitions_leave_out_what_is_empty(spark):
-    written = json.loads(settings.write_definitions(read(spark, DEMO)).first().definition)
-    assert written["metadata"]["tags"] == ["demo", "geo"] and "tags" not in written["metadata"]["mapping"]
+    written = json.loads(settings.write_definitions(read(spark, HARBOUR)).first().definition)
+    assert written["metadata"]["tags"] == ["tide", "north"] and "tags" not in written["metadata"]["mapping"]
     assert "description" not in written["metadata"] and "author" not in written["metadata"]
     assert written["metadata"]["mapping"]["rmlHash"] == settings_hash("rules é")
     assert "monitorInputTopicSettings" not in written["settings"]
     again = read(spark, written).first()
-    assert again.settings == read(spark, DEMO).first().settings
+    assert again.settings == read(spark, HARBOUR).first().settings
 
 
 def settings_hash(text):
@@ -100,20 +100,20 @@ def settings_hash(text):
 
 
 def test_generated_ids(spark):
-    own = json.loads(json.dumps(DEMO))
+    own = json.loads(json.dumps(HARBOUR))
     own["settings"]["channelId"] = "mine"
-    other = json.loads(json.dumps(DEMO))
-    other["settings"]["outputTopicSettings"]["topic"] = "test/o u t"
-    ids = [r.channel_id for r in settings.with_channel_id(read(spark, DEMO, own, other, DEMO)).orderBy("n").collect()]
+    other = json.loads(json.dumps(HARBOUR))
+    other["settings"]["outputTopicSettings"]["topic"] = "quay/o u t"
+    ids = [r.channel_id for r in settings.with_channel_id(read(spark, HARBOUR, own, other, HARBOUR)).orderBy("n").collect()]
     assert ids[1] == "mine" and ids[0] == ids[3] != ids[2]
-    assert ids[0].startswith("test/demoinput_test/out_MQTT_KAFKA_") and ids[2].startswith("test/demoinput_test/out_MQTT_KAFKA_")
+    assert ids[0].startswith("quay/waterin_quay/out_MQTT_KAFKA_") and ids[2].startswith("quay/waterin_quay/out_MQTT_KAFKA_")
 
 
 def test_resolved_settings(spark):
     defaults = settings.Defaults(
         roles=tuple((r, settings.BrokerDefaults(kafka_host=f"k-{r}", mqtt_client_id=f"cl-{r}")) for r in settings.ROLES), buffer_size=5
     )
-    rows = settings.resolve_settings(settings.with_channel_id(read(spark, DEMO)), defaults)
+    rows = settings.resolve_settings(settings.with_channel_id(read(spark, HARBOUR)), defaults)
     s = rows.first().settings
     assert s.inputTopicSettings.kafkaSettings.host == "k-input" and s.outputTopicSettings.kafkaSettings.port == 9093
     assert s.inputTopicSettings.mqttSettings.host == "h" and s.inputTopicSettings.mqttSettings.clientId == "cl-input"
@@ -121,12 +121,12 @@ def test_resolved_settings(spark):
     assert s.monitorInputTopicSettings is None and (s.parallelism, s.bufferSize) == (2, 5)
     assert s.outputTopicSettings.kafkaSettings.groupId == "group_" + s.channelId
     flat = settings.channel_table(rows.withColumn("mapping_id", F.lit("m"))).first()
-    assert (flat.input_topic, flat.output_broker, flat.monitor_in_topic, flat.error_enabled) == ("test/demo input", "KAFKA", None, False)
+    assert (flat.input_topic, flat.output_broker, flat.monitor_in_topic, flat.error_enabled) == ("quay/water in", "KAFKA", None, False)
 
 
 @pytest.mark.parametrize("key", ["short", "exactly 16 chars", "a key of thirty-two characters.."])
 def test_credentials(spark, key):
-    clear = read(spark, DEMO)
+    clear = read(spark, HARBOUR)
     # the initialisation vector is random, so both values are taken from one evaluation
     locked = settings.encrypt_credentials(clear, key).select("settings").collect()
     mqtt = locked[0].settings.inputTopicSettings.mqttSettings
@@ -154,7 +154,7 @@ def test_register(spark):
 
 def test_listings_read_only_what_is_asked(spark, tmp_path):
     path = str(tmp_path / "definitions")
-    settings.with_channel_id(read(spark, DEMO)).write.parquet(path)
+    settings.with_channel_id(read(spark, HARBOUR)).write.parquet(path)
     table = spark.read.parquet(path)
     assert catalog.list_channels(table).columns == ["channel_id"]
     assert catalog.list_channels(table, status=True, settings=True).columns == ["channel_id", "status", "settings"]

@@ -52,39 +52,45 @@ def test_rules_survive_the_rule_table(spark, tmp_path):
         rules.from_rule_table(table, "nobody")
 
 
-HAND_WRITTEN = """# a mapping as a person would write it, with shortcuts
-<urn:m> <http://semweb.mmlab.be/ns/rml#logicalSource> _:ls .
-_:ls <http://semweb.mmlab.be/ns/rml#iterator> "$.persons[*]" .
-_:ls <http://semweb.mmlab.be/ns/rml#referenceFormulation> <http://semweb.mmlab.be/ns/ql#JSONPath> .
-_:ls <http://semweb.mmlab.be/ns/rml#source> _:src .
-_:src <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://carml.taxonic.com/carml/Stream> .
-
-<urn:m> <http://www.w3.org/ns/r2rml#subjectMap> _:s .
-_:s <http://www.w3.org/ns/r2rml#template> "http://example.com/Person/{fname}/{lname}" .
-_:s <http://www.w3.org/ns/r2rml#class> <http://example.com/Person> .
-<urn:m> <http://www.w3.org/ns/r2rml#predicateObjectMap> _:po .
-_:po <http://www.w3.org/ns/r2rml#predicate> <http://example.com/owes> .
-_:po <http://www.w3.org/ns/r2rml#objectMap> _:o .
-_:o <http://semweb.mmlab.be/ns/rml#reference> "amount" .
+HAND_WRITTEN = """# high and low water, as a person would write it down
+<urn:m> <http://www.w3.org/ns/r2rml#subjectMap> _:who .
+_:who <http://www.w3.org/ns/r2rml#class> <http://example.com/Water> .
+_:who <http://www.w3.org/ns/r2rml#template> "http://example.com/water/{port}/{no}" .
+<urn:m> <http://semweb.mmlab.be/ns/rml#logicalSource> _:from .
+_:from <http://semweb.mmlab.be/ns/rml#referenceFormulation> <http://semweb.mmlab.be/ns/ql#JSONPath> .
+_:from <http://semweb.mmlab.be/ns/rml#iterator> "$.table.tides[*]" .
+_:from <http://semweb.mmlab.be/ns/rml#source> _:flow .
+_:flow <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://carml.taxonic.com/carml/Stream> .
+
+<urn:m> <http://www.w3.org/ns/r2rml#predicateObjectMap> _:high .
+_:high <http://www.w3.org/ns/r2rml#predicate> <http://example.com/height> .
+_:high <http://www.w3.org/ns/r2rml#objectMap> _:cm .
+_:cm <http://semweb.mmlab.be/ns/rml#reference> "cm" .
+<urn:m> <http://www.w3.org/ns/r2rml#predicateObjectMap> _:kind .
+_:kind <http://www.w3.org/ns/r2rml#predicate> <http://example.com/kind> .
+_:kind <http://www.w3.org/ns/r2rml#objectMap> _:word .
+_:word <http://www.w3.org/ns/r2rml#constant> "tide" .
 """
 
 
 def test_hand_written_rules_run(spark, messages, tmp_path):
     path = tmp_path / "rules.nt"
     path.write_text(HAND_WRITTEN)
-    mapping = rules.read_mapping(spark, str(path), "amounts")
-    df = messages('{"persons":[{"fname":"Sue","lname":"Jones","amount":"20.0E0"},{"fname":"Bob","lname":"Smith","amount":"30.0E0"}]}')
-    got = {(r.s, r.o) for r in triples(df, mapping).where("p like '%owes'").collect()}
-    assert got == {("http://example.com/Person/Sue/Jones", "20.0E0"), ("http://example.com/Person/Bob/Smith", "30.0E0")}
+    mapping = rules.read_mapping(spark, str(path), "water")
+    df = messages('{"table":{"tides":[{"port":"Hel","no":1,"cm":"51.50"},{"port":"Ustka","no":2,"cm":"-7e1"},{"port":"Hel","no":3}]}}')
+    water = "http://example.com/water/"
+    got = triples(df, mapping).collect()
+    assert {(r.s, r.o) for r in got if r.p.endswith("height")} == {(water + "Hel/1", "51.50"), (water + "Ustka/2", "-7e1")}
+    assert {r.s for r in got if r.p.endswith("kind")} == {water + "Hel/1", water + "Ustka/2", water + "Hel/3"}
 
 
 @pytest.mark.parametrize(
     "change",
     [
-        ("_:ls <http://semweb.mmlab.be/ns/rml#source> _:src .", '_:ls <http://semweb.mmlab.be/ns/rml#source> "input.json" .'),
+        ("_:from <http://semweb.mmlab.be/ns/rml#source> _:flow .", '_:from <http://semweb.mmlab.be/ns/rml#source> "tides-2031.txt" .'),
         ("<http://semweb.mmlab.be/ns/ql#JSONPath>", "<http://example.com/other>"),
-        ('_:o <http://semweb.mmlab.be/ns/rml#reference> "amount" .', ""),
-        ("_:s <http://www.w3.org/ns/r2rml#template>", "_:s <http://example.com/nothing>"),
+        ('_:cm <http://semweb.mmlab.be/ns/rml#reference> "cm" .', ""),
+        ("_:who <http://www.w3.org/ns/r2rml#template>", "_:who <http://example.com/nothing>"),
     ],
     ids=["file source", "formulation", "empty object", "empty subject"],
 )
