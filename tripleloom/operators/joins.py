@@ -1,9 +1,10 @@
-"""Parent triples maps with a join condition, as equi joins.
+"""Parent triples maps with a join condition.
 
-Items of both sides are exploded, parents are reduced to the distinct (subject, keys) they contribute,
-and the sides are joined on the keys, within the message or against a whole reference table. The join type is left to
-Catalyst: it broadcasts a side only below its size threshold, and the adaptive skew join splits a hot
-key otherwise.
+Inside a message the mapping's shape decides: where either side has one item per message, the row itself is searched;
+where both have several, the items of both sides are exploded and meet in the group of their message and keys.
+Against a reference table, parents are reduced to the distinct (subject, keys) they contribute and joined on the keys. The
+join type is left to Catalyst: it broadcasts a side only below its size threshold, and the adaptive skew join splits a
+hot key otherwise.
 """
 
 from __future__ import annotations
@@ -70,23 +71,24 @@ def joined_triples(
     payload: str = "payload",
     key: str = "msg_id",
     check: bool = True,
+    rules: list[tuple[TriplesMap, TermMap, TermMap]] | None = None,
 ) -> DataFrame:
-    """Triples whose object is found by a join condition, by an equi join of exploded items.
+    """Triples whose object is found by a join condition; of all join rules, or of the given ones.
 
     Without `parent_df` a child meets the parents of its own message. With it, the parents are the
     items of every message in that table (a reference table beside the stream).
     """
+    rules = join_conditions(mapping) if rules is None else rules
     out = None
-    for tm, p, o in join_conditions(mapping):
+    for tm, p, o in rules:
         other = mapping.triples_map(o.value)
         names = [f"k{i}" for i in range(len(o.joins))]
-        child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
-        source = df if parent_df is None else parent_df
-        parents = _side(source, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
-        # a parent that is there twice must not multiply its children
         if parent_df is None:
-            met = child.join(parents.distinct(), [key, *names])
+            met = _met_in_message(df, mapping, (tm, p, o), payload, key, check)
         else:
+            child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
+            parents = _side(parent_df, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
+            # a parent that is there twice must not multiply its children
             met = child.join(parents.drop(key).distinct(), names)
         rows = met.select(
             key,
@@ -101,39 +103,93 @@ def joined_triples(
     if out is None:
         raise ValueError(f"mapping {mapping.id!r} has no join condition")
     # one rule whose child is the whole message meets each distinct parent once: nothing repeats
-    rules = join_conditions(mapping)
     if len(rules) == 1 and one_item(mapping, rules[0][0]):
         return out
     return out.distinct()
 
 
+def _met_in_message(
+    df: DataFrame, mapping: Mapping, rule: tuple[TriplesMap, TermMap, TermMap], payload: str, key: str, check: bool
+) -> DataFrame:
+    """key, s, p, o of children and parents of one message with equal keys.
+
+    Both sides come out of one pass over the messages as rows of one table, and meet in the group of their message and
+    keys, which the message bounds. So the input is read once and shuffled once, without its payload.
+    """
+    tm, p, o = rule
+    other = mapping.triples_map(o.value)
+    prepare(df.sparkSession)
+    ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
+    base = df.select(key, payload).withColumn("_text", F.when(ok, F.col(payload)))
+    message = F.col(key).cast("string")
+    names = [f"k{i}" for i in range(len(o.joins))]
+    sides = (
+        ("_children", tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins]),
+        ("_parents", other, {"o": other.subject}, [q for _, q in o.joins]),
+    )
+    for column, owner, nodes, keys in sides:
+        group = Group(mapping, owner.iterator, [owner], ROWS.encode, ROWS.encode_constant)
+        texts = {name: group.node(term, owner) for name, term in nodes.items()}
+        for path in keys:
+            group.path(path)
+        found = iterate.items(F.col("_text"), mapping.input_format, owner.iterator, group.paths)
+
+        def row(read, item: Column, index: Column) -> Column:
+            scope = Scope(item, index, message, read)
+            atoms = {a: build(scope) for a, build in group.atoms.values()}
+            written = {name: _join_parts(list(n.parts), lambda a: atoms[a.name]) for name, n in texts.items()}
+            none = F.lit(None).cast("string")
+            return F.struct(
+                *[written.get(name, none).alias(name) for name in ("s", "p", "o")],
+                *[read(item, path).one.alias(k) for k, path in zip(names, keys)],
+            )
+
+        if found.is_array:
+            base = base.withColumn(column, F.coalesce(found.rows(row), F.array().cast(_side_type(names))))
+        else:
+            base = base.withColumn(column + "_i", found.column)
+            base = base.withColumn(column, F.array(row(found.read, F.col(column + "_i"), F.lit(0))))
+    # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
+    rows = base.select(key, F.explode_outer(F.concat("_children", "_parents")).alias("_r")).select(key, "_r.*")
+    rows = rows.dropna(subset=names).where("o is not null or (s is not null and p is not null)")
+    sets = rows.groupBy(key, *names).agg(
+        F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "p"))).alias("_c"), F.collect_set("o").alias("_q")
+    )
+    return sets.select(key, F.explode("_c").alias("_c"), "_q").select(key, "_c.s", "_c.p", F.explode("_q").alias("o"))
+
+
+def _side_type(names: list[str]) -> str:
+    return "array<struct<" + ", ".join(f"{c}: string" for c in ("s", "p", "o", *names)) + ">>"
+
+
 def one_item(mapping: Mapping, tm: TriplesMap) -> bool:
     """Does the iterator give one item per message?"""
     return mapping.input_format == "JSON" and "*" not in tm.iterator
 
 
-# A message shorter than this holds at most about two thousand items, so its joins are looked up in
-# its own row. Longer ones take the exploded equi join; both give the same triples.
-LOCAL_LENGTH = 16 * 1024
+def local_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
+    """Join rules with one item per message on either side: the row itself is the place to look, one comparison an item."""
+    return [r for r in join_conditions(mapping) if one_item(mapping, r[0]) or one_item(mapping, mapping.triples_map(r[2].value))]
 
 
-def _is_long(payload: str, limit: int) -> Column:
-    return F.coalesce(F.octet_length(payload) >= limit, F.lit(False))
+def grouped_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
+    """Join rules with several items on both sides, which meet by their keys."""
+    near = local_rules(mapping)
+    return [r for r in join_conditions(mapping) if r not in near]
 
 
-def triples_with_joins(
-    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, local_length: int = LOCAL_LENGTH
-) -> DataFrame:
-    """All triples of a mapping with join conditions inside the message."""
-    base = df.select(key, payload).withColumn("_long", _is_long(payload, local_length))
-    found = joined_triples(base.where("_long"), mapping, None, payload, key, check)
-    if own_predicates_differ(mapping):
-        own = unpack(packed(base, mapping, payload, key, check, ~F.col("_long")), "_packed", key)
-        return own.unionByName(found)
-    # a joined triple may repeat one of the message's own, so long messages are made sets once more
-    short = unpack(packed(base.where("not _long"), mapping, payload, key, check, F.lit(True)), "_packed", key)
-    long = unpack(packed(base.where("_long"), mapping, payload, key, check), "_packed", key)
-    return short.unionByName(long.unionByName(found).distinct())
+def triples_with_joins(df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool) -> DataFrame:
+    """All triples of a mapping with join conditions inside the message.
+
+    Which way a rule goes is a matter of the mapping's shape alone, so equal messages of any length are treated alike.
+    """
+    own = unpack(packed(df.select(key, payload), mapping, payload, key, check, local_rules(mapping)), "_packed", key)
+    rest = grouped_rules(mapping)
+    if not rest:
+        return own
+    both = own.unionByName(joined_triples(df, mapping, None, payload, key, check, rest))
+    # a joined triple may repeat one of the message's own
+    return both if own_predicates_differ(mapping) else both.distinct()
 
 
 def own_predicates_differ(mapping: Mapping) -> bool:
@@ -155,22 +211,16 @@ def _resource(text: Column) -> Column:
 
 
 def documents_with_joins(
-    df: DataFrame,
-    mapping: Mapping,
-    payload: str,
-    key: str,
-    check: bool,
-    parent_df: DataFrame | None = None,
-    local_length: int = LOCAL_LENGTH,
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, parent_df: DataFrame | None = None
 ) -> DataFrame:
-    """Documents of a mapping with joins.
-
-    Joins inside a short message happen in its row. For long messages, and against a reference table,
-    the joined triples are gathered per message and added to its document.
+    """Documents of a mapping with joins: first the message's own statements and those joined in its row, in the order of
+    the rules, then the other joined ones, sorted.
     """
-    base = df.withColumn("_long", _is_long(payload, local_length) if parent_df is None else F.lit(True))
-    long = base.where("_long").drop("_long")
-    found = joined_triples(long, mapping, parent_df, payload, key, check)
+    rules = grouped_rules(mapping) if parent_df is None else join_conditions(mapping)
+    own = with_document_elements(df, mapping, payload, key, check, local_rules(mapping) if parent_df is None else [])
+    if not rules:
+        return finished(own, mapping)
+    found = joined_triples(df, mapping, parent_df, payload, key, check, rules)
     if mapping.output_format == "TTL":
         written = F.concat(_resource(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), _resource(F.col("o")), F.lit(" .\n"))
     else:
@@ -181,10 +231,4 @@ def documents_with_joins(
     # one message is one document, so what is gathered here is bounded by the document it becomes
     gathered = found.groupBy(key).agg(F.sort_array(F.collect_set(written)).alias("_joined"))
     elements = F.array_union("_elements", F.coalesce("_joined", F.array().cast("array<string>")))
-    own = with_document_elements(long, mapping, payload, key, check)
-    whole = finished(own.join(gathered, key, "left").withColumn("_elements", elements).drop("_joined"), mapping)
-    if parent_df is not None:
-        return whole
-    # the rows are parted before anything is mapped: a mapped row is not filtered through
-    short = with_document_elements(base.where("not _long").drop("_long"), mapping, payload, key, check, F.lit(True))
-    return finished(short, mapping).unionByName(whole)
+    return finished(own.join(gathered, key, "left").withColumn("_elements", elements).drop("_joined"), mapping)

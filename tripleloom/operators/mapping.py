@@ -333,11 +333,11 @@ def with_elements(
     payload: Column,
     active: Column,
     message: Column,
-    join_here: Column | None = None,
+    join_here: list | None = None,
 ) -> DataFrame:
     """Add column `name`: the distinct written triples (or nodes) of each message.
 
-    Join conditions are looked up inside the row where `join_here` holds, and left out elsewhere.
+    The join rules in `join_here` are looked up inside the row; others are left out.
 
     Items and atoms become columns of their own, so that what several triples share (the parsed
     message, an encoded identifier) is computed once; higher-order functions have no common
@@ -372,8 +372,8 @@ def with_elements(
             df, careful_elements = _array_elements(df, group, form, careful, message, f"{name}_c{g}", helpers)
             elements = F.when(F.col(simple), quick_elements).otherwise(careful_elements)
         arrays.append(elements)
-    if mapping.has_joins and join_here is not None:
-        df, joined = _local_joins(df, mapping, form, name, F.when(active & join_here, payload), message, helpers)
+    if join_here:
+        df, joined = _local_joins(df, mapping, form, name, F.when(active, payload), message, helpers, join_here)
         arrays += joined
     empty = F.array().cast("array<string>")
     everything = [F.coalesce(a, empty) for a in arrays]
@@ -397,14 +397,14 @@ def _array_elements(
 
 
 def _local_joins(
-    df: DataFrame, mapping: Mapping, form: Form, name: str, payload: Column, message: Column, helpers: list[str]
+    df: DataFrame, mapping: Mapping, form: Form, name: str, payload: Column, message: Column, helpers: list[str], rules: list
 ) -> tuple[DataFrame, list[Column]]:
     """Join conditions inside one message, by looking each child's keys up among the parents.
 
-    Meant for messages of bounded length: the look-up compares every child with every parent.
+    Meant for rules with one child or one parent a message: the look-up compares every child with every parent.
     """
     arrays = []
-    for n, (tm, p, o) in enumerate(join_conditions(mapping)):
+    for n, (tm, p, o) in enumerate(rules):
         other = mapping.triples_map(o.value)
         sides = []
         for label, owner, nodes, keys in (
@@ -513,7 +513,7 @@ def triples(
 
 
 def packed(
-    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: Column | None = None
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: list | None = None
 ) -> DataFrame:
     """Add `_packed`: the triples of each message as packed strings."""
     base = _active(df, mapping, payload, check)
@@ -543,7 +543,7 @@ def documents(
 
 
 def with_document_elements(
-    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: Column | None = None
+    df: DataFrame, mapping: Mapping, payload: str, key: str, check: bool, join_here: list | None = None
 ) -> DataFrame:
     """Add `_ok` and `_elements`: the lines or nodes of each message's document."""
     form = TURTLE if mapping.output_format == "TTL" else JSONLD
