@@ -118,6 +118,22 @@ def test_a_row_only_meets_its_own_mapping(spark):
     assert "part/7" in got[2].doc and got[3].error.startswith("MalformedMessage")
 
 
+def test_channels_run_mappings_with_joins(spark):
+    """Their documents are those of documents(); a failing message stays in its channel."""
+    from test_mapping import JOINED, ONE_CHILD
+
+    from tripleloom.operators.mapping import documents
+
+    payload = json.dumps({"first": {"pk": 2, "c": "x"}, "lines": [{"ln": i, "pk": i % 3, "c": "x"} for i in range(9)], "parts": [{"k": i % 4, "n": f"n{i}", "c": "x"} for i in range(8)]})
+    mappings = {"m": M, "j": JOINED, "o": ONE_CHILD}
+    rows = [("1", "j", payload), ("2", "o", payload), ("3", "j", "{"), ("4", "m", GOOD)]
+    df = spark.createDataFrame(rows, "msg_id string, mapping_id string, payload string")
+    got = {r.msg_id: r for r in apply_by_id(df, mappings, "mapping_id", "payload", "msg_id").collect()}
+    for i, mapping in (("1", JOINED), ("2", ONE_CHILD)):
+        assert got[i].doc == documents(df.where(F.col("msg_id") == i), mapping).first().doc and EX + "part/" in got[i].doc
+    assert got["3"].doc is None and got["3"].error.startswith("MalformedMessage") and got["4"].error is None
+
+
 # --- sources ------------------------------------------------------------------------------------
 
 

@@ -113,3 +113,15 @@ def test_json_on_random_text(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "p string")
     for r in df.select("p", validate.is_json(F.col("p")).alias("v")).collect():
         assert r.v == strict(r.p), r.p
+
+
+def test_json_texts_have_no_length_limit(spark):
+    """Validator and mapping agree on a text value of 25 million characters."""
+    from tripleloom import Mapping, TriplesMap, iri, po, reference
+    from tripleloom.operators.mapping import triples
+
+    long = spark.range(1).select(F.concat(F.lit('{"v":"'), F.repeat(F.lit("x"), 25_000_000), F.lit('"}')).alias("payload"))
+    both = long.select(F.lit(1).alias("msg_id"), "payload").unionByName(long.select(F.lit(2).alias("msg_id"), F.expr("left(payload, length(payload) - 1)").alias("payload")))
+    assert {r.msg_id: r.ok for r in both.select("msg_id", validate.is_json(F.col("payload")).alias("ok")).collect()} == {1: True, 2: False}
+    m = Mapping("m", (TriplesMap("t", iri("http://example.com/s"), (po("http://example.com/p", reference("v")),)),))
+    assert [(r.msg_id, r.n) for r in triples(both, m).select("msg_id", F.length("o").alias("n")).collect()] == [(1, 25_000_000)]

@@ -124,6 +124,8 @@ class Mapping:
             for term in self._terms(tm):
                 if term.kind == "parent" and term.value not in by_id:
                     raise MappingError(f"triples map {tm.id!r} names unknown parent {term.value!r}")
+                if term.kind == "parent" and not term.joins and self.is_linked(tm, term) and not self.one_item(by_id[term.value]):
+                    raise MappingError(f"triples map {tm.id!r} has no condition to choose among the items of parent {term.value!r}")
                 if term.datatype and term.lang:
                     raise MappingError(f"triples map {tm.id!r} gives a term both datatype and language")
                 for text in (term.datatype, term.lang):
@@ -140,9 +142,17 @@ class Mapping:
     def triples_map(self, triples_map_id: str) -> TriplesMap:
         return next(tm for tm in self.triples_maps if tm.id == triples_map_id)
 
+    def one_item(self, tm: TriplesMap) -> bool:
+        """Does the iterator give one item per message?"""
+        return self.input_format == "JSON" and "*" not in tm.iterator
+
+    def is_linked(self, tm: TriplesMap, term: TermMap) -> bool:
+        """Is the object the subject of another item than the child's own: by a condition, or as the parent iterates otherwise?"""
+        return term.kind == "parent" and bool(term.joins or self.triples_map(term.value).iterator != tm.iterator)
+
     @property
     def has_joins(self) -> bool:
-        return any(t.joins for tm in self.triples_maps for t in self._terms(tm))
+        return any(self.is_linked(tm, t) for tm in self.triples_maps for t in self._terms(tm))
 
     @property
     def rml_hash(self) -> str | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping
 from tripleloom.operators import validate
-from tripleloom.operators.mapping import JSONLD, TURTLE, document_column, with_elements
+from tripleloom.operators.mapping import JSONLD, TURTLE, document_column, join_conditions, with_elements
 from tripleloom.session import prepare
 
 # fixed values: sample message of each input format
@@ -37,12 +37,10 @@ def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, pa
     doc = F.lit(None).cast("string")
     helpers = ["_fmt", "_ok"]
     for n, (name, mapping) in enumerate(mappings.items()):
-        if mapping.has_joins:
-            raise ValueError(f"mapping {name!r} has join conditions; run it through documents()")
         column = f"_m{n}"
         form = TURTLE if mapping.output_format == "TTL" else JSONLD
         active = F.col("_ok") & (chosen == name)
-        df = with_elements(df, mapping, form, column, F.col(payload), active, F.col(key).cast("string"))
+        df = with_elements(df, mapping, form, column, F.col(payload), active, F.col(key).cast("string"), join_conditions(mapping))
         doc = F.when(chosen == name, document_column(F.col(column), mapping.output_format)).otherwise(doc)
         helpers.append(column)
     error = (

@@ -90,6 +90,9 @@ def _json_path(steps: list[str | int]) -> str:
 
 # --- JSON ---------------------------------------------------------------------------------------
 
+# Texts and numbers of any length.
+JSON_OPTIONS = {"maxStringLen": "2147483647", "maxNumLen": "2147483647"}
+
 
 def _json_tree(paths: list[list[str]]) -> dict:
     tree: dict = {}
@@ -147,7 +150,7 @@ def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
 
     def item_of(text: Column) -> Column:
         # the text itself is kept for the array test and for paths outside the typed parse
-        return F.struct(F.from_json(text, ddl).alias("f"), text.alias("t"))
+        return F.struct(F.from_json(text, ddl, JSON_OPTIONS).alias("f"), text.alias("t"))
 
     def read(item: Column, path: str) -> Value:
         at = json_steps(path)
@@ -162,9 +165,9 @@ def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
         # array from a string with the same text.
         holder = text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1]))
         if isinstance(at[-1], int):
-            listed = F.from_json(F.get_json_object(text, _json_path(at)), "array<string>")
+            listed = F.from_json(F.get_json_object(text, _json_path(at)), "array<string>", JSON_OPTIONS)
         else:
-            listed = F.from_json(holder, f"{_quote(at[-1])} array<string>").getField(at[-1])
+            listed = F.from_json(holder, f"{_quote(at[-1])} array<string>", JSON_OPTIONS).getField(at[-1])
         return Value(one, F.coalesce(listed, F.array(one)), one.startswith("["))
 
     if "*" not in steps:
@@ -192,9 +195,9 @@ def _json_plain(payload: Column, before: list[str], struct: str, paths: list[lis
     if before:
         for step in reversed(before[1:]):
             ddl = f"struct<{_quote(step)}: {ddl}>"
-        found = at(F.from_json(payload, f"{_quote(before[0])} {ddl}"), before)
+        found = at(F.from_json(payload, f"{_quote(before[0])} {ddl}", JSON_OPTIONS), before)
     else:
-        found = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, ddl))
+        found = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, ddl, JSON_OPTIONS))
 
     def has_array(item: Column) -> Column:
         test = F.lit(False)
@@ -216,17 +219,17 @@ def _json_array(payload: Column, steps: list[str | int], item_of) -> Column:
     star = steps.index("*")
     before, after = steps[:star], steps[star + 1 :]
     if not before:
-        texts = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, "array<string>"))
+        texts = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, "array<string>", JSON_OPTIONS))
     elif all(isinstance(s, str) for s in before):
         ddl = "array<string>"
         for step in reversed(before[1:]):
             ddl = f"struct<{_quote(step)}: {ddl}>"
-        texts = F.from_json(payload, f"{_quote(before[0])} {ddl}")
+        texts = F.from_json(payload, f"{_quote(before[0])} {ddl}", JSON_OPTIONS)
         for step in before:
             texts = texts.getField(step)
     else:
         found = F.get_json_object(payload, _json_path(before))
-        texts = F.when(found.startswith("["), F.from_json(found, "array<string>"))
+        texts = F.when(found.startswith("["), F.from_json(found, "array<string>", JSON_OPTIONS))
     if not after:
         return F.transform(texts, item_of)
     if "*" in after:

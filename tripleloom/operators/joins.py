@@ -78,7 +78,7 @@ def joined_triples(
     Without `parent_df` a child meets the parents of its own message. With it, the parents are the
     items of every message in that table (a reference table beside the stream).
     """
-    rules = join_conditions(mapping) if rules is None else rules
+    rules = [r for r in join_conditions(mapping) if r[2].joins] if rules is None else rules
     out = None
     for tm, p, o in rules:
         other = mapping.triples_map(o.value)
@@ -103,7 +103,7 @@ def joined_triples(
     if out is None:
         raise ValueError(f"mapping {mapping.id!r} has no join condition")
     # one rule whose child is the whole message meets each distinct parent once: nothing repeats
-    if len(rules) == 1 and one_item(mapping, rules[0][0]):
+    if len(rules) == 1 and mapping.one_item(rules[0][0]):
         return out
     return out.distinct()
 
@@ -162,14 +162,9 @@ def _side_type(names: list[str]) -> str:
     return "array<struct<" + ", ".join(f"{c}: string" for c in ("s", "p", "o", *names)) + ">>"
 
 
-def one_item(mapping: Mapping, tm: TriplesMap) -> bool:
-    """Does the iterator give one item per message?"""
-    return mapping.input_format == "JSON" and "*" not in tm.iterator
-
-
 def local_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
     """Join rules with one item per message on either side: the row itself is the place to look, one comparison an item."""
-    return [r for r in join_conditions(mapping) if one_item(mapping, r[0]) or one_item(mapping, mapping.triples_map(r[2].value))]
+    return [r for r in join_conditions(mapping) if mapping.one_item(r[0]) or mapping.one_item(mapping.triples_map(r[2].value))]
 
 
 def grouped_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
@@ -200,7 +195,7 @@ def own_predicates_differ(mapping: Mapping) -> bool:
             for p in pom.predicates:
                 name = p.value if p.kind == "constant" else None
                 for o in pom.objects:
-                    (joined if o.joins else own).add(name)
+                    (joined if mapping.is_linked(tm, o) else own).add(name)
                     if name is None:
                         return False
     return not (joined & own)
@@ -216,8 +211,9 @@ def documents_with_joins(
     """Documents of a mapping with joins: first the message's own statements and those joined in its row, in the order of
     the rules, then the other joined ones, sorted.
     """
-    rules = grouped_rules(mapping) if parent_df is None else join_conditions(mapping)
-    own = with_document_elements(df, mapping, payload, key, check, local_rules(mapping) if parent_df is None else [])
+    conditional = [r for r in join_conditions(mapping) if r[2].joins]
+    rules = grouped_rules(mapping) if parent_df is None else conditional
+    own = with_document_elements(df, mapping, payload, key, check, [r for r in local_rules(mapping) if parent_df is None or r not in rules])
     if not rules:
         return finished(own, mapping)
     found = joined_triples(df, mapping, parent_df, payload, key, check, rules)

@@ -159,7 +159,7 @@ class Group:
         for pom in tm.predicate_objects:
             for p in pom.predicates:
                 for o in pom.objects:
-                    if not o.joins:
+                    if not self.mapping.is_linked(tm, o):
                         out.append((subject, self.node(p, tm), self.node(o, tm)))
         return list(dict.fromkeys(out))
 
@@ -401,9 +401,10 @@ def _local_joins(
 ) -> tuple[DataFrame, list[Column]]:
     """Join conditions inside one message, by looking each child's keys up among the parents.
 
-    Meant for rules with one child or one parent a message: the look-up compares every child with every parent.
+    The look-up compares every child with every parent, which is one comparison an item where there is one child or one
+    parent. Rules with several on both sides come last, sorted, as documents_with_joins writes them.
     """
-    arrays = []
+    arrays, sorted_last = [], []
     for n, (tm, p, o) in enumerate(rules):
         other = mapping.triples_map(o.value)
         sides = []
@@ -438,8 +439,8 @@ def _local_joins(
         def of_message(both: Column) -> Column:
             def of_child(c: Column) -> Column:
                 def meets(q: Column) -> Column:
-                    test = q.getField("k0") == c.getField("k0")
-                    for i in range(1, len(o.joins)):
+                    test = F.lit(True)  # without a condition there is one parent
+                    for i in range(len(o.joins)):
                         test = test & (q.getField(f"k{i}") == c.getField(f"k{i}"))
                     return test
 
@@ -453,19 +454,25 @@ def _local_joins(
         # A one-element transform holds both sides. Named inside the children's function as a column,
         # the parents could be put there as an expression and be parsed again for every child.
         sides_of = F.struct(F.col(left).alias("children"), F.col(right).alias("parents"))
-        arrays.append(F.element_at(F.transform(F.array(sides_of), of_message), 1))
+        found = F.element_at(F.transform(F.array(sides_of), of_message), 1)
+        near = mapping.one_item(tm) or mapping.one_item(other)
+        (arrays if near else sorted_last).append(found)
+    if sorted_last:
+        empty = F.array().cast("array<string>")
+        everything = [F.coalesce(a, empty) for a in sorted_last]
+        arrays.append(F.sort_array(F.array_distinct(F.concat(*everything) if len(everything) > 1 else everything[0])))
     return df, arrays
 
 
 def join_conditions(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
-    """(triples map, predicate, parent object) of every rule with a join condition."""
+    """(triples map, predicate, parent object) of every rule that links two items: by a join condition, or with a parent of its own iterator."""
     return [
         (tm, p, o)
         for tm in mapping.triples_maps
         for pom in tm.predicate_objects
         for p in pom.predicates
         for o in pom.objects
-        if o.joins
+        if mapping.is_linked(tm, o)
     ]
 
 

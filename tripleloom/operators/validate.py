@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripleloom.operators.iterate import XML_PROLOG
+from tripleloom.operators.iterate import JSON_OPTIONS, XML_PROLOG
 
 # --- fixed values: error texts of rejected messages -----------------------------------------------
 EMPTY_INPUT = "java.lang.IllegalArgumentException: Empty input is not allowed!"
@@ -15,15 +15,19 @@ UNKNOWN_FORMAT = "UnknownFormat: no validator for this input format"
 # ----------------------------------------------------------------------------------------------
 
 
+# nothing that JSON itself doesn't allow
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", **JSON_OPTIONS}
+
+
 def is_json(payload: Column) -> Column:
     """Exactly one JSON value, nothing after it.
 
-    The variant parser stops after the first value, so the text is closed in an array behind which a
-    hash of the text itself stands: text that breaks out of the array cannot contain its own hash.
+    The parser stops after the first value, so the text is closed in an array behind which a hash of the text
+    itself stands: text that breaks out of the array cannot contain its own hash.
     """
-    seal = F.xxhash64(payload)
-    parsed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit(","), seal.cast("string"), F.lit("]")))
-    return F.try_variant_get(parsed, "$[1]", "bigint").eqNullSafe(seal)
+    seal = F.xxhash64(payload).cast("string")
+    parsed = F.from_json(F.concat(F.lit("["), payload, F.lit(","), seal, F.lit("]")), "array<string>", _STRICT_JSON)
+    return F.get(parsed, F.lit(1)).eqNullSafe(seal) & payload.isNotNull()
 
 
 # Comments, processing instructions and white space may surround the root element.
