@@ -176,12 +176,6 @@ def test_unknown_broker_is_refused(spark):
         src.read_messages(spark, src.TopicSource("t", "AMQP"))
 
 
-def test_spread_leaves_big_inputs_alone(spark):
-    assert src.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 9)
-    assert src.spread(wide).rdd.getNumPartitions() == 9
-
-
 # --- streaming ----------------------------------------------------------------------------------
 
 
@@ -283,8 +277,31 @@ def test_repeated_micro_batch_leaves_the_same_records(spark, tmp_path):
 
 
 def test_records_keep_message_order(spark, tmp_path):
+    """Offsets compare as numbers; partitions and channels stay apart."""
+    rows = [(f"in/{part}/{n}", "in", None, json.dumps({"id": f"{part}-{n}", "v": "x"}), str(part), n) for n in range(1200, 7, -1) for part in (2, 10)]
+    df = spark.createDataFrame(rows, "msg_id string, topic string, key string, payload string, part string, position bigint")
+    df = df.withColumn("ts", F.timestamp_millis(F.lit(1234567))).repartition(3)
+    both = channels(spark, {}, {"channel_id": "c2", "output_topic": "out2"})
+    sent = channel.records(channel.annotate(df, both, {"m": M}))
     out = str(tmp_path / "out")
-    ordered = inbox(spark, *[json.dumps({"id": str(i), "v": "x"}) for i in range(9)]).coalesce(1)
-    channel.write_records(channel.records(channel.annotate(ordered, channels(spark, {}), {"m": M})), out, 0)
-    got = [r.msg_id for r in spark.read.parquet(f"{out}/batch_id=0/sink=output").collect()]
-    assert got == sorted(got)
+    channel.write_records(sent, out, 0)
+    files = sorted((tmp_path / "out" / "batch_id=0" / "sink=output").glob("*.parquet"))
+    seen = []
+    for file in files:
+        own = [(r.channel_id, r.part, r.position) for r in spark.read.parquet(str(file)).coalesce(1).collect()]
+        assert own == sorted(own)
+        seen += own
+    assert len(seen) == 2 * len(rows) and len(set(seen)) == len(seen)
+    ranks = {(r.channel_id, r.part, r.position): r["rank"] for r in channel.ranked(sent.where("sink = 'output'"), 100).collect()}
+    for c in ("c1", "c2"):
+        order = sorted((p, n) for x, p, n in seen if x == c)
+        assert [ranks[(c, *x)] for x in order] == list(range(1, len(rows) + 1))
+
+
+def test_python_transformation_sees_its_own_rows_only(spark):
+    df = inbox(spark, "1", "x", "3", None).withColumn("mapping_id", F.expr("if(payload = 'x', 'other', 'double')"))
+    double = channel.python_transformation(lambda text: str(2 * int(text)))  # would fail on the other row
+    rows = channel.transform(df, {}, {"double": double, "other": lambda c: c}).orderBy("msg_id").collect()
+    assert [(r.doc, r.error) for r in rows[:3]] == [("2", None), ("x", None), ("6", None)]
+    assert rows[3].doc is None and rows[3].error
+

@@ -23,7 +23,7 @@ TRANSFORMATIONS = {"identity": lambda payload: payload}
 
 EVENTS_AS_MESSAGES = TopicSource(
     schema="event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string",
-    columns={"msg_id": "event_id", "topic": "concat('user/', user_id)", "payload": "props", "ts": "ts"},
+    columns={"msg_id": "event_id", "topic": "concat('user/', user_id)", "payload": "props", "ts": "ts", "part": "user_id % 4", "position": "event_id"},
 )
 
 
@@ -44,6 +44,12 @@ def _error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("msg_id", "channel_id", "broker", "topic", "key", "value", "payload")
 
 
+def _order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of each output in its channel."""
+    rows = channel.records(_annotated(spark, sf_dir)).where("sink = 'output'").withColumn("position", F.col("msg_id"))
+    return channel.ranked(rows, 1000).select("msg_id", "channel_id", "rank")
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir).select("msg_id", "channel_id", "doc", "error")
 
@@ -177,6 +183,11 @@ QUERIES = {
     ),
     "channel_identity": (_identity, f"with {MESSAGES_SQL} select msg_id, payload as doc, cast(null as varchar) as error from messages"),
     "output_records": (_records("output"), _record_sql("output", "doc as value", "error is null")),
+    "channel_order": (
+        _order,
+        f"""with {FLOW_SQL} select msg_id, channel_id, row_number() over (partition by channel_id order by msg_id) as rank
+        from flow where error is null""",
+    ),
     "monitor_in": (_records("monitor_in"), _record_sql("monitor_in", _MARK, "monitor_in_topic is not null and monitor_in_enabled")),
     "monitor_out": (
         _records("monitor_out"),

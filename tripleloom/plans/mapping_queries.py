@@ -482,6 +482,10 @@ def _map(source, mapping: Mapping):
     return lambda spark, sf_dir: triples(source(spark, sf_dir), mapping)
 
 
+def _serialize_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(fixtures.orders(spark, sf_dir), JOIN_IN_MESSAGE).select("msg_id", "doc")
+
+
 def _join_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_triples(fixtures.orders(spark, sf_dir), JOIN, fixtures.customers(spark, sf_dir))
 
@@ -683,6 +687,15 @@ QUERIES = {
             [(ORDER, _lit("by"), _iri(f"'{EX}customer/' || c_custkey || '/' || replace(c_name, '#', '%23')"))],
         ),
     ),
+    "serialize_joined": (
+        _serialize_joined,
+        f"""select o_orderkey as msg_id,
+          '<{EX}fact/status> <{EX}n> "1" .' || chr(10) || '<{EX}fact/total> <{EX}n> "2" .' || chr(10)
+          || '<{EX}fact/priority> <{EX}n> "3" .' || chr(10) || '<{EX}fact/date> <{EX}n> "4" .' || chr(10)
+          || '<{EX}unit/code> <{EX}label> "a code" .' || chr(10) || '<{EX}unit/money> <{EX}label> "an amount" .' || chr(10)
+          || string_agg('<{EX}fact/' || name || '> <{EX}unit> <{EX}unit/' || unit || '> .' || chr(10), '' order by name) as doc
+        from {FACTS_SQL} where unit <> 'none' group by o_orderkey""",
+    ),
     "map_join_in_message": (
         _map(fixtures.orders, JOIN_IN_MESSAGE),
         _union(

@@ -1,7 +1,8 @@
 """Message tables: reading topics, and writing records, by broker type.
 
 Every reader gives the same columns, in batch and as a stream, so topics of different brokers can be
-unioned: msg_id, topic, key, payload, ts.
+unioned: msg_id, topic, key, payload, ts, and the place of a message in its topic: part, position. Messages of one
+part are in the order of their positions, as numbers; between parts a topic has no order.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.vocab import BROKER_TYPES
 
-MESSAGE_SCHEMA = "msg_id string, topic string, key string, payload string, ts timestamp"
-MESSAGE_COLUMNS = ("msg_id", "topic", "key", "payload", "ts")
+MESSAGE_SCHEMA = "msg_id string, topic string, key string, payload string, ts timestamp, part string, position bigint"
+MESSAGE_COLUMNS = ("msg_id", "topic", "key", "payload", "ts", "part", "position")
 
 # fixed values: consumer defaults of a channel
 START_AT = "latest"
@@ -39,6 +40,7 @@ class TopicSource:
     schema: str | None = None
     columns: dict[str, str] = field(default_factory=dict)
     buffer_size: int | None = None
+    min_partitions: int | None = None
 
 
 def kafka_source_options(source: TopicSource, streaming: bool) -> dict[str, str]:
@@ -46,6 +48,8 @@ def kafka_source_options(source: TopicSource, streaming: bool) -> dict[str, str]
     options = {"kafka.bootstrap.servers": source.servers, "subscribe": source.topic}
     if source.group_id:
         options["kafka.group.id"] = source.group_id
+    if source.min_partitions:  # more tasks than topic partitions, each still in offset order
+        options["minPartitions"] = str(source.min_partitions)
     if streaming:
         options["startingOffsets"] = START_AT
         if source.buffer_size:
@@ -68,6 +72,8 @@ def _read_kafka(spark: SparkSession, source: TopicSource, streaming: bool) -> Da
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("payload"),
         F.col("timestamp").alias("ts"),
+        F.col("partition").cast("string").alias("part"),
+        F.col("offset").alias("position"),
     )
 
 
@@ -76,21 +82,26 @@ def _read_files(spark: SparkSession, source: TopicSource, streaming: bool) -> Da
     if streaming and source.buffer_size:
         reader = reader.option("maxFilesPerTrigger", str(source.buffer_size))
     if source.file_format == "text":
-        # one message per line; the identifier names the file and the line's place in it
+        # One message per line. The identifier is the file and a hash of the line, the same however the file is split; equal
+        # lines of a file are one message. A text file has no positions.
         rows = reader.option("wholetext", "false").text(source.path)
-        return rows.select(
-            F.concat_ws(
-                "/", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()
-            ).alias("msg_id"),
+        rows = rows.select(
+            F.concat_ws("/", "_metadata.file_path", F.xxhash64("value")).alias("msg_id"),
             F.lit(source.topic).alias("topic"),
             F.lit(None).cast("string").alias("key"),
             F.col("value").alias("payload"),
             F.col("_metadata.file_modification_time").alias("ts"),
+            F.col("_metadata.file_path").alias("part"),
+            F.lit(None).cast("bigint").alias("position"),
         )
+        return rows
     rows = reader.format(source.file_format).schema(source.schema or MESSAGE_SCHEMA).load(source.path)
     if source.columns:
         rows = rows.select(*[F.expr(source.columns.get(c, "null")).alias(c) for c in MESSAGE_COLUMNS])
-    rows = rows.select(F.col("msg_id").cast("string"), "topic", F.col("key").cast("string"), "payload", F.col("ts").cast("timestamp"))
+    rows = rows.select(
+        F.col("msg_id").cast("string"), "topic", F.col("key").cast("string"), "payload", F.col("ts").cast("timestamp"),
+        F.col("part").cast("string"), F.col("position").cast("bigint"),
+    )
     return rows if source.topic is None else rows.where(F.col("topic") == source.topic)
 
 
@@ -106,16 +117,6 @@ def read_messages(spark: SparkSession, *sources: TopicSource, streaming: bool =
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
-
-    Mapping a message costs far more than reading it, and a small file is one split. A table with at
-    least as many splits as the session has cores is left alone: at scale this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def record_key(broker: Column, channel_id: Column) -> Column:
     """A Kafka record carries the channel id as its key; an MQTT message has no key."""
     return F.when(broker == "KAFKA", channel_id)

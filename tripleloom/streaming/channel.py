@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -19,7 +19,7 @@ from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
 from tripleloom.operators.state import completion_event
 from tripleloom.session import prepare
-from tripleloom.sources.messages import kafka_sink_options, record_key, spread, to_kafka
+from tripleloom.sources.messages import kafka_sink_options, record_key, to_kafka
 
 # What a channel row must hold. A null topic switches its stage off for good.
 CHANNEL_SCHEMA = (
@@ -41,6 +41,10 @@ def python_transformation(function: Callable[[str], str]) -> Transformation:
     def run(payloads: pd.Series) -> pd.DataFrame:
         docs, errors = [], []
         for payload in payloads:
+            if payload is None:  # another channel's row
+                docs.append(None)
+                errors.append(None)
+                continue
             try:
                 docs.append(function(payload))
                 errors.append(None)
@@ -75,10 +79,11 @@ def transform(
     doc, error = F.col("doc"), F.col("error")
     for name, function in plain.items():
         mine = F.col("mapping_id") == name
-        result = function(F.col(payload))
+        result = function(F.when(mine, F.col(payload)))  # a row crosses to Python for its own channel only
         df = df.withColumn("_r", result)
         if isinstance(df.schema["_r"].dataType, T.StructType):
-            new_doc, new_error = F.col("_r.doc"), F.col("_r.error")
+            none = F.when(F.col(payload).isNull(), F.lit("NullMessage: there is no payload"))
+            new_doc, new_error = F.col("_r.doc"), F.coalesce("_r.error", none)
         else:
             new_doc, new_error = F.col("_r"), F.lit(None).cast("string")
         df = df.withColumns({"doc": F.when(mine, new_doc).otherwise(doc), "error": F.when(mine, new_error).otherwise(error)})
@@ -101,7 +106,7 @@ def failure(error: Column) -> Column:
     return F.concat(F.lit("Failure("), error, F.lit(")"))
 
 
-RECORD_COLUMNS = ("msg_id", "channel_id", "sink", "broker", "topic", "key", "value", "payload")
+RECORD_COLUMNS = ("msg_id", "channel_id", "sink", "broker", "topic", "key", "value", "payload", "part", "position")
 
 
 def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
@@ -134,8 +139,33 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
         record("error", failure(F.col("error")), ~ok & F.col("error_enabled"), F.col("payload")),
         record("monitor_out", mark, ok & F.col("monitor_out_enabled")),
     )
-    rows = annotated.select("msg_id", "channel_id", F.explode_outer(sent).alias("r")).where("r is not null")
-    return rows.select("msg_id", "channel_id", "r.*").select(*RECORD_COLUMNS)
+    place = [
+        F.col(c) if c in annotated.columns else F.lit(None).cast(t).alias(c) for c, t in (("part", "string"), ("position", "bigint"))
+    ]
+    rows = annotated.select("msg_id", "channel_id", *place, F.explode_outer(sent).alias("r")).where("r is not null")
+    return rows.select("msg_id", "channel_id", "part", "position", "r.*").select(*RECORD_COLUMNS)
+
+
+# Positions of one part and channel that are numbered in one task.
+STRETCH = 1 << 16
+
+
+def ranked(sent: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Add `rank`: the place of each record among those of its channel and sink, by part and then position, from 1.
+
+    Records are numbered within stretches of positions, which bounds what one task sorts however busy a channel is; the
+    counts of the stretches, one row each, are then added up.
+    """
+    group = ["channel_id", "sink", "part", "_stretch"]
+    rows = sent.withColumn("_stretch", F.floor(F.col("position") / stretch))
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("channel_id", "sink").orderBy("part", "_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in group], "_before")
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("position", "msg_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    placed = rows.withColumn("_own", own).join(counts, same)
+    return placed.select(*sent.columns, (F.col("_own") + F.col("_before")).alias("rank"))
 
 
 def dropped_errors(annotated: DataFrame, name: str | Observation = "channel_errors") -> DataFrame:
@@ -153,10 +183,11 @@ def dropped_errors(annotated: DataFrame, name: str | Observation = "channel_erro
 def write_records(sent: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Write one batch of records into its own folder, one part per sink, and return what is there.
 
-    Rows of a task stay in message order inside each sink.
+    Every file has the records of a channel in the order of their input: by part, and by position as a number. Records keep
+    both, so a reader of several files can merge them.
     """
     target = f"{path}/batch_id={batch_id}"
-    sent.sortWithinPartitions("sink", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
+    sent.sortWithinPartitions("sink", "channel_id", "part", "position", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
     return sent.sparkSession.read.schema(sent.schema).parquet(target)
 
 
@@ -181,7 +212,7 @@ def run_channels(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        annotated = annotate(spread(batch), load_channels(), mappings, transformations)
+        annotated = annotate(batch, load_channels(), mappings, transformations)
         written = write_records(records(dropped_errors(annotated), at), path, batch_id)
         if kafka_servers:
             to_kafka(written).write.format("kafka").options(**kafka_sink_options(kafka_servers)).save()
