@@ -90,6 +90,25 @@ def _json_path(steps: list[str | int]) -> str:
 
 # --- JSON ---------------------------------------------------------------------------------------
 
+# Spark's JSON functions give a number with a fraction or an exponent as they would print it. So that its own form
+# stays, it is turned into a text with a private-use mark before the message is parsed, and the mark is taken off what is read.
+_MARK = "\ue0a3\ue0b5"
+_MAYBE_FLOAT = r"[:,\[\s]-?[0-9]+[.eE]"
+# From the end of the last match on: whole strings, whole numbers and anything else, then a number that isn't whole.
+_FLOAT = (
+    r'\G((?:[^"0-9\-]++|"(?:[^"\\]++|\\.)*+"|-?[0-9]++(?![0-9.eE]))*+)'
+    r"(-?[0-9]++(?:\.[0-9]++)?(?:[eE][+\-]?[0-9]++)?)"
+)
+
+
+def _marked(payload: Column) -> Column:
+    return F.when(payload.rlike(_MAYBE_FLOAT), F.regexp_replace(payload, _FLOAT, f'$1"{_MARK}$2"')).otherwise(payload)
+
+
+def _unmarked(value: Column) -> Column:
+    return F.when(value.contains(_MARK), F.regexp_replace(value, f'"?{_MARK}([^"]*)"?', "$1")).otherwise(value)
+
+
 # Texts and numbers of any length.
 JSON_OPTIONS = {"maxStringLen": "2147483647", "maxNumLen": "2147483647"}
 
@@ -136,6 +155,7 @@ def _in_one_parse(paths: list[list[str | int]]) -> list[list[str]]:
 
 
 def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
+    payload = _marked(payload)
     steps = json_steps(iterator)
     paths = []
     for ref in references:
@@ -168,7 +188,8 @@ def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
             listed = F.from_json(F.get_json_object(text, _json_path(at)), "array<string>", JSON_OPTIONS)
         else:
             listed = F.from_json(holder, f"{_quote(at[-1])} array<string>", JSON_OPTIONS).getField(at[-1])
-        return Value(one, F.coalesce(listed, F.array(one)), one.startswith("["))
+        one = _unmarked(one)
+        return Value(one, F.coalesce(F.transform(listed, _unmarked), F.array(one)), one.startswith("["))
 
     if "*" not in steps:
         text = payload if not steps else F.get_json_object(payload, _json_path(steps))
@@ -207,7 +228,7 @@ def _json_plain(payload: Column, before: list[str], struct: str, paths: list[lis
 
     # a one-element transform names the parsed array, so that it is parsed once
     column = F.transform(F.array(found), lambda items: F.when(~F.exists(items, has_array), items))
-    return Items(F.element_at(column, 1), True, lambda item, path: Value(at(item, json_steps(path))))
+    return Items(F.element_at(column, 1), True, lambda item, path: Value(_unmarked(at(item, json_steps(path)))))
 
 
 def _json_array(payload: Column, steps: list[str | int], item_of) -> Column:

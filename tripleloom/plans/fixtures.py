@@ -116,6 +116,17 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("msg_id"), F.lit("orders").alias("topic"), payload.alias("payload"))
 
 
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with money as JSON numbers, two decimals each, as fields and as array elements."""
+    rows = messages(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    payload = F.concat(
+        F.lit('{"line":"'), key, F.lit('","price":'), money("l_extendedprice"), F.lit(',"rates":['), money("l_discount"),
+        F.lit(","), money("l_tax"), F.lit('],"count":'), F.col("l_quantity").cast("long").cast("string"), F.lit("}"),
+    )
+    return rows.select(key.alias("msg_id"), payload.alias("payload"))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))
     return messages(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), payload.alias("payload"))

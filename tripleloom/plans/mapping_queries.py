@@ -185,6 +185,22 @@ SUPPLIERS = Mapping(
     input_format="CSV",
 )
 
+NUMBERS = Mapping(
+    "numbers",
+    (
+        TriplesMap(
+            "line",
+            template(EX + "line/{line}"),
+            (
+                po(EX + "price", reference("price", XSD + "decimal")),
+                po(EX + "discount", reference("rates[0]", XSD + "decimal")),
+                po(EX + "count", reference("count", XSD + "integer")),
+                po(EX + "label", template("{count} for {price}", "literal")),
+            ),
+        ),
+    ),
+)
+
 JOIN = Mapping(
     "join",
     (
@@ -377,6 +393,10 @@ FACTS_SQL = """(
       {'n': 4, 'name': 'date', 'value': strftime(o_orderdate, '%Y-%m-%d'), 'unit': 'none'}]) as f
     from orders))"""
 
+LINES_PRICED_SQL = """(
+  select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as line,
+    printf('%.2f', l_extendedprice) as price, printf('%.2f', l_discount) as discount, l_quantity::bigint as n from lineitem)"""
+
 ORDER = f"'{EX}order/' || o_orderkey"
 ORDER_CUSTOMER = f"'{EX}customer/' || o_custkey"
 ORDERS_SQL = (
@@ -687,6 +707,19 @@ QUERIES = {
             [(ORDER, _lit("by"), _iri(f"'{EX}customer/' || c_custkey || '/' || replace(c_name, '#', '%23')"))],
         ),
     ),
+    "map_numbers": (
+        _map(fixtures.priced_lines, NUMBERS),
+        _union(
+            LINES_PRICED_SQL,
+            "line",
+            [
+                (f"'{EX}line/' || line", _lit("price"), _text("price", _xsd("decimal"))),
+                (f"'{EX}line/' || line", _lit("discount"), _text("discount", _xsd("decimal"))),
+                (f"'{EX}line/' || line", _lit("count"), _text("n::varchar", _xsd("integer"))),
+                (f"'{EX}line/' || line", _lit("label"), _text("n || ' for ' || price")),
+            ],
+        ),
+    ),
     "serialize_joined": (
         _serialize_joined,
         f"""select o_orderkey as msg_id,
