@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -152,6 +153,14 @@ def test_register(spark):
     }
 
 
+def test_register_reads_the_requests_twice(spark, tmp_path):
+    for name, rows in (("requests", [("a", 1, "flat")]), ("known", [("b", 1, "flat")])):
+        spark.createDataFrame(rows, "channel_id string, seq long, mapping_id string").write.parquet(str(tmp_path / name))
+    requests, known = (spark.read.parquet(str(tmp_path / name)) for name in ("requests", "known"))
+    plan = catalog.register_channels(requests, known, {"flat": q.FLAT})._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*mapping_id", plan)) == 2 and plan.count("Exchange ") <= 9
+
+
 def test_listings_read_only_what_is_asked(spark, tmp_path):
     path = str(tmp_path / "definitions")
     settings.with_channel_id(read(spark, HARBOUR)).write.parquet(path)
@@ -216,7 +225,7 @@ def test_fold(spark):
 
 def test_report_restore_and_completion(spark):
     log = spark.createDataFrame([event("a", 1, "add"), event("b", 1, "add", stop=True)], LOG)
-    log = log.unionByName(spark.createDataFrame([state.completion_event("b", 2, "RuntimeError: x")], LOG))
+    log = log.unionByName(state.completion_events(spark.createDataFrame([("b",)], "channel_id string"), 2, "RuntimeError: x"))
     now = state.current_state(log)
     topics = spark.createDataFrame(
         [("a", "x", None, None), ("b", None, "y", "z")], "channel_id string, monitor_in_topic string, monitor_out_topic string, error_topic string"
@@ -294,7 +303,7 @@ def test_carry_over_equals_one_window(spark):
     whole = Window.partitionBy("channel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     want = log.withColumn("before", F.last("error_enabled", ignorenulls=True).over(whole)).select("channel_id", "seq", "before").collect()
     for span in (1, 13, 1000):
-        got = state.last_before(log, ["error_enabled"], span).select("channel_id", "seq", "before_error_enabled").collect()
+        got = state.last_before(log, ["error_enabled"], span, 3).select("channel_id", "seq", "before_error_enabled").collect()
         assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 

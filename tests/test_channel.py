@@ -55,11 +55,10 @@ def test_switches_and_absent_topics(spark):
     off = {"monitor_in_enabled": False, "monitor_out_enabled": False, "error_enabled": False}
     none = {"monitor_in_topic": None, "monitor_out_topic": None, "error_topic": None}
     # side topics come and go, the main flow does not change
-    assert [r[0] for r in sent(spark, df, off)] == ["output"]
-    assert [r[0] for r in sent(spark, df, none)] == ["output"]
+    assert [r[0] for r in sent(spark, df, off)] == ["log", "output"]
+    assert [r[0] for r in sent(spark, df, none)] == ["log", "output"]
     assert sent(spark, df, {"is_stopped": True}) == []
-    assert [r[0] for r in sent(spark, df, {"output_broker": "MQTT", **off})] == ["output"]
-    assert sent(spark, df, {"output_broker": "MQTT", **off})[0][2] is None
+    assert [(r[0], r[2]) for r in sent(spark, df, {"output_broker": "MQTT", **off})] == [("log", None), ("output", None)]
 
 
 def test_several_channels_on_one_topic(spark):
@@ -86,13 +85,19 @@ def test_python_transformation_captures_failures(spark):
     assert rows[1].error.startswith("ValueError")
 
 
-def test_errors_without_topic_are_counted(spark):
-    from pyspark.sql import Observation
+def test_failures_are_counted_by_channel(spark):
+    rows = [{}, {"channel_id": "c2", "error_topic": None}, {"channel_id": "c3", "error_enabled": False}, {"channel_id": "c4", "mapping_id": "gone"}]
+    out = channel.records(channel.annotate(inbox(spark, GOOD, BAD, BAD), channels(spark, *rows), {"m": M}))
+    found = {r.channel_id: (r.failures, r.failures_without_topic) for r in channel.failure_counts(out).collect()}
+    assert found == {"c1": (2, 0), "c2": (2, 2), "c3": (2, 2), "c4": (3, 0)}
+    assert {r.value for r in out.where("sink = 'log'").collect()} == {"Failure(MalformedMessage: not a well-formed JSON document)"}
 
-    df = channel.annotate(inbox(spark, GOOD, BAD, BAD), channels(spark, {"error_topic": None}), {"m": M})
-    seen = Observation("errors")
-    channel.dropped_errors(df, seen).collect()
-    assert seen.get == {"messages": 3, "failures": 2, "failures_without_topic": 2}
+
+def test_each_topic_at_its_own_servers(spark):
+    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("x", "4")], "topic string, value string")
+    groups = channel.by_servers(rows, {"a": "one:1", "b": "two:2", "c": "one:1"})
+    assert {k: sorted(r.topic for r in v.collect()) for k, v in groups.items()} == {"one:1": ["a", "c"], "two:2": ["b"]}
+    assert channel.by_servers(rows, None) == {} and channel.by_servers(rows, "all:1")["all:1"].count() == 4
 
 
 def test_dry_run(spark):
@@ -227,7 +232,7 @@ def test_stream_equals_batch_over_restarts_and_switches(spark, tmp_path):
     drop_files(spark, inputs, 3, 1)
     run()
     new = [r for r in written(spark, out) if r not in before]
-    assert {r[0] for r in new} == {"output", "monitor_out"} and {r[1].split("-")[0] for r in new} == {"3"}
+    assert {r[0] for r in new} == {"output", "monitor_out", "log"} and {r[1].split("-")[0] for r in new} == {"3"}
 
 
 def test_ended_streams_are_logged(spark, tmp_path):
@@ -239,7 +244,7 @@ def test_ended_streams_are_logged(spark, tmp_path):
     inputs = str(tmp_path / "in")
     drop_files(spark, inputs, 0, 1)
     rows = []
-    log = channel.CompletionLog(rows.extend, lambda name: [f"{name}-channel"])
+    log = channel.CompletionLog(lambda df: rows.extend(df.collect()), lambda name: spark.createDataFrame([(f"{name}-channel",)], "channel_id string"))
     spark.streams.addListener(log)
     try:
         for name, load in (("good", lambda: channels(spark, {})), ("bad", lambda: 1 / 0)):
@@ -255,11 +260,11 @@ def test_ended_streams_are_logged(spark, tmp_path):
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(log)
-    added = [{**state.completion_event(r["channel_id"], 1, None), "action": "add"} for r in rows]
     schema = (
         "channel_id string, seq long, action string, is_stopped boolean, monitor_in_enabled boolean, "
         "monitor_out_enabled boolean, error_enabled boolean, error string"
     )
+    added = [{**r.asDict(), "seq": 1, "action": "add", "error": None} for r in rows]
     names = [f.split(" ")[0] for f in schema.split(", ")]
     events = spark.createDataFrame([tuple(r[n] for n in names) for r in added + rows], schema)
     now = {r.channel_id: (r.is_stopped, r.error) for r in state.current_state(events).collect()}

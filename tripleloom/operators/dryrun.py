@@ -21,6 +21,10 @@ def sample_for(input_format: Column) -> Column:
     return out
 
 
+def no_such_mapping(mapping_id: Column) -> Column:
+    return F.concat(F.lit("NoSuchMapping: "), F.coalesce(mapping_id, F.lit("null")))
+
+
 def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, payload: str, key: str) -> DataFrame:
     """Add `doc` and `error` for rows that each name their mapping.
 
@@ -44,7 +48,7 @@ def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, pa
         doc = F.when(chosen == name, document_column(F.col(column), mapping.output_format)).otherwise(doc)
         helpers.append(column)
     error = (
-        F.when(F.col("_fmt").isNull(), F.concat(F.lit("NoSuchMapping: "), F.coalesce(chosen, F.lit("null"))))
+        F.when(F.col("_fmt").isNull(), no_such_mapping(chosen))
         .when(~F.col("_ok"), validate.error_text(F.col("_fmt")))
     )
     return df.withColumn("doc", F.when(F.col("_ok"), doc)).withColumn("error", error).drop(*helpers)
@@ -53,13 +57,15 @@ def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, pa
 def dry_run(catalog: DataFrame, mappings: dict[str, Mapping], mapping_id: str = "mapping_id", sample: str | None = None) -> DataFrame:
     """ok, error and doc of every catalog row, run on its sample or on the default of its format.
 
-    Without samples of their own, rows that name the same mapping share one run of it.
+    Without samples of their own every mapping is run once, apart from the catalog, and looked up.
     """
     if sample is None:
-        names = catalog.select(mapping_id).distinct()
-        tried = dry_run(names.withColumn("_own", F.lit(None).cast("string")), mappings, mapping_id, "_own").drop("_own")
-        tried = tried.withColumnRenamed(mapping_id, "_tried")
-        return catalog.join(tried, F.col(mapping_id).eqNullSafe(F.col("_tried")), "left").drop("_tried")
+        names = catalog.sparkSession.createDataFrame([(name, None) for name in mappings], "_tried string, _own string")
+        tried = dry_run(names, mappings, "_tried", "_own").drop("_own")
+        # a row for each mapping that the driver itself holds
+        rows = catalog.join(F.broadcast(tried), F.col(mapping_id) == F.col("_tried"), "left")
+        unknown = F.when(F.col("_tried").isNull(), no_such_mapping(F.col(mapping_id)))
+        return rows.withColumns({"error": F.coalesce("error", unknown), "ok": F.coalesce("ok", F.lit(False))}).drop("_tried")
     fmt = F.lit(None).cast("string")
     for name, mapping in mappings.items():
         fmt = F.when(F.col(mapping_id) == name, F.lit(mapping.input_format)).otherwise(fmt)

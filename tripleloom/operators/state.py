@@ -10,6 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# --- fixed values: report texts of a status update -------------------------------------------------
+NO_CHANNEL = "No channel with ID: "
+EMPTY_STATUS = "ChannelStatus object was empty, so no updates were made."
+NO_UPDATES = "No updates were made to channel status for channel with ID: "
+UPDATED = "Updated settings for channel with ID: "
+UPDATED_AND_STOPPED = "Updated settings and stopped channel with ID: "
+UPDATED_AND_STARTED = "Updated settings and started channel with ID: "
+# ----------------------------------------------------------------------------------------------
+
 FLAGS = ("is_stopped", "monitor_in_enabled", "monitor_out_enabled", "error_enabled")
 TOPIC_FLAGS = FLAGS[1:]
 DEFAULT_FLAGS = {"is_stopped": False, "monitor_in_enabled": True, "monitor_out_enabled": True, "error_enabled": True}
@@ -55,20 +64,30 @@ def current_state(events: DataFrame) -> DataFrame:
     return folded.where("present").join(texts, ["channel_id", "error_seq"], "left").select("channel_id", *FLAGS, "error", "last_seq")
 
 
-def last_before(log: DataFrame, columns: list[str], span: int) -> DataFrame:
+# Stretches of one channel that are looked at together.
+STRETCHES = 1 << 14
+
+
+def last_before(log: DataFrame, columns: list[str], span: int, stretches: int = STRETCHES) -> DataFrame:
     """Add `before_<column>`: the last value that is not null among a channel's earlier events.
 
     The log is cut into stretches of `span` sequence numbers. A window runs inside one stretch of one
-    channel, and what enters a stretch is carried over from one summary row per stretch. So the
-    longest run a single task sorts is bounded by `span`, not by the size of the busiest channel.
+    channel, and what enters a stretch is carried over from one summary row per stretch; those rows are cut into longer
+    stretches in the same way. So one task sorts `span` or `stretches` rows of a channel at most, and one row for every
+    span * stretches sequence numbers, not the busiest channel's log.
     """
     log = log.withColumn("_stretch", F.floor(F.col("seq") / F.lit(span)))
     inside = Window.partitionBy("channel_id", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("channel_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     near = log.withColumns({f"_near_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns})
-    summary = log.groupBy("channel_id", "_stretch").agg(*[_latest(F.col(c), F.col("seq")).alias(f"_s_{c}") for c in columns])
-    carried = summary.select(
-        "channel_id", "_stretch", *[F.last(f"_s_{c}", ignorenulls=True).over(over).alias(f"_far_{c}") for c in columns]
+    summary = log.groupBy("channel_id", "_stretch").agg(*[_latest(F.col(c), F.col("seq")).alias(c) for c in columns])
+    summary = summary.withColumn("_long", F.floor(F.col("_stretch") / F.lit(stretches)))
+    whole = summary.groupBy("channel_id", "_long").agg(*[_latest(F.col(c), F.col("_stretch")).alias(c) for c in columns])
+    among = Window.partitionBy("channel_id", "_long").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("channel_id").orderBy("_long").rowsBetween(Window.unboundedPreceding, -1)
+    mid = summary.select("channel_id", "_stretch", "_long", *[F.last(c, ignorenulls=True).over(among).alias(f"_mid_{c}") for c in columns])
+    far = whole.select("channel_id", "_long", *[F.last(c, ignorenulls=True).over(over).alias(f"_far_{c}") for c in columns])
+    carried = mid.join(far, ["channel_id", "_long"]).select(
+        "channel_id", "_stretch", *[F.coalesce(f"_mid_{c}", f"_far_{c}").alias(f"_far_{c}") for c in columns]
     )
     return (
         near.join(carried, ["channel_id", "_stretch"])
@@ -77,7 +96,7 @@ def last_before(log: DataFrame, columns: list[str], span: int) -> DataFrame:
     )
 
 
-def status_changes(events: DataFrame, channels: DataFrame, span: int = 1_000_000) -> DataFrame:
+def status_changes(events: DataFrame, channels: DataFrame, span: int = 1_000_000, stretches: int = STRETCHES) -> DataFrame:
     """What each update really changed, judged against the state just before it.
 
     `running`, `monitor_in`, `monitor_out` and `error_topic` hold the new value where it changed and
@@ -86,7 +105,7 @@ def status_changes(events: DataFrame, channels: DataFrame, span: int = 1_000_000
     """
     asked = {f"asked_{f}": F.when(F.col("action") == "update", F.col(f)) for f in FLAGS}
     log = effects(events.withColumns(asked))
-    seen = last_before(log, [*FLAGS, "present"], span).where("action = 'update'")
+    seen = last_before(log, [*FLAGS, "present"], span, stretches).where("action = 'update'")
     topics = channels.select(
         "channel_id",
         F.col("monitor_in_topic").isNotNull().alias("has_monitor_in"),
@@ -112,12 +131,12 @@ def status_changes(events: DataFrame, channels: DataFrame, span: int = 1_000_000
     )
     any_topic = F.coalesce("monitor_in", "monitor_out", "error_topic").isNotNull()
     report = (
-        F.when(~F.col("known"), F.concat(F.lit("No channel with ID: "), "channel_id"))
-        .when(F.col("empty"), F.lit("ChannelStatus object was empty, so no updates were made."))
-        .when(F.col("running").isNull() & ~any_topic, F.concat(F.lit("No updates were made to channel status for channel with ID: "), "channel_id"))
-        .when(F.col("running").isNull(), F.concat(F.lit("Updated settings for channel with ID: "), "channel_id"))
-        .when(~F.col("running"), F.concat(F.lit("Updated settings and stopped channel with ID: "), "channel_id"))
-        .otherwise(F.concat(F.lit("Updated settings and started channel with ID: "), "channel_id"))
+        F.when(~F.col("known"), F.concat(F.lit(NO_CHANNEL), "channel_id"))
+        .when(F.col("empty"), F.lit(EMPTY_STATUS))
+        .when(F.col("running").isNull() & ~any_topic, F.concat(F.lit(NO_UPDATES), "channel_id"))
+        .when(F.col("running").isNull(), F.concat(F.lit(UPDATED), "channel_id"))
+        .when(~F.col("running"), F.concat(F.lit(UPDATED_AND_STOPPED), "channel_id"))
+        .otherwise(F.concat(F.lit(UPDATED_AND_STARTED), "channel_id"))
     )
     return rows.withColumn("report", report).drop("known", "empty")
 
@@ -151,15 +170,12 @@ def apply_state(channels: DataFrame, state: DataFrame) -> DataFrame:
     return channels.drop(*FLAGS).join(state.select("channel_id", *FLAGS), "channel_id")
 
 
-def completion_event(channel_id: str, seq: int, error: str | None) -> dict:
-    """Log row for a stream that ended: finished without an error, failed with one."""
-    return {
-        "channel_id": channel_id,
-        "seq": seq,
-        "action": "completed" if error is None else "failed",
-        "is_stopped": None,
-        "monitor_in_enabled": None,
-        "monitor_out_enabled": None,
-        "error_enabled": None,
-        "error": error,
-    }
+def completion_events(channels: DataFrame, seq: int, error: str | None) -> DataFrame:
+    """Log rows for the channels of a stream that ended: finished without an error, failed with one."""
+    return channels.select(
+        "channel_id",
+        F.lit(seq).cast("bigint").alias("seq"),
+        F.lit("completed" if error is None else "failed").alias("action"),
+        *[F.lit(None).cast("boolean").alias(f) for f in FLAGS],
+        F.lit(error).cast("string").alias("error"),
+    )

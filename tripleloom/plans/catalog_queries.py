@@ -133,7 +133,7 @@ def _find_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _remove_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) as channel_id", "c_name as name")
-    gone = fixtures.table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) as channel_id")
+    gone = fixtures.table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey * 2) as channel_id")
     return catalog.remove(rows, gone, "channel_id")
 
 
@@ -280,7 +280,7 @@ QUERIES = {
     "remove_channels": (
         _remove_channels,
         """select 'c' || c_custkey as channel_id, c_name as name from customer
-        where c_custkey not in (select o_custkey from orders where o_custkey is not null)""",
+        where c_custkey not in (select o_custkey * 2 from orders where o_custkey is not null)""",
     ),
     "remove_report": (
         _remove_report,

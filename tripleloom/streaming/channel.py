@@ -10,14 +10,14 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
-from tripleloom.operators.state import completion_event
+from tripleloom.operators.state import completion_events
 from tripleloom.session import prepare
 from tripleloom.sources.messages import kafka_sink_options, record_key, to_kafka
 
@@ -132,13 +132,21 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
             ),
         )
 
-    mark = marker(F.col("topic"), time)
+    mark, nothing = marker(F.col("topic"), time), F.lit(None).cast("string")
     sent = F.array(
         record("monitor_in", mark, F.col("monitor_in_enabled")),
         record("output", F.col("doc"), ok),
         record("error", failure(F.col("error")), ~ok & F.col("error_enabled"), F.col("payload")),
         record("monitor_out", mark, ok & F.col("monitor_out_enabled")),
-    )
+        # a failure that no topic takes is logged beside the other records
+        F.when(
+            ~ok & (F.col("error_topic").isNull() | ~F.col("error_enabled")),
+            F.struct(
+                F.lit("log").alias("sink"), nothing.alias("broker"), nothing.alias("topic"), nothing.alias("key"),
+                failure(F.col("error")).alias("value"), F.col("payload").alias("payload"),
+            ),
+        ),
+    )
     place = [
         F.col(c) if c in annotated.columns else F.lit(None).cast(t).alias(c) for c, t in (("part", "string"), ("position", "bigint"))
     ]
@@ -168,15 +176,11 @@ def ranked(sent: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return placed.select(*sent.columns, (F.col("_own") + F.col("_before")).alias("rank"))
 
 
-def dropped_errors(annotated: DataFrame, name: str | Observation = "channel_errors") -> DataFrame:
-    """Count failures that no error topic takes, as an observed metric; no extra pass over the data."""
-    failed = F.col("error").isNotNull()
-    lost = failed & (F.col("error_topic").isNull() | ~F.col("error_enabled"))
-    return annotated.observe(
-        name,
-        F.count(F.lit(1)).alias("messages"),
-        F.count(F.when(failed, 1)).alias("failures"),
-        F.count(F.when(lost, 1)).alias("failures_without_topic"),
+def failure_counts(sent: DataFrame) -> DataFrame:
+    """Failures of each channel: how many there were, and how many of them no error topic took."""
+    logged = F.col("sink") == "log"
+    return sent.where(logged | (F.col("sink") == "error")).groupBy("channel_id").agg(
+        F.count("*").alias("failures"), F.count(F.when(logged, 1)).alias("failures_without_topic")
     )
 
 
@@ -191,6 +195,18 @@ def write_records(sent: DataFrame, path: str, batch_id: int) -> DataFrame:
     return sent.sparkSession.read.schema(sent.schema).parquet(target)
 
 
+def by_servers(rows: DataFrame, servers: str | dict[str, str] | None) -> dict[str, DataFrame]:
+    """Kafka records by the servers that their topics are at; one write for each address."""
+    if not servers:
+        return {}
+    if isinstance(servers, str):
+        return {servers: rows}
+    topics: dict[str, list[str]] = {}
+    for topic, address in servers.items():
+        topics.setdefault(address, []).append(topic)
+    return {address: rows.where(F.col("topic").isin(names)) for address, names in topics.items()}
+
+
 def run_channels(
     stream: DataFrame,
     load_channels: Callable[[], DataFrame],
@@ -198,7 +214,8 @@ def run_channels(
     path: str,
     checkpoint: str,
     transformations: dict[str, Transformation] | None = None,
-    kafka_servers: str | None = None,
+    kafka_servers: str | dict[str, str] | None = None,
+    on_failures: Callable[[DataFrame], None] | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
     at: Column | None = None,
@@ -208,14 +225,17 @@ def run_channels(
     Channels are read again for every micro-batch, so switching a topic or stopping a channel takes
     effect at the next one. Each micro-batch overwrites its own folder: a batch repeated after a lost
     executor or a restart leaves the same records, once. Kafka gets what that folder holds, at least
-    once. `at` is the time in monitor markers, as in `records`.
+    once: at one address, or each topic at its own by a dictionary; topics that it doesn't name stay in the folder.
+    `on_failures` gets each batch's failure counts by channel. `at` is the time in monitor markers, as in `records`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         annotated = annotate(batch, load_channels(), mappings, transformations)
-        written = write_records(records(dropped_errors(annotated), at), path, batch_id)
-        if kafka_servers:
-            to_kafka(written).write.format("kafka").options(**kafka_sink_options(kafka_servers)).save()
+        written = write_records(records(annotated, at), path, batch_id)
+        if on_failures:
+            on_failures(failure_counts(written))
+        for servers, rows in by_servers(to_kafka(written), kafka_servers).items():
+            rows.write.format("kafka").options(**kafka_sink_options(servers)).save()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if query_name:
@@ -226,10 +246,11 @@ def run_channels(
 class CompletionLog(StreamingQueryListener):
     """Appends an event to the state log for every channel of a query that ended.
 
-    `append` takes the rows; `channels_of` names the channels a query (by its name) was running.
+    `append` takes the rows as a DataFrame; `channels_of` gives the channel table's rows that a query (by its name)
+    was running, so any number of channels ends at the cost of one write.
     """
 
-    def __init__(self, append: Callable[[list[dict]], None], channels_of: Callable[[str], list[str]]):
+    def __init__(self, append: Callable[[DataFrame], None], channels_of: Callable[[str], DataFrame]):
         self._append = append
         self._channels_of = channels_of
         self._names: dict[str, str] = {}
@@ -246,4 +267,4 @@ class CompletionLog(StreamingQueryListener):
     def onQueryTerminated(self, event):
         name = self._names.pop(str(event.id), None)
         seq = time.time_ns() // 1000
-        self._append([completion_event(c, seq, event.exception) for c in self._channels_of(name)])
+        self._append(completion_events(self._channels_of(name), seq, event.exception))
