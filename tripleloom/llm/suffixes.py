@@ -348,8 +348,8 @@ class Plan:
         return ids, runs, runs.contents()
 
     def contents(self, key: tuple[pa.Scalar, ...], rows: pa.Table, lists: pa.Table) -> pa.Table:
-        """Step 2, of a bucket: the distinct runs around shared anchors by part, with the least and greatest id of each."""
-        kinds = (("part", pa.int64()), ("bucket", pa.int64()), ("content", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary()))
+        """Step 2, of a bucket: the distinct runs around shared anchors by part, with the least id of each and whether there are several."""
+        kinds = (("part", pa.int64()), ("bucket", pa.int64()), ("content", pa.binary()), ("least", pa.binary()), ("several", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary()))
         empty = pa.table({c: pa.array([], t) for c, t in kinds})
         if not len(rows) or not len(lists):
             return empty
@@ -361,7 +361,8 @@ class Plan:
         part, sorted_content = part[order], content[order]
         first = np.flatnonzero(np.append(True, (sorted_content[1:] != sorted_content[:-1]) | (part[1:] != part[:-1])))
         own = ids[runs.text[order]]
-        least, most = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+        least = np.minimum.reduceat(own, first)
+        several = np.maximum.reduceat(own, first) != least
         part, content, rows_of = part[first], sorted_content[first], order[first]
         data, size = runs.bytes_of(rows_of)
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -373,17 +374,19 @@ class Plan:
                 "bucket": pa.array([key[0].as_py()] * len(spans), pa.int64()),
                 "content": pa.array([content[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
                 "least": pa.array([least[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
-                "most": pa.array([most[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+                "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary()),
                 "size": pa.array([size[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                "bytes": pa.array([data[ends[a] : ends[b]].tobytes() for a, b in spans], pa.binary()),
+                "bytes": pa.array([pa.compress(data[ends[a] : ends[b]].tobytes(), "zstd", asbytes=True) for a, b in spans], pa.binary()),
             }
         )
 
     def owners(self, key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Step 3, of a part: for each bucket its runs that some smaller id has strings of, and the least id of each string."""
         columns = {c: rows[c].to_pylist() for c in rows.column_names}
-        content, least, most, size = (_join(columns[c], t) for c, t in (("content", "<u8"), ("least", "<i8"), ("most", "<i8"), ("size", "<u4")))
-        data = _join(columns["bytes"], "u1")
+        content, least, size = (_join(columns[c], t) for c, t in (("content", "<u8"), ("least", "<i8"), ("size", "<u4")))
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(c) // 8) for x, c in zip(columns["several"], columns["content"], strict=True)]) > 0
+        sizes = [int(np.frombuffer(x, "<u4").sum()) for x in columns["size"]]
+        data = _join([pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(columns["bytes"], sizes, strict=True)], "u1")
         bucket = np.repeat(np.array(columns["bucket"]), [len(x) // 8 for x in columns["content"]])
         starts = np.cumsum(size, dtype=np.int64) - size
         # equal runs of several buckets are one
@@ -407,7 +410,7 @@ class Plan:
         stretches = np.bincount(run_of, minlength=len(single))
         offset = np.cumsum(stretches) - stretches
         smallest = np.minimum.reduceat(owner[at], offset)
-        useful = np.flatnonzero(smallest[group] < most)
+        useful = np.flatnonzero((smallest[group] < least) | several)
         useful = useful[np.argsort(bucket[useful], kind="stable")]
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[useful]) != 0)), len(useful)) if len(useful) else np.zeros(1, int)
         out = {c: [] for c in ("bucket", "content", "stretches", "owner", "strings")}
@@ -520,7 +523,7 @@ def deduplicate(
     tags = by_bucket.applyInArrow(_of_group(plan.anchors), "part long, bucket long, tags binary, several binary")
     lists = tags.groupBy("part").applyInArrow(_of_group(plan.shared), "bucket long, part long, tags binary")
     runs = by_bucket.cogroup(lists.groupBy("bucket")).applyInArrow(
-        _of_bucket(plan.contents), "part long, bucket long, content binary, least binary, most binary, size binary, bytes binary"
+        _of_bucket(plan.contents), "part long, bucket long, content binary, least binary, several binary, size binary, bytes binary"
     )
     owners = runs.groupBy("part").applyInArrow(_of_group(plan.owners), "bucket long, content binary, stretches binary, owner binary, strings binary")
     # a bucket's lists and results side by side
