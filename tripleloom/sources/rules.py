@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,20 +88,42 @@ def join_table(triples: DataFrame) -> DataFrame:
     return conditions.join(child, "condition").join(other, "condition").select("node", "child", "parent_path")
 
 
+def _collected(**tables: DataFrame) -> dict[str, list[SimpleNamespace]]:
+    """Rows of several tables, brought to the driver by one job."""
+    tagged = None
+    for name, table in tables.items():
+        row = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+        part = table.select(F.lit(name).alias("name"), row.alias("row"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    out: dict[str, list[SimpleNamespace]] = {name: [] for name in tables}
+    for r in tagged.collect():
+        out[r.name].append(SimpleNamespace(**json.loads(r.row)))
+    return out
+
+
 def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL", rml: str | None = None) -> Mapping:
-    """Build the mapping a rule document describes. A rule document is small: one per mapping."""
-    triples = triples.coalesce(1)  # one small document: no shuffle between its tables
-    terms = {r.node: r for r in term_table(triples).collect()}
+    """Build the mapping a rule document describes.
+
+    The document's tables are put together by Spark and come to the driver at once, as a mapping is a driver's object.
+    """
+    found = _collected(
+        terms=term_table(triples),
+        joins=join_table(triples),
+        poms=predicate_object_table(triples),
+        classes=triples.where(F.col("p") == RR + "class").select("s", "o"),
+        maps=triples_map_table(triples),
+    )
+    terms = {r.node: r for r in found["terms"]}
     joins: dict[str, list[tuple[str, str]]] = {}
-    for r in join_table(triples).orderBy("node", "child").collect():
+    for r in sorted(found["joins"], key=lambda r: (r.node, r.child)):
         joins.setdefault(r.node, []).append((r.child, r.parent_path))
     poms: dict[str, dict[str, list]] = {}
-    for r in predicate_object_table(triples).orderBy("map_id", "pom", "role", "term").collect():
+    for r in sorted(found["poms"], key=lambda r: (r.map_id, r.pom, r.role, r.term)):
         poms.setdefault(r.map_id, {}).setdefault(r.pom, []).append(r)
     classes: dict[str, list[str]] = {}
-    for r in triples.where(F.col("p") == RR + "class").select("s", "o").orderBy("o").collect():
+    for r in sorted(found["classes"], key=lambda r: r.o):
         classes.setdefault(r.s, []).append(r.o)
-    maps = triples_map_table(triples).orderBy("id").collect()
+    maps = sorted(found["maps"], key=lambda r: r.id)
 
     def function_call(node: str, term_type: str | None, datatype: str | None) -> TermMap:
         name, args = None, []
