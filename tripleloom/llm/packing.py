@@ -62,7 +62,15 @@ class Ids:
         asked = [c for c in asked if c not in known]
         known.update((c, old[c]) for c in asked if c in old)
         asked = [c for c in asked if c not in old]
-        for chunk, found in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+        # words of letters alone are cut out of one text, each of them a word of the tokenizer's
+        words = [c for c in asked if c.isalpha()]
+        if words:
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(found.word_ids, np.arange(len(words)), "right")).tolist()
+            known.update((c, ids[a:b]) for c, a, b in zip(words, [0, *ends], ends, strict=False))
+        rest = [c for c in asked if not c.isalpha()]
+        for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[chunk] = _packed(found.ids)
         known.update((c, known[word] + known[c[-1]]) for c, word in bare.items())
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripleloom.llm.common import ascii_lower
+from tripleloom.llm.common import ascii_lower, written
 
 #: (host, path) and verdict.
 RULES = (
@@ -148,7 +148,8 @@ def judge(
     # urls of one shape have the same tokens: each shape is matched once
     shaped = known.withColumn("shape", F.xxhash64("tokens"))
     shapes = shaped.groupBy("shape").agg(F.first("tokens").alias("tokens"))
-    hits = match(shapes, mined, "shape").select("shape", F.col("antecedent").alias("mined"), "confidence")
+    # written down, so that the join can split the urls of a very common shape
+    hits = written(match(shapes, mined, "shape").select("shape", F.col("antecedent").alias("mined"), "confidence"), "url-hits")
     found = listed(F.col("host"), F.col("path"), rules)
     out = shaped.join(hits, "shape", "left").withColumn("found", found)
     by_method = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
