@@ -4,37 +4,37 @@ from __future__ import annotations
 
 import math
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import fresh
+from tripleloom.llm.common import fresh, slices, text_bytes
 
 WINDOW = 2048
 END_ID = 1
 #: Bytes of text that are packed together: each such group has its own sequences. A group leaves one or two windows
 #: partly empty, so some 700 windows in a group keep the padding far below one percent.
 GROUP_BYTES = 4_000_000
-#: Chunks of text whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 350_000
+#: Chunks of text whose ids a Python worker remembers before it starts anew.
+REMEMBERED = 1_000_000
+#: Bytes of text whose chunks are told apart together.
+CHUNK_BYTES = 1 << 23
 
 _loaded: dict[str, "Ids"] = {}
 
 
 class Ids:
-    """The ids of a text, as little-endian unsigned 32-bit bytes.
+    """The ids of texts.
 
     Where a tokenizer cuts at white space first, a text's ids are those of its chunks between white space. Chunks repeat, so
     their ids are remembered. This holds for texts below U+0250, which need no normalisation beyond lower case; every
     other text, texts with a special token's string, and every tokenizer of another kind, go through the tokenizer whole.
     """
 
-    _plain = re.compile("[^\x00-\x1b\x20-ɏ]")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -46,22 +46,27 @@ class Ids:
             and "behavior=Removed, invert=True" in kind[1]
             and r"[^\s" in kind[1]
         )
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of chunks; those of the old generation move up from there."""
-        known, old = self.known, self.old
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # U+0130 has two characters in lower case
+        self.odd = "|".join([r"[^\x{00}-\x{1b}\x{20}-\x{12f}\x{131}-\x{24f}]", *map(re.escape, special)])
+        # chunks met so far, and where each one's ids are
+        self.chunks = pa.array([], pa.string())
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _ids_of(self, chunks: pa.StringArray) -> dict[str, bytes]:
+        """Ids of those chunks that are remembered."""
+        at = pc.index_in(chunks, value_set=self.chunks)
+        there = chunks.filter(at.is_valid()).to_pylist()
+        at = at.drop_null().to_numpy()
+        return {c: self.ids[self.ends[i] : self.ends[i + 1]].tobytes() for c, i in zip(there, at, strict=True)}
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        """Ids of new chunks."""
         # a word and the full stop or comma after it are cut apart anyway
-        bare = {c: c[:-1] for c in new if c[-1] in ".," and c[:-1].isalpha()}
-        asked = {c for c in new if c not in bare} | set(bare.values()) | {".", ","}
-        asked = [c for c in asked if c not in known]
-        known.update((c, old[c]) for c in asked if c in old)
-        asked = [c for c in asked if c not in old]
+        stems = {c: c[:-1] for c in new if c and c[-1] in ".," and c[:-1].isalpha()}
+        known = self._ids_of(pa.array([".", ",", *set(stems.values())], pa.string()))
+        asked = {*(c for c in new if c not in stems), *stems.values(), ".", ","}.difference(known, ("",))
         # words of letters alone are cut out of one text, each of them a word of the tokenizer's
         words = [c for c in asked if c.isalpha()]
         if words:
@@ -71,24 +76,47 @@ class Ids:
             known.update((c, ids[a:b]) for c, a, b in zip(words, [0, *ends], ends, strict=False))
         rest = [c for c in asked if not c.isalpha()]
         for chunk, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[chunk] = _packed(found.ids)
-        known.update((c, known[word] + known[c[-1]]) for c, word in bare.items())
-
-    def __call__(self, text: str) -> bytes:
-        if not self.by_chunk or self._plain.search(text) or any(t in text for t in self.special):
-            return self._encode(text)
-        chunks = text.lower().split()
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:  # a full generation becomes the old one
-                self.old, self.known = self.known, {}
-                new = set(chunks)
-            self._learn(list(new))
-        return b"".join(map(self.known.__getitem__, chunks))
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+            known[chunk] = np.array(found.ids, "<u4").tobytes()
+        known[""] = b""
+        return [known[stems[c]] + known[c[-1]] if c in stems else known[c] for c in new]
+
+    def _remember(self, new: pa.StringArray) -> None:
+        found = self._encoded(new.to_pylist())
+        ends = np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+        self.chunks = pa.concat_arrays([self.chunks, new])
+        self.ends = np.concatenate([self.ends, ends + self.ends[-1]])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+
+    def _by_chunk(self, texts: pa.StringArray) -> list[np.ndarray]:
+        chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        coded = chunks.flatten().dictionary_encode()
+        each = coded.dictionary
+        at = pc.index_in(each, value_set=self.chunks)
+        if len(self.chunks) + at.null_count > REMEMBERED:
+            self.chunks, self.ends, self.ids = self.chunks.slice(0, 0), self.ends[:1], self.ids[:0]
+            at = pa.nulls(len(each), pa.int32())
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.chunks) + np.arange(at.null_count)
+            self._remember(each.filter(at.is_null()))
+        at = place[coded.indices.to_numpy()]
+        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        bounds = ends[chunks.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def of(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.by_chunk else np.ones(len(texts), bool)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            for i, ids in zip(plain, self._by_chunk(texts.take(pa.array(plain))), strict=True):
+                out[i] = ids
+        return out
 
 
 def ids_of(path: str) -> Ids:
@@ -173,29 +201,31 @@ def pack(
     id_type = docs.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ids_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = ids_of(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            rows: dict[str, list] = {"row": [], "start": [], "ids": [], "doc_tokens": []}
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
-                for at in range(0, len(ids), 4 * window):
-                    rows["row"].append(i)
-                    rows["start"].append(at // 4)
-                    part = ids[at : at + 4 * window]
-                    # two bytes an id on the way where that is enough
-                    short = np.frombuffer(part, "<u4")
-                    rows["ids"].append(short.astype("<u2").tobytes() + b"\2" if short.max() < 65536 else part + b"\4")
-                    rows["doc_tokens"].append(len(ids) // 4)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows["row"], pa.int64())),
-                    pa.array(rows["start"], pa.int64()),
-                    pa.array(rows["doc_tokens"], pa.int64()),
-                    pa.array(rows["ids"], pa.binary()),
-                    batch.column(2).take(pa.array(rows["row"], pa.int64())),
-                ],
-                ["id", "start", "doc_tokens", "ids", "salt"],
-            )
+            data, offsets = text_bytes(batch, "text")
+            for first, last, _, _ in slices(data, offsets, CHUNK_BYTES):
+                texts = batch.column(1).slice(first, last - first).cast(pa.string()).fill_null("")
+                rows: dict[str, list] = {"row": [], "start": [], "ids": [], "doc_tokens": []}
+                for i, found in enumerate(encode.of(texts)):
+                    ids = np.concatenate([found, end])
+                    for at in range(0, len(ids), window):
+                        part = ids[at : at + window]
+                        rows["row"].append(first + i)
+                        rows["start"].append(at)
+                        # two bytes an id on the way where that is enough
+                        rows["ids"].append(part.astype("<u2").tobytes() + b"\2" if part.max() < 65536 else part.tobytes() + b"\4")
+                        rows["doc_tokens"].append(len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows["row"], pa.int64())),
+                        pa.array(rows["start"], pa.int64()),
+                        pa.array(rows["doc_tokens"], pa.int64()),
+                        pa.array(rows["ids"], pa.binary()),
+                        batch.column(2).take(pa.array(rows["row"], pa.int64())),
+                    ],
+                    ["id", "start", "doc_tokens", "ids", "salt"],
+                )
 
     pieces = docs.withColumn("salt", F.xxhash64("id", "text")).mapInArrow(
         cut, f"id {id_type}, start long, doc_tokens long, ids binary, salt long"
