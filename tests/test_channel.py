@@ -10,6 +10,7 @@ from tripleloom.operators.dryrun import SAMPLES, apply_by_id, dry_run
 from tripleloom.plans import mapping_queries as q
 from tripleloom.sources import messages as src
 from tripleloom.streaming import channel
+from tripleloom.vocab import XSD
 
 EX = "http://example.com/"
 M = Mapping("m", (TriplesMap("t", template(EX + "{id}"), (po(EX + "v", reference("v")),)),))
@@ -123,6 +124,69 @@ def test_a_row_only_meets_its_own_mapping(spark):
     assert "part/7" in got[2].doc and got[3].error.startswith("MalformedMessage")
 
 
+def test_mappings_as_data_write_what_compiled_ones_write(spark):
+    """Random mappings over random messages: missing values, arrays, odd numbers, texts that need encoding, indexes, clashing names."""
+    import random
+
+    from tripleloom import iri, literal
+    from tripleloom.operators import rulesets
+    from tripleloom.operators.mapping import documents
+
+    random.seed(8)
+    paths = ["a", "b", "A", "n.x", "n.y.z", "l", "l[0]", "l[1].x", "t", "n", "gone", "n.gone"]
+    values = ['"x y"', '"é/ü \\"q\\" \\n"', "1.50", "7", "true", "null", "[]", '"[]"', '["a","b c",2.0,null]', '["a"]', '"[a]"', '{"x":1.0}', "-2e3", '""', "[[1],2]"]
+
+    def term():
+        path = random.choice(paths)
+        return random.choice([
+            reference(path), reference(path, XSD + "integer"), reference(path, lang="en"), reference(path, term_type="iri"), literal('say "' + path),
+            iri(EX + path), template(EX + "{a}/{" + path + "}"), template("{" + path + "} and {b}", "literal"),
+        ])
+
+    def subject():
+        return random.choice([iri(EX + "s"), template(EX + "{a}"), template(EX + "{n.x}/{b}"), template(EX + "{l[0]}")])
+
+    mappings = {}
+    for i in range(40):
+        maps = tuple(
+            TriplesMap(f"t{k}", subject(), tuple(po(EX + f"p{j % 3}", *[term() for _ in range(2)]) for j in range(3)), (EX + "C",) * (k % 2), random.choice(["$", "$", "$.n", "$.l[0]"]))
+            for k in range(2)
+        )
+        mappings[f"m{i}"] = Mapping(f"m{i}", maps, expand_arrays=i % 5 > 0)
+    assert all(rulesets.as_data(m) for m in mappings.values())
+    payloads = [
+        '{"a":%s,"b":%s,"A":%s,"n":{"x":%s,"y":{"z":%s}},"l":[%s,{"x":%s}],"t":%s}' % tuple(random.choices(values, k=8)) for _ in range(60)
+    ] + ["{}", "[]", "3", '"x"', "null", '{"n":[1,2],"l":{"x":1}}', "{"]
+    rows = [(f"{i}-{m}", m, p) for i, p in enumerate(payloads) for m in mappings]
+    df = spark.createDataFrame(rows, "msg_id string, mapping_id string, payload string")
+    got = {r.msg_id: (r.doc, r.error) for r in apply_by_id(df, mappings, "mapping_id", "payload", "msg_id").collect()}
+    for name, m in mappings.items():
+        want = documents(df.where(F.col("mapping_id") == name), m).collect()
+        assert {r.msg_id: got[r.msg_id] for r in want} == {r.msg_id: (r.doc, r.error) for r in want}, m
+
+
+def test_a_mapping_that_cannot_be_compiled_is_its_channels_error(spark):
+    bad = Mapping("bad", (TriplesMap("t", template(EX + "{id}"), (po(EX + "v", reference("a[?(@.x)]")),)),))
+    rows = [("1", "bad", GOOD), ("2", "m", GOOD)]
+    df = spark.createDataFrame(rows, "msg_id string, mapping_id string, payload string")
+    got = {r.msg_id: r for r in apply_by_id(df, {"bad": bad, "m": M}, "mapping_id", "payload", "msg_id").collect()}
+    assert got["1"].doc is None and got["1"].error.startswith("MappingError") and got["2"].error is None and got["2"].doc
+
+
+def test_500_mappings_make_one_plan(spark):
+    import time
+    from dataclasses import replace
+
+    def plan(n):
+        df = spark.createDataFrame([("1", "m1", GOOD)], "msg_id string, mapping_id string, payload string")
+        start = time.perf_counter()
+        out = apply_by_id(df, {f"m{i}": replace(M, id=f"m{i}") for i in range(n)}, "mapping_id", "payload", "msg_id")
+        return len(out._jdf.queryExecution().optimizedPlan().toString()), time.perf_counter() - start, out.first().doc
+
+    (few, _, a), (many, seconds, b) = plan(2), plan(500)
+    assert a == b and a and many < 1.2 * few and seconds < 5
+
+
 def test_channels_run_mappings_with_joins(spark):
     """Their documents are those of documents(); a failing message stays in its channel."""
     from test_mapping import JOINED, ONE_CHILD

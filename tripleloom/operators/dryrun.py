@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.model import Mapping
-from tripleloom.operators import validate
+from tripleloom.model import Mapping, MappingError
+from tripleloom.operators import rulesets, validate
 from tripleloom.operators.mapping import JSONLD, TURTLE, document_column, join_conditions, with_elements
 from tripleloom.session import prepare
 
@@ -28,30 +28,49 @@ def no_such_mapping(mapping_id: Column) -> Column:
 def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, payload: str, key: str) -> DataFrame:
     """Add `doc` and `error` for rows that each name their mapping.
 
-    Every mapping is guarded by its own id, so a row pays for the one it uses. Errors are values:
-    an unknown mapping or a malformed message never stops the others.
+    Mappings that can be data are looked up, so the plan doesn't grow with their number; the others are columns of their own,
+    each guarded by its id, so a row pays for the one it uses. Errors are values: an unknown mapping, one that
+    cannot be compiled, or a malformed message never stops the others.
     """
     prepare(df.sparkSession)
     chosen = F.col(mapping_id)
-    fmt = F.lit(None).cast("string")
-    for name, mapping in mappings.items():
-        fmt = F.when(chosen == name, F.lit(mapping.input_format)).otherwise(fmt)
+    rules = rulesets.rule_table(df.sparkSession, mappings)
+    names = {c: f"_rule_{c}" for c in rules.columns}
+    rules = rules.select(*[F.col(c).alias(n) for c, n in names.items()])
+    # a row for each mapping that the driver itself holds
+    df = df.join(F.broadcast(rules), chosen == F.col(names["mapping_id"]), "left")
     formats = tuple(sorted({m.input_format for m in mappings.values()}))
-    df = df.withColumn("_fmt", fmt).withColumn("_ok", validate.is_valid(F.col(payload), F.col("_fmt"), formats))
-    doc = F.lit(None).cast("string")
-    helpers = ["_fmt", "_ok"]
+    fmt, problem = F.col(names["input_format"]), F.col(names["problem"])
+    df = df.withColumn("_ok", validate.is_valid(F.col(payload), fmt, formats) & problem.isNull())
+    active = F.col("_ok") & F.col(names["is_data"])
+    columns, written = rulesets.document(F.col(payload), active, names["paths"], names["steps"], names["groups"])
+    for name, column in columns.items():
+        df = df.withColumn(name, column)
+    doc = F.when(active, written)
+    helpers = [*names.values(), "_ok", *columns]
     for n, (name, mapping) in enumerate(mappings.items()):
+        try:
+            if rulesets.as_data(mapping) is not None:
+                continue
+        except MappingError:  # its problem is in the rules
+            continue
         column = f"_m{n}"
         form = TURTLE if mapping.output_format == "TTL" else JSONLD
-        active = F.col("_ok") & (chosen == name)
-        df = with_elements(df, mapping, form, column, F.col(payload), active, F.col(key).cast("string"), join_conditions(mapping))
+        mine = F.col("_ok") & (chosen == name)
+        try:
+            df = with_elements(df, mapping, form, column, F.col(payload), mine, F.col(key).cast("string"), join_conditions(mapping))
+        except MappingError as e:
+            doc = F.when(chosen == name, F.lit(None).cast("string")).otherwise(doc)
+            df = df.withColumn(names["problem"], F.when(chosen == name, F.lit(f"MappingError: {e}")).otherwise(problem))
+            continue
         doc = F.when(chosen == name, document_column(F.col(column), mapping.output_format)).otherwise(doc)
         helpers.append(column)
     error = (
-        F.when(F.col("_fmt").isNull(), no_such_mapping(chosen))
-        .when(~F.col("_ok"), validate.error_text(F.col("_fmt")))
+        F.when(fmt.isNull(), no_such_mapping(chosen))
+        .when(problem.isNotNull(), problem)
+        .when(~F.col("_ok"), validate.error_text(fmt))
     )
-    return df.withColumn("doc", F.when(F.col("_ok"), doc)).withColumn("error", error).drop(*helpers)
+    return df.withColumn("doc", F.when(F.col("_ok") & problem.isNull(), doc)).withColumn("error", error).drop(*helpers)
 
 
 def dry_run(catalog: DataFrame, mappings: dict[str, Mapping], mapping_id: str = "mapping_id", sample: str | None = None) -> DataFrame:
@@ -66,9 +85,9 @@ def dry_run(catalog: DataFrame, mappings: dict[str, Mapping], mapping_id: str =
         rows = catalog.join(F.broadcast(tried), F.col(mapping_id) == F.col("_tried"), "left")
         unknown = F.when(F.col("_tried").isNull(), no_such_mapping(F.col(mapping_id)))
         return rows.withColumns({"error": F.coalesce("error", unknown), "ok": F.coalesce("ok", F.lit(False))}).drop("_tried")
-    fmt = F.lit(None).cast("string")
-    for name, mapping in mappings.items():
-        fmt = F.when(F.col(mapping_id) == name, F.lit(mapping.input_format)).otherwise(fmt)
+    formats = catalog.sparkSession.createDataFrame([(n, m.input_format) for n, m in mappings.items()], "_named string, _format string")
+    catalog = catalog.join(F.broadcast(formats), F.col(mapping_id) == F.col("_named"), "left")
+    fmt = F.col("_format")
     text = F.coalesce(F.col(sample), sample_for(fmt))
     run = apply_by_id(catalog.withColumn("_sample", text), mappings, mapping_id, "_sample", mapping_id)
-    return run.withColumn("ok", F.col("error").isNull()).drop("_sample")
+    return run.withColumn("ok", F.col("error").isNull()).drop("_sample", "_named", "_format")

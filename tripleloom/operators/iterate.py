@@ -181,11 +181,15 @@ def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
                 one = one.getField(step)
         else:
             one = F.get_json_object(text, _json_path(at))
+            if isinstance(at[-1], int):  # which gives a null element as a text
+                whole = text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1]))
+                one = F.when(whole.startswith("["), F.get(F.from_json(whole, "array<string>", JSON_OPTIONS), F.lit(at[-1])))
         # Only a value that starts with a bracket can be an array; a second, typed parse tells an
         # array from a string with the same text.
         holder = text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1]))
         if isinstance(at[-1], int):
-            listed = F.from_json(F.get_json_object(text, _json_path(at)), "array<string>", JSON_OPTIONS)
+            kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), _json_path(at), "variant"))
+            listed = F.when(kind.startswith("ARRAY"), F.from_json(one, "array<string>", JSON_OPTIONS))
         else:
             listed = F.from_json(holder, f"{_quote(at[-1])} array<string>", JSON_OPTIONS).getField(at[-1])
         one = _unmarked(one)

@@ -10,6 +10,7 @@ from tripleloom.operators.dryrun import dry_run
 from tripleloom.plans import fixtures
 from tripleloom.plans.mapping_queries import AT, EX, FLAT, K, PARTS, SUPPLIERS, VALUE
 from tripleloom.session import work_dir
+from tripleloom.sources import rules
 from tripleloom.sources.messages import TopicSource, read_messages
 from tripleloom.streaming import channel
 from tripleloom.vocab import RDF_TYPE, XSD
@@ -50,6 +51,31 @@ def _order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel.ranked(rows, 1000).select("msg_id", "channel_id", "rank")
 
 
+def _many_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under 240 mappings that come out of a rule table, and some under a mapping that is not there."""
+    made = [
+        Mapping(
+            f"m{i}",
+            (
+                TriplesMap(
+                    "e",
+                    template(EX + f"e{i}/{{event_id}}"),
+                    (po(EX + f"kind{i % 7}", reference("event_type")), po(EX + "k", reference("props.k", XSD + "integer"))),
+                    (EX + f"Class{i % 3}",),
+                ),
+            ),
+        )
+        for i in range(MANY)
+    ]
+    mappings = rules.all_from_rule_table(rules.to_rule_table(spark, *made))
+    named = F.concat(F.lit("m"), (F.col("msg_id") % (MANY + 1)).cast("string"))
+    rows = fixtures.events(spark, sf_dir).withColumn("mapping_id", named)
+    return channel.transform(rows, mappings).select("msg_id", "mapping_id", "doc", "error")
+
+
+MANY = 240
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir).select("msg_id", "channel_id", "doc", "error")
 
@@ -183,6 +209,15 @@ QUERIES = {
     ),
     "channel_identity": (_identity, f"with {MESSAGES_SQL} select msg_id, payload as doc, cast(null as varchar) as error from messages"),
     "output_records": (_records("output"), _record_sql("output", "doc as value", "error is null")),
+    "channel_many_mappings": (
+        _many_mappings,
+        f"""select event_id as msg_id, 'm' || i as mapping_id,
+          case when i < {MANY} then s || ' <{RDF_TYPE}> <{EX}Class' || (i % 3) || '> .' || chr(10)
+            || s || ' <{EX}kind' || (i % 7) || '> "' || event_type || '" .' || chr(10)
+            || s || ' <{EX}k> "' || {K} || '"^^<{XSD}integer> .' || chr(10) end as doc,
+          case when i >= {MANY} then 'NoSuchMapping: m' || i end as error
+        from (select *, event_id % {MANY + 1} as i, '<{EX}e' || (event_id % {MANY + 1}) || '/' || event_id || '>' as s from events)""",
+    ),
     "channel_order": (
         _order,
         f"""with {FLOW_SQL} select msg_id, channel_id, row_number() over (partition by channel_id order by msg_id) as rank

@@ -302,9 +302,21 @@ def _term_from(d: dict) -> TermMap:
 
 
 def from_rule_table(table: DataFrame, mapping_id: str) -> Mapping:
-    rows = table.where(F.col("mapping_id") == mapping_id).orderBy("triples_map_id").collect()
-    if not rows:
+    found = all_from_rule_table(table.where(F.col("mapping_id") == mapping_id))
+    if not found:
         raise MappingError(f"no mapping with id {mapping_id!r}")
+    return found[mapping_id]
+
+
+def all_from_rule_table(table: DataFrame) -> dict[str, Mapping]:
+    """Every mapping of a rule table, by its id. A catalog of mappings is a driver's object."""
+    by_id: dict[str, list] = {}
+    for r in table.orderBy("mapping_id", "triples_map_id").collect():
+        by_id.setdefault(r.mapping_id, []).append(r)
+    return {mapping_id: _mapping_from(rows) for mapping_id, rows in by_id.items()}
+
+
+def _mapping_from(rows: list) -> Mapping:
     maps = []
     for r in rows:
         d = json.loads(r.rules)
@@ -313,4 +325,4 @@ def from_rule_table(table: DataFrame, mapping_id: str) -> Mapping:
             for p in d["predicate_objects"]
         )
         maps.append(TriplesMap(d["id"], _term_from(d["subject"]), poms, tuple(d["classes"]), d["iterator"], d["source"]))
-    return Mapping(mapping_id, tuple(maps), rows[0].input_format, rows[0].output_format)
+    return Mapping(rows[0].mapping_id, tuple(maps), rows[0].input_format, rows[0].output_format)
