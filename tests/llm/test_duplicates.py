@@ -110,6 +110,20 @@ def test_fuzzy_passages(spark):
     assert found[20]["kept_text"].split() == own[2] + own[3]
 
 
+def test_passages_whose_parts_have_other_holders(spark):
+    """Every 20 words of a passage stand in another earlier document, the whole passage in one only."""
+    docs, want = [], {}
+    for n in range(0, 100, 20):
+        passage = prose(90)
+        docs += [(n + i, " ".join(prose(30) + passage[10 * i : 10 * i + 30] + prose(30))) for i in range(7)]
+        own = [prose(40) for _ in range(4)]
+        docs += [(n + 10, " ".join(own[0] + passage + own[1])), (n + 15, " ".join(own[2] + passage + own[3]))]
+        want[n + 15] = " ".join(own[2] + own[3])
+    found = {r["doc_id"]: r for r in passages.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: r["kept_text"] for d, r in found.items() if r["spans"]} == want
+    assert all(s["source"] == d - 5 for d in want for s in found[d]["spans"])
+
+
 def test_chains_keep_order():
     # three fragments in order, one out of order
     fragments = [(0, 30, 100), (35, 60, 135), (62, 80, 10), (90, 120, 190)]

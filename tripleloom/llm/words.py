@@ -31,7 +31,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """base**i and base**-i for i up to n; kept, at the size of the largest slice met so far."""
     if len(_powers[0]) <= n:
         size = max(n + 1, 1 << 16)
@@ -56,7 +56,7 @@ class Words:
         after[offsets] = False
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        up, down = _power_tables(len(data))
+        up, down = powers(len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LETTER[data] * up[: len(data)], out=sums[1:])
         self.hashes = mix((sums[self.end] - sums[self.start]) * down[self.start])
