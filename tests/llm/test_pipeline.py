@@ -5,7 +5,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tripleloom.llm import quality
+from tripleloom.llm import quality, stages
 from tripleloom.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +40,14 @@ def test_one_of_each_group(steps):
     assert texts_of(steps[2]).keys() == set(classes.values())
 
 
+def test_one_row_of_each_group_when_ids_repeat(spark):
+    """Unlike texts of one id all stay; of a group that several ids have, only the row of the least id goes on."""
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, c), (3, a + " more"), (3, d), (None, a), (4, c.upper())]
+    kept = stages.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (3, c), (3, d), (0, a)])
+
+
 def test_repeats_go(steps):
     before, after = texts_of(steps[2]), texts_of(steps[3])
     covered = brute.covered_words(before)

@@ -41,8 +41,8 @@ def trie_nodes(data: np.ndarray, offsets: np.ndarray, depth: int, trees: int = T
 
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = neighbors.THRESHOLD,
-    trees: int = TREES, target: float = RECALL,
+    trees: int = TREES, target: float = RECALL, firsts: bool = False,
 ) -> DataFrame:
-    """One row for each row of docs: id_col, class_id, n_links, n_copies; see neighbors.classes() for them and for all odd cases."""
+    """One row for each row of docs: id_col, class_id, n_links, n_copies; see neighbors.classes() for them, for `firsts` and for all odd cases."""
     depth = prefix_length(threshold, trees, target)
-    return neighbors.classes(docs, lambda data, offsets: trie_nodes(data, offsets, depth, trees), id_col, text_col, threshold)
+    return neighbors.classes(docs, lambda data, offsets: trie_nodes(data, offsets, depth, trees), id_col, text_col, threshold, firsts=firsts)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm.common import slices, sorted_groups, text_bytes, written
@@ -52,7 +52,7 @@ def _sketch(keys: Keys):
             nodes = pa.array([set_hash(s) for s in shingle_sets(data, offsets)], pa.int64())
             steps = pa.array(np.arange(0, table.size + 1, table.shape[1]), pa.int32())
             own = pa.ListArray.from_arrays(steps, pa.array(table.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, own], ["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("hash")), nodes, own], ["id", "hash", "node", "keys"])
 
     return run
 
@@ -134,22 +134,31 @@ def _compare(threshold: float):
     return run
 
 
+def text_hash(text_col: str = "text") -> Column:
+    """Tells texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def classes(
-    docs: DataFrame, keys: Keys, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK
-) -> DataFrame:
+    docs: DataFrame, keys: Keys, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK,
+    firsts: bool = False,
+) -> DataFrame:
     """One row for each row of docs: id_col, class_id, n_links, n_copies.
 
     class_id: the least id among all documents that hang together by links. n_links: the number of other shingle sets at
     `threshold` or more. n_copies: rows with the same shingles, this one included. Texts without words, null
     ones included, are copies of each other. Rows with a null id come back with a null class and no links, and don't
     count as copies. Ids may repeat; every row counts.
+
+    With `firsts`, instead one row for each class: id_col and text_hash() of its first row, the least by both. Unlike texts
+    of one id are in classes of their own.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(text_col).alias("hash"))
     kind = docs.schema["id"].dataType.simpleString()
     known = docs.where(F.col("id").isNotNull())
-    sketched = written(known.mapInArrow(_sketch(keys), f"id {kind}, node long, keys array<long>"), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = written(nodes, "nodes")
+    sketched = written(known.mapInArrow(_sketch(keys), f"id {kind}, hash long, node long, keys array<long>"), "sketches")
+    nodes = sketched.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    nodes = written(nodes.select("node", F.col("first.id").alias("least"), F.col("first.hash").alias("hash"), "copies", "keys"), "nodes")
     entries = nodes.select("node", F.posexplode("keys").alias("place", "key"))
     # groups of the same nodes are one clique, met first at its first place
     groups = entries.groupBy("place", "key").agg(
@@ -170,6 +179,11 @@ def classes(
     tasks = tasks.select("node", "clique", "place", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     rows = tasks.join(payload, "node").repartition("clique", "low", "high").sortWithinPartitions("clique", "low", "high", "node")
     found = written(rows.mapInArrow(_compare(threshold), "node long, links long, root long"), "links")
+    if firsts:
+        component = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        placed = nodes.select("node", "least", "hash").join(component, "node", "left")
+        first = placed.groupBy(F.coalesce("component", "node")).agg(F.min(F.struct("least", "hash")).alias("first"))
+        return first.select(F.col("first.least").alias(id_col), F.col("first.hash").alias("text_hash"))
     linked = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     component = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = nodes.select("node", "least", "copies").join(component, "node", "left").join(linked, "node", "left")
