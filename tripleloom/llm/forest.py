@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by the labels of a MinHash LSH forest, cut to one length: fixed bands.
 
-Each text has a label in every tree: MinHash values of its five-word shingles, in order. Texts below one node of a tree's
-prefix trie are candidates. Matching starts at whole labels; the prefix gets shorter until texts at the threshold
-are found with the target recall. Candidates are verified exactly.
+Each text has a label in every tree: MinHash values of its five-word shingles, in order. Texts whose labels agree up to
+prefix_length() in a tree are candidates. That length is computed once, the longest at which texts at the threshold are
+found with the target recall; no trie is built and nothing found shortens it. Candidates are verified exactly.
 """
 
 from __future__ import annotations
