@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import decontaminate, fingerprints, forest, packing, passages, quality, suffixes, toxicity, urls, warc
+from tripleloom.llm import decontaminate, fingerprints, forest, mixing, negatives, packing, passages, prefixes, quality, suffixes, toxicity, urls, warc
 from tripleloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all; of every seventh the label is moved on."""
+    number = F.col("vec_id")
+    label = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(vectors, number % 100 == 0, "vec_id", "embedding", "label")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = prefixes.trie(table(spark, sf_dir, "conversations"))
+    found = trie.nodes.join(prefixes.ends_digest(trie.ends), prefixes.KEY, "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +127,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The part of the word rule that both engines read alike.
@@ -132,5 +157,57 @@ found as (
 select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
 from d left join covered using (doc_id) left join found using (doc_id)
+""",
+    "op12_hard_negatives": """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as same, cast(list_dot_product(a.v, c.v) as bigint) as score
+  from e a join e c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over w as integer) as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+window w as (partition by p.anchor_id, positive_id order by score desc, other_id)
+qualify row_number() over w <= 10
+""",
+    "op13_prefix_trie": r"""
+with t as (
+  select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce("text", '')) order by turn nulls first, coalesce(role, ''), coalesce("text", '')) as turns
+  from conversations where conv_id is not null group by conv_id
+),
+h as (
+  select conv_id, turns, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 4 as h
+  from t
+),
+c as (
+  select h.conv_id, list_concat(coalesce(b.turns, [])[:h.h], h.turns[h.h + 1:]) as turns
+  from h left join t b on b.conv_id = h.conv_id - h.conv_id % 20
+),
+m as (select conv_id, len(turns) as total, depth, turns[:depth] as path from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from c)),
+n as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = total), '')) as ends_sha256
+  from m group by depth, path
+),
+w as (
+  select n.*, p.conv_id as parent_conv_id, (select count(*) from n k where k.depth = n.depth + 1 and k.path[:n.depth] = n.path) as n_children,
+    case when n.depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(n.path[n.depth].t, '[^\x20\x09-\x0D]+')) end as saved
+  from n left join (select depth, path, conv_id from n) p on p.depth = n.depth - 1 and p.path = n.path[:n.depth - 1]
+),
+s as (
+  select a.depth, a.path, sum(case when b.n_children = 0 then 1 else 0 end) as n_leaves, sum(b.saved) as saved_tokens
+  from (select depth as at, unnest(range(0, depth + 1)) as depth, path as whole, n_children, saved from w) b join w a on a.depth = b.depth and a.path = b.whole[:b.depth]
+  group by a.depth, a.path
+)
+select w.conv_id, w.depth, w.parent_conv_id, w.n_convs, w.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, w.ends_sha256
+from w join s using (depth, path)
 """,
 }
