@@ -8,12 +8,11 @@ target up to a word, however long its documents are.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import add_columns, written
-from tripleloom.llm.scan import Sums, running, word_counts
+from tripleloom.llm.common import written
+from tripleloom.llm.scan import Sums, counted, running
 
 WEIGHTS = (1, 2, 3)
 #: Times that a source, and so each of its documents, is taken at most.
@@ -51,8 +50,7 @@ def schedule(
     Other columns of docs play no part. No rows, no mix.
     """
     wanted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.struct(id_col), F.struct(text_col)).alias("shuffled"), F.col(text_col).alias("text"))
-    sized = add_columns(wanted, "size long", lambda batch: [pa.array(word_counts(batch, "text"))], "text").drop("text")
-    sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sized = written(counted(wanted, "text", "size").withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     of = written(targets(sums.drop("rows"), weights, most), "targets")
     rows = sized.count()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm.common import add_columns, written
-from tripleloom.llm.scan import RANGE_ROWS, Sums, running, word_counts
+from tripleloom.llm.scan import RANGE_ROWS, Sums, counted, running
 from tripleloom.llm.words import mix
 
 _P = (1 << 31) - 1
@@ -183,8 +183,7 @@ def trie(conversations: DataFrame, group: int = 4, heads: Callable[[Column], Col
     rows, seed, good = turns.count(), 0, False
     while not good:
         keyed = turns.withColumns(dict(zip(("k0", "k1"), turn_keys(seed), strict=True)))
-        stored = add_columns(keyed, "words long", lambda batch: [pa.array(word_counts(batch, "text"))], "text")
-        stored = written(stored.select("conv_id", "turn", "k0", "k1", "words"), "turns")
+        stored = written(counted(keyed.drop("role"), "text", "words"), "turns")
         members = written(_members(stored, rows, Products(seed), group, heads), "members")
         nodes, good = _verified(members, keyed)
         seed += 1

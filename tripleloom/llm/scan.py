@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from tripleloom.llm.common import fresh, text_bytes, written
+from tripleloom.llm.common import fresh, slices, text_bytes, written
 
 #: Rows of a range.
 RANGE_ROWS = 500_000
@@ -123,11 +123,26 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 def word_counts(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """For each text the number of runs of characters other than blanks (space, tab to carriage return); null has none."""
     data, offsets = text_bytes(batch, column)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    inside = ~_BLANK[data]
-    before = np.zeros(len(data) + 1, bool)
-    before[1:] = inside
-    before[offsets] = False
-    starts = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside & ~before[:-1], out=starts[1:])
-    return starts[offsets[1:]] - starts[offsets[:-1]]
+    counts = []
+    for _, _, part, at in slices(data, offsets):
+        inside = ~_BLANK[part]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        first = at[:-1][at[:-1] < len(part)]
+        starts[first] = inside[first]  # a text's first byte follows nothing
+        counts.append(np.diff(np.searchsorted(np.flatnonzero(starts), at)))
+    return np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+
+def counted(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """df with the number of words of a text column in its place; the texts don't come back from Python."""
+    schema = T.StructType([T.StructField(name, T.LongType()) if f.name == text_col else f for f in df.schema])
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[place] = pa.array(word_counts(batch, text_col).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema)
