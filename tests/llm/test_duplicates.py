@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tripleloom.llm import fingerprints, forest, neighbors, passages, queries, suffixes
 from tripleloom.llm.components import components
@@ -90,9 +91,9 @@ def test_op8_on_the_table(spark, texts):
         assert r["n_removed"] == len(gone[d]) and r["n_words"] == len(brute.words(texts[d]))
         assert brute.words(r["kept_text"]) == [w for i, w in enumerate(brute.words(texts[d])) if i not in gone[d]]
         for s in r["spans"]:
-            assert s["source"] < d
+            assert s["source"] == s["sources"][0] and max(s["sources"]) < d
             run = brute.words(texts[d])[s["first"] : s["end"]]
-            known = set(brute.words(texts[s["source"]]))
+            known = {w for i in s["sources"] for w in brute.words(texts[i])}
             assert sum(w in known for w in run) >= 0.8 * len(run)
     assert {r["doc_id"] for r in queries.op8_substring_dedup(spark, SF).where("n_removed > 0").collect()} == {d for d, g in gone.items() if g}
 
@@ -124,6 +125,30 @@ def test_passages_whose_parts_have_other_holders(spark):
     assert all(s["source"] == d - 5 for d in want for s in found[d]["spans"])
 
 
+def test_runs_of_one_text_are_one_row(spark):
+    """Near copies of one text, so that the first holders of its runs take turns: a row for each document, stretches merged by place."""
+    base = prose(300)
+    docs = {i: " ".join(changed(base, 40 + i % 60)) for i in range(120)}
+    found = {r["doc_id"]: r for r in passages.deduplicate(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    covered = brute.covered_words(docs)
+    for d, r in found.items():
+        gone = {i for s in r["spans"] for i in range(s["first"], s["end"])}
+        assert covered[d] <= gone
+        assert all(len(set(s["sources"])) == len(s["sources"]) and max(s["sources"]) < d for s in r["spans"])
+
+
+def test_ids_of_any_type_and_names_of_any_kind(spark):
+    passage, more = prose(70), [prose(30) for _ in range(2)]
+    rows = [("b", " ".join(more[0] + passage), 1), ("a", " ".join(passage + more[1]), 2)]
+    for kind in ("string", "binary", "date"):
+        docs = spark.createDataFrame(rows, "doc_id string, text string, pieces int")
+        values = {"string": F.col("doc_id"), "binary": F.col("doc_id").cast("binary"), "date": F.when(F.col("doc_id") == "a", F.lit("2020-01-01")).otherwise("2021-01-01").cast("date")}
+        docs = docs.withColumns({"doc_id": values[kind], **{c: F.lit("own") for c in ("hash", "later", "found", "__found", "source", "stretches", "d0", "id")}})
+        found = passages.deduplicate(docs).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in found] == [0, 70] and [r["pieces"] for r in found] == [2, 1]
+        assert found[1]["kept_text"].split() == more[0] and found[1]["spans"][0]["source"] == found[0]["doc_id"] and found[1]["d0"] == "own"
+
+
 def test_chains_keep_order():
     # three fragments in order, one out of order
     fragments = [(0, 30, 100), (35, 60, 135), (62, 80, 10), (90, 120, 190)]
