@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from tripleloom.vocab import INPUT_FORMATS, OUTPUT_FORMATS
 
@@ -27,6 +27,13 @@ class TermMap:
     lang: str | None = None
     joins: tuple[tuple[str, str], ...] = ()
     args: tuple[tuple[str, "TermMap"], ...] = ()
+    # conditions of a parent given as function calls, and the item a term of such a call is read from: child or parent
+    where: tuple["TermMap", ...] = ()
+    side: str = "child"
+
+    @property
+    def conditional(self) -> bool:
+        return bool(self.joins or self.where)
 
     @property
     def node_kind(self) -> str:
@@ -61,9 +68,15 @@ def blank(text: str | None = None) -> TermMap:
     return TermMap("template", text, "bnode") if text else TermMap("blank", None, "bnode")
 
 
-def parent(triples_map_id: str, *joins: tuple[str, str]) -> TermMap:
-    """Subject of another triples map; joins are (child reference, parent reference) pairs."""
-    return TermMap("parent", triples_map_id, joins=tuple(joins))
+def parent(triples_map_id: str, *joins: tuple[str, str] | TermMap) -> TermMap:
+    """Subject of another triples map; joins are (child reference, parent reference) pairs or calls of functions that say "true"."""
+    pairs, calls = (tuple(j for j in joins if isinstance(j, TermMap) == is_call) for is_call in (False, True))
+    return TermMap("parent", triples_map_id, joins=pairs, where=calls)
+
+
+def of_parent(term: TermMap) -> TermMap:
+    """A term of a join function that is read from the parent's item."""
+    return replace(term, side="parent")
 
 
 def call(function: str, term_type: str | None = None, datatype: str | None = None, **args: TermMap) -> TermMap:
@@ -124,7 +137,7 @@ class Mapping:
             for term in self._terms(tm):
                 if term.kind == "parent" and term.value not in by_id:
                     raise MappingError(f"triples map {tm.id!r} names unknown parent {term.value!r}")
-                if term.kind == "parent" and not term.joins and self.is_linked(tm, term) and not self.one_item(by_id[term.value]):
+                if term.kind == "parent" and not term.conditional and self.is_linked(tm, term) and not self.one_item(by_id[term.value]):
                     raise MappingError(f"triples map {tm.id!r} has no condition to choose among the items of parent {term.value!r}")
                 if term.datatype and term.lang:
                     raise MappingError(f"triples map {tm.id!r} gives a term both datatype and language")
@@ -148,7 +161,7 @@ class Mapping:
 
     def is_linked(self, tm: TriplesMap, term: TermMap) -> bool:
         """Is the object the subject of another item than the child's own: by a condition, or as the parent iterates otherwise?"""
-        return term.kind == "parent" and bool(term.joins or self.triples_map(term.value).iterator != tm.iterator)
+        return term.kind == "parent" and bool(term.conditional or self.triples_map(term.value).iterator != tm.iterator)
 
     @property
     def has_joins(self) -> bool:

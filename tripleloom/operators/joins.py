@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.model import Mapping, TermMap, TriplesMap
+from tripleloom.model import Mapping, MappingError, TermMap, TriplesMap
 from tripleloom.operators import iterate, terms, validate
+from tripleloom.operators.conditions import CHILD, PARENT, condition
 from tripleloom.operators.mapping import (
     ROWS,
     Group,
@@ -31,14 +32,13 @@ from tripleloom.vocab import RDF_TYPE
 
 
 def _side(
-    df: DataFrame, mapping: Mapping, tm: TriplesMap, nodes: dict[str, TermMap], keys: list[str], payload: str, key: str, check: bool
+    df: DataFrame, mapping: Mapping, tm: TriplesMap, nodes: dict[str, TermMap], keys: dict[str, TermMap], payload: str, key: str, check: bool
 ) -> DataFrame:
-    """key, one text column per node, k0..kn: one row per item, incomplete items dropped."""
+    """key, one text column per node, one column per key: one row per item, incomplete items dropped."""
     prepare(df.sparkSession)
     group = Group(mapping, tm.iterator, [tm], ROWS.encode, ROWS.encode_constant)
     texts: dict[str, Node] = {name: group.node(term, tm) for name, term in nodes.items()}
-    for path in keys:
-        group.path(path)
+    read_keys = {name: group.text(term, tm) for name, term in keys.items()}
     ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
     df = df.select(key, payload).withColumn("_ok", ok)
     found = iterate.items(F.when(F.col("_ok"), F.col(payload)), mapping.input_format, tm.iterator, group.paths)
@@ -46,9 +46,7 @@ def _side(
 
     def atoms_of(read, item: Column, index: Column) -> list[Column]:
         scope = Scope(item, index, message, read)
-        return [build(scope).alias(a) for a, build in group.atoms.values()] + [
-            read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)
-        ]
+        return [build(scope).alias(a) for a, build in group.atoms.values()] + [build(scope).alias(k) for k, build in read_keys.items()]
 
     if found.is_array:
         items = found.rows(lambda read, it, i: F.struct(*atoms_of(read, it, i)))
@@ -57,10 +55,11 @@ def _side(
     else:
         rows = df.withColumn("_i", found.column)
         rows = rows.select(key, *atoms_of(found.read, F.col("_i"), F.lit(0)))
-    names = [f"k{i}" for i in range(len(keys))]
+    # a missing part of a test makes the test fail, not the item
+    needed = [*texts, *[k for k in keys if k.startswith("k")]]
     return (
-        rows.select(key, *[_join_parts(list(n.parts), lambda a: F.col(a.name)).alias(name) for name, n in texts.items()], *names)
-        .dropna()
+        rows.select(key, *[_join_parts(list(n.parts), lambda a: F.col(a.name)).alias(name) for name, n in texts.items()], *keys)
+        .dropna(subset=[key, *needed])
     )
 
 
@@ -78,18 +77,25 @@ def joined_triples(
     Without `parent_df` a child meets the parents of its own message. With it, the parents are the
     items of every message in that table (a reference table beside the stream).
     """
-    rules = [r for r in join_conditions(mapping) if r[2].joins] if rules is None else rules
+    rules = [r for r in join_conditions(mapping) if r[2].conditional] if rules is None else rules
     out = None
     for tm, p, o in rules:
         other = mapping.triples_map(o.value)
-        names = [f"k{i}" for i in range(len(o.joins))]
+        asked = condition(o)
+        names = [f"k{i}" for i in range(len(asked.keys))]
         if parent_df is None:
             met = _met_in_message(df, mapping, (tm, p, o), payload, key, check)
         else:
-            child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins], payload, key, check)
-            parents = _side(parent_df, mapping, other, {"o": other.subject}, [q for _, q in o.joins], payload, key, check)
+            if not asked.equates:
+                raise MappingError(f"no condition of parent {o.value!r} equates a child's value with a parent's")
+            columns = [{k: pair[at] for k, pair in zip(names, asked.keys)} | {f"{x}{i}": t for i, t in enumerate(asked.parts(side))}
+                       for at, (side, x) in enumerate(((CHILD, "x"), (PARENT, "y")))]
+            child = _side(df, mapping, tm, {"s": tm.subject, "p": p}, columns[0], payload, key, check)
+            parents = _side(parent_df, mapping, other, {"o": other.subject}, columns[1], payload, key, check)
             # a parent that is there twice must not multiply its children
             met = child.join(parents.drop(key).distinct(), names)
+            if asked.tests:
+                met = met.where(asked.holds(lambda i: F.col(f"x{i}"), lambda i: F.col(f"y{i}")))
         rows = met.select(
             key,
             "s",
@@ -103,7 +109,7 @@ def joined_triples(
     if out is None:
         raise ValueError(f"mapping {mapping.id!r} has no join condition")
     # one rule whose child is the whole message meets each distinct parent once: nothing repeats
-    if len(rules) == 1 and mapping.one_item(rules[0][0]):
+    if len(rules) == 1 and mapping.one_item(rules[0][0]) and not condition(rules[0][2]).tests:
         return out
     return out.distinct()
 
@@ -122,16 +128,18 @@ def _met_in_message(
     ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
     base = df.select(key, payload).withColumn("_text", F.when(ok, F.col(payload)))
     message = F.col(key).cast("string")
-    names = [f"k{i}" for i in range(len(o.joins))]
+    asked = condition(o)
+    names = [f"k{i}" for i in range(len(asked.keys))]
+    parts = {x: [f"{x}{i}" for i in range(len(asked.parts(side)))] for x, side in (("x", CHILD), ("y", PARENT))}
+    fields = [*names, *parts["x"], *parts["y"]]
     sides = (
-        ("_children", tm, {"s": tm.subject, "p": p}, [c for c, _ in o.joins]),
-        ("_parents", other, {"o": other.subject}, [q for _, q in o.joins]),
+        ("_children", tm, {"s": tm.subject, "p": p}, dict(zip(names, [c for c, _ in asked.keys])) | dict(zip(parts["x"], asked.parts(CHILD)))),
+        ("_parents", other, {"o": other.subject}, dict(zip(names, [q for _, q in asked.keys])) | dict(zip(parts["y"], asked.parts(PARENT)))),
     )
     for column, owner, nodes, keys in sides:
         group = Group(mapping, owner.iterator, [owner], ROWS.encode, ROWS.encode_constant)
         texts = {name: group.node(term, owner) for name, term in nodes.items()}
-        for path in keys:
-            group.path(path)
+        read_keys = {name: group.text(term, owner) for name, term in keys.items()}
         found = iterate.items(F.col("_text"), mapping.input_format, owner.iterator, group.paths)
 
         def row(read, item: Column, index: Column) -> Column:
@@ -141,21 +149,25 @@ def _met_in_message(
             none = F.lit(None).cast("string")
             return F.struct(
                 *[written.get(name, none).alias(name) for name in ("s", "p", "o")],
-                *[read(item, path).one.alias(k) for k, path in zip(names, keys)],
+                *[(read_keys[k](scope) if k in read_keys else none).alias(k) for k in fields],
             )
 
         if found.is_array:
-            base = base.withColumn(column, F.coalesce(found.rows(row), F.array().cast(_side_type(names))))
+            base = base.withColumn(column, F.coalesce(found.rows(row), F.array().cast(_side_type(fields))))
         else:
             base = base.withColumn(column + "_i", found.column)
             base = base.withColumn(column, F.array(row(found.read, F.col(column + "_i"), F.lit(0))))
     # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
     rows = base.select(key, F.explode_outer(F.concat("_children", "_parents")).alias("_r")).select(key, "_r.*")
     rows = rows.dropna(subset=names).where("o is not null or (s is not null and p is not null)")
+    of_parent = F.when(F.col("o").isNotNull(), F.struct("o", *parts["y"])) if asked.tests else F.col("o")
     sets = rows.groupBy(key, *names).agg(
-        F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "p"))).alias("_c"), F.collect_set("o").alias("_q")
+        F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "p", *parts["x"]))).alias("_c"), F.collect_set(of_parent).alias("_q")
     )
-    return sets.select(key, F.explode("_c").alias("_c"), "_q").select(key, "_c.s", "_c.p", F.explode("_q").alias("o"))
+    met = sets.select(key, F.explode("_c").alias("_c"), "_q").select(key, "_c", F.explode("_q").alias("o"))
+    if asked.tests:
+        met = met.where(asked.holds(lambda i: F.col(f"_c.x{i}"), lambda i: F.col(f"o.y{i}"))).withColumn("o", F.col("o.o"))
+    return met.select(key, "_c.s", "_c.p", "o")
 
 
 def _side_type(names: list[str]) -> str:
@@ -211,7 +223,7 @@ def documents_with_joins(
     """Documents of a mapping with joins: first the message's own statements and those joined in its row, in the order of
     the rules, then the other joined ones, sorted.
     """
-    conditional = [r for r in join_conditions(mapping) if r[2].joins]
+    conditional = [r for r in join_conditions(mapping) if r[2].conditional]
     rules = grouped_rules(mapping) if parent_df is None else conditional
     own = with_document_elements(df, mapping, payload, key, check, [r for r in local_rules(mapping) if parent_df is None or r not in rules])
     if not rules:

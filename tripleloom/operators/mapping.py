@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions import registry
 from tripleloom.model import Mapping, MappingError, TermMap, TriplesMap, template_parts
 from tripleloom.operators import iterate, terms, validate
+from tripleloom.operators.conditions import CHILD, PARENT, condition
 from tripleloom.session import prepare
 from tripleloom.vocab import RDF, RDF_TYPE, XSD_STRING
 
@@ -406,22 +407,21 @@ def _local_joins(
     """
     arrays, sorted_last = [], []
     for n, (tm, p, o) in enumerate(rules):
-        other = mapping.triples_map(o.value)
+        other, asked = mapping.triples_map(o.value), condition(o)
         sides = []
-        for label, owner, nodes, keys in (
-            ("l", tm, (tm.subject, p), [c for c, _ in o.joins]),
-            ("r", other, (other.subject,), [q for _, q in o.joins]),
+        for label, owner, nodes, keys, parts in (
+            ("l", tm, (tm.subject, p), [c for c, _ in asked.keys], asked.parts(CHILD)),
+            ("r", other, (other.subject,), [q for _, q in asked.keys], asked.parts(PARENT)),
         ):
             group = Group(mapping, owner.iterator, [owner], form.encode, form.encode_constant)
             made = [group.node(t, owner) for t in nodes]
-            for path in keys:
-                group.path(path)
+            read_keys = {f"{x}{i}": group.text(t, owner) for x, of in (("k", keys), ("x", parts)) for i, t in enumerate(of)}
             found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths)
 
             def row(read, item: Column, index: Column) -> Column:
                 scope = Scope(item, index, message, read)
                 return F.struct(
-                    *[read(item, path).one.alias(f"k{i}") for i, path in enumerate(keys)],
+                    *[build(scope).alias(k) for k, build in read_keys.items()],
                     *[build(scope).alias(a) for a, build in group.atoms.values()],
                 )
 
@@ -440,8 +440,10 @@ def _local_joins(
             def of_child(c: Column) -> Column:
                 def meets(q: Column) -> Column:
                     test = F.lit(True)  # without a condition there is one parent
-                    for i in range(len(o.joins)):
+                    for i in range(len(asked.keys)):
                         test = test & (q.getField(f"k{i}") == c.getField(f"k{i}"))
+                    if asked.tests:
+                        test = test & asked.holds(lambda i: c.getField(f"x{i}"), lambda i: q.getField(f"x{i}"))
                     return test
 
                 def written(q: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions import registry
-from tripleloom.model import Mapping, PredicateObject, TriplesMap, blank, call, iri, literal, parent, po, reference, template
+from tripleloom.model import Mapping, PredicateObject, TermMap, TriplesMap, blank, call, iri, literal, of_parent, parent, po, reference, template
 from tripleloom.operators import validate
 from tripleloom.operators.iterate import explode_items
 from tripleloom.operators.joins import joined_triples
@@ -260,6 +260,42 @@ CONDITIONAL = Mapping(
     ),
 )
 
+SHORTER = EX + "function/shorter"
+registry.register(SHORTER, ("a", "b"), lambda a, b: (F.length(a) < F.length(b)).cast("string"))
+
+
+def _equal(a: TermMap, b: TermMap) -> TermMap:
+    return call(registry.EQUAL, **{registry.PARAM_VALUE: a, registry.PARAM_VALUE2: b})
+
+
+# a key that a function of the order's values gives, and a test of values of both
+JOIN_FUNCTION = Mapping(
+    "join_function",
+    (
+        TriplesMap(
+            "order",
+            template(EX + "order/{key}"),
+            (
+                po(
+                    EX + "closedFor",
+                    parent(
+                        "customer",
+                        _equal(
+                            of_parent(reference("key")),
+                            call(
+                                registry.TRUE_CONDITION,
+                                **{registry.PARAM_BOOLEAN: _equal(reference("facts[0].value"), literal("F")), registry.PARAM_STRING: reference("customer.key")},
+                            ),
+                        ),
+                        call(SHORTER, a=of_parent(reference("segment")), b=reference("facts[2].value")),
+                    ),
+                ),
+            ),
+        ),
+        TriplesMap("customer", template(EX + "customer/{key}")),
+    ),
+)
+
 SENSORS = ("value", "k", "user", "type", "time")
 
 
@@ -510,6 +546,13 @@ def _join_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_triples(fixtures.orders(spark, sf_dir), JOIN, fixtures.customers(spark, sf_dir))
 
 
+def _join_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules go through a rule document, so that its form of a condition is read too."""
+    lines = spark.createDataFrame([(line,) for line in rules.to_ntriples(JOIN_FUNCTION)], "value string")
+    mapping = rules.load_mapping(ntriples.parse_lines(lines, "value"), "join_function")
+    return joined_triples(fixtures.orders(spark, sf_dir), mapping, fixtures.customers(spark, sf_dir))
+
+
 def _documents(source, mapping: Mapping):
     return lambda spark, sf_dir: documents(source(spark, sf_dir), mapping).select("msg_id", "doc")
 
@@ -713,6 +756,14 @@ QUERIES = {
             [(ORDER, _lit("by"), _iri(f"'{EX}customer/' || c_custkey || '/' || replace(c_name, '#', '%23')"))],
         ),
     ),
+    "map_join_function": (
+        _join_function,
+        _union(
+            "orders join customer on o_custkey = c_custkey and o_orderstatus = 'F' and length(c_mktsegment) < length(o_orderpriority)",
+            "o_orderkey",
+            [(ORDER, _lit("closedFor"), _iri(f"'{EX}customer/' || c_custkey"))],
+        ),
+    ),
     "map_numbers": (
         _map(fixtures.priced_lines, NUMBERS),
         _union(

@@ -7,19 +7,20 @@ mapping, which the driver turns into a Mapping; message data never takes this wa
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.model import Mapping, MappingError, PredicateObject, TermMap, TriplesMap
+from tripleloom.model import Mapping, MappingError, PredicateObject, TermMap, TriplesMap, of_parent
 from tripleloom.sources import ntriples
 from tripleloom.vocab import EXECUTES, FNML, QL, RDF_TYPE, RML, RR, STREAM
 
 # --- fixed values: vocabulary of rule documents -------------------------------------------------
 TERM_TYPES = {RR + "IRI": "iri", RR + "BlankNode": "bnode", RR + "Literal": "literal"}
 FORMULATIONS = {QL + "JSONPath": "JSON", QL + "XPath": "XML", QL + "CSV": "CSV"}
+JOIN_CONDITIONS = (RR + "joinCondition", RML + "joinCondition")
 # ------------------------------------------------------------------------------------------------
 
 def _objects(triples: DataFrame, predicate: str, name: str) -> DataFrame:
@@ -37,6 +38,7 @@ def term_table(triples: DataFrame) -> DataFrame:
         RR + "datatype": "datatype",
         RR + "language": "lang",
         FNML + "functionValue": "function",
+        RML + "parentTermMap": "of_parent",
     }
     rows = triples.where(F.col("p").isin(*said))
     return rows.groupBy(F.col("s").alias("node")).agg(
@@ -82,10 +84,12 @@ def predicate_object_table(triples: DataFrame) -> DataFrame:
 
 
 def join_table(triples: DataFrame) -> DataFrame:
-    conditions = _objects(triples, RR + "joinCondition", "condition").withColumnRenamed("s", "node")
-    child = _objects(triples, RR + "child", "child").withColumnRenamed("s", "condition")
-    other = _objects(triples, RR + "parent", "parent_path").withColumnRenamed("s", "condition")
-    return conditions.join(child, "condition").join(other, "condition").select("node", "child", "parent_path")
+    """One row per condition of a parent: the child's and the parent's reference, or the function called. What isn't said is null."""
+    conditions = triples.where(F.col("p").isin(*JOIN_CONDITIONS)).select(F.col("s").alias("node"), F.col("o").alias("condition"))
+    said = {RR + "child": "child", RR + "parent": "parent_path", FNML + "functionValue": "call"}
+    parts = triples.where(F.col("p").isin(*said)).groupBy(F.col("s").alias("condition"))
+    parts = parts.agg(*[F.max(F.when(F.col("p") == p, F.col("o"))).alias(name) for p, name in said.items()])
+    return conditions.join(parts, "condition", "left").select("node", "condition", *said.values())
 
 
 def _collected(**tables: DataFrame) -> dict[str, list[SimpleNamespace]]:
@@ -114,9 +118,9 @@ def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL"
         maps=triples_map_table(triples),
     )
     terms = {r.node: r for r in found["terms"]}
-    joins: dict[str, list[tuple[str, str]]] = {}
-    for r in sorted(found["joins"], key=lambda r: (r.node, r.child)):
-        joins.setdefault(r.node, []).append((r.child, r.parent_path))
+    joins: dict[str, list[SimpleNamespace]] = {}
+    for r in sorted(found["joins"], key=lambda r: (r.node, r.child or "", r.condition)):
+        joins.setdefault(r.node, []).append(r)
     poms: dict[str, dict[str, list]] = {}
     for r in sorted(found["poms"], key=lambda r: (r.map_id, r.pom, r.role, r.term)):
         poms.setdefault(r.map_id, {}).setdefault(r.pom, []).append(r)
@@ -140,6 +144,17 @@ def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL"
             raise MappingError(f"{node!r} executes no function")
         return TermMap("function", name, term_type, datatype, args=tuple(sorted(args, key=lambda a: a[0])))
 
+    def parent_of(node: str, triples_map_id: str) -> TermMap:
+        pairs, calls = [], []
+        for r in joins.get(node, ()):
+            if r.call and not (r.child or r.parent_path):
+                calls.append(function_call(r.call, None, None))
+            elif r.child and r.parent_path and not r.call:
+                pairs.append((r.child, r.parent_path))
+            else:
+                raise MappingError(f"join condition {r.condition!r} has neither a child and a parent reference nor a function alone")
+        return TermMap("parent", triples_map_id, joins=tuple(pairs), where=tuple(calls))
+
     def of_node(node: str) -> TermMap:
         row = terms.get(node)
         if row is None:
@@ -148,7 +163,9 @@ def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL"
         if row.function:
             return function_call(row.function, term_type, row.datatype)
         if row.parent:
-            return TermMap("parent", row.parent, joins=tuple(joins.get(node, ())))
+            return parent_of(node, row.parent)
+        if row.of_parent:
+            return of_parent(of_node(row.of_parent))
         if row.constant is not None:
             kind = term_type or row.constant_kind
             return TermMap("constant", row.constant, kind, row.datatype, row.lang)
@@ -163,7 +180,7 @@ def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL"
     def term(row) -> TermMap:
         return TermMap("constant", row.term, row.term_kind) if row.is_constant else of_node(row.term)
 
-    called = {r.function for r in terms.values() if r.function}
+    called = {r.function for r in terms.values() if r.function} | {r.call for r in found["joins"] if r.call}
     formats = {FORMULATIONS.get(r.formulation) for r in maps if r.id not in called}
     if len(formats) != 1 or None in formats:
         raise MappingError(f"mapping {mapping_id!r} needs one known reference formulation")
@@ -223,8 +240,20 @@ def to_ntriples(mapping: Mapping) -> list[str]:
     def node_of(map_id: str) -> str:
         return f"<{map_id}>" if ":" in map_id else f"<urn:map:{map_id}>"
 
+    def call_of(t: TermMap) -> str:
+        call = fresh("f")
+        for name, value in ((EXECUTES, TermMap("constant", t.value, "iri")), *t.args):
+            pom = fresh("p")
+            say(call, RR + "predicateObjectMap", pom)
+            say(pom, RR + "predicate", f"<{name}>")
+            say(pom, RR + "objectMap", term(value))
+        return call
+
     def term(t: TermMap) -> str:
         node = fresh("t")
+        if t.side == "parent":
+            say(node, RML + "parentTermMap", term(replace(t, side="child")))
+            return node
         if t.kind == "constant":
             say(node, RR + "constant", f"<{t.value}>" if t.node_kind == "iri" else text(t.value))
         elif t.kind == "reference":
@@ -238,14 +267,12 @@ def to_ntriples(mapping: Mapping) -> list[str]:
                 say(node, RR + "joinCondition", condition)
                 say(condition, RR + "child", text(child))
                 say(condition, RR + "parent", text(other))
+            for call in t.where:
+                condition = fresh("j")
+                say(node, RML + "joinCondition", condition)
+                say(condition, FNML + "functionValue", call_of(call))
         elif t.kind == "function":
-            call = fresh("f")
-            say(node, FNML + "functionValue", call)
-            for name, value in ((EXECUTES, TermMap("constant", t.value, "iri")), *t.args):
-                pom = fresh("p")
-                say(call, RR + "predicateObjectMap", pom)
-                say(pom, RR + "predicate", f"<{name}>")
-                say(pom, RR + "objectMap", term(value))
+            say(node, FNML + "functionValue", call_of(t))
         if t.term_type:
             say(node, RR + "termType", f"<{term_type[t.term_type]}>")
         if t.datatype:
@@ -298,6 +325,7 @@ def _term_from(d: dict) -> TermMap:
     return TermMap(
         d["kind"], d["value"], d["term_type"], d["datatype"], d["lang"],
         tuple(tuple(j) for j in d["joins"]), tuple((name, _term_from(a)) for name, a in d["args"]),
+        tuple(_term_from(c) for c in d.get("where", ())), d.get("side", "child"),
     )
 
 
