@@ -20,10 +20,10 @@ from tripleloom.operators.mapping import (
     Group,
     Node,
     Scope,
-    _join_parts,
     finished,
     join_conditions,
     packed,
+    side_rows,
     unpack,
     with_document_elements,
 )
@@ -37,30 +37,26 @@ def _side(
     """key, one text column per node, one column per key: one row per item, incomplete items dropped."""
     prepare(df.sparkSession)
     group = Group(mapping, tm.iterator, [tm], ROWS.encode, ROWS.encode_constant)
-    texts: dict[str, Node] = {name: group.node(term, tm) for name, term in nodes.items()}
-    read_keys = {name: group.text(term, tm) for name, term in keys.items()}
+    fields: dict[str, Node] = {name: group.node(term, tm) for name, term in nodes.items()}
+    fields |= {name: group.key(term, tm) for name, term in keys.items()}
+    group.spread_over(*fields.values())
     ok = validate.is_valid(F.col(payload), mapping.input_format) if check else F.col(payload).isNotNull()
     df = df.select(key, payload).withColumn("_ok", ok)
     found = iterate.items(F.when(F.col("_ok"), F.col(payload)), mapping.input_format, tm.iterator, group.paths)
     message = F.col(key).cast("string")
 
-    def atoms_of(read, item: Column, index: Column) -> list[Column]:
-        scope = Scope(item, index, message, read)
-        return [build(scope).alias(a) for a, build in group.atoms.values()] + [build(scope).alias(k) for k, build in read_keys.items()]
+    def rows_of(read, item: Column, index: Column) -> Column:
+        return side_rows(group, fields, Scope(item, index, message, read), list(fields))
 
     if found.is_array:
-        items = found.rows(lambda read, it, i: F.struct(*atoms_of(read, it, i)))
-        # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
-        rows = df.select(key, F.explode_outer(items).alias("_a")).select(key, "_a.*")
+        items = F.flatten(found.rows(rows_of))
     else:
-        rows = df.withColumn("_i", found.column)
-        rows = rows.select(key, *atoms_of(found.read, F.col("_i"), F.lit(0)))
+        df = df.withColumn("_i", found.column)
+        items = rows_of(found.read, F.col("_i"), F.lit(0))
+    # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
+    rows = df.select(key, F.explode_outer(items).alias("_a")).select(key, "_a.*")
     # a missing part of a test makes the test fail, not the item
-    needed = [*texts, *[k for k in keys if k.startswith("k")]]
-    return (
-        rows.select(key, *[_join_parts(list(n.parts), lambda a: F.col(a.name)).alias(name) for name, n in texts.items()], *keys)
-        .dropna(subset=[key, *needed])
-    )
+    return rows.dropna(subset=[key, *[f for f in fields if f[0] not in "xy"]])
 
 
 def joined_triples(
@@ -138,25 +134,18 @@ def _met_in_message(
     )
     for column, owner, nodes, keys in sides:
         group = Group(mapping, owner.iterator, [owner], ROWS.encode, ROWS.encode_constant)
-        texts = {name: group.node(term, owner) for name, term in nodes.items()}
-        read_keys = {name: group.text(term, owner) for name, term in keys.items()}
+        of_side = {name: group.node(term, owner) for name, term in nodes.items()} | {name: group.key(term, owner) for name, term in keys.items()}
+        group.spread_over(*of_side.values())
         found = iterate.items(F.col("_text"), mapping.input_format, owner.iterator, group.paths)
 
         def row(read, item: Column, index: Column) -> Column:
-            scope = Scope(item, index, message, read)
-            atoms = {a: build(scope) for a, build in group.atoms.values()}
-            written = {name: _join_parts(list(n.parts), lambda a: atoms[a.name]) for name, n in texts.items()}
-            none = F.lit(None).cast("string")
-            return F.struct(
-                *[written.get(name, none).alias(name) for name in ("s", "p", "o")],
-                *[(read_keys[k](scope) if k in read_keys else none).alias(k) for k in fields],
-            )
+            return side_rows(group, of_side, Scope(item, index, message, read), ["s", "p", "o", *fields])
 
         if found.is_array:
-            base = base.withColumn(column, F.coalesce(found.rows(row), F.array().cast(_side_type(fields))))
+            base = base.withColumn(column, F.coalesce(F.flatten(found.rows(row)), F.array().cast(_side_type(fields))))
         else:
             base = base.withColumn(column + "_i", found.column)
-            base = base.withColumn(column, F.array(row(found.read, F.col(column + "_i"), F.lit(0))))
+            base = base.withColumn(column, row(found.read, F.col(column + "_i"), F.lit(0)))
     # the outer explode keeps Catalyst from adding a size filter that would parse the message twice
     rows = base.select(key, F.explode_outer(F.concat("_children", "_parents")).alias("_r")).select(key, "_r.*")
     rows = rows.dropna(subset=names).where("o is not null or (s is not null and p is not null)")

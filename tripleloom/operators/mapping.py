@@ -11,6 +11,7 @@ hash pass over strings.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions import registry
 from tripleloom.model import Mapping, MappingError, TermMap, TriplesMap, template_parts
-from tripleloom.operators import iterate, terms, validate
+from tripleloom.operators import crossing, iterate, terms, validate
 from tripleloom.operators.conditions import CHILD, PARENT, condition
 from tripleloom.session import prepare
 from tripleloom.vocab import RDF, RDF_TYPE, XSD_STRING
@@ -40,6 +41,9 @@ class Atom:
 
 Part = str | Atom
 
+#: Ways of writing a value, by the tag of its atom.
+WAYS = ["", "slot-iri", "slot-literal", "literal", "iri", "raw"]
+
 
 @dataclass(frozen=True)
 class Node:
@@ -58,6 +62,13 @@ class Scope:
     index: Column
     message: Column
     read: Callable[[Column, str], iterate.Value]
+    known: dict[str, iterate.Value] = field(default_factory=dict)
+
+    def value(self, path: str) -> iterate.Value:
+        """What the path reads, built once for all that use it."""
+        if path not in self.known:
+            self.known[path] = self.read(self.item, path)
+        return self.known[path]
 
 
 @dataclass
@@ -69,8 +80,14 @@ class Group:
     maps: list[TriplesMap]
     encode: Callable[[Column], Column]
     encode_constant: Callable[[str], str]
+    encode_sql: str = "v"
     atoms: dict[tuple, tuple[str, Callable[[Scope], Column]]] = field(default_factory=dict)
     paths: list[str] = field(default_factory=list)
+    # by atom: the path it writes and how, or the paths of the template its label is made of
+    slots: dict[str, tuple[str, int]] = field(default_factory=dict)
+    labels: dict[str, list[tuple[bool, str]]] = field(default_factory=dict)
+    # paths inside templates, subjects and predicates, where an array means all combinations
+    spread: list[str] = field(default_factory=list)
 
     def atom(self, key: tuple, build: Callable[[Scope], Column]) -> Atom:
         if key not in self.atoms:
@@ -90,14 +107,14 @@ class Group:
             return lambda s: F.lit(term.value)
         if term.kind == "reference":
             path = self.path(term.value)
-            return lambda s: s.read(s.item, path).one
+            return lambda s: s.value(path).one
         if term.kind == "template":
             pieces = template_parts(term.value)
             for is_slot, piece in pieces:
                 if is_slot:
                     self.path(piece)
             return lambda s: F.concat(
-                F.lit(""), *[s.read(s.item, piece).one if is_slot else F.lit(piece) for is_slot, piece in pieces]
+                F.lit(""), *[s.value(piece).one if is_slot else F.lit(piece) for is_slot, piece in pieces]
             )
         if term.kind == "function":
             args = {name: self.text(arg, owner) for name, arg in term.args}
@@ -115,7 +132,10 @@ class Group:
                 key = ("bnode", owner.id)
             else:
                 build, key = self.text(term, owner), ("bnode", term.kind, term.value, term.args)
-            return Node("bnode", (self.atom(key, lambda s: terms.blank_label(s.message, build(s))),))
+            label = self.atom(key, lambda s: terms.blank_label(s.message, build(s)))
+            if term.kind in ("template", "reference"):
+                self.labels[label.name] = template_parts(term.value) if term.kind == "template" else [(True, term.value)]
+            return Node("bnode", (label,))
         if kind == "iri":
             encode, constant, tag = terms.iri_reference, terms.iri_constant, "iri"
             datatype = lang = ""
@@ -135,7 +155,7 @@ class Group:
         if term.kind == "reference":
             path = self.path(term.value)
             one = self.slot(path, encode, tag)
-            many = self.atom(("many", path), lambda s: _many(s.read(s.item, path))) if self.mapping.expand_arrays else None
+            many = self.atom(("many", path), lambda s: _many(s.value(path))) if self.mapping.expand_arrays else None
             return Node(kind, (one,), datatype, lang, many)
         if term.kind == "function":
             build = self.text(term, owner)
@@ -144,14 +164,83 @@ class Group:
 
     def slot(self, path: str, encode: Callable[[Column], Column], tag: str) -> Atom:
         self.path(path)
-        return self.atom((tag, path), lambda s: encode(s.read(s.item, path).one))
+        made = self.atom((tag, path), lambda s: encode(s.value(path).one))
+        self.slots[made.name] = (path, WAYS.index(tag))
+        return made
+
+    def key(self, term: TermMap, owner: TriplesMap) -> Node:
+        """The bare text of a term as a node, for join keys."""
+        if term.kind == "reference":
+            return Node("literal", (self.slot(term.value, lambda c: c, "raw"),))
+        if term.kind == "template":
+            pieces = template_parts(term.value)
+            return Node("literal", tuple(self.slot(piece, lambda c: c, "raw") if is_slot else piece for is_slot, piece in pieces))
+        build = self.text(term, owner)
+        return Node("literal", (self.atom(("key", term), build),))
 
     # --- triples --------------------------------------------------------------------------------
 
     def learn(self) -> None:
         """Collect the atoms and paths all statements need, before any expression is built."""
         for tm in self.maps:
-            self.statements(tm)
+            for s, p, o in self.statements(tm):
+                self.spread_over(s, p, *([o] if o.many is None else []))
+
+    def spread_over(self, *nodes: Node) -> None:
+        """From now on an array in these nodes means all combinations."""
+        for part in (part for node in nodes for part in node.parts if isinstance(part, Atom)):
+            inside = [self.slots[part.name][0]] if part.name in self.slots else [x for is_slot, x in self.labels.get(part.name, ()) if is_slot]
+            self.spread += [x for x in inside if x not in self.spread]
+
+    def meets_array(self, scope: Scope) -> Column | None:
+        """Does a path inside a template, a subject or a predicate hold several values? None where none can."""
+        found = [scope.value(path) for path in self.spread] if self.mapping.expand_arrays else []
+        tests = [F.coalesce(v.is_many, F.lit(False)) for v in found if v.many is not None]
+        return functools.reduce(lambda a, b: a | b, tests) if tests else None
+
+    def values(self, scope: Scope, atom: Callable[[str], Column]) -> Column:
+        """The lists that statement() refers to: of every path, then of every atom that isn't a path's."""
+
+        def listed(path: str) -> Column:
+            v = scope.value(path)
+            one = F.when(v.one.isNotNull(), F.array(v.one))
+            return one if v.many is None else F.when(v.is_many, F.array_distinct(v.many)).otherwise(one)
+
+        def labelled(pieces: list[tuple[bool, str]]) -> Column:
+            def longer(texts: Column, values: Column) -> Column:
+                return F.flatten(F.transform(texts, lambda t: F.transform(values, lambda x: F.concat(t, x))))
+
+            texts = F.array(F.lit(""))
+            for is_slot, piece in pieces:
+                texts = longer(texts, listed(piece) if is_slot else F.array(F.lit(piece)))
+            return F.transform(texts, lambda t: terms.blank_label(scope.message, t))
+
+        own = [name for name, _ in self.atoms.values() if name not in self.slots]
+        columns = [labelled(self.labels[a]) if a in self.labels else F.array(atom(a).cast("string")) for a in own if not self._is_many(a)]
+        return F.array(*[listed(p) for p in self.paths], *columns)
+
+    def _is_many(self, name: str) -> bool:
+        return any(key[0] == "many" for key, (n, _) in self.atoms.items() if n == name)
+
+    def statement(self, parts: list[Part]) -> list[crossing.Piece]:
+        """A written statement as pieces; atoms are named term:atom."""
+        own = [name for name, _ in self.atoms.values() if name not in self.slots and not self._is_many(name)]
+
+        def piece(part: Part) -> crossing.Piece:
+            if isinstance(part, str):
+                return part
+            term, _, name = part.name.partition(":")
+            if name in self.slots:
+                path, how = self.slots[name]
+                return (term, self.paths.index(path), how)
+            return (term, len(self.paths) + own.index(name), 0)
+
+        return [piece(p) for p in parts]
+
+    def crossed(self, statements: list[list[Part]], values: Column, around: str = "{}") -> Column:
+        ways = ["v", terms.SAFE_SQL, self.encode_sql, self.encode_sql, terms.REFERENCE_SQL, "v"]
+        ways = [around.format(way) for way in ways]
+        return crossing.crossed(crossing.literal([self.statement(parts) for parts in statements]), values, ways)
 
     def statements(self, tm: TriplesMap) -> list[tuple[Node, Node, Node]]:
         """(subject, predicate, object) of one triples map; objects found by a join are not here."""
@@ -284,6 +373,13 @@ class Form:
     encode_constant: Callable[[str], str]
     elements: Callable[[Group, Callable[[Atom], Column]], Column]
     link: Callable[..., Column]
+    write: Callable[[Node, Node, Node], list[Part]]
+    encode_sql: str
+
+    def crossed(self, group: Group, values: Column) -> Column:
+        """All elements of a group where arrays stand inside templates, subjects or predicates: one for each combination."""
+        statements = [self.write(*(_of_term(n, x) for n, x in zip(nodes, "spo"))) for tm in group.maps for nodes in group.statements(tm)]
+        return group.crossed(statements, values)
 
 
 def _json_inside(value: Column) -> Column:
@@ -295,6 +391,35 @@ def _json_constant(text: str) -> str:
     return json.dumps(text, ensure_ascii=False)[1:-1]
 
 
+# How the fields of a row are kept apart while its combinations are written.
+_KEPT = r"replace(replace({}, '\u0002', '\u0002b'), '\u0001', '\u0002a')"
+
+
+def side_rows(group: Group, nodes: dict[str, Node], scope: Scope, every: list[str]) -> Column:
+    """The fields of one side of a join as an array of rows: one, or where arrays are met every combination. Fields not in nodes are null."""
+    atoms = {a: build(scope) for a, build in group.atoms.values()}
+    none = F.lit(None).cast("string")
+    texts = {f: _join_parts(list(n.parts), lambda a: atoms[a.name]) for f, n in nodes.items()}
+    one = F.array(F.struct(*[texts.get(f, none).alias(f) for f in every]))
+    several = group.meets_array(scope)
+    if several is None:
+        return one
+    kept = [replace(n, parts=tuple(x if isinstance(x, Atom) else x.replace("\x02", "\x02b").replace("\x01", "\x02a") for x in n.parts)) for n in nodes.values()]
+    parts = [part for f, n in zip(nodes, kept) for part in (*_of_term(n, f).parts, SEP)]
+
+    def row(text: Column) -> Column:
+        cut = F.split(text, SEP)
+        back = {f: F.replace(F.replace(cut[i], F.lit("\x02a"), F.lit("\x01")), F.lit("\x02b"), F.lit("\x02")) for i, f in enumerate(nodes)}
+        return F.struct(*[back.get(f, none).alias(f) for f in every])
+
+    written = F.filter(group.crossed([parts], group.values(scope, lambda a: atoms[a]), _KEPT), lambda t: t.isNotNull())
+    return F.when(several, F.transform(written, row)).otherwise(one)
+
+
+def _of_term(node: Node, term: str) -> Node:
+    return replace(node, parts=tuple(Atom(f"{term}:{x.name}") if isinstance(x, Atom) else x for x in node.parts))
+
+
 def _link(write: Callable[[Node, Node, Node], list[Part]]):
     """A statement whose subject and predicate come from one item and whose object from another."""
 
@@ -311,9 +436,9 @@ def _jsonld_link(s: Node, p: Node, o: Node) -> list[Part]:
     return ['{"@id":"', *s.parts, '","', *p.parts, '":[', *_jsonld_value(o, False), "]}"]
 
 
-ROWS = Form(lambda c: c, lambda t: t, lambda g, r: _triples_of(g, _packed, r), _link(_packed))
-TURTLE = Form(terms.escape_literal, terms.escape_constant, lambda g, r: _triples_of(g, _turtle, r), _link(_turtle))
-JSONLD = Form(_json_inside, _json_constant, _nodes_of, _link(_jsonld_link))
+ROWS = Form(lambda c: c, lambda t: t, lambda g, r: _triples_of(g, _packed, r), _link(_packed), _packed, "v")
+TURTLE = Form(terms.escape_literal, terms.escape_constant, lambda g, r: _triples_of(g, _turtle, r), _link(_turtle), _turtle, terms.ESCAPED_SQL)
+JSONLD = Form(_json_inside, _json_constant, _nodes_of, _link(_jsonld_link), _jsonld_link, terms.JSON_SQL)
 
 
 # --- onto a DataFrame ---------------------------------------------------------------------------
@@ -323,7 +448,7 @@ def groups_of(mapping: Mapping, form: Form) -> list[Group]:
     by_iterator: dict[str, list[TriplesMap]] = {}
     for tm in mapping.triples_maps:
         by_iterator.setdefault(tm.iterator, []).append(tm)
-    return [Group(mapping, it, tms, form.encode, form.encode_constant) for it, tms in by_iterator.items()]
+    return [Group(mapping, it, tms, form.encode, form.encode_constant, form.encode_sql) for it, tms in by_iterator.items()]
 
 
 def with_elements(
@@ -356,7 +481,15 @@ def with_elements(
             df = df.withColumn(item, found.column)
             df = df.withColumns({names[a]: build(scope) for a, build in group.atoms.values()})
             helpers += [item, *names.values()]
-            arrays.append(form.elements(group, lambda x: F.col(names[x.name])))
+            elements = form.elements(group, lambda x: F.col(names[x.name]))
+            several = group.meets_array(scope)
+            if several is not None:
+                flag, values = f"{name}_m{g}", f"{name}_v{g}"
+                df = df.withColumn(flag, several)
+                df = df.withColumn(values, F.when(F.col(flag), group.values(scope, lambda a: F.col(names[a]))))
+                helpers += [flag, values]
+                elements = F.when(F.col(flag), form.crossed(group, F.col(values))).otherwise(elements)
+            arrays.append(elements)
             continue
         if found.plain is None:
             df, elements = _array_elements(df, group, form, found, message, f"{name}_c{g}", helpers)
@@ -364,7 +497,7 @@ def with_elements(
             quick, simple = f"{name}_q{g}", f"{name}_s{g}"
             df = df.withColumn(quick, found.plain.column).withColumn(simple, F.col(quick).isNotNull())
             helpers += [quick, simple]
-            scalar = Group(replace(mapping, expand_arrays=False), group.iterator, group.maps, form.encode, form.encode_constant)
+            scalar = Group(replace(mapping, expand_arrays=False), group.iterator, group.maps, form.encode, form.encode_constant, form.encode_sql)
             scalar.learn()
             plain = replace(found.plain, column=F.col(quick))
             df, quick_elements = _array_elements(df, scalar, form, plain, message, f"{name}_p{g}", helpers)
@@ -390,11 +523,21 @@ def _array_elements(
 
     def atoms_of(item: Column, index: Column) -> Column:
         scope = Scope(item, index, message, found.read)
-        return F.struct(F.lit(True).alias("is_item"), *[build(scope).alias(a) for a, build in group.atoms.values()])
-
+        several = group.meets_array(scope)
+        built = {a: build(scope) for a, build in group.atoms.values()}
+        values = [] if several is None else [F.when(several, group.values(scope, lambda a: built[a])).alias("values")]
+        return F.struct(F.lit(True).alias("is_item"), *values, *[c.alias(a) for a, c in built.items()])
+
+    def elements_of(a: Column) -> Column:
+        single = form.elements(group, lambda x: a.getField(x.name))
+        if not spreads:
+            return single
+        return F.when(a.getField("values").isNotNull(), form.crossed(group, a.getField("values"))).otherwise(single)
+
+    spreads = group.meets_array(Scope(F.lit(None), F.lit(0), message, found.read)) is not None
     df = df.withColumn(atoms, F.transform(found.column, atoms_of))
     helpers.append(atoms)
-    return df, F.flatten(F.transform(F.col(atoms), lambda a: form.elements(group, lambda x: a.getField(x.name))))
+    return df, F.flatten(F.transform(F.col(atoms), elements_of))
 
 
 def _local_joins(
@@ -410,30 +553,28 @@ def _local_joins(
         other, asked = mapping.triples_map(o.value), condition(o)
         sides = []
         for label, owner, nodes, keys, parts in (
-            ("l", tm, (tm.subject, p), [c for c, _ in asked.keys], asked.parts(CHILD)),
-            ("r", other, (other.subject,), [q for _, q in asked.keys], asked.parts(PARENT)),
+            ("l", tm, {"s": tm.subject, "p": p}, [c for c, _ in asked.keys], asked.parts(CHILD)),
+            ("r", other, {"o": other.subject}, [q for _, q in asked.keys], asked.parts(PARENT)),
         ):
-            group = Group(mapping, owner.iterator, [owner], form.encode, form.encode_constant)
-            made = [group.node(t, owner) for t in nodes]
-            read_keys = {f"{x}{i}": group.text(t, owner) for x, of in (("k", keys), ("x", parts)) for i, t in enumerate(of)}
+            group = Group(mapping, owner.iterator, [owner], form.encode, form.encode_constant, form.encode_sql)
+            made = {x: group.node(t, owner) for x, t in nodes.items()}
+            fields = made | {f"{x}{i}": group.key(t, owner) for x, of in (("k", keys), ("x", parts)) for i, t in enumerate(of)}
+            group.spread_over(*fields.values())
             found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths)
 
             def row(read, item: Column, index: Column) -> Column:
-                scope = Scope(item, index, message, read)
-                return F.struct(
-                    *[build(scope).alias(k) for k, build in read_keys.items()],
-                    *[build(scope).alias(a) for a, build in group.atoms.values()],
-                )
+                return side_rows(group, fields, Scope(item, index, message, read), list(fields))
 
             column = f"{name}_{label}{n}"
             if found.is_array:
-                df = df.withColumn(column, found.rows(row))
+                df = df.withColumn(column, F.flatten(found.rows(row)))
             else:
                 df = df.withColumn(column + "_i", found.column)
-                df = df.withColumn(column, F.array(row(found.read, F.col(column + "_i"), F.lit(0))))
+                df = df.withColumn(column, row(found.read, F.col(column + "_i"), F.lit(0)))
                 helpers.append(column + "_i")
             helpers.append(column)
-            sides.append((column, made))
+            # the texts are written on their side
+            sides.append((column, [replace(n, parts=(Atom(x),)) for x, n in made.items()]))
         (left, (s_node, p_node)), (right, (o_node,)) = sides
 
         def of_message(both: Column) -> Column:

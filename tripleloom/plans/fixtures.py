@@ -71,6 +71,17 @@ def tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def several_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrays, one of which is for some events a single value and for others missing."""
+    part = F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string"))
+    tag = F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")))
+    as_array = F.to_json(F.struct("event_id", tag.alias("tag"), F.array(F.lit("a"), part).alias("part")))
+    as_text = F.to_json(F.struct("event_id", tag.alias("tag"), F.when(F.col("event_id") % 5 != 0, "a").alias("part")))
+    return messages(spark, sf_dir, "events").select(
+        F.col("event_id").alias("msg_id"), F.when(F.col("event_id") % 3 == 0, as_text).otherwise(as_array).alias("payload")
+    )
+
+
 def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 11th payload is empty, every 7th cut short, every 13th followed by a second document."""
     rows = messages(spark, sf_dir, "events")

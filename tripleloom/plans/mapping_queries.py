@@ -185,6 +185,17 @@ SUPPLIERS = Mapping(
     input_format="CSV",
 )
 
+SEVERAL = Mapping(
+    "several",
+    (
+        TriplesMap(
+            "event",
+            template(EX + "event/{event_id}/{part}"),
+            (po(EX + "about", template(EX + "{tag}/{part}/{tag}")), po(EX + "label", template("{part} {event_id}", "literal"))),
+        ),
+    ),
+)
+
 NUMBERS = Mapping(
     "numbers",
     (
@@ -570,14 +581,15 @@ def _validate(source, fmt: str):
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup cut out of real pages: an element, two elements side by side, an element cut short, a whole page."""
-    nav, ad = F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0), F.regexp_extract("html", '(?s)<div class="ad">.*?</div>', 0)
-    kind = F.col("page_id") % 4
-    payload = (
-        F.when(kind == 0, nav).when(kind == 1, F.concat(nav, ad)).when(kind == 2, F.left(nav, F.length(nav) - 1)).otherwise(F.col("html"))
-    )
-    rows = fixtures.table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), payload.alias("payload"))
-    return rows.select("msg_id", validate.is_xml(F.col("payload")).alias("valid"))
+    """Every page whole, without its document type too, and as the text of one element; of each its navigation and that cut short."""
+    prepare(spark)
+    whole, nav = F.col("html"), F.regexp_extract("html", "(?s)<nav>.*?</nav>", 0)
+    bare = F.regexp_replace(whole, "(?i)^\\s*<!doctype[^>]*>", "")
+    escaped = F.replace(F.replace(whole, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    kinds = {"page": whole, "without type": bare, "as text": F.concat(F.lit("<page>"), escaped, F.lit("</page>")), "nav": nav, "nav cut": F.left(nav, F.length(nav) - 1)}
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("payload")) for k, c in kinds.items()]))
+    rows = fixtures.table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_id"), parts.alias("part")).select("msg_id", "part.*")
+    return rows.select("msg_id", "kind", validate.is_xml(F.col("payload")).alias("valid"))
 
 
 def _validate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,6 +699,21 @@ QUERIES = {
           select event_id, unnest(case when event_id % 3 = 0 then ['[' || event_type || ']']
             else [event_type, 'u' || (user_id % 10)] end) as tag from events)""",
     ),
+    "map_multi_template": (
+        _map(fixtures.several_events, SEVERAL),
+        "select distinct * from ("
+        + _union(
+            """(select *, unnest(parts) as other from (select *, unnest(tags) as tag from (select *, unnest(parts) as part from (
+              select event_id, [event_type, 'u' || (user_id % 10)] as tags, case when event_id % 3 <> 0 then ['a', 'b' || (user_id % 3)]
+                when event_id % 5 <> 0 then ['a'] else [] end as parts from events))))""",
+            "event_id",
+            [
+                (f"{EVENT} || '/' || part", _lit("about"), _iri(f"'{EX}' || tag || '/' || other || '/' || tag")),
+                (f"{EVENT} || '/' || part", _lit("label"), _text("other || ' ' || event_id")),
+            ],
+        )
+        + ")",
+    ),
     "map_orders_nested": (_map(fixtures.orders, ORDERS), ORDERS_SQL),
     "map_parent_nojoin": (
         _map(fixtures.orders, PARENTS),
@@ -834,11 +861,16 @@ QUERIES = {
         _validate(fixtures.broken_events, "CSV"),
         "select event_id as msg_id, event_id % 11 <> 0 as valid from events",
     ),
-    # one element is a document; two, half of one, and a page with a document type are none
+    # a page has a document type and elements that are never closed; as the text of an element it is valid if its characters are
     "validate_xml_pages": (
         _pages,
-        r"""select page_id as msg_id, page_id % 4 = 0 and nav <> '' and not contains(nav, '&') as valid
-        from (select page_id, regexp_extract(html, '<nav>(?:.|\n)*?</nav>') as nav from pages)""",
+        r"""with p as (select page_id, html, regexp_extract(html, '<nav>(?:.|\n)*?</nav>') as nav,
+          regexp_matches(html, '<(meta|br|img)[^>/]*>') as is_open from pages)
+        select page_id as msg_id, 'page' as kind, not is_open and not regexp_matches(html, '(?i)^\s*<!doctype') as valid from p
+        union all select page_id, 'without type', not is_open from p
+        union all select page_id, 'as text', not regexp_matches(html, '[\x00-\x08\x0B\x0C\x0E-\x1F]') from p
+        union all select page_id, 'nav', nav <> '' and not contains(nav, '&') from p
+        union all select page_id, 'nav cut', false from p""",
     ),
     "validate_mixed": (
         _validate_mixed,
