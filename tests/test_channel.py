@@ -374,3 +374,74 @@ def test_python_transformation_sees_its_own_rows_only(spark):
     assert [(r.doc, r.error) for r in rows[:3]] == [("2", None), ("x", None), ("6", None)]
     assert rows[3].doc is None and rows[3].error
 
+
+
+def test_the_plan_does_not_grow_with_the_mappings(spark):
+    """240 mappings of five shapes make the plan of ten, whichever shapes they have; so does a catalog of rule documents."""
+    from tripleloom.operators import rulesets
+    from tripleloom.plans import channel_queries as cq
+
+    def nodes(mappings):
+        df = inbox(spark, GOOD).withColumn("mapping_id", F.lit("m0"))
+        return channel.transform(df, mappings)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert all(rulesets.as_data(m) for m in cq.shapes(10).values())
+    assert nodes(cq.shapes(240)) == nodes(cq.shapes(10))
+
+
+def test_csv_and_iterating_mappings_as_data_write_what_compiled_ones_write(spark):
+    import random
+
+    from tripleloom import blank
+    from tripleloom.operators import rulesets
+    from tripleloom.operators.mapping import documents
+
+    random.seed(5)
+    names = ["a", "b", "c d", "e"]
+
+    def subject(tm):
+        return random.choice([template(EX + "{a}"), blank(), blank("n {a} {b}"), template(EX + "{a}/{e}")])
+
+    mappings = {}
+    for i in range(24):
+        fmt, iterator = random.choice([("CSV", ""), ("JSON", "$.l[*]"), ("JSON", "$[*].l[*]"), ("JSON", "$.l[1]"), ("JSON", "$")])
+        maps = tuple(
+            TriplesMap(f"t{k}", subject(k), tuple(po(EX + f"p{j}", reference(random.choice(names)), template("{a} {" + random.choice(names) + "}", "literal")) for j in range(2)), (EX + "C",) * (k % 2), iterator)
+            for k in range(2)
+        )
+        mappings[f"m{i}"] = Mapping(f"m{i}", maps, fmt, random.choice(["TTL", "JSONLD"]))
+    assert all(rulesets.as_data(m) for m in mappings.values())
+    item = ['{"a":"x \\"y\\"","b":1.50,"c d":["q","r",null],"e":"é"}', '{"a":["u","v"],"b":null,"c d":"[z]"}', "null", "3", '{"b":[1,1]}']
+    csv = ['a,b,c d,e\n1,"x ""q""",[r],é\n2,,\n', "a,a,e\n1,2,3\n", "b\n1\n\n2\n", "a"]
+    jsons = [f'{{"l":[{item[0]},{item[1]}],"a":"k"}}', f'{{"l":[{",".join(item)}]}}', f'[{{"l":[{item[1]}]}},{{"l":{item[0]}}},7]', "{}", "[]", item[0], item[1], "{"]
+    rows = [(f"{n}-{m}", m, p) for m, v in mappings.items() for n, p in enumerate(csv if v.input_format == "CSV" else jsons)]
+    df = spark.createDataFrame(rows, "msg_id string, mapping_id string, payload string")
+    got = {r.msg_id: (r.doc, r.error) for r in apply_by_id(df, mappings, "mapping_id", "payload", "msg_id").collect()}
+    for name, m in mappings.items():
+        want = documents(df.where(F.col("mapping_id") == name), m).collect()
+        assert {r.msg_id: got[r.msg_id] for r in want} == {r.msg_id: (r.doc, r.error) for r in want}, m
+
+
+def test_a_catalog_of_rule_documents(spark):
+    """Documents whose nodes have the same names, one broken, one that has to be compiled, none of them on the driver."""
+    from tripleloom.sources import ntriples, rules
+
+    documents_ = {"a": q.FLAT, "b": q.ORDERS, "c": q.CONDITIONAL, "d": q.SUPPLIERS, "e": q.SEVERAL}
+    lines = [(k, x) for k, m in documents_.items() for x in rules.to_ntriples(m)] + [("broken", "_:x <http://www.w3.org/ns/r2rml#template> \"y\" .")]
+    triples = ntriples.parse_lines(spark.createDataFrame(lines, "mapping_id string, line string"), "line", "mapping_id")
+    formats = spark.createDataFrame([("b", "JSONLD")], "mapping_id string, output_format string")
+    catalog = rules.load_catalog(triples, formats)
+    found = {r.mapping_id: r for r in catalog.collect()}
+    assert {k: (r.input_format, r.output_format, r.is_data) for k, r in found.items() if k != "broken"} == {
+        "a": ("JSON", "TTL", True), "b": ("JSON", "JSONLD", True), "c": ("JSON", "TTL", False), "d": ("CSV", "TTL", True), "e": ("JSON", "TTL", True),
+    }
+    assert found["broken"].problem.startswith("MappingError")
+    payload = '{"event_id":5,"user_id":1,"event_type":"x","tag":["u","v"],"part":"p"}'
+    df = inbox(spark, payload, payload, payload, "event,x").withColumn("mapping_id", F.element_at(F.array(*map(F.lit, "aec")), (F.col("msg_id").cast("int") % 3 + 1)))
+    got = {r.msg_id: r for r in channel.transform(df, catalog).collect()}
+    want = {r.msg_id: r for r in channel.transform(df, {k: documents_[k] for k in "ae"}).collect()}
+    assert got["0"].doc == want["0"].doc and got["1"].doc == want["1"].doc and "p" in got["1"].doc
+    assert got["2"].error == "MappingError: this mapping has to be compiled" and got["3"].error.startswith("MalformedMessage")
+    again = rules.mappings_of(catalog, "c", "broken")
+    assert list(again) == ["c"]
+    assert channel.transform(df.where("mapping_id = 'c'"), again).first().doc

@@ -40,9 +40,9 @@ def literal(statements: list[list[Piece]]) -> Column:
     return F.from_json(F.lit(json.dumps([described(s) for s in statements])), STATEMENTS, {"maxStringLen": "2147483647"})
 
 
-# One SQL text, so that building the plan costs the same few calls whatever the number of statements. z: statements s and lists v.
-_ALL = """z -> flatten(transform(z.s, s -> element_at(transform(
-  array(transform(s.digits, d -> get(z.v, d.at))), lists -> element_at(transform(
+# One SQL text, so that building the plan costs the same few calls whatever the number of statements. q: statements s and lists v.
+_ALL = """q -> flatten(transform(q.s, s -> element_at(transform(
+  array(transform(s.digits, d -> get(q.v, d.at))), lists -> element_at(transform(
   array(transform(lists, x -> case when x is null then 0L else cast(size(x) as bigint) end)), sizes -> element_at(transform(
   array(aggregate(sizes, 1L, (a, n) -> a * n)), total -> case when total > 0 then transform(sequence(0L, total - 1L), i -> aggregate(
     s.pieces, '', (t, p) -> concat(t, case when p.digit < 0 then p.text else element_at(transform(
@@ -51,11 +51,16 @@ _ALL = """z -> flatten(transform(z.s, s -> element_at(transform(
     else cast(array() as array<string>) end), 1)), 1)), 1)))"""
 
 
-def crossed(statements: Column, values: Column, ways: list[str]) -> Column:
-    """All statements with all combinations of `values`, an array of lists. A null among the values makes a null.
+def crossed_sql(statements: str, values: str, ways: list[str]) -> str:
+    """All statements with all combinations of `values`, an array of lists, as SQL. A null among the values makes a null.
 
     ways: the ways of writing a value v, as SQL.
     """
     cases = " ".join(f"when {i} then {way}" for i, way in enumerate(ways))
+    return f"element_at(transform(array(named_struct('s', {statements}, 'v', {values})), {_ALL.replace('{ways}', cases)}), 1)"
+
+
+def crossed(statements: Column, values: Column, ways: list[str]) -> Column:
+    """The same over columns."""
     both = F.array(F.struct(statements.alias("s"), values.alias("v")))
-    return F.element_at(F.call_function("transform", both, F.expr(_ALL.replace("{ways}", cases))), 1)
+    return F.element_at(F.call_function("transform", both, F.expr("x -> " + crossed_sql("x.s", "x.v", ways))), 1)

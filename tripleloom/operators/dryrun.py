@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping, MappingError
 from tripleloom.operators import rulesets, validate
 from tripleloom.operators.mapping import JSONLD, TURTLE, document_column, join_conditions, with_elements
-from tripleloom.session import prepare
+from tripleloom.session import fits, prepare
+from tripleloom.vocab import INPUT_FORMATS
 
 # fixed values: sample message of each input format
 SAMPLES = {"JSON": '{"key": "value"}', "CSV": "1, 2, 3", "XML": "<tag>text</tag>"}
@@ -25,30 +26,43 @@ def no_such_mapping(mapping_id: Column) -> Column:
     return F.concat(F.lit("NoSuchMapping: "), F.coalesce(mapping_id, F.lit("null")))
 
 
-def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, payload: str, key: str) -> DataFrame:
+Rules = dict[str, Mapping] | DataFrame
+
+
+def rules_of(spark: SparkSession, mappings: Rules) -> DataFrame:
+    """The rule table of some mappings; a table of rules is one already (see sources.rules.load_catalog)."""
+    return mappings if isinstance(mappings, DataFrame) else rulesets.rule_table(spark, mappings)
+
+
+def apply_by_id(df: DataFrame, mappings: Rules, mapping_id: str, payload: str, key: str) -> DataFrame:
     """Add `doc` and `error` for rows that each name their mapping.
 
     Mappings that can be data are looked up, so the plan doesn't grow with their number; the others are columns of their own,
     each guarded by its id, so a row pays for the one it uses. Errors are values: an unknown mapping, one that
-    cannot be compiled, or a malformed message never stops the others.
+    cannot be compiled, or a malformed message never stops the others. With a table of rules all are looked up; one that
+    is no data there is an error of its messages. Rules that the driver holds are broadcast if their size, which it knows, is
+    below Spark's threshold; a table of rules is left to Catalyst.
     """
-    prepare(df.sparkSession)
+    spark = prepare(df.sparkSession)
     chosen = F.col(mapping_id)
-    rules = rulesets.rule_table(df.sparkSession, mappings)
+    rules = rules_of(spark, mappings)
+    compiled = {} if isinstance(mappings, DataFrame) else mappings
     names = {c: f"_rule_{c}" for c in rules.columns}
-    rules = rules.select(*[F.col(c).alias(n) for c, n in names.items()])
-    # a row for each mapping that the driver itself holds
-    df = df.join(F.broadcast(rules), chosen == F.col(names["mapping_id"]), "left")
-    formats = tuple(sorted({m.input_format for m in mappings.values()}))
+    # the program is parsed once a mapping
+    rules = rules.withColumn("program", F.from_json("program", rulesets.PROGRAM, {"maxStringLen": "2147483647"}))
+    df = df.join(rules.select(*[F.col(c).alias(n) for c, n in names.items()]), chosen == F.col(names["mapping_id"]), "left")
+    formats = tuple(sorted({m.input_format for m in compiled.values()})) or INPUT_FORMATS
     fmt, problem = F.col(names["input_format"]), F.col(names["problem"])
+    if isinstance(mappings, DataFrame):
+        problem = F.coalesce(problem, F.when(~F.col(names["is_data"]), F.lit("MappingError: this mapping has to be compiled")))
     df = df.withColumn("_ok", validate.is_valid(F.col(payload), fmt, formats) & problem.isNull())
     active = F.col("_ok") & F.col(names["is_data"])
-    columns, written = rulesets.document(F.col(payload), active, names["paths"], names["steps"], names["groups"])
+    columns, written = rulesets.document(F.col(payload), F.col(key).cast("string"), active, names["input_format"], names["output_format"], names["program"])
     for name, column in columns.items():
         df = df.withColumn(name, column)
     doc = F.when(active, written)
     helpers = [*names.values(), "_ok", *columns]
-    for n, (name, mapping) in enumerate(mappings.items()):
+    for n, (name, mapping) in enumerate(compiled.items()):
         try:
             if rulesets.as_data(mapping) is not None:
                 continue
@@ -73,20 +87,21 @@ def apply_by_id(df: DataFrame, mappings: dict[str, Mapping], mapping_id: str, pa
     return df.withColumn("doc", F.when(F.col("_ok") & problem.isNull(), doc)).withColumn("error", error).drop(*helpers)
 
 
-def dry_run(catalog: DataFrame, mappings: dict[str, Mapping], mapping_id: str = "mapping_id", sample: str | None = None) -> DataFrame:
+def dry_run(catalog: DataFrame, mappings: Rules, mapping_id: str = "mapping_id", sample: str | None = None) -> DataFrame:
     """ok, error and doc of every catalog row, run on its sample or on the default of its format.
 
     Without samples of their own every mapping is run once, apart from the catalog, and looked up.
     """
+    known = rules_of(catalog.sparkSession, mappings).select(F.col("mapping_id").alias("_named"), F.col("input_format").alias("_format"))
     if sample is None:
-        names = catalog.sparkSession.createDataFrame([(name, None) for name in mappings], "_tried string, _own string")
+        names = known.select(F.col("_named").alias("_tried"), F.lit(None).cast("string").alias("_own"))
         tried = dry_run(names, mappings, "_tried", "_own").drop("_own")
-        # a row for each mapping that the driver itself holds
-        rows = catalog.join(F.broadcast(tried), F.col(mapping_id) == F.col("_tried"), "left")
+        if not isinstance(mappings, DataFrame) and fits(catalog.sparkSession, rulesets.rule_rows(mappings)):
+            tried = F.broadcast(tried)  # a row for each of the driver's mappings, whose documents come from short samples
+        rows = catalog.join(tried, F.col(mapping_id) == F.col("_tried"), "left")
         unknown = F.when(F.col("_tried").isNull(), no_such_mapping(F.col(mapping_id)))
         return rows.withColumns({"error": F.coalesce("error", unknown), "ok": F.coalesce("ok", F.lit(False))}).drop("_tried")
-    formats = catalog.sparkSession.createDataFrame([(n, m.input_format) for n, m in mappings.items()], "_named string, _format string")
-    catalog = catalog.join(F.broadcast(formats), F.col(mapping_id) == F.col("_named"), "left")
+    catalog = catalog.join(known, F.col(mapping_id) == F.col("_named"), "left")
     fmt = F.col("_format")
     text = F.coalesce(F.col(sample), sample_for(fmt))
     run = apply_by_id(catalog.withColumn("_sample", text), mappings, mapping_id, "_sample", mapping_id)

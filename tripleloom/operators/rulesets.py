@@ -1,176 +1,267 @@
 """Mappings as data: one plan that writes the documents of any number of mappings.
 
-A mapping whose triples maps have one item per message, with constants, templates and references for terms, is a row:
-the paths it reads, and for every statement the pieces it is put together from. Messages look their row up by mapping
-id, read the paths, which are a column here, and join the pieces. Other mappings (several items per message, blank
-nodes, functions, joins, JSON-LD, XML, CSV) are compiled into columns of their own; see mapping.py.
+A mapping of JSON or CSV messages, with any iterators, constants, references, templates and blank nodes, written as Turtle or as JSON-LD,
+is a row: for each iterator the paths it reads, and for every statement the pieces it is put together from. Messages look
+their row up by mapping id, walk its paths and join the pieces. Other mappings (XML, functions, parents of another
+item) are compiled into columns of their own; see mapping.py.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping, MappingError
-from tripleloom.operators import iterate, terms
-from tripleloom.operators.mapping import TURTLE, Atom, Group, Node, Part, _turtle, groups_of
+from tripleloom.operators import crossing, iterate, terms
+from tripleloom.operators.mapping import JSONLD, TURTLE, WAYS, Atom, Group, Node, Part, _jsonld_value, _of_term, _turtle, groups_of
+from tripleloom.session import local_table
+from tripleloom.vocab import RDF_TYPE
 
-# How a piece is written: as it stands, or a read value in one of the encodings, or one value of an array.
-PLAIN, IRI_SLOT, LITERAL, IRI, EACH_LITERAL, EACH_IRI = range(6)
-_ENCODINGS = {"slot-iri": IRI_SLOT, "slot-literal": LITERAL, "literal": LITERAL, "iri": IRI}
+# How a piece is written: as it stands, one of the ways of WAYS, or one value of an array.
+PLAIN, EACH_LITERAL, EACH_IRI = -1, 100, 101
+# A step that takes all elements, and one that takes a member by its name.
+ALL, MEMBER = -2, -1
 
+_STEPS = "array<struct<name: string, at: int>>"
 _PIECES = "array<struct<how: int, at: int, text: string>>"
-RULE_SCHEMA = (
-    "mapping_id string, input_format string, problem string, is_data boolean, paths array<string>, "
-    "steps array<array<struct<name: string, at: int>>>, "
-    f"groups array<struct<single: array<struct<pieces: {_PIECES}, at: int>>, many: array<struct<pieces: {_PIECES}, at: int>>>>"
+_STATEMENTS = f"array<struct<pieces: {_PIECES}, at: int>>"
+PROGRAM = (
+    f"array<struct<iterator: {_STEPS}, paths: array<struct<text: string, steps: {_STEPS}>>, "
+    f"labels: array<struct<pieces: {_PIECES}, numbered: boolean>>, spread: array<int>, single: {_STATEMENTS}, many: {_STATEMENTS}, "
+    f"nodes: array<struct<head: {_PIECES}, sure: boolean, properties: array<struct<name: {_PIECES}, single: {_STATEMENTS}, many: {_STATEMENTS}>>>>, "
+    f"crossed: {crossing.STATEMENTS}, label_texts: {crossing.STATEMENTS}>>"
 )
+RULE_SCHEMA = "mapping_id string, input_format string, output_format string, problem string, is_data boolean, program string"
 
 
-Steps = tuple[str | int, ...]
+def _steps(path: str) -> list[dict]:
+    def step(x: str | int) -> dict:
+        return {"name": None, "at": ALL} if x == "*" else {"name": x, "at": MEMBER} if isinstance(x, str) else {"name": None, "at": x}
 
+    return [step(x) for x in iterate.json_steps(path)]
 
-def as_data(mapping: Mapping) -> tuple[list[Steps], list[tuple[list, list]]] | None:
-    """(paths, groups of statements) of a mapping, or None if it has to be compiled."""
-    if mapping.input_format != "JSON" or mapping.output_format != "TTL" or mapping.has_joins:
-        return None
-    if not all(mapping.one_item(tm) for tm in mapping.triples_maps):
+
+def as_data(mapping: Mapping) -> list[dict] | None:
+    """The program of a mapping, a dictionary for each iterator, or None if it has to be compiled."""
+    if mapping.input_format not in ("JSON", "CSV") or mapping.has_joins:
         return None
-    paths: list[Steps] = []
+    form = TURTLE if mapping.output_format == "TTL" else JSONLD
     out = []
-    for group in groups_of(mapping, TURTLE):
-        written = _group(group, paths)
-        if written is None:
+    for group in groups_of(mapping, form):
+        made = _program(group, mapping)
+        if made is None:
             return None
-        out.append(written)
-    return (paths, out) if all(paths) else None
+        out.append(made)
+    return out
 
 
-def _group(group: Group, paths: list[Steps]) -> tuple[list, list] | None:
+def _program(group: Group, mapping: Mapping) -> dict | None:
     group.learn()
-    names = {name: key for key, (name, _) in group.atoms.items()}
-    if any(key[0] != "many" and (key[0] not in _ENCODINGS or not isinstance(key[1], str)) for key in names.values()):
-        return None
-
-    def place(path: str) -> int:
+    keys = {name: key for key, (name, _) in group.atoms.items()}
+    if any(key[0] not in (*WAYS, "many", "bnode") or (key[0] in WAYS and not isinstance(key[1], str)) for key in keys.values()):
+        return None  # a function
+    own = [a for a, key in keys.items() if key[0] == "bnode"]
+    if any(a not in group.labels and len(keys[a]) != 2 for a in own):
+        return None  # a label made by a function
+    paths = []
+    for path in group.paths:
+        if mapping.input_format == "CSV":
+            paths.append({"text": iterate._json_path([path]), "steps": [{"name": path, "at": MEMBER}]})
+            continue
         steps = iterate.json_steps(path)
         if "*" in steps:
             raise MappingError("a reference may not hold '*'; arrays are expanded by themselves")
-        whole = (*iterate.json_steps(group.iterator), *steps)
-        if whole not in paths:
-            paths.append(whole)
-        return paths.index(whole)
-
-    def pieces(parts: list[Part], each: int | None = None) -> list[tuple]:
-        made: list[tuple] = []
-        for part in parts:
-            if isinstance(part, Atom):
-                made.append((each, -1, None) if part.name == "\x00each" else (_ENCODINGS[names[part.name][0]], place(names[part.name][1]), None))
-            elif part:
-                made.append((PLAIN, -1, part))
-        return made
-
-    single, many = [], []
+        if not steps:
+            return None
+        paths.append({"text": iterate._json_path(steps), "steps": _steps(path)})
+
+    def piece(part: Part, each: int) -> dict:
+        if isinstance(part, str):
+            return {"how": PLAIN, "at": -1, "text": part}
+        if part.name == "\x00each":
+            return {"how": each, "at": -1, "text": None}
+        if part.name in group.slots:
+            path, how = group.slots[part.name]
+            return {"how": how, "at": group.paths.index(path), "text": None}
+        return {"how": 0, "at": len(paths) + own.index(part.name), "text": None}
+
+    def pieces(parts: list[Part], each: int = PLAIN) -> list[dict]:
+        return [piece(p, each) for p in parts if p != ""]
+
+    def raw(text: list[tuple[bool, str]]) -> list[dict]:
+        return [{"how": WAYS.index("raw"), "at": group.paths.index(x), "text": None} if is_slot else {"how": PLAIN, "at": -1, "text": x} for is_slot, x in text]
+
+    def of_object(o: Node, write) -> tuple[dict, dict | None]:
+        """One value, and each of several where the object is a plain reference."""
+        at = -1 if o.many is None else group.paths.index(keys[o.many.name][1])
+        one = {"pieces": pieces(write(o)), "at": at}
+        if o.many is None:
+            return one, None
+        marked = Node(o.kind, (Atom("\x00each"),), o.datatype, o.lang)
+        return one, {"pieces": pieces(write(marked), EACH_IRI if o.kind == "iri" else EACH_LITERAL), "at": at}
+
+    single, many, nodes = [], [], []
+    turtle = mapping.output_format == "TTL"
     for tm in group.maps:
-        for s, p, o in group.statements(tm):
-            at = -1 if o.many is None else place(names[o.many.name][1])
-            single.append((pieces(_turtle(s, p, o)), at))
-            if o.many is not None:
-                marked = Node(o.kind, (Atom("\x00each"),), o.datatype, o.lang)
-                many.append((pieces(_turtle(s, p, marked), EACH_IRI if o.kind == "iri" else EACH_LITERAL), at))
-    return single, many
+        statements = group.statements(tm)
+        if turtle:
+            for s, p, o in statements:
+                one, each = of_object(o, lambda node, s=s, p=p: _turtle(s, p, node))
+                single.append(one)
+                many += [each] if each else []
+            continue
+        by_property: dict[tuple, dict] = {}
+        sure = False
+        for _, p, o in statements:
+            as_type = p.parts == (RDF_TYPE,) and o.kind != "literal"
+            key = ("@type",) if as_type else p.parts
+            found = by_property.setdefault(key, {"name": pieces([',"', *key, '":[']), "single": [], "many": []})
+            one, each = of_object(o, lambda node, t=as_type: _jsonld_value(node, t))
+            found["single"].append(one)
+            found["many"] += [each] if each else []
+            sure |= all(isinstance(part, str) for part in (*o.parts, *key))
+        head = pieces(['{"@id":"', *group.node(tm.subject, tm).parts, '"'])
+        nodes.append({"head": head, "sure": sure, "properties": list(by_property.values())})
+    form = TURTLE if turtle else JSONLD
+    written = [form.write(*(_of_term(n, x) for n, x in zip(spo, "spo"))) for tm in group.maps for spo in group.statements(tm)]
+    raw_way = WAYS.index("raw")
+    return {
+        "iterator": [{"name": None, "at": ALL}] if mapping.input_format == "CSV" else _steps(group.iterator),
+        "paths": paths,
+        "labels": [{"pieces": raw(group.labels[a]), "numbered": False} if a in group.labels else {"pieces": raw([(False, f"{keys[a][1]}:")]), "numbered": True} for a in own],
+        "spread": [group.paths.index(p) for p in group.spread] if mapping.expand_arrays else [],
+        "single": single,
+        "many": many,
+        "nodes": nodes,
+        "crossed": [crossing.described(group.statement(parts)) for parts in written],
+        "label_texts": [
+            crossing.described([("l", group.paths.index(x), raw_way) if is_slot else x for is_slot, x in group.labels.get(a, [])]) for a in own
+        ],
+    }
+
+
+def rule_row(mapping_id: str, mapping: Mapping) -> tuple:
+    """A mapping as a row of RULE_SCHEMA. One that cannot be compiled is a row with its problem."""
+    try:
+        made, problem = as_data(mapping), None
+    except MappingError as e:
+        made, problem = None, f"MappingError: {e}"
+    return (mapping_id, mapping.input_format, mapping.output_format, problem, made is not None, None if made is None else json.dumps(made))
+
+
+def rule_rows(mappings: dict[str, Mapping]) -> list[tuple]:
+    return [rule_row(name, mapping) for name, mapping in mappings.items()]
 
 
 def rule_table(spark: SparkSession, mappings: dict[str, Mapping]) -> DataFrame:
-    """One row per mapping. A mapping that cannot be compiled is a row with its problem."""
-    rows = []
-    for name, mapping in mappings.items():
-        try:
-            made, problem = as_data(mapping), None
-        except MappingError as e:
-            made, problem = None, f"MappingError: {e}"
-        paths, groups = made or ([], None)
-        texts = [iterate._json_path(list(p)) for p in paths]
-        steps = [[(x, -1) if isinstance(x, str) else (None, x) for x in p] for p in paths]
-        rows.append((name, mapping.input_format, problem, made is not None, texts, steps, groups))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
-
-
-def _step(text: Column, step: Column) -> Column:
-    """The member or element of a JSON text, as text."""
-    member = F.get(F.map_values(F.map_filter(_members(text), lambda k, _: k == step.getField("name"))), F.lit(0))
-    element = F.get(F.from_json(text, "array<string>", iterate.JSON_OPTIONS), step.getField("at"))
-    return F.when(step.getField("at") < 0, member).when(text.startswith("["), element)
-
-
-def _members(text: Column) -> Column:
-    return F.from_json(text, "map<string, string>", iterate.JSON_OPTIONS)
-
-
-def document(payload: Column, active: Column, paths: str, steps: str, groups: str) -> tuple[dict[str, Column], Column]:
-    """Helper columns, to be added in order, and then the Turtle document of rows whose mapping is data."""
-    text = iterate._marked(payload)
-    first = lambda p: F.get(p, F.lit(0))
-
-    def at(path: Column) -> Column:
-        # the message is parsed once; only what lies deeper is parsed again
-        top = F.when(first(path).getField("at") < 0, F.element_at(F.col("_top"), first(path).getField("name"))).otherwise(_step(F.col("_text"), first(path)))
-        return F.aggregate(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), top, _step)
-
-    def read(value: Column, i: Column) -> Column:
-        # an array and a text that looks like one are told apart by type
-        kind = F.schema_of_variant(F.variant_get(F.try_parse_json(F.col("_text")), F.get(F.col(paths), i), "variant"))
-        is_array = value.startswith("[") & F.coalesce(kind.startswith("ARRAY"), F.lit(False))
-        listed = F.from_json(value, "array<string>", iterate.JSON_OPTIONS)
-        bare = iterate._unmarked(value)
-        several = F.when(is_array, F.array_distinct(F.transform(listed, iterate._unmarked)))
-        return F.struct(bare.alias("one"), F.when(value.startswith("["), F.coalesce(several, F.array(bare))).alias("many"))
-
-    def encode(v: Column) -> Column:
-        one = v.getField("one")
-        return F.struct(
-            one.alias("one"), terms.iri_safe(one).alias("slot"), terms.escape_literal(one).alias("literal"),
-            terms.iri_reference(one).alias("iri"), v.getField("many").alias("many"),
-        )
-
-    helpers = {
-        "_text": F.when(active, text),
-        "_top": _members(F.col("_text")),
-        "_at": F.transform(F.when(active, F.col(steps)), at),
-        "_read": F.transform(F.col("_at"), read),
-        "_values": F.transform(F.col("_read"), encode),
-    }
-    values = F.col("_values")
-
-    def joined(pieces: Column, each: Column | None = None) -> Column:
-        def piece(x: Column) -> Column:
-            how, value = x.getField("how"), F.get(values, x.getField("at"))
-            out = (
-                F.when(how == PLAIN, x.getField("text"))
-                .when(how == IRI_SLOT, value.getField("slot"))
-                .when(how == LITERAL, value.getField("literal"))
-                .when(how == IRI, value.getField("iri"))
-            )
-            if each is None:
-                return out
-            return out.when(how == EACH_LITERAL, terms.escape_literal(each)).when(how == EACH_IRI, terms.iri_reference(each))
-
-        # a null piece makes the statement null: the rule for missing values
-        return F.aggregate(pieces, F.lit(""), lambda so_far, x: F.concat(so_far, piece(x)))
-
-    def of_group(group: Column) -> Column:
-        single = F.transform(
-            group.getField("single"),
-            lambda s: F.when((s.getField("at") < 0) | F.get(values, s.getField("at")).getField("many").isNull(), joined(s.getField("pieces"))),
-        )
-        several = F.transform(
-            group.getField("many"),
-            lambda s: F.coalesce(
-                F.transform(F.get(values, s.getField("at")).getField("many"), lambda x: joined(s.getField("pieces"), x)),
-                F.array().cast("array<string>"),
-            ),
+    """One row per mapping."""
+    return local_table(spark, rule_rows(mappings), RULE_SCHEMA)
+
+
+_OPTIONS = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in iterate.JSON_OPTIONS.items()) + ")"
+
+
+def _list(text: str) -> str:
+    return f"from_json({text}, 'array<string>', {_OPTIONS})"
+
+
+def _members(text: str) -> str:
+    return f"from_json({text}, 'map<string, string>', {_OPTIONS})"
+
+
+def _named(value: str, name: str, body: str) -> str:
+    """body with the value under a name, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _expression() -> str:
+    """The written elements of a message, as a SQL function of z: text, message, ttl, csv and the program."""
+    bare = f"case when contains(x, '{iterate._MARK}') then regexp_replace(x, '\"?{iterate._MARK}([^\"]*)\"?', '$1') else x end"
+    unmarked = lambda value: _named(value, "x", bare)
+    literal = f"case when z.ttl then {terms.ESCAPED_SQL} else {terms.JSON_SQL} end"
+    label = lambda text: f"concat('_:b', sha2(concat(z.message, ':', {text}), 256))"
+    step = lambda t, s: (
+        f"case when {s}.at = {MEMBER} then try_element_at({_members(t)}, {s}.name) when {s}.at >= 0 and startswith({t}, '[') then get({_list(t)}, {s}.at) end"
+    )
+    items = (
+        f"aggregate(g.iterator, array(z.text), (ts, st) -> case when st.at = {ALL} "
+        f"then flatten(filter(transform(ts, t -> case when startswith(ltrim(t), '[') then {_list('t')} end), l -> l is not null)) "
+        f"else transform(ts, t -> {step('t', 'st')}) end)"
+    )
+    # an array and a text that looks like one are told apart by type
+    listed = (
+        "case when startswith(o, '[') and not z.csv then coalesce(case when startswith(schema_of_variant(variant_get(try_parse_json(item), p.text, 'variant')), 'ARRAY') "
+        f"then array_distinct(transform({_list('o')}, e -> {unmarked('e')})) end, array({unmarked('o')})) end"
+    )
+    value = (
+        f"named_struct('one', v, 'slot', {terms.SAFE_SQL}, 'literal', {literal}, 'iri', {terms.REFERENCE_SQL}, 'many', {listed})"
+    )
+    first = f"case when get(p.steps, 0).at = {MEMBER} then try_element_at(top, get(p.steps, 0).name) else {step('item', 'get(p.steps, 0)')} end"
+    walked = f"aggregate(slice(p.steps, 2, size(p.steps)), {first}, (t, st) -> {step('t', 'st')})"
+    read = f"transform(g.paths, p -> {_named(walked, 'o', _named(unmarked('o'), 'v', value))})"
+
+    def joined(pieces: str, values: str, each: str | None = None) -> str:
+        of_each = f"when {EACH_LITERAL} then {_named(each, 'v', literal)} when {EACH_IRI} then {_named(each, 'v', terms.REFERENCE_SQL)} " if each else ""
+        ways = f"when 1 then get({values}, c.at).slot when 2 then get({values}, c.at).literal when 3 then get({values}, c.at).literal when 4 then get({values}, c.at).iri "
+        return f"aggregate({pieces}, '', (t, c) -> concat(t, case c.how when {PLAIN} then c.text {ways}{of_each}else get({values}, c.at).one end))"
+
+    labels = (
+        f"transform(g.labels, l -> named_struct('one', {label('concat(' + joined('l.pieces', 'r') + ", case when l.numbered then cast(i as string) else '' end)")}, "
+        "'slot', cast(null as string), 'literal', cast(null as string), 'iri', cast(null as string), 'many', cast(null as array<string>)))"
+    )
+    ways = ["v", terms.SAFE_SQL, literal, literal, terms.REFERENCE_SQL, "v"]
+    own_lists = "transform(r, x -> coalesce(x.many, case when x.one is not null then array(x.one) end))"
+    label_lists = (
+        "transform(g.labels, (l, j) -> case when l.numbered then array(get(b, j).one) "
+        f"else transform({crossing.crossed_sql('array(get(g.label_texts, j))', 'k', ways)}, t -> {label('t')}) end)"
+    )
+    combined = _named(own_lists, "k", crossing.crossed_sql("g.crossed", f"concat(k, {label_lists})", ways))
+
+    def statements(of: str) -> str:
+        single = f"transform({of}.single, s -> case when s.at < 0 or get(w, s.at).many is null then {joined('s.pieces', 'w')} end)"
+        several = f"flatten(transform({of}.many, s -> coalesce(transform(get(w, s.at).many, e -> {joined('s.pieces', 'w', 'e')}), cast(array() as array<string>))))"
+        return f"concat({single}, {several})"
+
+    inside = _named(f"filter({statements('y')}, t -> t is not null)", "ts", "case when size(ts) > 0 then concat(" + joined("y.name", "w") + ", array_join(ts, ','), ']') end")
+    body = f"array_join(filter(transform(n.properties, y -> {inside}), t -> t is not null), '')"
+    node = _named(body, "t", f"case when n.sure or t <> '' then concat({joined('n.head', 'w')}, t, '}}') end")
+    written = f"case when z.ttl then {statements('g')} else transform(g.nodes, n -> {node}) end"
+    meets = "exists(g.spread, s -> get(r, s).many is not null)"
+    of_item = _named(_members("item"), "top", _named(read, "r", _named(labels, "b", _named("concat(r, b)", "w", f"case when {meets} then {combined} else {written} end"))))
+    return f"z -> flatten(transform(z.program, g -> flatten(transform({items}, (item, i) -> {of_item}))))"
+
+
+_ELEMENTS = _expression()
+
+
+def _csv_text(payload: Column) -> Column:
+    """The records of a CSV message as a JSON array of objects; of columns with one name the first counts."""
+    records = F.filter(F.regexp_extract_all(payload, F.lit(iterate._CSV_RECORD), F.lit(1)), lambda r: F.trim(r) != "")
+
+    def objects(x: Column) -> Column:
+        def cell(c: Column, name: Column) -> Column:
+            return F.nullif(F.try_element_at(c, F.array_position(x.getField("h"), name).cast("int")), F.lit(""))
+
+        names = F.array_distinct(x.getField("h"))
+        rows = F.slice(x.getField("rs"), F.lit(2), F.greatest(F.size(x.getField("rs")) - 1, F.lit(0)))
+        return F.transform(
+            F.transform(rows, iterate._csv_cells), lambda c: F.map_from_entries(F.transform(names, lambda n: F.struct(n, cell(c, n).alias("value"))))
         )
-        return F.concat(single, F.flatten(several))
 
-    lines = F.flatten(F.transform(F.col(groups), of_group))
-    return helpers, F.array_join(F.array_except(lines, F.array(F.lit(None).cast("string"))), "")
+    headed = F.transform(F.array(records), lambda rs: F.struct(rs.alias("rs"), iterate._csv_cells(F.try_element_at(rs, F.lit(1))).alias("h")))
+    return F.to_json(F.flatten(F.transform(headed, objects)))
+
+
+def document(payload: Column, message: Column, active: Column, input_format: str, output_format: str, program: str) -> tuple[dict[str, Column], Column]:
+    """Helper columns, to be added in order, and then the document of rows whose mapping is data."""
+    csv = F.col(input_format) == "CSV"
+    text = F.when(csv, _csv_text(payload)).otherwise(iterate._marked(payload))
+    turtle = F.col(output_format) == "TTL"
+    asked = F.struct(F.col("_text").alias("text"), message.alias("message"), turtle.alias("ttl"), csv.alias("csv"), F.col(program).alias("program"))
+    elements = F.element_at(F.call_function("transform", F.array(asked), F.expr(_ELEMENTS)), 1)
+    distinct = F.array_except(elements, F.array(F.lit(None).cast("string")))
+    helpers = {"_text": F.when(active, text), "_elements": F.when(active, distinct)}
+    found = F.col("_elements")
+    return helpers, F.when(turtle, F.array_join(found, "")).otherwise(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")))

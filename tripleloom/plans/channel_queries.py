@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.model import Mapping, TriplesMap, po, reference, template
+from tripleloom.model import Mapping, TriplesMap, blank, po, reference, template
 from tripleloom.operators.dryrun import dry_run
 from tripleloom.plans import fixtures
-from tripleloom.plans.mapping_queries import AT, EX, FLAT, K, PARTS, SUPPLIERS, VALUE
+from tripleloom.plans.mapping_queries import _ESC, AT, EX, FLAT, K, PARTS, SUPPLIERS, VALUE
 from tripleloom.session import work_dir
 from tripleloom.sources import rules
 from tripleloom.sources.messages import TopicSource, read_messages
@@ -76,6 +76,35 @@ def _many_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 MANY = 240
 
 
+def shapes(n: int) -> dict[str, Mapping]:
+    """So many mappings of five shapes: one item, items of an array, JSON-LD, CSV, and arrays inside templates beside a blank node."""
+    kind = po(EX + "kind", reference("event_type"))
+
+    def of(i: int) -> Mapping:
+        one = (TriplesMap("e", template(EX + f"e{i}/{{event_id}}"), (kind,), (EX + f"Class{i % 3}",)),)
+        if i % 5 == 1:
+            return Mapping(f"m{i}", (TriplesMap("i", template(EX + f"e{i}/{{v}}"), (po(EX + "n", reference("n", XSD + "integer")),), iterator="$.items[*]"),))
+        if i % 5 == 2:
+            return Mapping(f"m{i}", one, output_format="JSONLD")
+        if i % 5 == 3:
+            return Mapping(f"m{i}", (TriplesMap("r", template(EX + f"e{i}/{{event_id}}"), (po(EX + "kind", reference("kind")),), iterator=""),), "CSV")
+        if i % 5 == 4:
+            return Mapping(f"m{i}", (TriplesMap("t", template(EX + f"e{i}/{{tags}}"), (po(EX + "of", blank("b{event_id}")),)),))
+        return Mapping(f"m{i}", one)
+
+    return {f"m{i}": of(i) for i in range(n)}
+
+
+def _many_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel.transform(fixtures.shaped_events(spark, sf_dir, MANY), shapes(MANY)).select("msg_id", "mapping_id", "doc", "error")
+
+
+def _mapping_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document mapped by the rule document that is made of it."""
+    catalog = rules.load_catalog(fixtures.rule_documents(spark, sf_dir))
+    return channel.transform(fixtures.documents_as_items(spark, sf_dir), catalog).select("msg_id", "mapping_id", "doc", "error")
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir).select("msg_id", "channel_id", "doc", "error")
 
@@ -218,6 +247,25 @@ QUERIES = {
           case when i >= {MANY} then 'NoSuchMapping: m' || i end as error
         from (select *, event_id % {MANY + 1} as i, '<{EX}e' || (event_id % {MANY + 1}) || '/' || event_id || '>' as s from events)""",
     ),
+    "channel_many_shapes": (
+        _many_shapes,
+        f"""select event_id as msg_id, 'm' || i as mapping_id, case i % 5
+            when 0 then s || '/' || event_id || '> <{RDF_TYPE}> <{EX}Class' || (i % 3) || '> .' || chr(10)
+              || s || '/' || event_id || '> <{EX}kind> "' || event_type || '" .' || chr(10)
+            when 1 then s || '/' || event_type || '> <{EX}n> "1"^^<{XSD}integer> .' || chr(10) || s || '/' || u || '> <{EX}n> "2"^^<{XSD}integer> .' || chr(10)
+            when 2 then '[{{"@id":"{EX}e' || i || '/' || event_id || '","@type":["{EX}Class' || (i % 3) || '"],"{EX}kind":[{{"@value":"' || event_type || '"}}]}}]'
+            when 3 then s || '/' || event_id || '> <{EX}kind> "' || event_type || '" .' || chr(10)
+            else s || '/' || event_type || b || s || '/' || u || b end as doc, cast(null as varchar) as error
+        from (select *, event_id % {MANY} as i, '<{EX}e' || (event_id % {MANY}) as s, 'u' || (user_id % 10) as u,
+          '> <{EX}of> _:b' || sha256(event_id || ':b' || event_id) || ' .' || chr(10) as b from events)""",
+    ),
+    "load_mapping_catalog": (
+        _mapping_catalog,
+        f"""select doc_id as msg_id, 'm' || doc_id as mapping_id,
+          case when doc_id % 7 <> 0 then s || ' <{RDF_TYPE}> <{EX}' || source || '> .' || chr(10) || s || ' <{EX}text> "' || {_ESC} || '"@' || lang || ' .' || chr(10) end as doc,
+          case when doc_id % 7 = 0 then 'MappingError: nothing is said about term map ''_:subject''' end as error
+        from (select *, '<{EX}doc/' || doc_id || '>' as s from documents)""",
+    ),
     "channel_order": (
         _order,
         f"""with {FLOW_SQL} select msg_id, channel_id, row_number() over (partition by channel_id order by msg_id) as rank

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.session import prepare
+from tripleloom.vocab import QL, RDF_TYPE, RML, RR, STREAM
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -350,6 +351,45 @@ def mapping_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples of one rule document per document: its text, tagged with its language, and its source as a class. Every seventh lacks its subject's template."""
+    node = lambda name: F.lit(f"_:{name}")
+    said = [
+        (F.lit("urn:doc"), RML + "logicalSource", node("source"), "bnode"),
+        (node("source"), RML + "referenceFormulation", F.lit(QL + "JSONPath"), "iri"),
+        (node("source"), RML + "iterator", F.lit("$"), "literal"),
+        (node("source"), RML + "source", node("stream"), "bnode"),
+        (node("stream"), RDF_TYPE, F.lit(STREAM), "iri"),
+        (F.lit("urn:doc"), RR + "subjectMap", node("subject"), "bnode"),
+        (node("subject"), RR + "template", F.when(F.col("doc_id") % 7 != 0, "http://example.com/doc/{id}"), "literal"),
+        (node("subject"), RR + "class", F.concat(F.lit("http://example.com/"), "source"), "iri"),
+        (F.lit("urn:doc"), RR + "predicateObjectMap", node("says"), "bnode"),
+        (node("says"), RR + "predicate", F.lit("http://example.com/text"), "iri"),
+        (node("says"), RR + "objectMap", node("text"), "bnode"),
+        (node("text"), RML + "reference", F.lit("text"), "literal"),
+        (node("text"), RR + "language", F.col("lang"), "literal"),
+    ]
+    rows = F.array(*[F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")) for s, p, o, k in said])
+    triples = table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), "doc_id").alias("mapping_id"), F.explode(rows).alias("t"))
+    return triples.select("mapping_id", "t.*").where("o is not null")
+
+
+def documents_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.to_json(F.struct(F.col("doc_id").alias("id"), "text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_id"), F.concat(F.lit("m"), "doc_id").alias("mapping_id"), payload.alias("payload"))
+
+
+def shaped_events(spark: SparkSession, sf_dir: str, mappings: int) -> DataFrame:
+    """Events in the form that their mapping, one of so many by number, reads: CSV for the third of every five, else JSON with arrays."""
+    number, user = F.col("event_id") % mappings, F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))
+    item = lambda n, v: F.struct(F.lit(n).alias("n"), v.alias("v"))
+    as_json = F.to_json(F.struct("event_id", "event_type", F.array("event_type", user).alias("tags"), F.array(item(1, F.col("event_type")), item(2, user)).alias("items")))
+    as_csv = F.concat(F.lit("event_id,kind\n"), F.col("event_id").cast("string"), F.lit(',"'), "event_type", F.lit('"\n'))
+    return messages(spark, sf_dir, "events").select(
+        F.col("event_id").alias("msg_id"), F.concat(F.lit("m"), number.cast("string")).alias("mapping_id"), F.when(number % 5 == 3, as_csv).otherwise(as_json).alias("payload")
+    )
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel definitions as JSON text, one per customer; optional parts come and go."""
     c = F.col("c_custkey")

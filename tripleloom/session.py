@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Values every operator needs to give the same result on every cluster.
 REQUIRED = {
@@ -26,6 +28,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark itself would broadcast a table."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def fits(spark: SparkSession, rows: list[tuple]) -> bool:
+    """Are these rows, which the driver holds, small enough to be broadcast? Spark doesn't know their size."""
+    return sum(len(str(value)) for row in rows for value in row) <= broadcast_limit(spark)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds as a table, to be broadcast if they fit."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if fits(spark, rows) else table
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 

@@ -7,13 +7,16 @@ mapping, which the driver turns into a Mapping; message data never takes this wa
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, replace
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping, MappingError, PredicateObject, TermMap, TriplesMap, of_parent
+from tripleloom.operators import rulesets
 from tripleloom.sources import ntriples
 from tripleloom.vocab import EXECUTES, FNML, QL, RDF_TYPE, RML, RR, STREAM
 
@@ -23,8 +26,18 @@ FORMULATIONS = {QL + "JSONPath": "JSON", QL + "XPath": "XML", QL + "CSV": "CSV"}
 JOIN_CONDITIONS = (RR + "joinCondition", RML + "joinCondition")
 # ------------------------------------------------------------------------------------------------
 
-def _objects(triples: DataFrame, predicate: str, name: str) -> DataFrame:
-    return triples.where(F.col("p") == predicate).select("s", F.col("o").alias(name))
+#: The column that tells rule documents apart. Nodes of two documents are never one, whatever their names.
+DOC = "mapping_id"
+
+
+def _objects(triples: DataFrame, predicate: str, name: str, of: str = "s") -> DataFrame:
+    return triples.where(F.col("p") == predicate).select(DOC, F.col("s").alias(of), F.col("o").alias(name))
+
+
+def _said(triples: DataFrame, said: dict[str, str], node: str, *more: Column) -> DataFrame:
+    """One row per node: the object of each of these predicates."""
+    rows = triples.where(F.col("p").isin(*said)).groupBy(DOC, F.col("s").alias(node))
+    return rows.agg(*[F.max(F.when(F.col("p") == p, F.col("o"))).alias(name) for p, name in said.items()], *more)
 
 
 def term_table(triples: DataFrame) -> DataFrame:
@@ -40,83 +53,126 @@ def term_table(triples: DataFrame) -> DataFrame:
         FNML + "functionValue": "function",
         RML + "parentTermMap": "of_parent",
     }
-    rows = triples.where(F.col("p").isin(*said))
-    return rows.groupBy(F.col("s").alias("node")).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("o"))).alias(name) for p, name in said.items()],
-        F.max(F.when(F.col("p") == RR + "constant", F.col("o_kind"))).alias("constant_kind"),
-    )
+    return _said(triples, said, "node", F.max(F.when(F.col("p") == RR + "constant", F.col("o_kind"))).alias("constant_kind"))
 
 
 def triples_map_table(triples: DataFrame) -> DataFrame:
     """One row per triples map: id, iterator, format, whether it reads the stream, subject node."""
-    ids = triples.where(F.col("p").isin(RR + "subjectMap", RR + "subject", RR + "predicateObjectMap")).select("s").distinct()
-    source = _objects(triples, RML + "logicalSource", "source_node")
-    iterator = _objects(triples, RML + "iterator", "iterator").withColumnRenamed("s", "source_node")
-    formulation = _objects(triples, RML + "referenceFormulation", "formulation").withColumnRenamed("s", "source_node")
-    binding = _objects(triples, RML + "source", "binding").withColumnRenamed("s", "source_node")
+    asked = (RR + "subjectMap", RR + "subject", RR + "predicateObjectMap")
+    ids = triples.where(F.col("p").isin(*asked)).select(DOC, "s").distinct()
+    maps = _said(triples, {RML + "logicalSource": "source_node", RR + "subjectMap": "subject_node", RR + "subject": "subject_constant"}, "s")
+    sources = _said(triples, {RML + "iterator": "iterator", RML + "referenceFormulation": "formulation", RML + "source": "binding"}, "source_node")
     streams = triples.where((F.col("p") == RDF_TYPE) & (F.col("o") == STREAM)).select(
-        F.col("s").alias("binding"), F.lit(True).alias("is_stream")
-    )
-    rows = ids.join(source, "s", "left").join(iterator, "source_node", "left").join(formulation, "source_node", "left")
-    rows = rows.join(binding, "source_node", "left").join(streams, "binding", "left")
-    rows = rows.join(_objects(triples, RR + "subjectMap", "subject_node"), "s", "left")
-    rows = rows.join(_objects(triples, RR + "subject", "subject_constant"), "s", "left")
+        DOC, F.col("s").alias("binding"), F.lit(True).alias("is_stream")
+    ).distinct()
+    rows = ids.join(maps, [DOC, "s"], "left").join(sources, [DOC, "source_node"], "left").join(streams, [DOC, "binding"], "left")
     return rows.select(
-        F.col("s").alias("id"), "iterator", "formulation", "binding", F.coalesce("is_stream", F.lit(False)).alias("is_stream"),
+        DOC, F.col("s").alias("id"), "iterator", "formulation", "binding", F.coalesce("is_stream", F.lit(False)).alias("is_stream"),
         "subject_node", "subject_constant",
     )
 
 
 def predicate_object_table(triples: DataFrame) -> DataFrame:
     """One row per (triples map, predicate-object map, role, term): nodes and constant shortcuts."""
-    of = _objects(triples, RR + "predicateObjectMap", "pom").withColumnRenamed("s", "map_id")
+    of = _objects(triples, RR + "predicateObjectMap", "pom", "map_id")
     roles = [RR + name for name in ("predicateMap", "predicate", "objectMap", "object")]
     said = triples.where(F.col("p").isin(*roles))
     role = F.when(F.col("p").isin(RR + "predicateMap", RR + "predicate"), "predicate").otherwise("object")
     rows = said.select(
+        DOC,
         F.col("s").alias("pom"),
         role.alias("role"),
         F.col("p").isin(RR + "predicate", RR + "object").alias("is_constant"),
         F.col("o").alias("term"),
         F.col("o_kind").alias("term_kind"),
     )
-    return of.join(rows, "pom")
+    return of.join(rows, [DOC, "pom"])
 
 
 def join_table(triples: DataFrame) -> DataFrame:
     """One row per condition of a parent: the child's and the parent's reference, or the function called. What isn't said is null."""
-    conditions = triples.where(F.col("p").isin(*JOIN_CONDITIONS)).select(F.col("s").alias("node"), F.col("o").alias("condition"))
+    conditions = triples.where(F.col("p").isin(*JOIN_CONDITIONS)).select(DOC, F.col("s").alias("node"), F.col("o").alias("condition"))
     said = {RR + "child": "child", RR + "parent": "parent_path", FNML + "functionValue": "call"}
-    parts = triples.where(F.col("p").isin(*said)).groupBy(F.col("s").alias("condition"))
-    parts = parts.agg(*[F.max(F.when(F.col("p") == p, F.col("o"))).alias(name) for p, name in said.items()])
-    return conditions.join(parts, "condition", "left").select("node", "condition", *said.values())
+    return conditions.join(_said(triples, said, "condition"), [DOC, "condition"], "left").select(DOC, "node", "condition", *said.values())
+
+
+Found = dict[str, list[SimpleNamespace]]
 
 
-def _collected(**tables: DataFrame) -> dict[str, list[SimpleNamespace]]:
-    """Rows of several tables, brought to the driver by one job."""
+def _gathered(triples: DataFrame) -> DataFrame:
+    """One row per rule document, with all rows of its tables: (table, row as JSON)."""
+    tables = {
+        "terms": term_table(triples),
+        "joins": join_table(triples),
+        "poms": predicate_object_table(triples),
+        "classes": triples.where(F.col("p") == RR + "class").select(DOC, "s", "o"),
+        "maps": triples_map_table(triples),
+    }
     tagged = None
     for name, table in tables.items():
-        row = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
-        part = table.select(F.lit(name).alias("name"), row.alias("row"))
+        row = F.to_json(F.struct(*[c for c in table.columns if c != DOC]), {"ignoreNullFields": "false"})
+        part = table.select(DOC, F.struct(F.lit(name).alias("name"), row.alias("row")).alias("said"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    out: dict[str, list[SimpleNamespace]] = {name: [] for name in tables}
-    for r in tagged.collect():
-        out[r.name].append(SimpleNamespace(**json.loads(r.row)))
+    # a document is one mapping, so what meets here is bounded by the mapping that it becomes
+    return tagged.groupBy(DOC).agg(F.collect_list("said").alias("rows"))
+
+
+def _found(rows: list) -> Found:
+    out: Found = {name: [] for name in ("terms", "joins", "poms", "classes", "maps")}
+    for name, row in rows:
+        out[name].append(SimpleNamespace(**json.loads(row)))
     return out
 
 
 def load_mapping(triples: DataFrame, mapping_id: str, output_format: str = "TTL", rml: str | None = None) -> Mapping:
     """Build the mapping a rule document describes.
 
-    The document's tables are put together by Spark and come to the driver at once, as a mapping is a driver's object.
+    The document's tables are put together by Spark; one mapping comes to the driver, as it is a driver's object. For many
+    see load_catalog().
     """
-    found = _collected(
-        terms=term_table(triples),
-        joins=join_table(triples),
-        poms=predicate_object_table(triples),
-        classes=triples.where(F.col("p") == RR + "class").select("s", "o"),
-        maps=triples_map_table(triples),
-    )
+    rows = _gathered(triples.withColumn(DOC, F.lit(mapping_id))).select("rows").collect()
+    return assembled(_found(rows[0][0] if rows else []), mapping_id, output_format, rml)
+
+
+def load_catalog(triples: DataFrame, formats: DataFrame | None = None) -> DataFrame:
+    """A table of rules out of any number of rule documents: triples with a mapping_id.
+
+    A row for each document: what a message looks up by mapping id (see operators.rulesets) and `rules`, its triples maps as JSON, which
+    mappings_of() reads back. A document that is no mapping, or one that has to be compiled, is a row that says so. `formats`
+    may give an output_format by mapping_id, else Turtle. Rules never pass the driver.
+    """
+    schema = f"{rulesets.RULE_SCHEMA}, rules string"
+    gathered = _gathered(triples)
+    if formats is not None:
+        gathered = gathered.join(formats.select(DOC, "output_format"), DOC, "left")
+    else:
+        gathered = gathered.withColumn("output_format", F.lit(None).cast("string"))
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                try:
+                    mapping = assembled(_found([(x["name"], x["row"]) for x in r["rows"]]), r[DOC], r["output_format"] or "TTL")
+                    made.append((*rulesets.rule_row(r[DOC], mapping), json.dumps([asdict(tm) for tm in mapping.triples_maps])))
+                except MappingError as e:
+                    made.append((r[DOC], "JSON", r["output_format"] or "TTL", f"MappingError: {e}", False, None, None))
+            columns = list(zip(*made, strict=True)) or [()] * len(names)
+            kinds = [pa.bool_() if n == "is_data" else pa.string() for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return gathered.mapInArrow(compiled, schema)
+
+
+def mappings_of(catalog: DataFrame, *mapping_ids: str) -> dict[str, Mapping]:
+    """The named mappings of a catalog as the driver's objects, for those that have to be compiled."""
+    wanted = catalog.where(F.col(DOC).isin(*mapping_ids) & F.col("rules").isNotNull()).select(DOC, "input_format", "output_format", "rules")
+    return {r[0]: Mapping(r[0], tuple(_triples_map_from(d) for d in json.loads(r[3])), r[1], r[2]) for r in wanted.collect()}
+
+
+def assembled(found: Found, mapping_id: str, output_format: str = "TTL", rml: str | None = None) -> Mapping:
+    """The mapping that the rows of a document's tables describe."""
     terms = {r.node: r for r in found["terms"]}
     joins: dict[str, list[SimpleNamespace]] = {}
     for r in sorted(found["joins"], key=lambda r: (r.node, r.child or "", r.condition)):
@@ -329,6 +385,13 @@ def _term_from(d: dict) -> TermMap:
     )
 
 
+def _triples_map_from(d: dict) -> TriplesMap:
+    poms = tuple(
+        PredicateObject(tuple(map(_term_from, p["predicates"])), tuple(map(_term_from, p["objects"]))) for p in d["predicate_objects"]
+    )
+    return TriplesMap(d["id"], _term_from(d["subject"]), poms, tuple(d["classes"]), d["iterator"], d["source"])
+
+
 def from_rule_table(table: DataFrame, mapping_id: str) -> Mapping:
     found = all_from_rule_table(table.where(F.col("mapping_id") == mapping_id))
     if not found:
@@ -337,7 +400,7 @@ def from_rule_table(table: DataFrame, mapping_id: str) -> Mapping:
 
 
 def all_from_rule_table(table: DataFrame) -> dict[str, Mapping]:
-    """Every mapping of a rule table, by its id. A catalog of mappings is a driver's object."""
+    """Every mapping of a rule table, by its id, as the driver's objects. Messages of a catalog of any size need load_catalog() instead."""
     by_id: dict[str, list] = {}
     for r in table.orderBy("mapping_id", "triples_map_id").collect():
         by_id.setdefault(r.mapping_id, []).append(r)
@@ -345,12 +408,5 @@ def all_from_rule_table(table: DataFrame) -> dict[str, Mapping]:
 
 
 def _mapping_from(rows: list) -> Mapping:
-    maps = []
-    for r in rows:
-        d = json.loads(r.rules)
-        poms = tuple(
-            PredicateObject(tuple(map(_term_from, p["predicates"])), tuple(map(_term_from, p["objects"])))
-            for p in d["predicate_objects"]
-        )
-        maps.append(TriplesMap(d["id"], _term_from(d["subject"]), poms, tuple(d["classes"]), d["iterator"], d["source"]))
-    return Mapping(rows[0].mapping_id, tuple(maps), rows[0].input_format, rows[0].output_format)
+    maps = tuple(_triples_map_from(json.loads(r.rules)) for r in rows)
+    return Mapping(rows[0].mapping_id, maps, rows[0].input_format, rows[0].output_format)
