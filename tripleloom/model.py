@@ -138,7 +138,10 @@ class Mapping:
                 if term.kind == "parent" and term.value not in by_id:
                     raise MappingError(f"triples map {tm.id!r} names unknown parent {term.value!r}")
                 if term.kind == "parent" and not term.conditional and self.is_linked(tm, term) and not self.one_item(by_id[term.value]):
-                    raise MappingError(f"triples map {tm.id!r} has no condition to choose among the items of parent {term.value!r}")
+                    if not self.shared_item(tm, by_id[term.value]):
+                        raise MappingError(f"triples map {tm.id!r} has no condition to choose among the items of parent {term.value!r}")
+                    if "blank" in (tm.subject.kind, by_id[term.value].subject.kind):
+                        raise MappingError(f"triples map {tm.id!r} and its parent {term.value!r} need subjects with a name to meet below a shared item")
                 if term.datatype and term.lang:
                     raise MappingError(f"triples map {tm.id!r} gives a term both datatype and language")
                 for text in (term.datatype, term.lang):
@@ -159,6 +162,19 @@ class Mapping:
         """Does the iterator give one item per message?"""
         return self.input_format == "JSON" and "*" not in tm.iterator
 
+    def shared_item(self, tm: TriplesMap, other: TriplesMap) -> tuple[str, str, str] | None:
+        """The iterator of the innermost item that both iterators go through, and what is left of either; None if there is none."""
+        from tripleloom.operators.iterate import json_path, json_steps
+
+        if self.input_format != "JSON":
+            return None
+        steps, others = json_steps(tm.iterator), json_steps(other.iterator)
+        same = next((i for i, (a, b) in enumerate(zip(steps, others)) if a != b), min(len(steps), len(others)))
+        if "*" not in steps[:same]:
+            return None
+        last = same - steps[:same][::-1].index("*")
+        return json_path(steps[:last]), json_path(steps[last:]), json_path(others[last:])
+
     def is_linked(self, tm: TriplesMap, term: TermMap) -> bool:
         """Is the object the subject of another item than the child's own: by a condition, or as the parent iterates otherwise?"""
         return term.kind == "parent" and bool(term.conditional or self.triples_map(term.value).iterator != tm.iterator)

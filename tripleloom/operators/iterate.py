@@ -71,6 +71,11 @@ def json_steps(path: str) -> list[str | int]:
     return steps
 
 
+def json_path(steps: list[str | int]) -> str:
+    """The path of some steps."""
+    return "$" + "".join("[*]" if s == "*" else f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

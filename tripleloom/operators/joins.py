@@ -22,6 +22,7 @@ from tripleloom.operators.mapping import (
     Scope,
     finished,
     join_conditions,
+    nested,
     packed,
     side_rows,
     unpack,
@@ -164,8 +165,8 @@ def _side_type(names: list[str]) -> str:
 
 
 def local_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
-    """Join rules with one item per message on either side: the row itself is the place to look, one comparison an item."""
-    return [r for r in join_conditions(mapping) if mapping.one_item(r[0]) or mapping.one_item(mapping.triples_map(r[2].value))]
+    """Join rules with one item per message on either side, or whose items lie in a shared one: the row itself is the place to look."""
+    return [r for r in join_conditions(mapping) if mapping.one_item(r[0]) or mapping.one_item(mapping.triples_map(r[2].value)) or nested(mapping, r[0], r[2])]
 
 
 def grouped_rules(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:

@@ -550,6 +550,9 @@ def _local_joins(
     """
     arrays, sorted_last = [], []
     for n, (tm, p, o) in enumerate(rules):
+        if shared := nested(mapping, tm, o):
+            arrays.append(_under_shared_item(mapping, form, payload, message, (tm, p, o), shared))
+            continue
         other, asked = mapping.triples_map(o.value), condition(o)
         sides = []
         for label, owner, nodes, keys, parts in (
@@ -607,6 +610,51 @@ def _local_joins(
     return df, arrays
 
 
+def nested(mapping: Mapping, tm: TriplesMap, o: TermMap) -> tuple[str, str, str] | None:
+    """For a parent without a condition that has several items in a message: the item it shares with the child, see Mapping.shared_item()."""
+    other = mapping.triples_map(o.value)
+    return None if o.conditional or mapping.one_item(other) else mapping.shared_item(tm, other)
+
+
+def _under_shared_item(
+    mapping: Mapping, form: Form, payload: Column, message: Column, rule: tuple[TriplesMap, TermMap, TermMap], shared: tuple[str, str, str]
+) -> Column:
+    """Links of the children and the parents that lie in one item of their common iterator: those whose indexes agree up to there."""
+    tm, p, o = rule
+    other = mapping.triples_map(o.value)
+    outer = iterate.items(payload, mapping.input_format, shared[0], [])
+
+    def side(text: Column, owner: TriplesMap, rest: str, terms_: dict[str, TermMap]) -> tuple[Column, dict[str, Node]]:
+        group = Group(mapping, rest, [owner], form.encode, form.encode_constant, form.encode_sql)
+        made = {x: group.node(t, owner) for x, t in terms_.items()}
+        group.spread_over(*made.values())
+        found = iterate.items(text, mapping.input_format, rest, group.paths)
+
+        def row(read, item: Column, index: Column) -> Column:
+            return side_rows(group, made, Scope(item, index, message, read), list(made))
+
+        if found.is_array:
+            rows = F.flatten(found.rows(row))
+        else:  # a one-element transform names the item, so that it is parsed once
+            rows = F.element_at(F.transform(F.array(found.column), lambda item: row(found.read, item, F.lit(0))), 1)
+        return rows, {x: replace(n, parts=(Atom(x),)) for x, n in made.items()}
+
+    def of_outer(item: Column) -> Column:
+        text = item.getField("t")
+        children, child_nodes = side(text, tm, shared[1], {"s": tm.subject, "p": p})
+        parents, parent_nodes = side(text, other, shared[2], {"o": other.subject})
+
+        def of_pair(both: Column) -> Column:
+            def written(c: Column, q: Column) -> Column:
+                return form.link(child_nodes["s"], child_nodes["p"], parent_nodes["o"], lambda a: c.getField(a.name), lambda a: q.getField(a.name))
+
+            return F.flatten(F.transform(both.getField("c"), lambda c: F.transform(both.getField("q"), lambda q: written(c, q))))
+
+        return F.element_at(F.transform(F.array(F.struct(children.alias("c"), parents.alias("q"))), of_pair), 1)
+
+    return F.flatten(F.filter(F.transform(outer.column, of_outer), lambda x: x.isNotNull()))
+
+
 def join_conditions(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
     """(triples map, predicate, parent object) of every rule that links two items: by a join condition, or with a parent of its own iterator."""
     return [

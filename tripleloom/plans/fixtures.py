@@ -128,6 +128,21 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("msg_id"), F.lit("orders").alias("topic"), payload.alias("payload"))
 
 
+def sectioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order in two sections, each with its facts and its tags."""
+
+    def facts(**values: Column) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in values.items()])
+
+    def section(name: str, of: Column, *tags: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), of.alias("facts"), F.array(*[F.struct(t.alias("t")) for t in tags]).alias("tags"))
+
+    state = section("state", facts(status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")), F.lit("a"), F.col("o_orderstatus"))
+    money_ = section("money", facts(total=money("o_totalprice")), F.lit("c"))
+    payload = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.array(state, money_).alias("sections")))
+    return messages(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("msg_id"), payload.alias("payload"))
+
+
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with money as JSON numbers, two decimals each, as fields and as array elements."""
     rows = messages(spark, sf_dir, "lineitem")

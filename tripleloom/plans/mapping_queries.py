@@ -271,6 +271,16 @@ CONDITIONAL = Mapping(
     ),
 )
 
+# facts and tags of a section: each fact lies in one section, beside its tags
+NESTED_PARENTS = Mapping(
+    "nested_parents",
+    (
+        TriplesMap("fact", template(EX + "fact/{n}"), (po(EX + "in", parent("section")), po(EX + "tagged", parent("tag"))), iterator="$.sections[*].facts[*]"),
+        TriplesMap("section", template(EX + "section/{name}"), (po(EX + "has", parent("fact")),), iterator="$.sections[*]"),
+        TriplesMap("tag", template(EX + "tag/{t}"), iterator="$.sections[*].tags[*]"),
+    ),
+)
+
 SHORTER = EX + "function/shorter"
 registry.register(SHORTER, ("a", "b"), lambda a, b: (F.length(a) < F.length(b)).cast("string"))
 
@@ -727,6 +737,22 @@ QUERIES = {
             ],
         ),
     ),
+    "map_parent_nested": (
+        _map(fixtures.sectioned_orders, NESTED_PARENTS),
+        "select distinct * from ("
+        + _union(
+            """(select o_orderkey, unnest(['status', 'priority', 'total']) as n, unnest(['state', 'state', 'money']) as section,
+              unnest(['a', 'a', 'c']) as tag, o_orderstatus from orders)""",
+            "o_orderkey",
+            [
+                (f"'{EX}fact/' || n", _lit("in"), _iri(f"'{EX}section/' || section")),
+                (f"'{EX}section/' || section", _lit("has"), _iri(f"'{EX}fact/' || n")),
+                (f"'{EX}fact/' || n", _lit("tagged"), _iri(f"'{EX}tag/' || tag")),
+                (f"'{EX}fact/' || n", _lit("tagged"), _iri(f"case when section = 'state' then '{EX}tag/' || o_orderstatus end")),
+            ],
+        )
+        + ")",
+    ),
     "map_blank_nodes": (_map(fixtures.orders, BLANKS), BLANKS_SQL),
     "map_wide": (_map(fixtures.events, WIDE), _wide_sql()),
     "iterate_json": (
