@@ -298,6 +298,23 @@ def test_changes_and_state_against_replay(spark, span):
     assert folded == {k: (v["stopped"], v["monitor_in"], v["monitor_out"], v["error_topic"], v["error"]) for k, v in now.items()}
 
 
+def test_state_follows_the_log(spark, tmp_path):
+    """Runs over parts of a log, in any order, with snapshots: the state of the whole log; each run reads its part alone."""
+    log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    rows = [(f"c{i % 7}", i, random.choice(["add", "update", "update", "failed", "completed", "restart", "remove"]), random.choice([None, True, False]),
+             random.choice([None, True]), None, random.choice([None, False]), random.choice([None, f"e{i}"])) for i in range(300)]
+    random.shuffle(rows)
+    schema = "channel_id string, seq long, action string, is_stopped boolean, monitor_in_enabled boolean, monitor_out_enabled boolean, error_enabled boolean, error string"
+    for n, part in enumerate((rows[:120], rows[120:130], rows[130:130], rows[130:])):
+        spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(log)
+        query = state.follow(spark.readStream.schema(schema).parquet(log), out, checkpoint, snapshot_every=2)
+        query.awaitTermination()
+        assert sum(p.numInputRows for p in query.recentProgress) == len(part)
+        want = state.current_state(spark.read.parquet(log)).collect()
+        assert sorted(map(tuple, state.followed_state(spark, out).collect())) == sorted(map(tuple, want)) and (n or want)
+    assert state.followed_state(spark, out).columns == state.current_state(spark.read.parquet(log)).columns
+
+
 def test_carry_over_equals_one_window(spark):
     log = spark.createDataFrame(random_log(500, 5), LOG)
     whole = Window.partitionBy("channel_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

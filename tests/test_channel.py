@@ -94,11 +94,55 @@ def test_failures_are_counted_by_channel(spark):
     assert {r.value for r in out.where("sink = 'log'").collect()} == {"Failure(MalformedMessage: not a well-formed JSON document)"}
 
 
-def test_each_topic_at_its_own_servers(spark):
-    rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("x", "4")], "topic string, value string")
-    groups = channel.by_servers(rows, {"a": "one:1", "b": "two:2", "c": "one:1"})
-    assert {k: sorted(r.topic for r in v.collect()) for k, v in groups.items()} == {"one:1": ["a", "c"], "two:2": ["b"]}
-    assert channel.by_servers(rows, None) == {} and channel.by_servers(rows, "all:1")["all:1"].count() == 4
+def placed(spark, *rows):
+    """Channels with addresses of their own."""
+    places = [r.pop("output_address", None) for r in rows]
+    df = channels(spark, *rows)
+    named = F.create_map(*[F.lit(x) for r, a in zip(rows, places, strict=True) for x in (r.get("channel_id", "c1"), a)])
+    return df.withColumns({"output_address": named[F.col("channel_id")], "monitor_out_address": F.lit(None).cast("string"), "error_address": F.lit("e:1")})
+
+
+def test_each_record_at_its_channels_address(spark, tmp_path):
+    rows = [{"output_address": "one:1"}, {"channel_id": "c2", "output_address": "two:2"}, {"channel_id": "c3", "output_broker": "MQTT", "output_address": "tcp://m:1"}]
+    sent = channel.records(channel.annotate(inbox(spark, GOOD, BAD), placed(spark, *rows), {"m": M}))
+    got = {}
+
+    def send(df, address):
+        # the folder is partitioned by address, so a write reads its own part
+        assert "address" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+        got[address] = sorted((r.topic, r.key) for r in df.collect())
+
+    written = channel.write_records(channel.addressed(sent, "rest:9"), str(tmp_path / "a"), 0)
+    channel.send_records(written, send)
+    assert got == {"one:1": [("out", "c1")], "two:2": [("out", "c2")], "e:1": [("err", f"c{i}") for i in (1, 2, 3)], "rest:9": [("mo", f"c{i}") for i in (1, 2, 3)]}
+    # by topic: one that isn't named stops the batch
+    written = channel.write_records(channel.addressed(sent, {"err": "x:1"}), str(tmp_path / "b"), 0)
+    with pytest.raises(ValueError, match="mo"):
+        channel.send_records(written, send)
+    assert {r.address for r in channel.addressed(sent, {"mo": "x:1"}).where("sink = 'monitor_out'").collect()} == {"x:1"}
+
+
+def test_failures_are_observed_while_they_are_written(spark, tmp_path):
+    rows = [{}, {"channel_id": "c2", "error_topic": None}, {"channel_id": "c3", "mapping_id": "gone"}]
+    sent = channel.records(channel.annotate(inbox(spark, GOOD, BAD, BAD), channels(spark, *rows), {"m": M}))
+    totals, group = [], "observed"
+    spark.sparkContext.setJobGroup(group, group)
+    written = channel.write_records(sent, str(tmp_path / "w"), 0, totals.append)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("plain", "plain")
+    channel.write_records(sent, str(tmp_path / "p"), 0)
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("plain"))  # no job beside the write
+    spark.sparkContext._jsc.clearJobGroup()
+    counts = channel.failure_counts(written).agg(F.sum("failures"), F.sum("failures_without_topic")).first()
+    assert totals == [{"failures": counts[0], "failures_without_topic": counts[1]}] == [{"failures": 7, "failures_without_topic": 2}]
+
+
+def test_many_python_transformations_cross_once(spark):
+    df = inbox(spark, "1", "x", "3", None).withColumn("mapping_id", F.element_at(F.array(*map(F.lit, ["a", "b", "c", "a"])), F.col("msg_id").cast("int") + 1))
+    given = {"a": channel.python_transformation(lambda t: t * 2), "b": channel.python_transformation(lambda t: str(int(t))), "c": F.upper}
+    out = channel.transform(df, {}, given)
+    assert [(r.doc, (r.error or "")[:10]) for r in out.orderBy("msg_id").collect()] == [("11", ""), (None, "ValueError"), ("3", ""), (None, "NullMessag")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 def test_dry_run(spark):
@@ -231,6 +275,25 @@ def test_file_topics(spark, tmp_path, file_format):
     assert src.read_messages(spark, source, streaming=True).isStreaming
 
 
+def test_equal_lines_of_a_text_topic_are_messages_of_their_own(spark, tmp_path):
+    """However the file is split: lines keep their order, and no two share a position."""
+    path = tmp_path / "lines"
+    path.mkdir()
+    for name, n in (("a", 4000), ("b", 30), ("c", 1)):
+        (path / f"{name}.txt").write_text("".join("tick\n" if i % 3 else f"{i}\n" for i in range(n)) + "\n" * (name == "b"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1000b", "37b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = src.read_messages(spark, src.TopicSource("t", path=str(path), file_format="text")).collect()
+            assert len(rows) == 4032 == len({r.msg_id for r in rows})
+            for name, n in (("a", 4000), ("b", 31), ("c", 1)):
+                lines = [r.payload for r in sorted((r for r in rows if r.part.endswith(f"{name}.txt")), key=lambda r: r.position)]
+                assert lines[:n] == ["tick" if i % 3 else str(i) for i in range(n)][: 30 if name == "b" else n] + [""] * (name == "b")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_text_topics(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("a", "b"):

@@ -245,7 +245,11 @@ def channel_table(df: DataFrame) -> DataFrame:
         topic = F.col("settings").getField(name)
         columns.append(topic.getField("topic").alias(f"{role}_topic"))
         if role != "input":
-            columns.append(topic.getField("brokerType").alias(f"{role}_broker"))
+            broker, kafka, mqtt = topic.getField("brokerType"), topic.getField("kafkaSettings"), topic.getField("mqttSettings")
+            columns.append(broker.alias(f"{role}_broker"))
+            at = lambda server: F.concat(server.getField("host"), F.lit(":"), server.getField("port").cast("string"))
+            mqtt_at = F.concat(mqtt.getField("protocol"), F.lit("://"), at(mqtt))
+            columns.append(F.when(broker == "KAFKA", at(kafka)).otherwise(mqtt_at).alias(f"{role}_address"))
     return df.select(
         *columns,
         "mapping_id",

@@ -7,8 +7,9 @@ A null field means no change. The empty error text means "cleared".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # --- fixed values: report texts of a status update -------------------------------------------------
 NO_CHANNEL = "No channel with ID: "
@@ -64,6 +65,53 @@ def current_state(events: DataFrame) -> DataFrame:
     return folded.where("present").join(texts, ["channel_id", "error_seq"], "left").select("channel_id", *FLAGS, "error", "last_seq")
 
 
+def follow(
+    log_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, snapshot_every: int = 100, query_name: str | None = None
+) -> StreamingQuery:
+    """Start a streaming query that keeps the state of all channels up to date with a growing log.
+
+    What each field was last set to, and where in the log, is kept in Spark's state store, so a run reads new events only, and
+    events that come late or in any order don't matter. Each micro-batch writes the channels that it changed into a folder of its own, which a
+    repeated batch overwrites; every `snapshot_every` batches the whole state is written once, so a reader has few folders to read.
+    """
+    log, seq = effects(log_stream), F.col("seq")
+    folded = log.groupBy("channel_id").agg(
+        *[_latest(F.col(name), seq).alias(name) for name in (*FLAGS, "present", "error")], F.max(seq).alias("last_seq")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/kind=delta/batch_id={batch_id}")
+        if batch_id % snapshot_every == snapshot_every - 1:
+            _followed(spark, path).write.mode("overwrite").parquet(f"{path}/kind=snapshot/batch_id={batch_id}")
+
+    writer = folded.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    if query_name:
+        writer = writer.queryName(query_name)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+_FOLLOWED = f"channel_id string, {', '.join(f'{f} boolean' for f in FLAGS)}, present boolean, error string, last_seq bigint"
+
+
+def _followed(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every channel: of the last snapshot and the batches after it."""
+    rows = spark.read.schema(f"{_FOLLOWED}, kind string, batch_id bigint").parquet(path)
+    newest = rows.where("kind = 'snapshot'").agg(F.max("batch_id")).first()[0]
+    since = -1 if newest is None else newest
+    kept = rows.where(((F.col("kind") == "delta") & (F.col("batch_id") > since)) | ((F.col("kind") == "snapshot") & (F.col("batch_id") == since)))
+    columns = [c.strip().split(" ")[0] for c in _FOLLOWED.split(",")][1:]
+    # a snapshot's batch comes before those that follow it, so one number orders them all
+    last = kept.groupBy("channel_id").agg(*[F.max_by(F.struct(c), "batch_id")[c].alias(c) for c in columns])
+    return last
+
+
+def followed_state(spark: SparkSession, path: str) -> DataFrame:
+    """What current_state() gives for the whole log, out of what follow() has written."""
+    rows = _followed(spark, path).where("present")
+    return rows.select("channel_id", *FLAGS, F.nullif("error", F.lit("")).alias("error"), "last_seq")
+
+
 # Stretches of one channel that are looked at together.
 STRETCHES = 1 << 14
 

@@ -9,6 +9,7 @@ from tripleloom.operators import catalog, settings, state
 from tripleloom.plans import fixtures
 from tripleloom.plans.channel_queries import MAPPINGS
 from tripleloom.plans.mapping_queries import PARTS
+from tripleloom.session import work_dir
 
 ROLE_NAMES = settings.ROLES
 
@@ -162,6 +163,18 @@ def _channel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.current_state(fixtures.channel_log(spark, sf_dir))
 
 
+def _state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in two halves, each followed by a run of its own; the second reads the second half alone."""
+    log, out, checkpoint = (work_dir(spark, name) for name in ("state-log", "state", "state-checkpoint"))
+    events = fixtures.channel_log(spark, sf_dir)
+    half = events.agg(F.max("seq")).first()[0] // 2
+    for part in (events.where(F.col("seq") > half), events.where(F.col("seq") <= half)):  # the later half first
+        part.write.mode("append").parquet(log)
+        stream = spark.readStream.schema(events.schema).parquet(log)
+        state.follow(stream, out, checkpoint).awaitTermination()
+    return state.followed_state(spark, out)
+
+
 def _status_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.status_report(_channel_state(spark, sf_dir), fixtures.log_channels(spark, sf_dir))
 
@@ -297,6 +310,7 @@ QUERIES = {
     ),
     "mapping_hash": (_mapping_hash, "select 'm' || doc_id as mapping_id, upper(sha256(text)) as rml_hash from documents"),
     "channel_state": (_channel_state, f"with {fixtures.LOG_SQL}, {fixtures.STATE_SQL} select * from state"),
+    "channel_state_stream": (_state_stream, f"with {fixtures.LOG_SQL}, {fixtures.STATE_SQL} select * from state"),
     "status_report": (
         _status_report,
         f"""with {fixtures.LOG_SQL}, {fixtures.STATE_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.model import Mapping, TriplesMap, blank, po, reference, template
+from tripleloom.operators import settings
 from tripleloom.operators.dryrun import dry_run
 from tripleloom.plans import fixtures
 from tripleloom.plans.mapping_queries import _ESC, AT, EX, FLAT, K, PARTS, SUPPLIERS, VALUE
@@ -152,6 +153,30 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("msg_id", "channel_id", "sink", "broker", "topic", "key", "value")
 
 
+def _text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text files, every second one the same: each its own message, in the order of the file."""
+    path = work_dir(spark, "lines")
+    line = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("tick")
+    rows = fixtures.table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id")
+    rows.select(line.alias("value")).write.text(path)
+    read = read_messages(spark, TopicSource("lines", path=path, file_format="text"))
+    placed = channel.ranked(read.withColumns({"channel_id": F.lit("lines"), "sink": F.lit("input")}), 1000)
+    return placed.groupBy("payload", "rank").agg(F.countDistinct("msg_id").alias("messages"))
+
+
+def _sink_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by channels with servers of their own, read back from the part of their address."""
+    resolved = settings.resolve_settings(settings.with_channel_id(settings.read_definitions(fixtures.placed_definitions(spark, sf_dir))))
+    channels = settings.channel_table(resolved.withColumn("mapping_id", F.lit("short")))
+    sent = channel.records(channel.annotate(fixtures.broken_events(spark, sf_dir), channels, MAPPINGS))
+    written = channel.write_records(channel.addressed(sent, None), work_dir(spark, "addresses"), 0)
+    return written.where("sink in ('output', 'error')").select("msg_id", "channel_id", "sink", "broker", "address", "topic")
+
+
+def _failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return channel.failure_counts(channel.records(_annotated(spark, sf_dir)))
+
+
 PROPS = Mapping("props", (TriplesMap("p", template(EX + "k/{k}"), (po(EX + "k", reference("k", XSD + "integer")),)),))
 
 
@@ -291,6 +316,26 @@ QUERIES = {
           (epoch_us(ts) // 1000) as ms from events
         union all select conv_id || '/' || turn, 'talk/' || role, conv_id::varchar, text, null from conversations""",
     ),
+    "read_text_messages": (
+        _text_messages,
+        """select case when event_id % 2 = 0 then event_id::varchar else 'tick' end as payload,
+          row_number() over (order by event_id) as rank, 1 as messages from events""",
+    ),
+    "sink_addresses": (
+        _sink_addresses,
+        f"""with {MESSAGES_SQL}, flow as (
+          select msg_id, bad, c_custkey as c, 'ch-' || c_custkey as channel_id from messages join customer on topic = 'user/' || c_custkey)
+        select msg_id, channel_id, 'output' as sink, case when c % 5 = 0 then 'MQTT' else 'KAFKA' end as broker,
+          case when c % 5 = 0 then case when c % 2 = 0 then 'ssl://m:8883' else 'tcp://127.0.0.1:1883' end
+            when c % 4 <> 0 then 'k' || (c % 3) || ':9092' else '127.0.0.1:9093' end as address, 'out/' || c as topic from flow where not bad
+        union all select msg_id, channel_id, 'error', 'KAFKA', '127.0.0.1:9093', 'err/' || c from flow where bad and c % 3 <> 0""",
+    ),
+    "failure_counts": (
+        _failure_counts,
+        f"""with {FLOW_SQL} select channel_id, count(*) as failures,
+          count(*) filter (where error_topic is null or not error_enabled) as failures_without_topic
+        from flow where error is not null group by channel_id""",
+    ),
     "channel_stream": (_stream, _stream_sql()),
     "dry_run": (
         _dry_run,

@@ -366,6 +366,26 @@ def mapping_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def placed_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel definitions that read the topic of a user; some name the servers of their own topics."""
+    c = F.col("c_custkey")
+
+    def topic(prefix: str, broker: Column, *servers: Column) -> Column:
+        return F.struct(F.concat(F.lit(prefix), c.cast("string")).alias("topic"), broker.alias("brokerType"), *servers)
+
+    kafka = F.when(c % 4 != 0, F.struct(F.concat(F.lit("k"), c % 3).alias("host"), F.lit(9092).alias("port")))
+    mqtt = F.when(c % 2 == 0, F.struct(F.lit("ssl").alias("protocol"), F.lit("m").alias("host"), F.lit(8883).alias("port")))
+    settings = F.struct(
+        F.concat(F.lit("ch-"), c).alias("channelId"),
+        topic("user/", F.lit("MQTT")).alias("inputTopicSettings"),
+        topic("out/", F.when(c % 5 == 0, "MQTT").otherwise("KAFKA"), kafka.alias("kafkaSettings"), mqtt.alias("mqttSettings")).alias("outputTopicSettings"),
+        F.when(c % 3 != 0, topic("err/", F.lit("KAFKA"))).alias("errorTopicSettings"),
+    )
+    mapping = F.struct(F.lit("JSON").alias("inputFormat"), F.lit("TTL").alias("outputFormat"), F.lit("rules").alias("rml"))
+    body = F.to_json(F.struct(settings.alias("settings"), F.struct(mapping.alias("mapping")).alias("metadata")))
+    return table(spark, sf_dir, "customer").select(body.alias("definition"))
+
+
 def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples of one rule document per document: its text, tagged with its language, and its source as a class. Every seventh lacks its subject's template."""
     node = lambda name: F.lit(f"_:{name}")

@@ -82,17 +82,22 @@ def _read_files(spark: SparkSession, source: TopicSource, streaming: bool) -> Da
     if streaming and source.buffer_size:
         reader = reader.option("maxFilesPerTrigger", str(source.buffer_size))
     if source.file_format == "text":
-        # One message per line. The identifier is the file and a hash of the line, the same however the file is split; equal
-        # lines of a file are one message. A text file has no positions.
+        # One message per line. Its position is the first byte of the block it was read from and its number within that block.
+        # A block has fewer lines than bytes, so positions of a file follow each other and no two lines share one,
+        # however it is split. Spark reads a whole block by itself, and only the last ones of files together; their
+        # numbers go on, which only a later block of the same file could notice.
         rows = reader.option("wholetext", "false").text(source.path)
+        number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = rows.select("value", F.col("_metadata").alias("_m"), number.alias("_n"))
+        position = F.col("_m.file_block_start") + F.col("_n")
         rows = rows.select(
-            F.concat_ws("/", "_metadata.file_path", F.xxhash64("value")).alias("msg_id"),
+            F.concat_ws("/", "_m.file_path", position).alias("msg_id"),
             F.lit(source.topic).alias("topic"),
             F.lit(None).cast("string").alias("key"),
             F.col("value").alias("payload"),
-            F.col("_metadata.file_modification_time").alias("ts"),
-            F.col("_metadata.file_path").alias("part"),
-            F.lit(None).cast("bigint").alias("position"),
+            F.col("_m.file_modification_time").alias("ts"),
+            F.col("_m.file_path").alias("part"),
+            position.alias("position"),
         )
         return rows
     rows = reader.format(source.file_format).schema(source.schema or MESSAGE_SCHEMA).load(source.path)
@@ -125,3 +130,8 @@ def record_key(broker: Column, channel_id: Column) -> Column:
 def to_kafka(records: DataFrame) -> DataFrame:
     """The columns Spark's Kafka sink wants."""
     return records.where("broker = 'KAFKA'").select("topic", "key", "value")
+
+
+def send_to_kafka(rows: DataFrame, address: str) -> None:
+    """Write records (topic, key, value) to the Kafka servers at this address."""
+    rows.write.format("kafka").options(**kafka_sink_options(address)).save()

@@ -7,10 +7,12 @@ batch and in Structured Streaming. Many channels share one job through a join wi
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -19,7 +21,7 @@ from tripleloom.model import Mapping
 from tripleloom.operators.dryrun import apply_by_id
 from tripleloom.operators.state import completion_events
 from tripleloom.session import prepare
-from tripleloom.sources.messages import kafka_sink_options, record_key, to_kafka
+from tripleloom.sources.messages import record_key, send_to_kafka, to_kafka
 
 # What a channel row must hold. A null topic switches its stage off for good.
 CHANNEL_SCHEMA = (
@@ -32,25 +34,34 @@ CHANNEL_SCHEMA = (
 Transformation = Callable[[Column], Column]
 
 
-def python_transformation(function: Callable[[str], str]) -> Transformation:
+@dataclass(frozen=True)
+class PythonTransformation:
+    """Any text-to-text Python function as a transformation; what it raises becomes the error."""
+
+    function: Callable[[str], str]
+
+
+def python_transformation(function: Callable[[str], str]) -> PythonTransformation:
     """Any text-to-text Python function as a transformation; what it raises becomes the error.
 
-    Runs in Arrow batches beside the JVM. Use Column functions where they can say the same.
+    Runs in Arrow batches beside the JVM, all such functions of a job in one pass. Use Column functions where they can say the same.
     """
+    return PythonTransformation(function)
+
+
+def _in_python(functions: dict[str, Callable[[str], str]]) -> Callable[[Column, Column], Column]:
+    """One function of (name, payload) that runs the one of that name; a null name is another channel's row."""
+
     @F.pandas_udf(T.StructType([T.StructField("doc", T.StringType()), T.StructField("error", T.StringType())]))
-    def run(payloads: pd.Series) -> pd.DataFrame:
-        docs, errors = [], []
-        for payload in payloads:
-            if payload is None:  # another channel's row
-                docs.append(None)
-                errors.append(None)
+    def run(names: pd.Series, payloads: pd.Series) -> pd.DataFrame:
+        docs, errors = [None] * len(names), [None] * len(names)
+        for i, (name, payload) in enumerate(zip(names, payloads, strict=True)):
+            if name is None or payload is None:
                 continue
             try:
-                docs.append(function(payload))
-                errors.append(None)
+                docs[i] = functions[name](payload)
             except Exception as e:  # the failure of one message must not stop the others
-                docs.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
+                errors[i] = f"{type(e).__name__}: {e}"
         return pd.DataFrame({"doc": pd.Series(docs, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return run
@@ -69,26 +80,28 @@ def route(messages: DataFrame, channels: DataFrame) -> DataFrame:
 def transform(
     routed: DataFrame,
     mappings: dict[str, Mapping],
-    transformations: dict[str, Transformation] | None = None,
+    transformations: dict[str, Transformation | PythonTransformation] | None = None,
     payload: str = "payload",
     key: str = "msg_id",
 ) -> DataFrame:
-    """Add `doc` and `error`: the mapping or transformation named by mapping_id, failures captured."""
-    plain = transformations or {}
+    """Add `doc` and `error`: the mapping or transformation named by mapping_id, failures captured.
+
+    mappings: Mapping by id, or a table of rules as sources.rules.load_catalog() makes.
+    """
+    given = transformations or {}
+    python = {name: t.function for name, t in given.items() if isinstance(t, PythonTransformation)}
     df = apply_by_id(routed, mappings, "mapping_id", payload, key)
-    doc, error = F.col("doc"), F.col("error")
-    for name, function in plain.items():
-        mine = F.col("mapping_id") == name
-        result = function(F.when(mine, F.col(payload)))  # a row crosses to Python for its own channel only
-        df = df.withColumn("_r", result)
-        if isinstance(df.schema["_r"].dataType, T.StructType):
-            none = F.when(F.col(payload).isNull(), F.lit("NullMessage: there is no payload"))
-            new_doc, new_error = F.col("_r.doc"), F.coalesce("_r.error", none)
-        else:
-            new_doc, new_error = F.col("_r"), F.lit(None).cast("string")
-        df = df.withColumns({"doc": F.when(mine, new_doc).otherwise(doc), "error": F.when(mine, new_error).otherwise(error)})
-        df = df.drop("_r")
-    return df
+    doc, error, name = F.col("doc"), F.col("error"), F.col("mapping_id")
+    for own, function in given.items():
+        if own not in python:
+            doc = F.when(name == own, function(F.when(name == own, F.col(payload)))).otherwise(doc)
+            error = F.when(name == own, F.lit(None).cast("string")).otherwise(error)
+    if python:  # one pass over the rows however many functions there are; rows of others go without their payload
+        mine = name.isin(*python)
+        df = df.withColumn("_r", _in_python(python)(F.when(mine, name), F.when(mine, F.col(payload))))
+        none = F.when(F.col(payload).isNull(), F.lit("NullMessage: there is no payload"))
+        doc, error = F.when(mine, F.col("_r.doc")).otherwise(doc), F.when(mine, F.coalesce("_r.error", none)).otherwise(error)
+    return df.withColumns({"doc": doc, "error": error}).drop("_r")
 
 
 def annotate(messages: DataFrame, channels: DataFrame, mappings, transformations=None) -> DataFrame:
@@ -106,14 +119,15 @@ def failure(error: Column) -> Column:
     return F.concat(F.lit("Failure("), error, F.lit(")"))
 
 
-RECORD_COLUMNS = ("msg_id", "channel_id", "sink", "broker", "topic", "key", "value", "payload", "part", "position")
+RECORD_COLUMNS = ("msg_id", "channel_id", "sink", "broker", "address", "topic", "key", "value", "payload", "part", "position")
 
 
 def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
     """Everything the channels send: output, monitor_in, monitor_out and error records.
 
     All records of a message come from one row, so the input is read and mapped once. `at` is the
-    time in the markers: the message time by default, which makes a repeated run equal.
+    time in the markers: the message time by default, which makes a repeated run equal. `address` is where the channel's own
+    settings have the record's topic, from the columns <sink>_address of settings.channel_table(); null without them.
     """
     ok = F.col("error").isNull()
     time = F.col("ts") if at is None else at
@@ -125,6 +139,7 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
             F.struct(
                 F.lit(sink).alias("sink"),
                 broker.alias("broker"),
+                (F.col(f"{sink}_address") if f"{sink}_address" in annotated.columns else F.lit(None).cast("string")).alias("address"),
                 F.col(f"{sink}_topic").alias("topic"),
                 record_key(broker, F.col("channel_id")).alias("key"),
                 value.alias("value"),
@@ -142,7 +157,7 @@ def records(annotated: DataFrame, at: Column | None = None) -> DataFrame:
         F.when(
             ~ok & (F.col("error_topic").isNull() | ~F.col("error_enabled")),
             F.struct(
-                F.lit("log").alias("sink"), nothing.alias("broker"), nothing.alias("topic"), nothing.alias("key"),
+                F.lit("log").alias("sink"), nothing.alias("broker"), nothing.alias("address"), nothing.alias("topic"), nothing.alias("key"),
                 failure(F.col("error")).alias("value"), F.col("payload").alias("payload"),
             ),
         ),
@@ -184,27 +199,52 @@ def failure_counts(sent: DataFrame) -> DataFrame:
     )
 
 
-def write_records(sent: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Write one batch of records into its own folder, one part per sink, and return what is there.
+def _failure_metrics() -> list[Column]:
+    logged = F.col("sink") == "log"
+    return [F.count_if(logged | (F.col("sink") == "error")).alias("failures"), F.count_if(logged).alias("failures_without_topic")]
+
+
+def write_records(sent: DataFrame, path: str, batch_id: int, on_totals: Callable[[dict[str, int]], None] | None = None) -> DataFrame:
+    """Write one batch of records into its own folder, one part per sink and address, and return what is there.
 
     Every file has the records of a channel in the order of their input: by part, and by position as a number. Records keep
-    both, so a reader of several files can merge them.
+    both, so a reader of several files can merge them. `on_totals` gets how many failures there were, and how many of them no error
+    topic took; both are counted by the job that writes.
     """
     target = f"{path}/batch_id={batch_id}"
-    sent.sortWithinPartitions("sink", "channel_id", "part", "position", "msg_id").write.mode("overwrite").partitionBy("sink").parquet(target)
+    seen = Observation(f"failures-{batch_id}-{uuid.uuid4().hex}")
+    rows = sent.observe(seen, *_failure_metrics()) if on_totals else sent
+    rows = rows.sortWithinPartitions("sink", "address", "channel_id", "part", "position", "msg_id")
+    rows.write.mode("overwrite").partitionBy("sink", "address").parquet(target)
+    if on_totals:
+        on_totals(seen.get)
     return sent.sparkSession.read.schema(sent.schema).parquet(target)
 
 
-def by_servers(rows: DataFrame, servers: str | dict[str, str] | None) -> dict[str, DataFrame]:
-    """Kafka records by the servers that their topics are at; one write for each address."""
+def addressed(sent: DataFrame, servers: str | dict[str, str] | None) -> DataFrame:
+    """Kafka records without an address of their own get that of `servers`: one for all, or one for each topic named."""
     if not servers:
-        return {}
+        return sent
     if isinstance(servers, str):
-        return {servers: rows}
-    topics: dict[str, list[str]] = {}
-    for topic, address in servers.items():
-        topics.setdefault(address, []).append(topic)
-    return {address: rows.where(F.col("topic").isin(names)) for address, names in topics.items()}
+        other = F.lit(servers)
+    else:
+        other = F.try_element_at(F.create_map(*[F.lit(x) for pair in servers.items() for x in pair]), F.col("topic"))
+    return sent.withColumn("address", F.when(F.col("broker") == "KAFKA", F.coalesce("address", other)).otherwise(F.col("address")))
+
+
+def send_records(written: DataFrame, send: Callable[[DataFrame, str], None]) -> None:
+    """Hand the Kafka records of a written batch to `send` (rows, address), one address after the other.
+
+    The folder is partitioned by address, so each reads its own part of it. A record without an address is an error: no topic stays behind unseen.
+    """
+    kafka = written.where("broker = 'KAFKA'")
+    # one row for each address that the brokers have
+    for (address,) in kafka.select("address").distinct().collect():
+        rows = kafka.where(F.col("address").eqNullSafe(F.lit(address)))
+        if address is None:
+            topics = [r[0] for r in rows.select("topic").distinct().limit(5).collect()]
+            raise ValueError(f"no Kafka address for topics {', '.join(topics)}")
+        send(to_kafka(rows), address)
 
 
 def run_channels(
@@ -216,6 +256,8 @@ def run_channels(
     transformations: dict[str, Transformation] | None = None,
     kafka_servers: str | dict[str, str] | None = None,
     on_failures: Callable[[DataFrame], None] | None = None,
+    on_totals: Callable[[dict[str, int]], None] | None = None,
+    send: Callable[[DataFrame, str], None] | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
     at: Column | None = None,
@@ -224,18 +266,20 @@ def run_channels(
 
     Channels are read again for every micro-batch, so switching a topic or stopping a channel takes
     effect at the next one. Each micro-batch overwrites its own folder: a batch repeated after a lost
-    executor or a restart leaves the same records, once. Kafka gets what that folder holds, at least
-    once: at one address, or each topic at its own by a dictionary; topics that it doesn't name stay in the folder.
-    `on_failures` gets each batch's failure counts by channel. `at` is the time in monitor markers, as in `records`.
+    executor or a restart leaves the same records, once. With `kafka_servers` or `send`, Kafka gets what that folder
+    holds, at least once: each record at the address of its channel's own settings, others at that of `kafka_servers`, one for
+    all or one by topic. A record with neither stops the query. `send` (rows, address) stands in for Spark's Kafka sink.
+    `on_totals` gets each batch's failures as counted while it is written, `on_failures` its counts by channel, which
+    read the folder again. `at` is the time in monitor markers, as in `records`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         annotated = annotate(batch, load_channels(), mappings, transformations)
-        written = write_records(records(annotated, at), path, batch_id)
+        written = write_records(addressed(records(annotated, at), kafka_servers), path, batch_id, on_totals)
         if on_failures:
             on_failures(failure_counts(written))
-        for servers, rows in by_servers(to_kafka(written), kafka_servers).items():
-            rows.write.format("kafka").options(**kafka_sink_options(servers)).save()
+        if kafka_servers or send:
+            send_records(written, send or send_to_kafka)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if query_name:
