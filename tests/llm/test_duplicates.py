@@ -47,7 +47,7 @@ def test_classes(spark, group, operator):
 def test_small_blocks(spark, group):
     """Blocks of 8 find what one block finds."""
     docs = spark.createDataFrame(list(group.items()), "doc_id long, text string")
-    found = neighbors.classes(docs, lambda data, offsets: forest.trie_nodes(data, offsets, 4), block=8).collect()
+    found = neighbors.classes(docs, lambda data, offsets: forest.trie_nodes(data, offsets, 4), block=8, levels=5).collect()
     classes, links = brute.classes(group)
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == {d: (classes[d], links[d]) for d in group}
 
@@ -58,6 +58,25 @@ def test_op4_on_the_table(spark, texts):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == {d: (classes[d], links[d]) for d in texts}
 
 
+def test_trie_nodes_are_prefixes():
+    """Texts that share a node share all nodes above it in that tree; shorter prefixes hold more texts together."""
+    base = prose(200)
+    texts = [" ".join(changed(base, 30 + 7 * i)) for i in range(60)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    keys = forest.trie_nodes(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]), 4).reshape(60, 5, forest.TREES)
+    same = keys[:, None] == keys[None]
+    assert (same[:, :, 1:] >= same[:, :, :-1]).all()  # whole labels first
+    pairs = [int(same[:, :, d].any(axis=2).sum()) for d in range(5)]
+    assert pairs == sorted(pairs) and pairs[0] < pairs[-1]
+
+
+def test_levels_find_what_the_shortest_prefix_finds(spark, group):
+    """Longest prefixes first changes the order of work and nothing else; of every pair only the first meeting is verified."""
+    docs = spark.createDataFrame(list(group.items()), "doc_id long, text string")
+    flat = neighbors.classes(docs, lambda data, offsets: forest.trie_nodes(data, offsets, 5)[:, -forest.TREES :]).collect()
+    assert sorted(map(tuple, flat)) == sorted(map(tuple, forest.join(docs).collect()))
+
+
 def test_prefix_gets_shorter_until_the_recall_is_reached():
     depth = forest.prefix_length(0.8)
     assert forest.recall(0.8, depth) >= forest.RECALL > forest.recall(0.8, depth + 1)

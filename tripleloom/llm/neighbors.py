@@ -3,6 +3,9 @@
 Texts with the same set of shingles are one node from the start, so copies cost one row. Nodes that share a key are compared
 in blocks of bounded size, each pair once: where the first of the keys that it shares is looked at. What leaves a block is
 one row a node, its number of links and the least node it hangs together with.
+
+Keys may come in levels, each level's nodes within one group of the next: prefixes of labels, the longest first. Only nodes that
+meet another one on the last level have their other keys looked at.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from tripleloom.llm.words import Words, mix
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Nodes of a block; two blocks are compared at a time.
-BLOCK = 512
+#: Nodes of a block, and bytes of their shingles; two blocks are compared at a time.
+BLOCK = 1024
+BLOCK_BYTES = 1 << 24
 #: Shingles multiplied at a time within a block.
 _COLUMNS = 4096
 
@@ -49,10 +53,11 @@ def _sketch(keys: Keys):
         for batch in batches:
             data, offsets = text_bytes(batch, "text")
             table = keys(data, offsets)
-            nodes = pa.array([set_hash(s) for s in shingle_sets(data, offsets)], pa.int64())
+            sets = [(set_hash(s), len(s)) for s in shingle_sets(data, offsets)]
+            nodes, sizes = (pa.array(list(x), pa.int64()) for x in (zip(*sets, strict=True) if sets else ((), ())))
             steps = pa.array(np.arange(0, table.size + 1, table.shape[1]), pa.int32())
             own = pa.ListArray.from_arrays(steps, pa.array(table.astype(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("hash")), nodes, own], ["id", "hash", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("hash")), nodes, sizes, own], ["id", "hash", "node", "size", "keys"])
 
     return run
 
@@ -87,12 +92,17 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(sets: list[np.ndarray], keys: np.ndarray, place: int, sides: np.ndarray, threshold: float) -> np.ndarray:
-    """Which nodes of a block pair are linked: similar enough, on unlike sides, and sharing no key before `place`."""
+def links(sets: list[np.ndarray], keys: np.ndarray, place: int, sides: np.ndarray, threshold: float, width: int) -> np.ndarray:
+    """Which nodes of a block pair are linked: similar enough, on unlike sides, and sharing no key before `place`.
+
+    width: keys of a level. What shares a key on an earlier level also does on the one just before.
+    """
     size = np.array([len(s) for s in sets], np.float64)
     both = shared(sets)
     out = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    for k in range(place):
+    for k in range(max(0, place - place % width - width), place):
+        if not out.any():
+            return out
         out &= keys[:, k][:, None] != keys[:, k][None, :]
     out &= (sides[:, None] != sides[None, :]) | (sides < 0)[:, None]
     np.fill_diagonal(out, False)
@@ -111,7 +121,7 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, "clique", "low", "high"):
             sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
@@ -121,7 +131,7 @@ def _compare(threshold: float):
             keys = np.array(rows["keys"].to_pylist(), np.int64)
             low, high, mine = (rows[c].to_numpy() for c in ("low", "high", "mine"))
             sides = np.full(len(sets), -1) if low[0] == high[0] else (mine == high).astype(int)
-            linked = links(sets, keys, rows["place"][0].as_py(), sides, threshold)
+            linked = links(sets, keys, rows["place"][0].as_py(), sides, threshold, keys.shape[1] // levels)
             count = linked.sum(axis=1)
             if not count.any():
                 continue
@@ -141,7 +151,7 @@ def text_hash(text_col: str = "text") -> Column:
 
 def classes(
     docs: DataFrame, keys: Keys, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK,
-    firsts: bool = False,
+    firsts: bool = False, levels: int = 1,
 ) -> DataFrame:
     """One row for each row of docs: id_col, class_id, n_links, n_copies.
 
@@ -156,16 +166,23 @@ def classes(
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_hash(text_col).alias("hash"))
     kind = docs.schema["id"].dataType.simpleString()
     known = docs.where(F.col("id").isNotNull())
-    sketched = written(known.mapInArrow(_sketch(keys), f"id {kind}, hash long, node long, keys array<long>"), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = written(nodes.select("node", F.col("first.id").alias("least"), F.col("first.hash").alias("hash"), "copies", "keys"), "nodes")
-    entries = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    sketched = written(known.mapInArrow(_sketch(keys), f"id {kind}, hash long, node long, size long, keys array<long>"), "sketches")
+    nodes = sketched.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(nodes.select("node", F.col("first.id").alias("least"), F.col("first.hash").alias("hash"), "copies", "size", "keys"), "nodes")
+    entries = nodes.select("node", "size", F.posexplode("keys").alias("place", "key"))
+    if levels > 1:
+        last = F.slice("keys", (F.size("keys") * (levels - 1) / levels + 1).cast("int"), F.size("keys"))
+        ends = nodes.select("node", F.posexplode(last).alias("place", "key"))
+        shared_ends = ends.groupBy("place", "key").agg(F.count("*").alias("n")).where("n > 1").select("place", "key")
+        met = written(ends.join(shared_ends.hint("merge"), ["place", "key"]).select("node").distinct(), "met")
+        entries = entries.join(met, "node")
     # groups of the same nodes are one clique, met first at its first place
     groups = entries.groupBy("place", "key").agg(
-        F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
+        F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")
     )
-    cliques = groups.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("place", "key")).alias("at"))
-    cliques = cliques.select("at.place", "at.key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    cliques = groups.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("place", "key")).alias("at"), F.max("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    cliques = cliques.select("at.place", "at.key", blocks.alias("blocks"))
     members = entries.join(cliques.hint("merge"), ["place", "key"])
     members = written(members.select("node", "place", F.xxhash64("place", "key").alias("clique"), "blocks"), "cliques")
     # the shingles of candidates, from one text of each
@@ -178,7 +195,7 @@ def classes(
     tasks = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("node", "clique", "place", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     rows = tasks.join(payload, "node").repartition("clique", "low", "high").sortWithinPartitions("clique", "low", "high", "node")
-    found = written(rows.mapInArrow(_compare(threshold), "node long, links long, root long"), "links")
+    found = written(rows.mapInArrow(_compare(threshold, levels), "node long, links long, root long"), "links")
     if firsts:
         component = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         placed = nodes.select("node", "least", "hash").join(component, "node", "left")
