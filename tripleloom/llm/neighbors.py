@@ -26,8 +26,8 @@ THRESHOLD = 0.8
 #: Nodes of a block, and bytes of their shingles; two blocks are compared at a time.
 BLOCK = 1024
 BLOCK_BYTES = 1 << 24
-#: Shingles multiplied at a time within a block.
-_COLUMNS = 4096
+#: Shingles and nodes multiplied at a time within a block.
+_COLUMNS, _ROWS = 1024, 256
 
 Keys = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -75,20 +75,23 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     if len(sets) == 2:
         n = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[len(sets[0]), n], [n, len(sets[1])]], np.float64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = count > 1
     place = np.cumsum(often) - 1
     kept = often[column]
-    row, column = row[kept], place[column[kept]]
+    row, column = row[kept], place[column[kept]].astype(np.int32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)))
+    # 32 bits count exactly up to 2**24
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64
+    out = np.zeros((len(sets), len(sets)), kind)
     for first in range(0, int(often.sum()), _COLUMNS):
         lo, hi = np.searchsorted(column, [first, first + _COLUMNS])
-        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part = np.zeros((len(sets), _COLUMNS), kind)
         part[row[lo:hi], column[lo:hi] - first] = 1
-        out += part @ part.T
+        for r in range(0, len(sets), _ROWS):
+            out[r : r + _ROWS] += part[r : r + _ROWS] @ part.T
     return out
 
 
@@ -99,12 +102,16 @@ def links(sets: list[np.ndarray], keys: np.ndarray, place: int, sides: np.ndarra
     """
     size = np.array([len(s) for s in sets], np.float64)
     both = shared(sets)
-    out = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    for k in range(max(0, place - place % width - width), place):
-        if not out.any():
-            return out
-        out &= keys[:, k][:, None] != keys[:, k][None, :]
-    out &= (sides[:, None] != sides[None, :]) | (sides < 0)[:, None]
+    out = np.zeros(both.shape, bool)
+    for r in range(0, len(sets), _ROWS):
+        rows = slice(r, r + _ROWS)
+        near = both[rows] >= threshold * (size[rows, None] + size[None, :] - both[rows]) - 1e-9
+        near &= (sides[rows, None] != sides[None, :]) | (sides[rows, None] < 0)
+        for k in range(max(0, place - place % width - width), place):
+            if not near.any():
+                break
+            near &= keys[rows, k][:, None] != keys[:, k][None, :]
+        out[rows] = near
     np.fill_diagonal(out, False)
     return out
 
@@ -113,7 +120,7 @@ def roots(linked: np.ndarray) -> np.ndarray:
     """The least row that each row hangs together with."""
     label = np.arange(len(linked))
     while True:
-        near = np.where(linked, label[None, :], len(linked)).min(axis=1)
+        near = np.concatenate([np.where(linked[r : r + _ROWS], label[None, :], len(linked)).min(axis=1) for r in range(0, len(linked), _ROWS)])
         new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():
