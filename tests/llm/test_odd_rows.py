@@ -21,13 +21,14 @@ ROWS = [
     (8, "one"),
 ]
 CLASHING = ("id", "key", "words", "bucket", "part", "tail", "range", "node", "keys", "place", "group", "salt", "seed", "source", "measures",
-            "score", "predicted", "held_out", "spans", "kept_text", "items", "n_words", "text_hash", "rank", "__found", "host", "path", "tokens")
+            "score", "predicted", "held_out", "spans", "kept_text", "items", "n_words", "text_hash", "rank", "__found", "host", "path", "tokens",
+            "__id", "__hash", "__n", "__own", "pieces", "later", "stretches", "d0", "d1", "n", "own", "hit", "shape", "class")
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     plain = spark.createDataFrame(ROWS, "doc_id long, text string")
-    return plain.withColumns({c: F.lit(f"own {c}") for c in CLASHING if c != "__found"})
+    return plain.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
 
 
 @pytest.fixture(scope="module")
@@ -96,7 +97,7 @@ def test_empty_second_table(docs, labels, benchmark, name):
 def test_other_columns_stay(docs, labels, benchmark):
     for name, added in (("passages", {"n_words", "spans", "kept_text"}), ("decontaminate", {"n_words", "items"}), ("quality", {"score", "predicted", "held_out"})):
         row = OPERATORS[name](docs, labels, benchmark).where("doc_id = 8").first().asDict()
-        assert all(row[c] == f"own {c}" for c in CLASHING if c != "__found" and c not in added)
+        assert all(row[c] == f"own {c}" for c in CLASHING if c not in added)
 
 
 def test_defined_results(docs, labels, benchmark):

@@ -143,21 +143,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Every input row stays, a repeated one as often as it came; columns of docs with one of these names are replaced. See
     contamination() for the cases.
     """
-    found = contamination(docs, items, id_col, text_col, **options)
+    added = ("n_words", "n_hit", "items", "contaminated")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    # columns by their place, so that no name of docs clashes with one of the names here
+    names, asked = [f"d{i}" for i in range(len(docs.columns))], docs.columns
+    the_id, the_text = (names[[c.lower() for c in asked].index(x.lower())] for x in (id_col, text_col))
+    docs = docs.toDF(*names)
+    found = contamination(docs, items, the_id, the_text, **options)
     found = found.select(
-        F.col(id_col).alias("__id"),
-        F.col("text_hash").alias("__hash"),
-        F.col("hit_words").alias("__hit"),
-        F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("__items"),
+        F.col(the_id).alias("id"),
+        F.col("text_hash").alias("hash"),
+        F.col("hit_words").alias("hit"),
+        F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("found"),
     )
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "contaminated")]
-    own = docs.withColumns({"__n": F.size(words(F.col(text_col))).cast("long"), "__own": F.xxhash64(text_col)})
+    own = docs.withColumns({"n": F.size(words(F.col(the_text))).cast("long"), "own": F.xxhash64(the_text)})
     # by a shuffle at every size: the result may be too large to broadcast
-    joined = own.join(found.hint("merge"), own[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
-    return joined.select(
-        *kept,
-        F.col("__n").alias("n_words"),
-        F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("__items", F.array().cast("array<string>")).alias("items"),
-        F.col("__hit").isNotNull().alias("contaminated"),
+    joined = own.join(found.hint("merge"), own[the_id].eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left")
+    out = joined.select(
+        *names,
+        "n",
+        F.coalesce("hit", F.lit(0)).cast("long").alias("hit"),
+        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
+        F.col("hit").isNotNull().alias("contaminated"),
     )
+    return out.toDF(*asked, *added)

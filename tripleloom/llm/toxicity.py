@@ -100,7 +100,7 @@ def train(
     epochs: int = EPOCHS,
     rates: Rates = Rates(),
 ) -> Model:
-    """Learn from the labelled rows. Rows with a null id or label don't count; several labels of an id: the largest.
+    """Learn from the labelled rows. Rows with a null id or label don't count; several labels of an id: the largest; several texts: one of them, by hash.
 
     At most `sample` labels are used, those with the least hash of the id, in that order. Without rows of both kinds the
     model has no weights and gives 0 to every text.
@@ -110,6 +110,8 @@ def train(
     marked = marked.withColumn("rank", F.xxhash64("id")).orderBy("rank", "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(marked), "id").select("rank", "target", "text")  # `sample` rows of three numbers
+    # one text of each id, so that what is learnt from is bounded however often an id comes
+    rows = rows.groupBy("rank", "target").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,11 @@ def classify(
     folds: int = 3,
     held_fold: int = 1,
 ) -> DataFrame:
-    """docs with held_out, score and predicted. Labels of the held-out fold are not looked at."""
+    """docs with held_out, score and predicted. Labels of the held-out fold are not looked at.
+
+    Null and empty texts are scored like others, repeated rows alike; a null id is of the fold of the empty text. An empty table gives no rows, one
+    without labels scores 0. Columns of docs with one of the new names are replaced.
+    """
     model = train(docs, labels.where(~in_fold(id_col, folds, held_fold)), id_col, text_col, label_col)
     docs = docs.drop("held_out", "predicted")
     held: Column = in_fold(id_col, folds, held_fold)

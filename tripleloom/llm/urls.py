@@ -66,6 +66,26 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")), segments, keys))
 
 
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """token, class: tokens of the same labelled rows are one class, named by the least of them.
+
+    Tokens that always come together, such as the segments of one path, would make every combination of them a frequent set. Any of them
+    says what all of them say, so rules are mined over classes and fit whatever member a url has.
+    """
+    shapes = labelled.where(F.col("blocked").isNotNull()).groupBy(F.array_sort("tokens").alias("tokens")).agg(F.lit(1))
+    each = shapes.select(F.xxhash64("tokens").alias("a"), F.xxhash64("tokens", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    # two hashes of the set of shapes that a token is in
+    places = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    names = places.groupBy("n", "a", "b").agg(F.min("token").alias("class"))
+    return places.join(names, ["n", "a", "b"]).select("token", "class")
+
+
+def in_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """key and the classes of its tokens; a token that no labelled row has belongs to none."""
+    each = rows.select(key, F.explode("tokens").alias("token")).join(classes, "token")
+    return each.groupBy(key).agg(F.array_sort(F.collect_set("class")).alias("tokens"))
+
+
 def mine(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS
 ) -> DataFrame:
@@ -134,7 +154,7 @@ def judge(
     min_rows: int = MIN_ROWS,
     rules: tuple[tuple[str, str, str], ...] = RULES,
 ) -> DataFrame:
-    """A verdict for every url: id_col, host, path, rule, verdict, mined (the token combination that fits, if any), confidence.
+    """A verdict for every url: id_col, host, path, rule, verdict, mined (the combination of token classes that fits, if any), confidence.
 
     labels: the id of a page and `blocked`. Where no listed rule fits, a url is blocked when a mined one does, else allowed. A
     null url, or one without ://, has an empty host and path and is allowed. Repeated rows and ids each get their verdict;
@@ -144,10 +164,13 @@ def judge(
     split = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     known = split.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
     labels = labels.select(F.col(labels.columns[0]).alias("id"), F.col("blocked"))
-    mined = mine(known.join(labels, "id").select("tokens", "blocked"), min_support, min_confidence, min_rows)
-    # urls of one shape have the same tokens: each shape is matched once
+    # urls of one shape have the same tokens: each shape is looked at once
     shaped = known.withColumn("shape", F.xxhash64("tokens"))
+    marked = written(shaped.join(labels, "id").select("shape", "tokens", "blocked"), "labelled-urls")
+    classes = written(token_classes(marked), "token-classes")
     shapes = shaped.groupBy("shape").agg(F.first("tokens").alias("tokens"))
+    shapes = written(in_classes(shapes, classes, "shape"), "url-shapes")
+    mined = mine(marked.select("shape", "blocked").join(shapes, "shape").select("tokens", "blocked"), min_support, min_confidence, min_rows)
     # written down, so that the join can split the urls of a very common shape
     hits = written(match(shapes, mined, "shape").select("shape", F.col("antecedent").alias("mined"), "confidence"), "url-hits")
     found = listed(F.col("host"), F.col("path"), rules)
