@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,11 @@ def test_ids_of_a_node_in_stretches(spark, monkeypatch):
     assert trie_rows(spark, rows)[0] == expected_trie(rows)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_sql(spark, name):
+    assert oracle.differences(queries.QUERIES[name](spark, SF), queries.SQL[name], SF) == []
+
+
 @pytest.mark.parametrize("name", ["op11_mixing", "op12_hard_negatives", "op13_prefix_trie"])
 def test_queries_whole(spark, name):
     found = queries.QUERIES[name](spark, SF)

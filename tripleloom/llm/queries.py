@@ -157,6 +157,26 @@ found as (
 select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
 from d left join covered using (doc_id) left join found using (doc_id)
+""",
+    "op10_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce("text", ''))) as h, octet_length(encode(coalesce("text", ''))) as n from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) as g from (select doc_id, h, unnest(range(0, n - 49)) as p from d where n >= 50)),
+hits as (select doc_id, p from w join (select g, min(doc_id) as first from w group by g having min(doc_id) < max(doc_id)) using (g) where first < doc_id),
+marked as (select doc_id, p, coalesce(p > lag(p) over (partition by doc_id order by p) + 50, true) as opens from hits),
+spans as (
+  select doc_id, min(p) as b, max(p) + 50 as e
+  from (select doc_id, p, count_if(opens) over (partition by doc_id order by p) as island from marked) group by doc_id, island
+),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' order by b) as h
+  from (
+    select s.doc_id, d.h, coalesce(lag(s.e) over (partition by s.doc_id order by s.b), 0) as b, s.b as e from spans s join d using (doc_id)
+    union all select s.doc_id, any_value(d.h), max(s.e), any_value(d.n) from spans s join d using (doc_id) group by s.doc_id
+  ) group by doc_id
+)
+select d.doc_id, n as n_bytes, cast(coalesce(r.removed, 0) as bigint) as n_removed, coalesce(r.n_spans, 0) as n_spans,
+  sha256(from_hex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept using (doc_id) left join (select doc_id, sum(e - b) as removed, count(*) as n_spans from spans group by doc_id) r using (doc_id)
 """,
     "op12_hard_negatives": """
 with e as (
