@@ -24,6 +24,7 @@ from tripleloom.operators.mapping import (
     join_conditions,
     nested,
     packed,
+    side_items,
     side_rows,
     unpack,
     with_document_elements,
@@ -50,7 +51,7 @@ def _side(
         return side_rows(group, fields, Scope(item, index, message, read), list(fields))
 
     if found.is_array:
-        items = F.flatten(found.rows(rows_of))
+        items = side_items(group, fields, found, message, list(fields))
     else:
         df = df.withColumn("_i", found.column)
         items = rows_of(found.read, F.col("_i"), F.lit(0))
@@ -143,7 +144,8 @@ def _met_in_message(
             return side_rows(group, of_side, Scope(item, index, message, read), ["s", "p", "o", *fields])
 
         if found.is_array:
-            base = base.withColumn(column, F.coalesce(F.flatten(found.rows(row)), F.array().cast(_side_type(fields))))
+            rows = side_items(group, of_side, found, message, ["s", "p", "o", *fields])
+            base = base.withColumn(column, F.coalesce(rows, F.array().cast(_side_type(fields))))
         else:
             base = base.withColumn(column + "_i", found.column)
             base = base.withColumn(column, row(found.read, F.col(column + "_i"), F.lit(0)))

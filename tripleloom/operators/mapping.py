@@ -395,12 +395,26 @@ def _json_constant(text: str) -> str:
 _KEPT = r"replace(replace({}, '\u0002', '\u0002b'), '\u0001', '\u0002a')"
 
 
-def side_rows(group: Group, nodes: dict[str, Node], scope: Scope, every: list[str]) -> Column:
-    """The fields of one side of a join as an array of rows: one, or where arrays are met every combination. Fields not in nodes are null."""
+def side_items(group: Group, nodes: dict[str, Node], found: iterate.Items, message: Column, every: list[str]) -> Column:
+    """The rows of all items of a side; the plain way, where it is open, meets no arrays."""
+    rows = F.flatten(F.transform(found.column, lambda item, i: side_rows(group, nodes, Scope(item, i, message, found.read), every)))
+    if found.plain is None:
+        return rows
+    plain = found.plain
+    return F.coalesce(F.transform(plain.column, lambda item, i: _side_row(group, nodes, Scope(item, i, message, plain.read), every)[0]), rows)
+
+
+def _side_row(group: Group, nodes: dict[str, Node], scope: Scope, every: list[str]) -> tuple[Column, dict[str, Column]]:
     atoms = {a: build(scope) for a, build in group.atoms.values()}
     none = F.lit(None).cast("string")
     texts = {f: _join_parts(list(n.parts), lambda a: atoms[a.name]) for f, n in nodes.items()}
-    one = F.array(F.struct(*[texts.get(f, none).alias(f) for f in every]))
+    return F.struct(*[texts.get(f, none).alias(f) for f in every]), atoms
+
+
+def side_rows(group: Group, nodes: dict[str, Node], scope: Scope, every: list[str]) -> Column:
+    """The fields of one side of a join as an array of rows: one, or where arrays are met every combination. Fields not in nodes are null."""
+    row_, atoms = _side_row(group, nodes, scope, every)
+    one, none = F.array(row_), F.lit(None).cast("string")
     several = group.meets_array(scope)
     if several is None:
         return one
@@ -570,7 +584,7 @@ def _local_joins(
 
             column = f"{name}_{label}{n}"
             if found.is_array:
-                df = df.withColumn(column, F.flatten(found.rows(row)))
+                df = df.withColumn(column, side_items(group, fields, found, message, list(fields)))
             else:
                 df = df.withColumn(column + "_i", found.column)
                 df = df.withColumn(column, row(found.read, F.col(column + "_i"), F.lit(0)))
@@ -634,7 +648,7 @@ def _under_shared_item(
             return side_rows(group, made, Scope(item, index, message, read), list(made))
 
         if found.is_array:
-            rows = F.flatten(found.rows(row))
+            rows = side_items(group, made, found, message, list(made))
         else:  # a one-element transform names the item, so that it is parsed once
             rows = F.element_at(F.transform(F.array(found.column), lambda item: row(found.read, item, F.lit(0))), 1)
         return rows, {x: replace(n, parts=(Atom(x),)) for x, n in made.items()}
