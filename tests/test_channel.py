@@ -417,7 +417,7 @@ def test_records_keep_message_order(spark, tmp_path):
     sent = channel.records(channel.annotate(df, both, {"m": M}))
     out = str(tmp_path / "out")
     channel.write_records(sent, out, 0)
-    files = sorted((tmp_path / "out" / "batch_id=0" / "sink=output").glob("*.parquet"))
+    files = sorted((tmp_path / "out" / "batch_id=0" / "sink=output").glob("address=*/*.parquet"))
     seen = []
     for file in files:
         own = [(r.channel_id, r.part, r.position) for r in spark.read.parquet(str(file)).coalesce(1).collect()]
