@@ -1,5 +1,8 @@
 """Every operator on nulls, empty and long texts, repeated rows, empty tables, and columns whose names clash with its own."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,53 @@ def test_defined_results(docs, labels, benchmark):
     hits = {r["doc_id"]: r for r in OPERATORS["decontaminate"](docs, labels, benchmark).where("doc_id is not null").collect()}
     assert (hits[1]["n_hit"], hits[1]["items"]) == (12, ["3"])
     assert (hits[8]["n_hit"], hits[8]["items"]) == (1, ["3"]) and hits[7]["items"] == ["4"]
+
+
+# one id, or one row, on a third of all rows
+
+
+def words_of(i, n=40):
+    return " ".join(f"w{(i * 7919 + j * 104729) % 50021}" for j in range(n))
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """200 rows of id 50 with texts of their own, 200 equal rows of id 70, 200 rows of one id each."""
+    rows = [(50, words_of(i)) for i in range(200)] + [(70, words_of(900))] * 200 + [(i, words_of(1000 + i)) for i in range(100, 300)]
+    return spark.createDataFrame(rows, "doc_id int, text string").repartition(6)
+
+
+def test_hot_ids_are_fingerprinted_in_many_ranges(spark, hot):
+    rows = [tuple(r) for r in hot.selectExpr("doc_id", "xxhash64(text) as h", "text").orderBy("doc_id", "h").collect()]
+    want = Counter()
+    for (i, _, text), following in zip(rows, rows[1:] + rows[:1], strict=True):
+        want[i, hashlib.sha256(fingerprints.edited(text, following[2]).encode()).hexdigest()] += 1
+    for range_bytes in (1 << 30, 3000):
+        found = fingerprints.compare_edited(hot, range_bytes=range_bytes)
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in found.collect()) == want
+    one = hot.withColumns({"id": F.col("doc_id"), "order": F.xxhash64("text")})
+    ranges, n = fingerprints._ranges(one, 60)
+    of_hot = [r["count"] for r in one.where("id = 50").groupBy(ranges.alias("k")).count().collect()]
+    assert len(of_hot) > 10 and max(of_hot) < 30 and one.agg(F.max(ranges)).first()[0] < n
+
+
+def test_hot_rows_are_packed_in_many_groups(hot):
+    found = packing.pack(hot, tokenizer_path(), group_bytes=8000).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter({50: 200, 70: 200} | {i: 1 for i in range(100, 300)})
+    places = [(r["sequence_id"], r["offset"]) for r in found]
+    assert len(set(places)) == len(places)
+    groups = Counter(r["sequence_id"] >> 32 for r in found if r["doc_id"] == 70)
+    assert len(groups) > 12 and max(groups.values()) < 40
+
+
+def test_hot_ids_lose_no_strings(hot):
+    found = suffixes.deduplicate(hot, bucket_bytes=8000, part_bytes=8000)
+    texts = hot.collect()
+    known, kept = set(), Counter()
+    for i in sorted({r["doc_id"] for r in texts}):
+        own = [r["text"].encode() for r in texts if r["doc_id"] == i]
+        for t in own:
+            gone = {k + j for k in range(len(t) - 49) if t[k : k + 50] in known for j in range(50)}
+            kept[i, bytes(b for j, b in enumerate(t) if j not in gone)] += 1
+        known |= {t[k : k + 50] for t in own for k in range(len(t) - 49)}
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in found.collect()) == kept

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,9 @@ PERMUTATIONS = 128
 BAND = 4
 #: Bytes hashed at a time, so that the shingles stay in the processor's cache while all permutations pass over them.
 _PASS_BYTES = 1 << 18
+#: Text bytes of a range of ids, on average, and the most ranges there may be; a range is read in batches, so its size is free.
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 20_000
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, permutations: int = PERMUTATIONS, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,40 +75,69 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _buckets(ids: DataFrame, id_col: str, n: int) -> tuple[list, dict[int, int], object]:
-    """Bounds of n ranges of ids, the range before each one that has rows (the last, for the first), and the least id of each."""
-    at = F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)
-    bounds = sorted(set(ids.agg(at.alias("b")).first()[0] or []))
-    range_of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(id_col))) if bounds else F.lit(0)
-    least = {r["k"]: r["least"] for r in ids.where(F.col(id_col).isNotNull()).groupBy(range_of.alias("k")).agg(F.min(id_col).alias("least")).collect()}
-    order = sorted(least)
-    return bounds, {k: order[i - 1] for i, k in enumerate(order)}, least
+def _at_or_below(bounds: list, x: Column) -> Column:
+    """How many of the sorted bounds are not above x: first among every 64th, then among the 64 from there on."""
+    count = lambda some: F.size(F.filter(some, lambda b: b <= x))
+    if not bounds:
+        return F.lit(0)
+    whole = F.array(*map(F.lit, bounds))
+    if len(bounds) <= 64:
+        return count(whole)
+    before = F.greatest((count(F.array(*map(F.lit, bounds[::64]))) - 1) * 64, F.lit(0))
+    return before + count(F.slice(whole, before + 1, F.lit(64)))
 
 
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ranges(docs: DataFrame, n: int) -> tuple[Column, int]:
+    """The range of a row of (id, order), of about n of like numbers of rows, and how many ranges there are.
+
+    Bounds are percentiles of the ids. An id that takes up several has as many ranges of its own, dealt out by `order`, a hash.
+    """
+    at = F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n) if n > 1 else F.lit(None)
+    times = Counter(docs.agg(at.alias("b")).first()[0] or [])
+    bounds, rest = sorted(times), [0]
+    for b in bounds:
+        rest.append(rest[-1] + 1 + (times[b] if times[b] > 1 else 0))
+    of_id = F.element_at(F.array(*map(F.lit, rest)), _at_or_below(bounds, F.col("id")) + 1)
+    hot = {b: m for b, m in times.items() if m > 1}
+    if hot:
+        parts = F.element_at(F.create_map(*[x for b, m in hot.items() for x in (F.lit(b).cast(docs.schema["id"].dataType), F.lit(m))]), F.col("id"))
+        own = F.shiftright((F.shiftright("order", 33) + (1 << 30)) * parts, 31)
+        of_id = of_id - F.coalesce(parts - own, F.lit(0))
+    return of_id.cast("int"), rest[-1] + 1
+
+
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Each text's fingerprint beside that of its edited text and of the next document's.
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document is the one
     with the next greater id, after the last one the first; rows of one id follow each other in the order of a hash of
     their text. A null text is empty. A row with a null id has no next document, which counts as an empty one. An empty
-    table gives no rows. Texts are dealt out by ranges of ids, once; the first row of a range also goes to the range before.
+    table gives no rows. Texts are dealt out once, by ranges of ids and, for an id of many rows, of their hash; the first row
+    of a range also goes to the range before. The number of ranges follows the input; equal rows lie in one range, which a
+    task reads in batches.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, before, least = _buckets(docs.select("id"), "id", n)
-    range_of = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(total / range_bytes), MOST_RANGES))
+    docs = docs.withColumn("order", F.xxhash64("text"))
+    range_of, n = _ranges(docs, n)
+    first = F.min(F.struct("id", "order")).alias("first")
+    heads = {r["range"]: tuple(r["first"]) for r in docs.where("id is not null").groupBy(range_of.alias("range")).agg(first).collect()}
+    order = sorted(heads)
     # a null id stands alone in ranges of its own
-    range_of = F.when(F.col("id").isNull(), n + F.pmod(F.xxhash64("text"), F.lit(n))).otherwise(range_of)
-    heads = sorted(least.values())
-    goes_to = F.create_map(*[F.lit(x) for k, first in least.items() for x in (first, before[k])]) if least else None
-    rows = docs.withColumns({"range": range_of.cast("int"), "tail": F.lit(False), "order": F.xxhash64("text")})
+    range_of = F.when(F.col("id").isNull(), n + F.pmod(F.col("order"), F.lit(n))).otherwise(range_of)
+    rows = docs.withColumns({"range": range_of.cast("int"), "tail": F.lit(False)})
     if heads:
-        tails = docs.where(F.col("id").isin(heads)).withColumns(
-            {"range": F.element_at(goes_to, F.col("id")).cast("int"), "tail": F.lit(True), "order": F.xxhash64("text")}
+        # the first row of each range goes to the range before; of the first range, to the last
+        kinds = [docs.schema[c].dataType for c in ("id", "order")]
+        key = lambda head: F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(head, kinds, ("id", "order"), strict=True)])
+        goes_to = F.create_map(*[x for i, k in enumerate(order) for x in (key(heads[k]), F.lit(order[i - 1]))])
+        tails = docs.where(F.col("id").isin([i for i, _ in heads.values()])).withColumns(
+            {"range": F.element_at(goes_to, F.struct("id", "order")).cast("int"), "tail": F.lit(True)}
         )
-        rows = rows.unionByName(tails)
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "tail", "id", "order")
+        rows = rows.unionByName(tails.where("range is not null").dropDuplicates(["id", "order"]))
+    rows = rows.repartitionById(n, "range").sortWithinPartitions("range", "tail", "id", "order")
     schema = T.StructType(
         [T.StructField("id", docs.schema["id"].dataType)]
         + T.StructType.fromDDL(

@@ -192,8 +192,9 @@ def pack(
 
     A document is its ids and then end_id; a null or empty text is end_id alone. Overlong documents are first cut into
     full windows; what is left of each is placed by best-fit decreasing within its group. Groups are dealt by a hash of
-    id, text and place, so neither a long document nor many copies of an id load one group. Pieces of repeated rows are
-    placed once for each row; a null id stays null; an empty table gives no pieces. Other columns are ignored.
+    id, text, place and, for equal rows, the number of such rows before this one in its task: neither a long document nor
+    many rows of an id nor many equal rows load one group, and a repeated task deals alike in whatever order its rows
+    come. Pieces of repeated rows are placed once for each row; a null id stays null; an empty table gives no pieces. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
@@ -202,8 +203,14 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = ids_of(tokenizer), np.array([end_id], "<u4")
+        copies: dict[int, int] = {}
         for batch in batches:
             data, offsets = text_bytes(batch, "text")
+            salts = []
+            for salt in batch.column(2).to_pylist():
+                copies[salt] = before = copies.get(salt, -1) + 1
+                salts.append(salt ^ before)
+            salts = pa.array(salts, pa.int64())
             for first, last, _, _ in slices(data, offsets, CHUNK_BYTES):
                 texts = batch.column(1).slice(first, last - first).cast(pa.string()).fill_null("")
                 rows: dict[str, list] = {"row": [], "start": [], "ids": [], "doc_tokens": []}
@@ -222,7 +229,7 @@ def pack(
                         pa.array(rows["start"], pa.int64()),
                         pa.array(rows["doc_tokens"], pa.int64()),
                         pa.array(rows["ids"], pa.binary()),
-                        batch.column(2).take(pa.array(rows["row"], pa.int64())),
+                        salts.take(pa.array(rows["row"], pa.int64())),
                     ],
                     ["id", "start", "doc_tokens", "ids", "salt"],
                 )

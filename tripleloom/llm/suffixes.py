@@ -2,7 +2,7 @@
 
 A string of 50 bytes has an anchor, the least hash among its 24-byte grams. Strings can only be equal if their anchors are, so
 
-1. documents are dealt into buckets by a hash of their id; a bucket sends the anchors it has, once each, to parts of the hash
+1. documents are dealt into buckets by a hash of id and text; a bucket sends the anchors it has, once each, to parts of the hash
    space, and a part sends back those that more than one document has;
 2. a bucket sends the runs of text around its shared anchors, equal ones once, to the anchors' parts;
 3. a part sorts the suffixes of its runs by two-stage sorting, compares neighbours, and finds for every string of 50 the
@@ -512,13 +512,13 @@ def deduplicate(
     """One row for each row of docs: id_col (an integer), n_bytes, spans (start, end) of removed bytes, kept (the other bytes).
 
     A byte goes if a string of `length` bytes around it also starts in a row with a smaller id; strings are judged on
-    the input. Texts are UTF-8 bytes, a null text is empty. Rows of one id are none of them smaller. Rows with a null id lose
-    nothing and count for nobody. An empty table gives no rows.
+    the input. Texts are UTF-8 bytes, a null text is empty. Rows of one id are none of them smaller, and lie in many buckets
+    unless their texts are equal too. Rows with a null id lose nothing and count for nobody. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets, plan = max(1, math.ceil(total / bucket_bytes)), Plan(length, max(1, math.ceil(total / part_bytes)), hot_buckets)
-    rows = docs.where(F.col("id").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    rows = docs.where(F.col("id").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)))
     by_bucket = rows.groupBy("bucket")
     tags = by_bucket.applyInArrow(_of_group(plan.anchors), "part long, bucket long, tags binary, several binary")
     lists = tags.groupBy("part").applyInArrow(_of_group(plan.shared), "bucket long, part long, tags binary")
