@@ -450,6 +450,8 @@ def test_the_plan_does_not_grow_with_the_mappings(spark):
 
     assert all(rulesets.as_data(m) for m in cq.shapes(10).values())
     assert nodes(cq.shapes(240)) == nodes(cq.shapes(10))
+    assert all(rulesets.as_data(m) for m in cq.xml_shapes(4).values())
+    assert nodes(cq.shapes(10) | cq.xml_shapes(240)) == nodes(cq.shapes(10) | cq.xml_shapes(2))
 
 
 def test_csv_and_iterating_mappings_as_data_write_what_compiled_ones_write(spark):
@@ -485,6 +487,38 @@ def test_csv_and_iterating_mappings_as_data_write_what_compiled_ones_write(spark
         assert {r.msg_id: got[r.msg_id] for r in want} == {r.msg_id: (r.doc, r.error) for r in want}, m
 
 
+def test_xml_mappings_as_data_write_what_compiled_ones_write(spark):
+    """Numbers and lists as texts, empty, blank and repeated elements, attributes, character data, comments, malformed texts."""
+    from tripleloom import blank
+    from tripleloom.operators import rulesets
+    from tripleloom.operators.mapping import documents
+
+    a = TriplesMap("p", template(EX + "{@key}"), (po(EX + "has", reference("attr/value")), po(EX + "n", reference("note"))), iterator="/part")
+    b = TriplesMap("p", template(EX + "{b}"), (po(EX + "t", reference("c/@t")), po(EX + "c", reference("c"))), iterator="/r/i")
+    c = TriplesMap("p", template(EX + "{part/@key}"), (po(EX + "has", reference("part/attr/value")), po(EX + "d", reference("r/i/b"))), iterator="")
+    d = TriplesMap("p", blank("{b}"), (po(EX + "x", template(EX + "{b}/{c}")), po(EX + "y", reference("."))), iterator="/r/i")
+    e = TriplesMap("q", template(EX + "k/{@kind}"), (po(EX + "v", reference("value")),), (EX + "C",), iterator="/part/attr")
+    mappings = {f"{n}{form}": Mapping(f"{n}{form}", maps, "XML", form) for n, maps in (("a", (a, e)), ("b", (b,)), ("c", (c,)), ("d", (d, e))) for form in ("TTL", "JSONLD")}
+    assert all(rulesets.as_data(m) for m in mappings.values())
+    texts = [
+        '<?xml version="1.0"?>\n<part key="1"><attr kind="x y"><value>007</value></attr><attr kind=\'2\'><value>1.10</value><value>true</value></attr><note/></part>',
+        '<part key=""><attr><value/></attr><attr kind="z">\n <value> </value>\n <value>[1]</value>\n</attr><note>{"a":1}</note></part>',
+        '<r><i><b>1</b><c t="07">x</c><c>y</c></i><i><b>2 &amp; "q"</b><c t="">  sp </c></i></r>',
+        '<r><i><b><![CDATA[1.50]]></b><c t="a>b">x &lt; y</c></i><i><b>null</b><c t="1"/></i><i/><i><b>z</b><b>z</b><c/></i></r>',
+        "<r><!-- > c --><i><b>é\n你</b><c>1<!-- x -->2</c></i></r>", "<r>text</r>", "<r/>", '<part><attr kind="1">mix<value>v</value>tail</attr></part>',
+        "<R><I><B>case</B></I></R>", '<r><i><b>a<![CDATA[b<!-- c -->]]>c</b><c>a="3"</c></i></r>', "<r><i><b>$1</b><c>\\</c></i></r>", "<r><i><b>x</b>", "no", "", None,
+    ]
+    rows = [(f"{n}-{m}", m, p) for m in mappings for n, p in enumerate(texts)]
+    df = spark.createDataFrame(rows, "msg_id string, mapping_id string, payload string")
+    got = {r.msg_id: (r.doc, r.error) for r in apply_by_id(df, mappings, "mapping_id", "payload", "msg_id").collect()}
+    for name, m in mappings.items():
+        want = documents(df.where(F.col("mapping_id") == name), m).collect()
+        assert {r.msg_id: got[r.msg_id] for r in want} == {r.msg_id: (r.doc, r.error) for r in want}, name
+    assert got["10-bTTL"][0].endswith('"\\\\" .\n')  # a backslash alone is escaped
+    # a comment doesn't cut the text around it
+    assert '<http://' in got["4-bTTL"][0] and '"12"' in got["4-bTTL"][0]
+
+
 def test_a_catalog_of_rule_documents(spark):
     """Documents whose nodes have the same names, one broken, one that has to be compiled, none of them on the driver."""
     from tripleloom.sources import ntriples, rules

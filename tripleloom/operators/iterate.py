@@ -271,6 +271,8 @@ def _json_array(payload: Column, steps: list[str | int], item_of) -> Column:
 
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "attributePrefix": "_", "valueTag": "_VALUE"}
 XML_PROLOG = r"^<\?xml\s[^>]*\?>"
+# A comment, or a section of character data, which may look as if it held one.
+_XML_COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->"
 _XML_NAME = re.compile(r"@?[\w:.-]+$")
 
 
@@ -294,19 +296,31 @@ def _xml_type(tree: dict) -> str:
     return "struct<" + (", ".join(fields) or "`_`: string") + ">"
 
 
-def xml_items(payload: Column, iterator: str, references: list[str]) -> Items:
-    """The root element is wrapped, so that its name is a step like any other."""
-    steps = xml_steps(iterator)
+def xml_tree(iterator: str, references: list[str]) -> tuple[dict, dict]:
+    """The elements and attributes that a rule reads, and of these the part below the iterator."""
     tree: dict = {}
     node = tree
-    for step in steps:
+    for step in xml_steps(iterator):
         node = node.setdefault(step, {})
     for ref in references:
         at = node
         for step in xml_steps(ref):
             at = at.setdefault(step, {})
         at.setdefault("", {})  # a leaf: its own text is wanted
-    wrapped = F.concat(F.lit("<w>"), F.regexp_replace(payload, XML_PROLOG, ""), F.lit("</w>"))
+    return tree, node
+
+
+def xml_body(payload: Column) -> Column:
+    """An XML text without its prolog and its comments, which would cut the text around them."""
+    body = F.regexp_replace(payload, XML_PROLOG, "")
+    return F.when(body.contains("<!--"), F.regexp_replace(body, _XML_COMMENT, "$1")).otherwise(body)
+
+
+def xml_items(payload: Column, iterator: str, references: list[str]) -> Items:
+    """The root element is wrapped, so that its name is a step like any other."""
+    steps = xml_steps(iterator)
+    tree, node = xml_tree(iterator, references)
+    wrapped = F.concat(F.lit("<w>"), xml_body(payload), F.lit("</w>"))
     root = F.from_xml(wrapped, _xml_type(tree)[len("struct<") : -1].replace("`: ", "` "), XML_OPTIONS)
     if not steps:
         return Items(root, False, lambda item, path: _xml_value(item, xml_steps(path), tree))
@@ -317,7 +331,9 @@ def xml_items(payload: Column, iterator: str, references: list[str]) -> Items:
 
 
 def _xml_value(item: Column, steps: list[str], tree: dict) -> Value:
-    if steps and steps[0].startswith("@"):
+    if not steps:  # the item's own text
+        return Value(item.getField("_VALUE") if any(tree) else item)
+    if steps[0].startswith("@"):
         return Value(item.getField("_" + steps[0][1:]))
     found, node = None, tree
     for i, step in enumerate(steps):

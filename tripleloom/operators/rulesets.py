@@ -1,9 +1,10 @@
 """Mappings as data: one plan that writes the documents of any number of mappings.
 
-A mapping of JSON or CSV messages, with any iterators, constants, references, templates and blank nodes, written as Turtle or as JSON-LD,
-is a row: for each iterator the paths it reads, and for every statement the pieces it is put together from. Messages look
-their row up by mapping id, walk its paths and join the pieces. Other mappings (XML, functions, parents of another
-item) are compiled into columns of their own; see mapping.py.
+A mapping of JSON, XML or CSV messages, with any iterators, constants, references, templates and blank nodes, written as Turtle or as
+JSON-LD, is a row: for each iterator the paths it reads, and for every statement the pieces it is put together from. Messages look
+their row up by mapping id, walk its paths and join the pieces. XML is read once into a variant whatever its elements are, with every
+text and attribute marked, so that none is taken for a number and no text for a list of elements. Other mappings (functions,
+parents of another item) are compiled into columns of their own; see mapping.py.
 """
 
 from __future__ import annotations
@@ -43,9 +44,13 @@ def _steps(path: str) -> list[dict]:
     return [step(x) for x in iterate.json_steps(path)]
 
 
+def _xml_steps(path: str) -> list[dict]:
+    return [{"name": f"_{s[1:]}" if s[0] == "@" else s, "at": MEMBER} for s in iterate.xml_steps(path)]
+
+
 def as_data(mapping: Mapping) -> list[dict] | None:
     """The program of a mapping, a dictionary for each iterator, or None if it has to be compiled."""
-    if mapping.input_format not in ("JSON", "CSV") or mapping.has_joins:
+    if mapping.has_joins:
         return None
     form = TURTLE if mapping.output_format == "TTL" else JSONLD
     out = []
@@ -70,6 +75,13 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
         if mapping.input_format == "CSV":
             paths.append({"text": iterate._json_path([path]), "steps": [{"name": path, "at": MEMBER}]})
             continue
+        if mapping.input_format == "XML":
+            steps, node = _xml_steps(path), iterate.xml_tree(group.iterator, group.paths)[1]
+            for step in iterate.xml_steps(path):
+                node = node[step]
+            # where more is read below an element than its text, an empty one has no text
+            paths.append({"text": "_VALUE" if any(node) else None, "steps": steps})
+            continue
         steps = iterate.json_steps(path)
         if "*" in steps:
             raise MappingError("a reference may not hold '*'; arrays are expanded by themselves")
@@ -127,8 +139,9 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
     form = TURTLE if turtle else JSONLD
     written = [form.write(*(_of_term(n, x) for n, x in zip(spo, "spo"))) for tm in group.maps for spo in group.statements(tm)]
     raw_way = WAYS.index("raw")
+    iterators = {"JSON": _steps, "XML": _xml_steps, "CSV": lambda _: [{"name": None, "at": ALL}]}
     return {
-        "iterator": [{"name": None, "at": ALL}] if mapping.input_format == "CSV" else _steps(group.iterator),
+        "iterator": iterators[mapping.input_format](group.iterator),
         "paths": paths,
         "labels": [{"pieces": raw(group.labels[a]), "numbered": False} if a in group.labels else {"pieces": raw([(False, f"{keys[a][1]}:")]), "numbered": True} for a in own],
         "spread": [group.paths.index(p) for p in group.spread] if mapping.expand_arrays else [],
@@ -177,7 +190,7 @@ def _named(value: str, name: str, body: str) -> str:
 
 
 def _expression() -> str:
-    """The written elements of a message, as a SQL function of z: text, message, ttl, csv and the program."""
+    """The written elements of a message, as a SQL function of z: text, message, ttl, csv, xml and the program."""
     bare = f"case when contains(x, '{iterate._MARK}') then regexp_replace(x, '\"?{iterate._MARK}([^\"]*)\"?', '$1') else x end"
     unmarked = lambda value: _named(value, "x", bare)
     literal = f"case when z.ttl then {terms.ESCAPED_SQL} else {terms.JSON_SQL} end"
@@ -195,12 +208,23 @@ def _expression() -> str:
         "case when startswith(o, '[') and not z.csv then coalesce(case when startswith(schema_of_variant(variant_get(try_parse_json(item), p.text, 'variant')), 'ARRAY') "
         f"then array_distinct(transform({_list('o')}, e -> {unmarked('e')})) end, array({unmarked('o')})) end"
     )
-    value = (
-        f"named_struct('one', v, 'slot', {terms.SAFE_SQL}, 'literal', {literal}, 'iri', {terms.REFERENCE_SQL}, 'many', {listed})"
+    value = lambda many: (
+        f"named_struct('one', v, 'slot', {terms.SAFE_SQL}, 'literal', {literal}, 'iri', {terms.REFERENCE_SQL}, 'many', {many})"
     )
+    # XML elements of one name are one value or a list; an empty one is null there and an empty text here
+    same = _named("try_element_at(m, st.name)", "e", f"case when startswith(e, '[') then transform({_list('e')}, x -> coalesce(x, '')) else array(coalesce(e, '')) end")
+    below = _named(_members("t"), "m", f"case when map_contains_key(m, st.name) then {same} else cast(array() as array<string>) end")
+    elements = lambda steps, of: f"aggregate({steps}, array({of}), (ts, st) -> flatten(transform(ts, t -> {below})))"
+    own_text = _named("try_element_at(" + _members("t") + ", '_VALUE')", "e", f"case when startswith(e, '[') then try_element_at({_list('e')}, -1) else e end")
+    leaf = f"case when startswith(t, '{{') then {own_text} else nullif(t, '') end"
+    texts = f"transform({elements('p.steps', 'item')}, t -> replace(case when p.text is null then coalesce({leaf}, '') else {leaf} end, '{iterate._MARK}', ''))"
+    several = "case when size(l) > 1 then array_distinct(l) end"
+    read_xml = f"transform(g.paths, p -> {_named(texts, 'l', _named('get(l, 0)', 'v', value(several)))})"
     first = f"case when get(p.steps, 0).at = {MEMBER} then try_element_at(top, get(p.steps, 0).name) else {step('item', 'get(p.steps, 0)')} end"
     walked = f"aggregate(slice(p.steps, 2, size(p.steps)), {first}, (t, st) -> {step('t', 'st')})"
-    read = f"transform(g.paths, p -> {_named(walked, 'o', _named(unmarked('o'), 'v', value))})"
+    read = f"transform(g.paths, p -> {_named(walked, 'o', _named(unmarked('o'), 'v', value(listed)))})"
+    read = f"case when z.xml then {read_xml} else {read} end"
+    items = f"case when z.xml then {elements('g.iterator', 'z.text')} else {items} end"
 
     def joined(pieces: str, values: str, each: str | None = None) -> str:
         of_each = f"when {EACH_LITERAL} then {_named(each, 'v', literal)} when {EACH_IRI} then {_named(each, 'v', terms.REFERENCE_SQL)} " if each else ""
@@ -234,6 +258,10 @@ def _expression() -> str:
 
 
 _ELEMENTS = _expression()
+# Behind a start tag in front of a blank text that is all the element has.
+_XML_BLANK = r"""(<[^<>/!?\s](?:[^<>"']|"[^"<]*"|'[^'<]*')*+(?<!/)>)(?=\s++</)"""
+# In front of a text that isn't blank, of character data, or of an attribute's value.
+_XML_TEXT = r"""(>(?=\s*+[^<\s])|<!\[CDATA\[|=\s*["'])"""
 
 
 def _csv_text(payload: Column) -> Column:
@@ -254,12 +282,19 @@ def _csv_text(payload: Column) -> Column:
     return F.to_json(F.flatten(F.transform(headed, objects)))
 
 
+def _xml_text(payload: Column) -> Column:
+    """The elements of an XML message as a JSON object, its root a member like any other, each text behind a mark."""
+    body = F.regexp_replace(iterate.xml_body(payload), _XML_BLANK, f"$1{iterate._MARK}")
+    marked = F.regexp_replace(body, _XML_TEXT, f"$1{iterate._MARK}")
+    return F.to_json(F.from_xml(F.concat(F.lit("<w>"), marked, F.lit("</w>")), "variant", iterate.XML_OPTIONS))
+
+
 def document(payload: Column, message: Column, active: Column, input_format: str, output_format: str, program: str) -> tuple[dict[str, Column], Column]:
     """Helper columns, to be added in order, and then the document of rows whose mapping is data."""
-    csv = F.col(input_format) == "CSV"
-    text = F.when(csv, _csv_text(payload)).otherwise(iterate._marked(payload))
+    csv, xml = F.col(input_format) == "CSV", F.col(input_format) == "XML"
+    text = F.when(csv, _csv_text(payload)).when(xml, _xml_text(payload)).otherwise(iterate._marked(payload))
     turtle = F.col(output_format) == "TTL"
-    asked = F.struct(F.col("_text").alias("text"), message.alias("message"), turtle.alias("ttl"), csv.alias("csv"), F.col(program).alias("program"))
+    asked = F.struct(F.col("_text").alias("text"), message.alias("message"), turtle.alias("ttl"), csv.alias("csv"), xml.alias("xml"), F.col(program).alias("program"))
     elements = F.element_at(F.call_function("transform", F.array(asked), F.expr(_ELEMENTS)), 1)
     distinct = F.array_except(elements, F.array(F.lit(None).cast("string")))
     helpers = {"_text": F.when(active, text), "_elements": F.when(active, distinct)}

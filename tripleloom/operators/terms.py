@@ -70,7 +70,7 @@ _IRI_REFERENCE = f"""v -> case
 # The ways of writing a value v, as SQL.
 SAFE_SQL, REFERENCE_SQL = _IRI_SAFE.split("->", 1)[1], _IRI_REFERENCE.split("->", 1)[1]
 ESCAPED_SQL = (
-    r"""case when v rlike '["\\\n\r]' then replace(replace(replace(replace(v, '\\', '\\\\'), '"', '\\"'), '\n', '\\n'), '\r', '\\r') else v end"""
+    r"""case when v rlike '["\\\\\n\r]' then replace(replace(replace(replace(v, '\\', '\\\\'), '"', '\\"'), '\n', '\\n'), '\r', '\\r') else v end"""
 )
 JSON_SQL = "case when v is not null then substring(to_json(array(v)), 3, length(to_json(array(v))) - 4) end"
 

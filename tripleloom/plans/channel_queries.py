@@ -100,6 +100,25 @@ def _many_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channel.transform(fixtures.shaped_events(spark, sf_dir, MANY), shapes(MANY)).select("msg_id", "mapping_id", "doc", "error")
 
 
+def xml_shapes(n: int) -> dict[str, Mapping]:
+    """So many mappings of XML messages: items of a repeated element, or one object with several values as JSON-LD."""
+
+    def of(i: int) -> Mapping:
+        if i % 2:
+            one = TriplesMap("part", template(EX + f"x{i}/{{@key}}"), (po(EX + "has", reference("attr/value")),), iterator="/part")
+            return Mapping(f"x{i}", (one,), "XML", "JSONLD")
+        return Mapping(f"x{i}", (TriplesMap("attr", template(EX + f"x{i}/{{@kind}}"), (po(EX + "value", reference("value")),), iterator="/part/attr"),), "XML")
+
+    return {f"x{i}": of(i) for i in range(n)}
+
+
+def _xml_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as XML through one of many mappings that are data."""
+    named = F.concat(F.lit("x"), (F.col("msg_id") % MANY).cast("string"))
+    rows = fixtures.parts_xml(spark, sf_dir).withColumn("mapping_id", named)
+    return channel.transform(rows, xml_shapes(MANY)).select("msg_id", "mapping_id", "doc", "error")
+
+
 def _mapping_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document mapped by the rule document that is made of it."""
     catalog = rules.load_catalog(fixtures.rule_documents(spark, sf_dir))
@@ -284,6 +303,14 @@ QUERIES = {
         from (select *, event_id % {MANY} as i, '<{EX}e' || (event_id % {MANY}) as s, 'u' || (user_id % 10) as u,
           '> <{EX}of> _:b' || sha256(event_id || ':b' || event_id) || ' .' || chr(10) as b from events)""",
     ),
+    "channel_xml_shapes": (
+        _xml_shapes,
+        f"""select p_partkey as msg_id, 'x' || i as mapping_id, case when i % 2 = 1
+            then '[{{"@id":"{EX}x' || i || '/' || p_partkey || '","{EX}has":[{{"@value":"' || p_name || ' & <co>"}},{{"@value":"' || p_brand || '"}},{{"@value":"' || p_size || '"}}]}}]'
+            else s || 'name> <{EX}value> "' || p_name || ' & <co>" .' || chr(10) || s || 'brand> <{EX}value> "' || p_brand || '" .' || chr(10)
+              || s || 'size> <{EX}value> "' || p_size || '" .' || chr(10) end as doc, cast(null as varchar) as error
+        from (select *, p_partkey % {MANY} as i, '<{EX}x' || (p_partkey % {MANY}) || '/' as s from part)""",
+    ),
     "load_mapping_catalog": (
         _mapping_catalog,
         f"""select doc_id as msg_id, 'm' || doc_id as mapping_id,
