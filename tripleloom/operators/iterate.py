@@ -111,7 +111,11 @@ def _marked(payload: Column) -> Column:
 
 
 def _unmarked(value: Column) -> Column:
-    return F.when(value.contains(_MARK), F.regexp_replace(value, f'"?{_MARK}([^"]*)"?', "$1")).otherwise(value)
+    return (
+        F.when(~value.contains(_MARK), value)
+        .when(~value.contains('"'), F.replace(value, F.lit(_MARK), F.lit("")))
+        .otherwise(F.regexp_replace(value, f'"?{_MARK}([^"]*)"?', "$1"))
+    )
 
 
 # Texts and numbers of any length.
@@ -159,8 +163,8 @@ def _in_one_parse(paths: list[list[str | int]]) -> list[list[str]]:
     return chosen
 
 
-def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
-    payload = _marked(payload)
+def json_items(payload: Column, iterator: str, references: list[str], ready: bool = False) -> Items:
+    payload = payload if ready else _marked(payload)
     steps = json_steps(iterator)
     paths = []
     for ref in references:
@@ -175,40 +179,102 @@ def json_items(payload: Column, iterator: str, references: list[str]) -> Items:
 
     def item_of(text: Column) -> Column:
         # the text itself is kept for the array test and for paths outside the typed parse
-        return F.struct(F.from_json(text, ddl, JSON_OPTIONS).alias("f"), text.alias("t"))
+        parsed = F.array(F.struct(*([F.from_json(text, ddl, JSON_OPTIONS).alias("f")] if typed else []), text.alias("t")))
+        # one-element transforms name the parse and what it gives, so that every reference is read once an item
+        raw = F.transform(parsed, lambda x: F.struct(x.getField("t").alias("t"), *[raw_of(x, at).alias(f"r{i}") for i, at in enumerate(paths)]))
+        values = F.transform(raw, lambda x: F.struct(x.getField("t").alias("t"), *[_unmarked(x.getField(f"r{i}")).alias(f"v{i}") for i in range(len(paths))]))
+        return F.element_at(values, 1)
 
-    def read(item: Column, path: str) -> Value:
-        at = json_steps(path)
-        text = item.getField("t")
+    def raw_of(item: Column, at: list[str | int]) -> Column:
         if at in typed:
             one = item.getField("f")
             for step in at:
                 one = one.getField(step)
-        else:
-            one = F.get_json_object(text, _json_path(at))
-            if isinstance(at[-1], int):  # which gives a null element as a text
-                whole = text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1]))
-                one = F.when(whole.startswith("["), F.get(F.from_json(whole, "array<string>", JSON_OPTIONS), F.lit(at[-1])))
+            return one
+        text = item.getField("t")
+        if not isinstance(at[-1], int):
+            return F.get_json_object(text, _json_path(at))
+        # get_json_object gives a null element as a text
+        whole = F.array(text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1])))
+        found = F.transform(whole, lambda w: F.when(w.startswith("["), F.get(F.from_json(w, "array<string>", JSON_OPTIONS), F.lit(at[-1]))))
+        return F.element_at(found, 1)
+
+    def read(item: Column, path: str) -> Value:
+        at = json_steps(path)
+        text, one = item.getField("t"), item.getField(f"v{paths.index(at)}")
         # Only a value that starts with a bracket can be an array; a second, typed parse tells an
         # array from a string with the same text.
         holder = text if len(at) == 1 else F.get_json_object(text, _json_path(at[:-1]))
         if isinstance(at[-1], int):
             kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), _json_path(at), "variant"))
-            listed = F.when(kind.startswith("ARRAY"), F.from_json(one, "array<string>", JSON_OPTIONS))
+            listed = F.when(kind.startswith("ARRAY"), F.from_json(raw_of(item, at), "array<string>", JSON_OPTIONS))
         else:
             listed = F.from_json(holder, f"{_quote(at[-1])} array<string>", JSON_OPTIONS).getField(at[-1])
-        one = _unmarked(one)
         return Value(one, F.coalesce(F.transform(listed, _unmarked), F.array(one)), one.startswith("["))
 
     if "*" not in steps:
         text = payload if not steps else F.get_json_object(payload, _json_path(steps))
         return Items(item_of(text), False, read)
     plain = None
-    if not needs_text and paths and steps[-1] == "*" and all(isinstance(s, str) for s in steps) and steps.count("*") == 1:
-        plain = _json_plain(payload, steps[:-1], struct, paths)
+    if not needs_text and paths and steps[-1] == "*" and all(isinstance(s, str) for s in steps):
+        if steps.count("*") == 1:
+            plain = _json_plain(payload, steps[:-1], struct, paths)
+        elif steps[0] != "*":
+            plain = _json_plain_nested(payload, steps, struct, paths)
     return Items(_json_array(payload, steps, item_of), True, read, plain)
 
 
+def _at(item: Column, steps: list[str]) -> Column:
+    for step in steps:
+        item = item.getField(step)
+    return item
+
+
+def _plain_items(found: Column, paths: list[list[str]]) -> Items:
+    """Of one parsed array, named by a one-element array so that it is parsed once: its items, if no reference meets an array."""
+
+    def has_array(item: Column) -> Column:
+        test = F.lit(False)
+        for steps in paths:
+            test = test | F.coalesce(_at(item, steps).startswith("["), F.lit(False))
+        return test
+
+    def values(item: Column) -> Column:
+        return F.struct(*[_unmarked(_at(item, steps)).alias(f"v{i}") for i, steps in enumerate(paths)])
+
+    column = F.transform(found, lambda items: F.when(~F.exists(items, has_array), F.transform(items, values)))
+    return Items(F.element_at(column, 1), True, lambda item, path: Value(item.getField(f"v{paths.index(json_steps(path))}")))
+
+
+def _json_plain_nested(payload: Column, steps: list[str], struct: str, paths: list[list[str]]) -> Items:
+    """Items below several '[*]' steps by one typed parse; closed where an array or an element on the way is missing or null."""
+    levels: list[list[str]] = [[]]
+    for step in steps[:-1]:
+        if step == "*":
+            levels.append([])
+        else:
+            levels[-1].append(step)
+    ddl = struct
+    for names in reversed(levels):
+        ddl = f"array<{ddl}>"
+        for name in reversed(names):
+            ddl = f"struct<{_quote(name)}: {ddl}>"
+    found = _at(F.from_json(payload, ddl, JSON_OPTIONS), levels[0])
+    for names in levels[1:]:
+        found = F.element_at(F.transform(F.transform(F.array(found), _below(names)), _opened), 1)
+    whole = F.transform(F.array(found), lambda rows: F.when(~F.exists(rows, lambda row: row.isNull()), rows))
+    return _plain_items(whole, paths)
+
+
+def _below(names: list[str]) -> Callable[[Column], Column]:
+    return lambda rows: F.transform(rows, lambda row: _at(row, names))
+
+
+def _opened(rows: Column) -> Column:
+    """One array of all elements, or null where an array is missing."""
+    return F.when(~F.exists(rows, lambda row: row.isNull()), F.flatten(rows))
+
+
 def _json_plain(payload: Column, before: list[str], struct: str, paths: list[list[str]]) -> Items:
     """Array items by one typed parse of the message.
 
@@ -216,28 +282,15 @@ def _json_plain(payload: Column, before: list[str], struct: str, paths: list[lis
     its text; in both cases this way is closed and the careful one is taken.
     """
 
-    def at(item: Column, steps: list[str]) -> Column:
-        for step in steps:
-            item = item.getField(step)
-        return item
-
     ddl = f"array<{struct}>"
     if before:
         for step in reversed(before[1:]):
             ddl = f"struct<{_quote(step)}: {ddl}>"
-        found = at(F.from_json(payload, f"{_quote(before[0])} {ddl}", JSON_OPTIONS), before)
+        found = _at(F.from_json(payload, f"{_quote(before[0])} {ddl}", JSON_OPTIONS), before)
     else:
         found = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, ddl, JSON_OPTIONS))
 
-    def has_array(item: Column) -> Column:
-        test = F.lit(False)
-        for steps in paths:
-            test = test | F.coalesce(at(item, steps).startswith("["), F.lit(False))
-        return test
-
-    # a one-element transform names the parsed array, so that it is parsed once
-    column = F.transform(F.array(found), lambda items: F.when(~F.exists(items, has_array), items))
-    return Items(F.element_at(column, 1), True, lambda item, path: Value(_unmarked(at(item, json_steps(path)))))
+    return _plain_items(F.array(found), paths)
 
 
 def _json_array(payload: Column, steps: list[str | int], item_of) -> Column:
@@ -401,7 +454,15 @@ def csv_items(payload: Column, iterator: str, references: list[str]) -> Items:
 _BY_FORMAT = {"JSON": json_items, "XML": xml_items, "CSV": csv_items}
 
 
-def items(payload: Column, input_format: str, iterator: str, references: list[str]) -> Items:
+def prepared(payload: Column, input_format: str) -> Column:
+    """What all iterators of a message read, for items(ready=True)."""
+    return _marked(payload) if input_format == "JSON" else payload
+
+
+def items(payload: Column, input_format: str, iterator: str, references: list[str], ready: bool = False) -> Items:
+    """The items of a message; ready: the text is prepared, or a part of one that is."""
+    if input_format == "JSON":
+        return json_items(payload, iterator, references, ready)
     return _BY_FORMAT[input_format](payload, iterator, references)
 
 

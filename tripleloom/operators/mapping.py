@@ -483,11 +483,13 @@ def with_elements(
     message, an encoded identifier) is computed once; higher-order functions have no common
     subexpression elimination.
     """
-    helpers: list[str] = []
+    text = f"{name}_t"
+    helpers: list[str] = [text]
     arrays: list[Column] = []
+    df = df.withColumn(text, iterate.prepared(F.when(active, payload), mapping.input_format))
     for g, group in enumerate(groups_of(mapping, form)):
         group.learn()
-        found = iterate.items(F.when(active, payload), mapping.input_format, group.iterator, group.paths)
+        found = iterate.items(F.col(text), mapping.input_format, group.iterator, group.paths, ready=True)
         if not found.is_array:
             item = f"{name}_i{g}"
             scope = Scope(F.col(item), F.lit(0), message, found.read)
@@ -515,13 +517,13 @@ def with_elements(
             scalar.learn()
             plain = replace(found.plain, column=F.col(quick))
             df, quick_elements = _array_elements(df, scalar, form, plain, message, f"{name}_p{g}", helpers)
-            text = F.when(active & ~F.col(simple), payload)
-            careful = iterate.items(text, mapping.input_format, group.iterator, group.paths)
+            rest = F.when(~F.col(simple), F.col(text))
+            careful = iterate.items(rest, mapping.input_format, group.iterator, group.paths, ready=True)
             df, careful_elements = _array_elements(df, group, form, careful, message, f"{name}_c{g}", helpers)
             elements = F.when(F.col(simple), quick_elements).otherwise(careful_elements)
         arrays.append(elements)
     if join_here:
-        df, joined = _local_joins(df, mapping, form, name, F.when(active, payload), message, helpers, join_here)
+        df, joined = _local_joins(df, mapping, form, name, F.col(text), message, helpers, join_here)
         arrays += joined
     empty = F.array().cast("array<string>")
     everything = [F.coalesce(a, empty) for a in arrays]
@@ -562,10 +564,14 @@ def _local_joins(
     The look-up compares every child with every parent, which is one comparison an item where there is one child or one
     parent. Rules with several on both sides come last, sorted, as documents_with_joins writes them.
     """
-    arrays, sorted_last = [], []
+    arrays, sorted_last, outers = [], [], {}
     for n, (tm, p, o) in enumerate(rules):
         if shared := nested(mapping, tm, o):
-            arrays.append(_under_shared_item(mapping, form, payload, message, (tm, p, o), shared))
+            if shared[0] not in outers:
+                outers[shared[0]] = f"{name}_u{n}"
+                helpers.append(outers[shared[0]])
+                df = df.withColumn(outers[shared[0]], iterate.items(payload, mapping.input_format, shared[0], [], ready=True).column)
+            arrays.append(_under_shared_item(mapping, form, F.col(outers[shared[0]]), message, (tm, p, o), shared))
             continue
         other, asked = mapping.triples_map(o.value), condition(o)
         sides = []
@@ -577,7 +583,7 @@ def _local_joins(
             made = {x: group.node(t, owner) for x, t in nodes.items()}
             fields = made | {f"{x}{i}": group.key(t, owner) for x, of in (("k", keys), ("x", parts)) for i, t in enumerate(of)}
             group.spread_over(*fields.values())
-            found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths)
+            found = iterate.items(payload, mapping.input_format, owner.iterator, group.paths, ready=True)
 
             def row(read, item: Column, index: Column) -> Column:
                 return side_rows(group, fields, Scope(item, index, message, read), list(fields))
@@ -631,18 +637,17 @@ def nested(mapping: Mapping, tm: TriplesMap, o: TermMap) -> tuple[str, str, str]
 
 
 def _under_shared_item(
-    mapping: Mapping, form: Form, payload: Column, message: Column, rule: tuple[TriplesMap, TermMap, TermMap], shared: tuple[str, str, str]
+    mapping: Mapping, form: Form, outer: Column, message: Column, rule: tuple[TriplesMap, TermMap, TermMap], shared: tuple[str, str, str]
 ) -> Column:
     """Links of the children and the parents that lie in one item of their common iterator: those whose indexes agree up to there."""
     tm, p, o = rule
     other = mapping.triples_map(o.value)
-    outer = iterate.items(payload, mapping.input_format, shared[0], [])
 
     def side(text: Column, owner: TriplesMap, rest: str, terms_: dict[str, TermMap]) -> tuple[Column, dict[str, Node]]:
         group = Group(mapping, rest, [owner], form.encode, form.encode_constant, form.encode_sql)
         made = {x: group.node(t, owner) for x, t in terms_.items()}
         group.spread_over(*made.values())
-        found = iterate.items(text, mapping.input_format, rest, group.paths)
+        found = iterate.items(text, mapping.input_format, rest, group.paths, ready=True)
 
         def row(read, item: Column, index: Column) -> Column:
             return side_rows(group, made, Scope(item, index, message, read), list(made))
@@ -666,7 +671,7 @@ def _under_shared_item(
 
         return F.element_at(F.transform(F.array(F.struct(children.alias("c"), parents.alias("q"))), of_pair), 1)
 
-    return F.flatten(F.filter(F.transform(outer.column, of_outer), lambda x: x.isNotNull()))
+    return F.flatten(F.filter(F.transform(outer, of_outer), lambda x: x.isNotNull()))
 
 
 def join_conditions(mapping: Mapping) -> list[tuple[TriplesMap, TermMap, TermMap]]:
