@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tripleloom import MappingError
+from tripleloom import Mapping, MappingError, TriplesMap, po, reference, template
 from tripleloom.operators.mapping import triples
 from tripleloom.plans import mapping_queries as q
 from tripleloom.sources import ntriples, rules
@@ -119,3 +119,32 @@ def test_broken_lines_give_nothing(spark):
     assert lines_of(spark, bad).count() == 0
     assert lines_of(spark, ["  <a>\t<b> <c>.  # note", "_:a <b> _:c ."]).count() == 2
     assert lines_of(spark, ['<a> <b> "x"@en-GB .']).select(F.col("o_lang")).first()[0] == "en-GB"
+
+
+def test_a_value_is_written_only_in_the_ways_that_the_rules_ask_for(spark):
+    """A text that is only a literal isn't encoded for an IRI as well, and programs that don't say their ways write the same."""
+    import json
+
+    from tripleloom.operators import rulesets
+    from tripleloom.operators.mapping import WAYS
+    from tripleloom.streaming import channel
+
+    bits = {name: 1 << n for n, name in enumerate(WAYS)}
+    said = (po("http://e/text", reference("t")), po("http://e/at", reference("u", term_type="iri")))
+    mapping = Mapping("m", (TriplesMap("x", template("http://e/{k}"), said),))
+    (program,) = rulesets.as_data(mapping)
+    assert [p["ways"] for p in program["paths"]] == [bits["slot-iri"], bits["literal"], bits["iri"]]
+    rows = spark.createDataFrame([(1, "m", '{"k":"a b","t":"x \\"y\\" z","u":"http://e/q r"}')], "msg_id long, mapping_id string, payload string")
+    (row,) = rulesets.rule_rows({"m": mapping})
+    for p in program["paths"]:
+        del p["ways"]
+    older = spark.createDataFrame([(*row[:-1], json.dumps([program]))], rulesets.RULE_SCHEMA)
+    docs = [channel.transform(rows, known).first().doc for known in ({"m": mapping}, older)]
+    assert docs[0] == '<http://e/a%20b> <http://e/text> "x \\"y\\" z" .\n<http://e/a%20b> <http://e/at> <http://e/q%20r> .\n'
+    assert docs[0] == docs[1]
+
+
+def test_a_catalog_is_compiled_in_as_many_tasks_as_there_are_parts(spark):
+    triples = spark.createDataFrame([("m", "urn:x", "urn:p", "o", "iri")], "mapping_id string, s string, p string, o string, o_kind string")
+    plan = rules.load_catalog(triples)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

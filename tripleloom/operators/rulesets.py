@@ -29,7 +29,7 @@ _STEPS = "array<struct<name: string, at: int>>"
 _PIECES = "array<struct<how: int, at: int, text: string>>"
 _STATEMENTS = f"array<struct<pieces: {_PIECES}, at: int>>"
 PROGRAM = (
-    f"array<struct<iterator: {_STEPS}, paths: array<struct<text: string, steps: {_STEPS}>>, "
+    f"array<struct<iterator: {_STEPS}, paths: array<struct<text: string, steps: {_STEPS}, ways: int>>, "
     f"labels: array<struct<pieces: {_PIECES}, numbered: boolean>>, spread: array<int>, single: {_STATEMENTS}, many: {_STATEMENTS}, "
     f"nodes: array<struct<head: {_PIECES}, sure: boolean, properties: array<struct<name: {_PIECES}, single: {_STATEMENTS}, many: {_STATEMENTS}>>>>, "
     f"crossed: {crossing.STATEMENTS}, label_texts: {crossing.STATEMENTS}>>"
@@ -89,6 +89,8 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
             return None
         paths.append({"text": iterate._json_path(steps), "steps": _steps(path)})
 
+    used: dict[int, set[int]] = {}
+
     def piece(part: Part, each: int) -> dict:
         if isinstance(part, str):
             return {"how": PLAIN, "at": -1, "text": part}
@@ -96,7 +98,9 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
             return {"how": each, "at": -1, "text": None}
         if part.name in group.slots:
             path, how = group.slots[part.name]
-            return {"how": how, "at": group.paths.index(path), "text": None}
+            at = group.paths.index(path)
+            used.setdefault(at, set()).add(how)
+            return {"how": how, "at": at, "text": None}
         return {"how": 0, "at": len(paths) + own.index(part.name), "text": None}
 
     def pieces(parts: list[Part], each: int = PLAIN) -> list[dict]:
@@ -114,10 +118,10 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
         marked = Node(o.kind, (Atom("\x00each"),), o.datatype, o.lang)
         return one, {"pieces": pieces(write(marked), EACH_IRI if o.kind == "iri" else EACH_LITERAL), "at": at}
 
+    said = [group.statements(tm) for tm in group.maps]
     single, many, nodes = [], [], []
     turtle = mapping.output_format == "TTL"
-    for tm in group.maps:
-        statements = group.statements(tm)
+    for tm, statements in zip(group.maps, said, strict=True):
         if turtle:
             for s, p, o in statements:
                 one, each = of_object(o, lambda node, s=s, p=p: _turtle(s, p, node))
@@ -137,8 +141,10 @@ def _program(group: Group, mapping: Mapping) -> dict | None:
         head = pieces(['{"@id":"', *group.node(tm.subject, tm).parts, '"'])
         nodes.append({"head": head, "sure": sure, "properties": list(by_property.values())})
     form = TURTLE if turtle else JSONLD
-    written = [form.write(*(_of_term(n, x) for n, x in zip(spo, "spo"))) for tm in group.maps for spo in group.statements(tm)]
+    written = [form.write(*(_of_term(n, x) for n, x in zip(spo, "spo"))) for statements in said for spo in statements]
     raw_way = WAYS.index("raw")
+    for at, path in enumerate(paths):  # the ways its value is written in, a bit for each
+        path["ways"] = sum(1 << how for how in used.get(at, ()))
     iterators = {"JSON": _steps, "XML": _xml_steps, "CSV": lambda _: [{"name": None, "at": ALL}]}
     return {
         "iterator": iterators[mapping.input_format](group.iterator),
@@ -208,8 +214,10 @@ def _expression() -> str:
         "case when startswith(o, '[') and not z.csv then coalesce(case when startswith(schema_of_variant(variant_get(try_parse_json(item), p.text, 'variant')), 'ARRAY') "
         f"then array_distinct(transform({_list('o')}, e -> {unmarked('e')})) end, array({unmarked('o')})) end"
     )
+    # what no piece asks for stays null; programs kept from before don't say it
+    way = lambda text, *hows: f"case when p.ways is null or (p.ways & {sum(1 << how for how in hows)}) <> 0 then {text} end"
     value = lambda many: (
-        f"named_struct('one', v, 'slot', {terms.SAFE_SQL}, 'literal', {literal}, 'iri', {terms.REFERENCE_SQL}, 'many', {many})"
+        f"named_struct('one', v, 'slot', {way(terms.SAFE_SQL, 1)}, 'literal', {way(literal, 2, 3)}, 'iri', {way(terms.REFERENCE_SQL, 4)}, 'many', {many})"
     )
     # XML elements of one name are one value or a list; an empty one is null there and an empty text here
     same = _named("try_element_at(m, st.name)", "e", f"case when startswith(e, '[') then transform({_list('e')}, x -> coalesce(x, '')) else array(coalesce(e, '')) end")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,8 +136,11 @@ def blank_label(scope: Column, value: Column) -> Column:
 # The same encodings for constants, done once while compiling.
 
 
+_NOT_IN_IRI = re.compile(f"[{re.escape(IRI_ILLEGAL)}\x00-\x20\x7f]")
+
+
 def iri_constant(text: str) -> str:
-    return "".join(_percent(c) if c in IRI_ILLEGAL or ord(c) <= 0x20 or ord(c) == 0x7F else c for c in text)
+    return text if not _NOT_IN_IRI.search(text) else "".join(_percent(c) if c in IRI_ILLEGAL or ord(c) <= 0x20 or ord(c) == 0x7F else c for c in text)
 
 
 def escape_constant(text: str) -> str:

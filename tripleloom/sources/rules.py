@@ -113,8 +113,10 @@ def _gathered(triples: DataFrame) -> DataFrame:
         row = F.to_json(F.struct(*[c for c in table.columns if c != DOC]), {"ignoreNullFields": "false"})
         part = table.select(DOC, F.struct(F.lit(name).alias("name"), row.alias("row")).alias("said"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    # a document is one mapping, so what meets here is bounded by the mapping that it becomes
-    return tagged.groupBy(DOC).agg(F.collect_list("said").alias("rows"))
+    # A document is one mapping, so what meets here is bounded by the mapping that it becomes. The number of parts is given: by their
+    # bytes they would be joined to a few tasks, and a mapping takes far longer to compile than to read.
+    parts = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tagged.repartition(parts, DOC).groupBy(DOC).agg(F.collect_list("said").alias("rows"))
 
 
 def _found(rows: list) -> Found:
