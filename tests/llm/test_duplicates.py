@@ -144,6 +144,21 @@ def test_passages_whose_parts_have_other_holders(spark):
     assert all(s["source"] == d - 5 for d in want for s in found[d]["spans"])
 
 
+def test_changed_passages_whose_seeds_have_other_holders(spark):
+    """A passage with changed words stands in one earlier document; each of its seeds has another first holder, none with 50 words of it."""
+    docs, want = [], {}
+    for n in range(0, 100, 20):
+        passage = prose(120)
+        docs += [(n + i, " ".join(prose(30) + passage[10 * i : 10 * i + 30] + prose(30))) for i in range(10)]
+        own = [prose(40) for _ in range(4)]
+        edited = [f"changed{i}" if i % 30 == 29 and i < 119 else w for i, w in enumerate(passage)]
+        docs += [(n + 12, " ".join(own[0] + passage + own[1])), (n + 15, " ".join(own[2] + edited + own[3]))]
+        want[n + 15] = " ".join(own[2] + own[3])
+    found = {r["doc_id"]: r for r in passages.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: r["kept_text"] for d, r in found.items() if r["spans"]} == want
+    assert all(s["source"] == d - 3 for d in want for s in found[d]["spans"])
+
+
 def test_runs_of_one_text_are_one_row(spark):
     """Near copies of one text, so that the first holders of its runs take turns: a row for each document, stretches merged by place."""
     base = prose(300)
