@@ -219,6 +219,43 @@ def test_best_chain_by_trying_all(parts):
     assert value(passages.chain(fragments)[0]) == pytest.approx(best)
 
 
+def test_rare_open_seeds_are_asked_alone():
+    """Two open seeds in a long stretch: the one that two rows have is one question, the one that many have is paired with all others."""
+    import pyarrow as pa
+
+    n = 200
+    names = ["id", "hash", "places", "seeds", "counts", "open"]
+
+    def asked(counts):
+        rows = [[7], [1], [[20 * i for i in range(n)]], [list(range(n))], [counts], [[0, 100]]]
+        return [r for b in passages._open_pairs(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)])) for r in b.to_pylist()]
+
+    frequent = [1000] * n
+    assert len(asked(frequent)) == 2 * (n - 1) - 1 and all(r["a"] is not None for r in asked(frequent))
+    found = asked([*frequent[:100], 2, *frequent[101:]])
+    assert [r["u"] for r in found if r["a"] is None] == [100]
+    assert {r["b"] for r in found if r["a"] is not None} == set(range(1, n))
+
+
+@given(st.lists(st.integers(0, 45), min_size=1, max_size=6), st.integers(1, 1000))
+@settings(max_examples=60, deadline=None)
+def test_kept_seeds_by_trying_all_windows(lengths, kinds):
+    """Of every WINDOW neighbouring runs of a text the first of the least, of a text with fewer one; equal words make equal runs."""
+    from tripleloom.llm.words import ngrams
+
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    hashes = np.random.default_rng(kinds).integers(0, kinds, bounds[-1]).astype(np.uint64)
+    text, place, seed = passages.kept_seeds(hashes, bounds)
+    want = []
+    for i, n in enumerate(lengths):
+        own = hashes[bounds[i] : bounds[i + 1]]
+        runs = [int(ngrams(own[j : j + passages.SEED], np.array([0, passages.SEED]), passages.SEED)[0][0]) for j in range(n - passages.SEED + 1)]
+        windows = range(max(len(runs) - passages.WINDOW + 1, min(len(runs), 1)))
+        kept = {min(range(j, min(j + passages.WINDOW, len(runs))), key=lambda x: (runs[x], x)) for j in windows}
+        want += [(i, j, runs[j]) for j in sorted(kept)]
+    assert list(zip(text.tolist(), place.tolist(), seed.tolist(), strict=True)) == want
+
+
 def test_winnowed_seeds_meet():
     """Any 20 equal words share a kept seed."""
     from tripleloom.llm.words import Words
