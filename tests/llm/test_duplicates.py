@@ -237,6 +237,50 @@ def test_rare_open_seeds_are_asked_alone():
     assert {r["b"] for r in found if r["a"] is not None} == set(range(1, n))
 
 
+def test_pairs_of_texts_make_no_rows(spark, monkeypatch):
+    """Texts with runs of one word, no two alike, all share open seeds: what is written for them grows with the texts, not with their pairs."""
+    n, counts = 240, {}
+    docs = [(i, " ".join([*prose(4), *["again"] * (22 + i % 20), *prose(4), *["more"] * (22 + i // 12), *prose(30)])) for i in range(n)]
+
+    def written(df, label, of=passages.written):
+        out = of(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "written", written)
+    passages.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
+    later = {label: counts[label] for label in list(counts)[list(counts).index("known") + 1 :]}
+    assert counts["open-pairs"] >= n and max(later.values()) <= 20 * n, later
+
+
+@given(st.data())
+@settings(max_examples=150, deadline=None)
+def test_texts_left_out_have_no_chain(data):
+    """Chains of a text with others, looked for at once, are those of each pair by all seeds that both have."""
+
+    def text(more):
+        steps = data.draw(st.lists(st.integers(1, 30), min_size=2, max_size=14))
+        seeds = data.draw(st.lists(st.integers(0, 8), min_size=len(steps), max_size=len(steps)))
+        return np.cumsum(steps), np.array(seeds, np.int64), np.array(data.draw(st.lists(st.booleans(), min_size=len(steps), max_size=len(steps)))) if more else None
+
+    place, seed, is_open = text(True)
+    others = []
+    for _ in range(data.draw(st.integers(1, 5))):
+        others.append(text(False)[:2])
+        if data.draw(st.booleans()):  # much like the asking one
+            kept = np.array(data.draw(st.lists(st.booleans(), min_size=len(place), max_size=len(place))))
+            others.append(((place + data.draw(st.integers(0, 9)) + np.cumsum(data.draw(st.lists(st.integers(0, 2), min_size=len(place), max_size=len(place)))))[kept], seed[kept]))
+    before = data.draw(st.integers(0, len(others)))
+    want = []
+    for i, (there, known) in enumerate(others[:before]):
+        own, other = np.nonzero(seed[:, None] == known[None, :])
+        for _, found in passages.chains(np.zeros(len(own), np.int64), place[own], there[other]) if len(own) else []:
+            if any(((place[own][is_open[own]] >= b) & (place[own][is_open[own]] < e)).any() for b, e, _ in found):
+                want.append((i, [x for f in found for x in f]))
+    found = passages.Shared([x for x, _ in others], [x for _, x in others]).chains(place, seed, is_open, before)
+    assert sorted(found) == sorted(want)
+
+
 @given(st.lists(st.integers(0, 45), min_size=1, max_size=6), st.integers(1, 1000))
 @settings(max_examples=60, deadline=None)
 def test_kept_seeds_by_trying_all_windows(lengths, kinds):
